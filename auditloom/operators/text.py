@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.sizing import small_side
+from auditloom.functions.sizing import policy_rows
 
 
 def json_project(df: DataFrame, json_col: str, fields: dict[str, str], defaults: dict) -> DataFrame:
@@ -134,52 +134,67 @@ def probe_parse(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def expectation_suite(expectations: DataFrame, observed: DataFrame, run: str | None = None) -> DataFrame:
-    """PASS or FAIL per expectation (and per run, if `run` names its column).
+MAX_EXPECTATIONS = 10_000
+
+
+def expectation_suite(
+    expectations: DataFrame,
+    observed: DataFrame,
+    run: str | None = None,
+    runs: DataFrame | None = None,
+) -> DataFrame:
+    """PASS or FAIL per expectation, and per run if `run` names its column.
 
     `expectations` has name, key, operator, expected; `observed` has key, value.
-    Operators: eq, ne, ge, le, prefix, empty, non_empty, ne_key (differs from the value
-    of the key named in `expected`). A value that was never observed fails.
-    `observed` is combined to one row per run and key before it is joined.
+    Operators: eq, prefix, ge, le, empty, non_empty, ne (each passes if any
+    observation of the key does) and ne_key (non-empty and different from the value
+    of the key named in `expected`). A key that was never observed fails; `runs`
+    adds runs without any observation. All checks are aggregates of one
+    grouping, combined before its shuffle, however many rows a run has.
     """
+    checks = policy_rows(
+        expectations.select("name", "key", "operator", "expected").orderBy("name"), MAX_EXPECTATIONS
+    )
+    if checks is None:
+        raise ValueError(f"more than {MAX_EXPECTATIONS} expectations; split the table")
     keys = [run] if run else []
-    last = observed.groupBy(*keys, "key").agg(F.max("value").alias("value"))
-    if run:
-        wanted = observed.select(run).distinct().join(
-            small_side(expectations), F.lit(True)
+    rows = observed.select(*keys, "key", "value")
+    if runs is not None:
+        rows = rows.unionByName(runs.select(*keys), allowMissingColumns=True)
+    value = F.col("value")
+
+    def of(key: str) -> Column:
+        return F.when(F.col("key") == key, value)
+
+    def holds(check) -> Column:
+        seen, expected = of(check["key"]), F.lit(check["expected"])
+        tests = {
+            "eq": seen == expected,
+            "ne": seen != expected,
+            "prefix": seen.startswith(expected),
+            "ge": seen.try_cast("double") >= expected.try_cast("double"),
+            "le": seen.try_cast("double") <= expected.try_cast("double"),
+            "empty": seen == "",
+            "non_empty": seen != "",
+        }
+        if check["operator"] == "ne_key":
+            mine, other = F.max(seen), F.max(of(check["expected"]))
+            return (mine != "") & (mine != other)
+        return F.bool_or(tests[check["operator"]])
+
+    aggregates = [
+        F.struct(
+            F.lit(check["name"]).alias("name"),
+            F.lit(check["key"]).alias("key"),
+            F.max(of(check["key"])).alias("value"),
+            F.when(F.coalesce(holds(check), F.lit(False)), F.lit("PASS"))
+            .otherwise(F.lit("FAIL"))
+            .alias("result"),
         )
-    else:
-        wanted = expectations
-    other = last.withColumnsRenamed({"key": "_other_key", "value": "_other"})
-    if run:
-        other = other.withColumnRenamed(run, "_other_run")
-        same_run = F.col(run) == F.col("_other_run")
-    else:
-        same_run = F.lit(True)
-    joined = wanted.join(last, [*keys, "key"], "left")
-    paired = joined.join(
-        other,
-        (F.col("operator") == "ne_key") & (F.col("expected") == F.col("_other_key")) & same_run,
-        "left",
-    ).drop("_other_key", "_other_run")
-    value, expected = F.col("value"), F.col("expected")
-    number, limit = value.try_cast("double"), expected.try_cast("double")
-    passed = (
-        F.when(F.col("operator") == "eq", value == expected)
-        .when(F.col("operator") == "ne", value != expected)
-        .when(F.col("operator") == "ge", number >= limit)
-        .when(F.col("operator") == "le", number <= limit)
-        .when(F.col("operator") == "prefix", value.startswith(expected))
-        .when(F.col("operator") == "empty", value == "")
-        .when(F.col("operator") == "non_empty", value != "")
-        .when(F.col("operator") == "ne_key", (value != "") & (value != F.col("_other")))
-    )
-    return paired.select(
-        *keys,
-        "name",
-        "key",
-        "value",
-        F.when(F.coalesce(passed, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("result"),
+        for check in checks
+    ]
+    return rows.groupBy(*keys).agg(F.array(*aggregates).alias("_checks")).select(
+        *keys, F.inline("_checks")
     )
 
 
