@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,7 +168,7 @@ def _automaton_hits(df: DataFrame, row_id: str, col: str, listed: DataFrame) ->
     )
 
     @F.pandas_udf(hit_type)
-    def search(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
