@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 1_000_000
 POLICY_ROWS = 256
 
 
-def small_side(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if `side` was counted and has at most `max_rows` rows.
-
-    The count stops at `max_rows + 1`. A larger side is returned without a hint
-    and the join shuffles both sides.
-    """
-    counted = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if counted <= max_rows else side
+def small_table(spark: SparkSession, rows, schema: str | T.StructType) -> DataFrame:
+    """A short literal table, held in the plan and not in an RDD."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = zip(*rows) if rows else [()] * len(fields)
+    arrow_schema = to_arrow_schema(fields)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow_schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), fields)
 
 
 def policy_rows(policy: DataFrame, max_rows: int = POLICY_ROWS) -> list[Row] | None:
     """Rows of a short policy table, or None when it has more than `max_rows`."""
     rows = policy.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def small_side(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if `side` was counted and has at most `max_rows` rows.
+
+    The count stops at `max_rows + 1`. A larger side is returned without a hint
+    and the join shuffles both sides.
+    """
+    if policy_rows(side.select(F.lit(1))) is not None:
+        return F.broadcast(side)
+    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side

@@ -12,20 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.functions.sizing import small_table
+
 HOT_ROWS = 8_000_000
 MAX_HOT_KEYS = 10_000
 SLICES_PER_LIMIT = 8
 
 
-def with_slices(
-    df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, bool]:
-    """Add `_slice` BIGINT and `_hot` BOOLEAN; also tell whether any key is hot.
+def hot_keys(df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """(key, first time, slice width) of the keys with more than `hot_rows` rows.
 
     Reads only `key` and `ts`, combined before the shuffle. At most
     MAX_HOT_KEYS keys come back, the largest first; a key left out of that list
     holds less than 1/MAX_HOT_KEYS of the rows. Count, minimum and maximum are
-    exact, so a recomputed task finds the same slices.
+    exact, so a recomputed task finds the same slices. A job of several operators
+    over the same rows asks once, on its input, and hands the list on.
     """
     hot = (
         df.groupBy(F.col(key).alias("_hot_key"))
@@ -35,20 +36,32 @@ def with_slices(
         .limit(MAX_HOT_KEYS)
         .collect()
     )
-    if not hot:
-        return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)}), False
     cuts = []
     for row in hot:
         pieces = -(-row.n * SLICES_PER_LIMIT // hot_rows)
         cuts.append((row._hot_key, row.lo, max(1, -(-(row.hi - row.lo + 1) // pieces))))
+    return cuts
+
+
+def with_slices(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
+) -> tuple[DataFrame, bool]:
+    """Add `_slice` BIGINT and `_hot` BOOLEAN; also tell whether any key is hot."""
+    cuts = hot_keys(df, key, ts, hot_rows) if hot is None else hot
+    if not cuts:
+        return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)}), False
     schema = T.StructType(
         [
             T.StructField("_hot_key", df.schema[key].dataType),
             T.StructField("_lo", T.LongType()),
-            T.StructField("_width", T.LongType(), False),
+            T.StructField("_width", T.LongType()),
         ]
     )
-    cut_table = df.sparkSession.createDataFrame(cuts, schema)
+    cut_table = small_table(df.sparkSession, cuts, schema)
     sliced = df.join(
         F.broadcast(cut_table), F.col(key).eqNullSafe(F.col("_hot_key")), "left"
     ).withColumns(
@@ -84,6 +97,7 @@ def running(
     out: str,
     reverse: bool = False,
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Running window value per key, with hot keys cut into slices.
 
@@ -92,7 +106,7 @@ def running(
     `carried` the window aggregate over the `_total` of the slices before it
     (after it if `reverse`), and `combine(local, carry)` the final value.
     """
-    rows, any_hot = with_slices(df, key, ts, hot_rows)
+    rows, any_hot = with_slices(df, key, ts, hot_rows, hot)
     kind, lo, hi = frame
     window = Window.partitionBy(key, "_slice").orderBy(*order)
     window = window.rowsBetween(lo, hi) if kind == "rows" else window.rangeBetween(lo, hi)

@@ -61,15 +61,20 @@ def rate_limit_label(
     tokens_per_period: int = 30,
     period_us: int = 60 * MICROS,
     burst: int = 10,
+    when: str | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Add `allowed` and `retry_after` (seconds) by a token bucket per key.
 
     `ts` is BIGINT microseconds and not null. Rows of a key are taken in order of
-    (`ts`, `order`); a new key starts with a full bucket.
+    (`ts`, `order`); a new key starts with a full bucket. With `when`, a BOOLEAN
+    column, only rows where it is true meet the bucket; the others get nulls.
+    `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     token, cap, refill = bucket_units(tokens_per_period, period_us, burst)
-    rows, any_hot = with_slices(df, key, ts, hot_rows)
+    rows, any_hot = with_slices(df, key, ts, hot_rows, hot)
+    rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
         starts = settle(_bucket_starts(rows, key, ts, order, token, cap, refill))
         rows = join_slices(rows, small_side(starts), key)
@@ -78,8 +83,8 @@ def rate_limit_label(
     out = T.StructType(
         [
             *df.schema.fields,
-            T.StructField("allowed", T.BooleanType(), False),
-            T.StructField("retry_after", T.IntegerType(), False),
+            T.StructField("allowed", T.BooleanType()),
+            T.StructField("retry_after", T.IntegerType()),
         ]
     )
     kept = df.columns
@@ -87,12 +92,17 @@ def rate_limit_label(
     def fold(batches):
         group, units, last = None, cap, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (key, "_slice", ts, "_units", "_last")]
+            needed = (key, "_slice", ts, "_units", "_last", "_counts")
+            columns = [batch.column(c).to_pylist() for c in needed]
             allowed, retry = [], []
-            for k, piece, at, start, before in zip(*columns):
+            for k, piece, at, start, before, counts in zip(*columns):
                 if group != (k, piece):
                     group = (k, piece)
                     units, last = (cap, at) if start is None else (start, before)
+                if not counts:
+                    allowed.append(None)
+                    retry.append(None)
+                    continue
                 ok, wait, units = bucket_step(units, at - last, token, cap, refill)
                 last = max(last, at)
                 allowed.append(ok)
@@ -106,6 +116,10 @@ def rate_limit_label(
     return _sorted(rows.drop("_hot"), key, [ts, order]).mapInArrow(fold, out)
 
 
+def _counts(when: str | None):
+    return F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
+
+
 def _sorted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.repartition(key, "_slice").sortWithinPartitions(key, "_slice", *order)
 
@@ -141,7 +155,7 @@ def _per_group(batches, key, columns, begin, each, finish, schema):
 
 def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
     """`(key, _slice, _units, _last)`: bucket level and time before each hot slice."""
-    hot = rows.where("_hot").select(key, "_slice", ts, order)
+    hot = rows.where("_hot AND _counts").select(key, "_slice", ts, order)
     key_field = T.StructField(key, rows.schema[key].dataType)
     long = T.LongType()
 
@@ -325,15 +339,20 @@ def concurrency_admit(
     order: str,
     limit: int = 3,
     retry_after: int = 5,
+    when: str | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Add `admitted` and `retry_after`: at most `limit` admitted rows of a key run at once.
 
     Rows are taken in order of (`start`, `order`), times are BIGINT microseconds. An
     interval that ends at a row's start has freed its slot; a rejected row holds none.
+    With `when`, a BOOLEAN column, only rows where it is true ask for a slot.
+    `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     limit = max(1, limit)
-    rows, any_hot = with_slices(df, key, start, hot_rows)
+    rows, any_hot = with_slices(df, key, start, hot_rows, hot)
+    rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
         rows = join_slices(rows, small_side(_slot_starts(rows, key, start, end, order, limit)), key)
     else:
@@ -341,8 +360,8 @@ def concurrency_admit(
     out = T.StructType(
         [
             *df.schema.fields,
-            T.StructField("admitted", T.BooleanType(), False),
-            T.StructField("retry_after", T.IntegerType(), False),
+            T.StructField("admitted", T.BooleanType()),
+            T.StructField("retry_after", T.IntegerType()),
         ]
     )
     kept = df.columns
@@ -350,22 +369,25 @@ def concurrency_admit(
     def fold(batches):
         group, ends = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (key, "_slice", start, end, "_running")]
-            admitted = []
-            for k, piece, begin, finish, before in zip(*columns):
+            needed = (key, "_slice", start, end, "_running", "_counts")
+            columns = [batch.column(c).to_pylist() for c in needed]
+            admitted, retry = [], []
+            for k, piece, begin, finish, before, counts in zip(*columns):
                 if group != (k, piece):
                     group, ends = (k, piece), list(before or [])
+                if not counts:
+                    admitted.append(None)
+                    retry.append(None)
+                    continue
                 ends = [e for e in ends if e > begin]
                 ok = len(ends) < limit
                 if ok:
                     ends.append(finish)
                 admitted.append(ok)
+                retry.append(0 if ok else retry_after)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
-                + [
-                    pa.array(admitted, pa.bool_()),
-                    pa.array([0 if ok else retry_after for ok in admitted], pa.int32()),
-                ],
+                + [pa.array(admitted, pa.bool_()), pa.array(retry, pa.int32())],
                 names=[*kept, "admitted", "retry_after"],
             )
 
@@ -374,7 +396,7 @@ def concurrency_admit(
 
 def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
     """`(key, _slice, _running)`: end times running into each hot slice."""
-    hot = rows.where("_hot").select(key, "_slice", start, end, order)
+    hot = rows.where("_hot AND _counts").select(key, "_slice", start, end, order)
     key_field = T.StructField(key, rows.schema[key].dataType)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
 
@@ -384,25 +406,26 @@ def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
             + [T.StructField(n, t) for n, t in names_types]
         )
 
-    folded = table(("_running", longs), ("first", long), ("own", longs))
+    folded = table(("_running", longs), ("first", long), ("starts", longs), ("ends", longs))
 
     def run_slices(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         def begin(row):
             running = list(row[2] or [])
-            return running, row[0], [(e, False) for e in running]
+            return running, row[0], [(None, e) for e in running]
 
         def each(state, group_rows):
-            running, first, ends = state
+            running, first, slots = state
             for at, finish, _ in group_rows:
-                ends = [e for e in ends if e[0] > at]
-                if len(ends) < limit:
-                    ends.append((finish, True))
-            return running, first, ends
+                slots = [s for s in slots if s[1] > at]
+                if len(slots) < limit:
+                    slots.append((at, finish))
+            return running, first, slots
 
         def finish(state):
-            return sorted(state[0]), state[1], sorted(e for e, is_own in state[2] if is_own)
+            own = [s for s in state[2] if s[0] is not None]
+            return state[0], state[1], [s for s, _ in own], [e for _, e in own]
 
         return _per_group(
             batches, key, [start, end, "_running"], begin, each, finish, to_arrow_schema(folded)
@@ -411,17 +434,20 @@ def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
     def refold(part):
         return _sorted(part, key, [start, order]).mapInArrow(run_slices, folded)
 
-    next_states = table(
-        ("_running", longs), ("first", long), ("own", longs), ("changed", T.BooleanType())
-    )
+    next_states = table(*[(f.name, f.dataType) for f in folded.fields[2:]], ("changed", T.BooleanType()))
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
+        # What earlier slices leave running, as far as slots were free for it. Once
+        # those slices are right nothing is left out here, so a pass without a
+        # change proves every slice, from the first one on.
         part = part.sort_values("_slice")
         live, states = [], []
-        for before, first, own in zip(part["_running"], part["first"], part["own"]):
-            live = [e for e in live if e > first]
-            states.append(sorted(live))
-            live = live + [int(e) for e in own]
+        for first, starts, ends in zip(part["first"], part["starts"], part["ends"]):
+            states.append(sorted(e for e in live if e > first))
+            for at, finish in zip(starts, ends):
+                live = [e for e in live if e > at]
+                if len(live) < limit:
+                    live.append(int(finish))
         part["changed"] = [
             state != [int(e) for e in before] for state, before in zip(states, part["_running"])
         ]
@@ -440,5 +466,5 @@ def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
             F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")),
         ).drop("_k", "_s")
         states = refold(again).unionByName(
-            states.where("NOT changed").select(key, "_slice", "_running", "first", "own")
+            states.where("NOT changed").drop("changed")
         )

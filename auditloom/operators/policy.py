@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.net import cidr_bounds
-from auditloom.functions.sizing import policy_rows, small_side
+from auditloom.functions.net import block_size, cidr_bounds
+from auditloom.functions.sizing import policy_rows, small_side, small_table
 
 # Fixed values of the egress policy.
 SOURCE_SUBNET = "172.31.255.0/24"
@@ -29,7 +29,7 @@ def block_list(spark, raw=RAW_BLOCKS, forward=FORWARD_BLOCKS) -> DataFrame:
     """Blocks as rows (stage, seq, cidr, prefix_len, lo, hi)."""
     rows = [("raw", i, c) for i, c in enumerate(raw, 1)]
     rows += [("forward", i, c) for i, c in enumerate(forward, 1)]
-    return with_bounds(spark.createDataFrame(rows, "stage string, seq int, cidr string"))
+    return with_bounds(small_table(spark, rows, "stage string, seq int, cidr string"))
 
 
 def with_bounds(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
@@ -47,7 +47,7 @@ def cidr_match(df: DataFrame, ip_col: str, cidrs: DataFrame) -> DataFrame:
     if policy_rows(cidrs.select("cidr"), RANGE_JOIN_BLOCKS) is not None:
         return df.join(F.broadcast(cidrs), F.col(ip_col).between(F.col("lo"), F.col("hi")))
     lengths = [r[0] for r in cidrs.select("prefix_len").distinct().limit(33).collect()]
-    size = F.shiftleft(F.lit(1).cast("long"), F.lit(32) - F.col("_len"))
+    size = block_size(F.col("_len"))
     probes = df.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))).withColumn(
         "_net", F.col(ip_col) - F.col(ip_col) % size
     )
@@ -182,7 +182,7 @@ def toggle_asof(
     )
 
 
-def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame, flow_id: str) -> DataFrame:
+def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFrame:
     """Add table_name and via: the route of the first source rule that has one.
 
     `rules` has pref, src_lo, src_hi, table_name; `routes` has table_name,

@@ -254,13 +254,15 @@ def status_classify(df: DataFrame) -> DataFrame:
     one, means that check did not reject the row.
     """
 
+    present = df.columns
+
     def is_value(name: str, value: bool) -> Column:
-        if name not in df.columns:
+        if name not in present:
             return F.lit(False)
         return F.coalesce(F.col(name) == F.lit(value), F.lit(False))
 
     def retry(name: str) -> Column:
-        return F.col(name) if name in df.columns else F.lit(None).cast("int")
+        return F.col(name) if name in present else F.lit(None).cast("int")
 
     no_retry = F.lit(None).cast("int")
     checks = [
@@ -291,5 +293,5 @@ def status_classify(df: DataFrame) -> DataFrame:
             no_retry.alias("retry_after"),
         ),
     )
-    kept = [c for c in df.columns if c not in ("status", "error", "retry_after")]
+    kept = [c for c in present if c not in ("status", "error", "retry_after")]
     return df.select(*kept, verdict.alias("_verdict")).select(*kept, "_verdict.*")

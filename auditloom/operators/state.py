@@ -1,7 +1,7 @@
 """Keyed state over time that built-in windows and joins can express.
 
 Times are BIGINT microseconds. Every per-key window goes through time slices
-for keys above `hot_rows` (see `functions.skew`).
+for keys above `hot_rows`; `hot` takes a ready answer of `functions.skew.hot_keys`.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
 
 def concurrency_profile(
-    df: DataFrame, key: str, start: str, end: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    key: str,
+    start: str,
+    end: str,
+    hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Active intervals [start, end) per key after each change point: `(key, t_us, active)`.
 
@@ -49,6 +54,7 @@ def concurrency_profile(
         combine=lambda local, carry: local + F.coalesce(carry, F.lit(0).cast("long")),
         out="active",
         hot_rows=hot_rows,
+        hot=hot,
     ).drop("_delta")
 
 
@@ -68,6 +74,7 @@ def deadline_absence(
     is_confirm: Column,
     grace_us: int,
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Every arm row with `due_us`, `confirm_us` and `outcome` (confirmed, rollback).
 
@@ -90,6 +97,7 @@ def deadline_absence(
         out="confirm_us",
         reverse=True,
         hot_rows=hot_rows,
+        hot=hot,
     )
     due = F.col(ts) + F.lit(grace_us)
     in_time = F.coalesce(F.col("confirm_us") <= F.col("due_us"), F.lit(False))
@@ -140,6 +148,7 @@ def early_retry(
     allowed: str = "allowed",
     retry_after: str = "retry_after",
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Add `denied_us`, `wait_left_us` and `early`: sent before the key's previous
     denial had run out of its retry_after."""
@@ -159,6 +168,7 @@ def early_retry(
         combine=lambda local, carry: F.coalesce(local, carry),
         out="_denial",
         hot_rows=hot_rows,
+        hot=hot,
     )
     until = F.col("_denial.at") + F.col("_denial.wait") * F.lit(1_000_000).cast("long")
     left = F.greatest(until - F.col(ts), F.lit(0).cast("long"))
