@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from auditloom.functions.sizing import policy_rows
 
 
-def json_project(df: DataFrame, json_col: str, fields: dict[str, str], defaults: dict) -> DataFrame:
+def json_project(
+    df: DataFrame,
+    json_col: str,
+    fields: dict[str, str],
+    defaults: dict,
+    paths: dict[str, str] | None = None,
+) -> DataFrame:
     """Read `fields` (name to type) from a JSON column, one column each.
 
-    A field in `defaults` takes its default where it is missing, null or false,
+    `paths` names the place of a field that is not at the top. A field in `defaults` takes its default where it is missing, null or false,
     also when the whole text is not JSON.
     """
     parsed = df.withColumn("_v", F.try_parse_json(json_col))
     columns = {}
     for name, kind in fields.items():
-        value = F.try_variant_get("_v", f"$.{name}", kind)
+        path = (paths or {}).get(name, f"$.{name}")
+        value = F.try_variant_get("_v", path, kind)
         if name in defaults:
             is_false = F.coalesce(
-                (F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")) == "BOOLEAN")
-                & ~F.try_variant_get("_v", f"$.{name}", "boolean"),
+                (F.schema_of_variant(F.try_variant_get("_v", path, "variant")) == "BOOLEAN")
+                & ~F.try_variant_get("_v", path, "boolean"),
                 F.lit(False),
             )
             value = F.coalesce(F.when(~is_false, value), F.lit(defaults[name]).cast(kind))

@@ -133,19 +133,19 @@ QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY pref, prefix_len DESC)
 def ruleset_reconcile(spark, sf):
     part = table(spark, sf, "part")
     mark = F.when(F.col("p_size") % 5 == 0, F.lit("other")).otherwise(F.lit("mine")).alias("mark")
-    desired = part.where("p_partkey % 3 <> 0").select(
+    desired = part.where("p_size < 40").select(
         F.col("p_brand").alias("chain"), F.col("p_size").alias("port"), mark
     ).distinct()
-    actual = part.where("p_partkey % 4 <> 0").select(
+    actual = part.where("p_size > 8").select(
         F.col("p_brand").alias("chain"), (F.col("p_size") + 1).alias("port"), mark
     )
     return policy.ruleset_reconcile(desired, actual, ["chain", "port"], "mine")
 
 
 RULESET_RECONCILE = """WITH marked AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN 'other' ELSE 'mine' END AS mark FROM part),
-want AS (SELECT DISTINCT p_brand AS chain, p_size AS port FROM marked WHERE p_partkey % 3 <> 0 AND mark = 'mine'),
+want AS (SELECT DISTINCT p_brand AS chain, p_size AS port FROM marked WHERE p_size < 40 AND mark = 'mine'),
 have AS (SELECT p_brand AS chain, p_size + 1 AS port, count(*) AS copies FROM marked
- WHERE p_partkey % 4 <> 0 AND mark = 'mine' GROUP BY ALL)
+ WHERE p_size > 8 AND mark = 'mine' GROUP BY ALL)
 SELECT coalesce(w.chain, h.chain) AS chain, coalesce(w.port, h.port) AS port, coalesce(copies, 0) AS copies,
  CASE WHEN h.chain IS NULL THEN 'add' WHEN w.chain IS NULL THEN 'remove' WHEN copies > 1 THEN 'drop_duplicates'
   ELSE 'keep' END AS action
@@ -165,7 +165,7 @@ SELECT *, dropped / packets AS drop_share, dropped > 0 AND dropped = large AND p
 
 
 def scope_check(spark, sf):
-    domains = table(spark, sf, "pages").where("page_id % 2 = 0").select(
+    domains = table(spark, sf, "pages").where(F.col("url").startswith("http:")).select(
         F.regexp_extract("url", r"([a-z0-9-]+\.[a-z0-9-]+\.[a-z]+)(?:[/:?#]|$)", 1).alias("domain")
     ).distinct()
     return policy.scope_check(table(spark, sf, "pages").select("page_id", "url"), "url", domains).select(
@@ -174,7 +174,7 @@ def scope_check(spark, sf):
 
 
 SCOPE_CHECK = """WITH domains AS (
- SELECT DISTINCT regexp_extract(url, '([a-z0-9-]+\\.[a-z0-9-]+\\.[a-z]+)(?:[/:?#]|$)', 1) AS domain FROM pages WHERE page_id % 2 = 0),
+ SELECT DISTINCT regexp_extract(url, '([a-z0-9-]+\\.[a-z0-9-]+\\.[a-z]+)(?:[/:?#]|$)', 1) AS domain FROM pages WHERE starts_with(url, 'http:')),
 hosts AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host FROM pages)
 SELECT page_id, host, EXISTS (SELECT 1 FROM domains d WHERE host = d.domain OR ends_with(host, concat('.', d.domain))) AS in_scope
 FROM hosts"""
