@@ -4,6 +4,7 @@ from auditloom.plans import (
     content_queries,
     policy_queries,
     request_queries,
+    source_queries,
     state_queries,
     stream_queries,
     text_queries,
@@ -15,5 +16,6 @@ REGISTERED = {
     **policy_queries.QUERIES,
     **content_queries.QUERIES,
     **text_queries.QUERIES,
+    **source_queries.QUERIES,
     **stream_queries.QUERIES,
 }
