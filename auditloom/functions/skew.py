@@ -17,6 +17,7 @@ from auditloom.functions.sizing import small_table
 HOT_ROWS = 8_000_000
 MAX_HOT_KEYS = 10_000
 SLICES_PER_LIMIT = 8
+MAX_SLICES = 4_096
 
 
 def hot_keys(df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
@@ -38,7 +39,7 @@ def hot_keys(df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS) -> list
     )
     cuts = []
     for row in hot:
-        pieces = -(-row.n * SLICES_PER_LIMIT // hot_rows)
+        pieces = min(MAX_SLICES, -(-row.n * SLICES_PER_LIMIT // hot_rows))
         cuts.append((row._hot_key, row.lo, max(1, -(-(row.hi - row.lo + 1) // pieces))))
     return cuts
 

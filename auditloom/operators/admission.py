@@ -20,7 +20,6 @@ slices whose start state turns out different are folded again until none is.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import deque
 
 import pandas as pd
@@ -138,19 +137,29 @@ def _groups(batches, key: str, columns: list[str]):
             at = to
 
 
+FLUSH_ROWS = 10_000
+
+
+def _packed(rows, schema):
+    arrays = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def _per_group(batches, key, columns, begin, each, finish, schema):
-    """Fold every (key, slice) of sorted batches to one output row."""
+    """Fold every (key, slice) of sorted batches to the rows `finish` lists for it."""
     group, state, done = None, None, []
     for k, piece, rows in _groups(batches, key, columns):
         if group != (k, piece):
             if group is not None:
-                done.append((*group, *finish(state)))
+                done += [(*group, *row) for row in finish(state)]
+            if len(done) >= FLUSH_ROWS:
+                yield _packed(done, schema)
+                done = []
             group, state = (k, piece), begin(rows[0])
         state = each(state, rows)
     if group is not None:
-        done.append((*group, *finish(state)))
-    arrays = [pa.array([row[i] for row in done], field.type) for i, field in enumerate(schema)]
-    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        done += [(*group, *row) for row in finish(state)]
+    yield _packed(done, schema)
 
 
 def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
@@ -184,7 +193,12 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
                 hi = max(0, min(cap, hi + gain) - token)
             return [first, last, d, lo, hi]
 
-        return _per_group(batches, key, [ts], begin, each, lambda s: s, to_arrow_schema(summary))
+        def finish(state):
+            first, last, d, lo, hi = state
+            # Beyond the capacity a shift changes nothing more.
+            return [(first, last, max(-cap, min(cap, d)), lo, hi)]
+
+        return _per_group(batches, key, [ts], begin, each, finish, to_arrow_schema(summary))
 
     shifts = _sorted(hot, key, [ts, order]).mapInArrow(shift_through, summary)
 
@@ -206,10 +220,10 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
         shifts.groupBy(key).applyInPandas(chain_shifts, table(("_level", long), ("_last", long)))
     )
 
-    # Step 2: the real bucket's lead over the fractional one, for any lead at the start.
-    longs = T.ArrayType(long)
+    # Step 2: the real bucket's lead over the fractional one, for any lead at the
+    # start, one row per piece of the map.
     leads = table(
-        ("_level", long), ("_last", long), ("arcs", longs), ("values", longs), ("slopes", longs)
+        ("_level", long), ("_last", long), ("arc", long), ("value", long), ("slope", long)
     )
 
     def lead_through(batches):
@@ -224,7 +238,8 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
             return state
 
         def finish(state):
-            return state[0], state[1], *state[2].pieces()
+            level, last, lead_map = state
+            return [(level, last, *piece) for piece in lead_map.pieces()]
 
         return _per_group(
             batches, key, [ts, "_level", "_last"], begin, each, finish, to_arrow_schema(leads)
@@ -232,18 +247,34 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
 
     with_levels = join_slices(hot, small_side(levels), key)
     maps = _sorted(with_levels, key, [ts, order]).mapInArrow(lead_through, leads)
+    starts = table(("_units", long), ("_last", long))
 
-    def chain_leads(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_slice")
-        lead, units = 0, []
-        for row in part.itertuples(index=False):
-            units.append(row[2] + lead)
-            lead = apply_lead_map(row[4], row[5], row[6], lead, token)
-        out = part[[key, "_slice"]].copy()
-        out["_units"], out["_last"] = units, part["_last"]
-        return out
+    def chain_leads(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    return maps.groupBy(key).applyInPandas(chain_leads, table(("_units", long), ("_last", long)))
+        # A map can have a piece per row of one token interval, so the pieces are
+        # streamed and only the one that holds the lead is kept.
+        schema = to_arrow_schema(starts)
+        names = (key, "_slice", "_level", "_last", "arc", "value", "slope")
+        group, lead, held, final = None, 0, None, None
+        for batch in batches:
+            found = []
+            for k, piece, level, last, *arc in zip(*[batch.column(n).to_pylist() for n in names]):
+                if group != (k, piece):
+                    if group is None or group[0] != k:
+                        lead = 0
+                    else:
+                        # Leads before the first piece belong to the last one, around the circle.
+                        lead = image_of(lead, held if held[0] <= lead else final, token)
+                    group, held = (k, piece), None
+                    found.append((k, piece, level + lead, last))
+                if held is None or arc[0] <= lead:
+                    held = arc
+                final = arc
+            yield _packed(found, schema)
+
+    ordered = maps.repartition(key).sortWithinPartitions(key, "_slice", "arc")
+    return ordered.mapInArrow(chain_leads, starts)
 
 
 class _LeadMap:
@@ -320,15 +351,14 @@ class _LeadMap:
         self.line.append(piece)
 
     def pieces(self):
-        """Parallel lists by rising origin: origin, image of the origin, slope."""
-        found = sorted((start, low - self.turned, slope) for low, _, start, slope in self.line)
-        return [list(column) for column in zip(*found)]
+        """(origin, image of the origin, slope) by rising origin."""
+        return sorted((start, low - self.turned, slope) for low, _, start, slope in self.line)
 
 
-def apply_lead_map(arcs, values, slopes, lead: int, token: int) -> int:
-    """Image of one start lead."""
-    at = bisect_right(list(arcs), lead) - 1
-    return int((values[at] + slopes[at] * ((lead - arcs[at]) % token)) % token)
+def image_of(lead: int, piece: tuple, token: int) -> int:
+    """Image of a start lead that lies in `piece`."""
+    origin, value, slope = piece
+    return (value + slope * ((lead - origin) % token)) % token
 
 
 def concurrency_admit(
@@ -425,7 +455,7 @@ def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
 
         def finish(state):
             own = [s for s in state[2] if s[0] is not None]
-            return state[0], state[1], [s for s, _ in own], [e for _, e in own]
+            return [(state[0], state[1], [s for s, _ in own], [e for _, e in own])]
 
         return _per_group(
             batches, key, [start, end, "_running"], begin, each, finish, to_arrow_schema(folded)
