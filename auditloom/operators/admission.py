@@ -15,11 +15,13 @@ composes as well.
 
 Concurrency cap. The state at a slice start is the set of end times still
 running from earlier slices. All slices are folded from a guess (nothing is running);
-slices whose start state turns out different are folded again until none is.
+slices whose start state turns out different are folded again until none is. Every
+pass settles at least one more slice; with many admissions per slice a few passes do.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
 import pandas as pd
@@ -27,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from auditloom.functions.skew import HOT_ROWS, join_slices, with_slices
+from auditloom.functions.skew import HOT_ROWS, hot_keys, join_slices, with_slices
 from auditloom.functions.sizing import small_side
 from auditloom.session import settle
 
@@ -72,10 +75,13 @@ def rate_limit_label(
     `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     token, cap, refill = bucket_units(tokens_per_period, period_us, burst)
-    rows, any_hot = with_slices(df, key, ts, hot_rows, hot)
+    cuts = hot_keys(df, key, ts, hot_rows) if hot is None else hot
+    rows, any_hot = with_slices(df, key, ts, hot=cuts)
     rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
-        starts = settle(_bucket_starts(rows, key, ts, order, token, cap, refill))
+        meeting = df.where(_counts(when)).select(key, ts, order)
+        meeting = settle(_hot_rows(meeting, key, ts, order, cuts))
+        starts = settle(_bucket_starts(meeting, key, ts, order, token, cap, refill))
         rows = join_slices(rows, small_side(starts), key)
     else:
         rows = rows.withColumns({"_units": F.lit(None).cast("long"), "_last": F.lit(None).cast("long")})
@@ -119,22 +125,23 @@ def _counts(when: str | None):
     return F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
 
 
+def _hot_rows(df: DataFrame, key: str, ts: str, order: str, cuts: list[tuple]) -> DataFrame:
+    """The rows of the hot keys with their slice, sorted inside each."""
+    rows, _ = with_slices(df, key, ts, hot=cuts)
+    return _sorted(rows.where("_hot"), key, [ts, order])
+
+
 def _sorted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.repartition(key, "_slice").sortWithinPartitions(key, "_slice", *order)
 
 
-def _groups(batches, key: str, columns: list[str]):
-    """(key, slice, rows of a run of one group) from sorted batches, batch by batch."""
-    for batch in batches:
-        ks, ps = batch.column(key).to_pylist(), batch.column("_slice").to_pylist()
-        values = list(zip(*[batch.column(c).to_pylist() for c in columns]))
-        at = 0
-        while at < len(ks):
-            to = at + 1
-            while to < len(ks) and ks[to] == ks[at] and ps[to] == ps[at]:
-                to += 1
-            yield ks[at], ps[at], values[at:to]
-            at = to
+def _runs(batch, key: str):
+    """(key, slice, from, to) of the runs of one group in a sorted batch."""
+    ks, ps = batch.column(key).to_pylist(), batch.column("_slice").to_pylist()
+    cuts = [i for i in range(1, len(ks)) if ks[i] != ks[i - 1] or ps[i] != ps[i - 1]]
+    for at, to in zip([0, *cuts], [*cuts, len(ks)]):
+        if at < to:
+            yield ks[at], ps[at], at, to
 
 
 FLUSH_ROWS = 10_000
@@ -148,24 +155,26 @@ def _packed(rows, schema):
 def _per_group(batches, key, columns, begin, each, finish, schema):
     """Fold every (key, slice) of sorted batches to the rows `finish` lists for it."""
     group, state, done = None, None, []
-    for k, piece, rows in _groups(batches, key, columns):
-        if group != (k, piece):
-            if group is not None:
-                done += [(*group, *row) for row in finish(state)]
-            if len(done) >= FLUSH_ROWS:
-                yield _packed(done, schema)
-                done = []
-            group, state = (k, piece), begin(rows[0])
-        state = each(state, rows)
+    for batch in batches:
+        values = list(zip(*[batch.column(c).to_pylist() for c in columns]))
+        for k, piece, at, to in _runs(batch, key):
+            if group != (k, piece):
+                if group is not None:
+                    done += [(*group, *row) for row in finish(state)]
+                if len(done) >= FLUSH_ROWS:
+                    yield _packed(done, schema)
+                    done = []
+                group, state = (k, piece), begin(values[at])
+            state = each(state, values[at:to])
     if group is not None:
         done += [(*group, *row) for row in finish(state)]
     yield _packed(done, schema)
 
 
-def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
+def _bucket_starts(hot, key, ts, order, token, cap, refill) -> DataFrame:
     """`(key, _slice, _units, _last)`: bucket level and time before each hot slice."""
-    hot = rows.where("_hot AND _counts").select(key, "_slice", ts, order)
-    key_field = T.StructField(key, rows.schema[key].dataType)
+    hot = hot.select(key, "_slice", ts, order)
+    key_field = T.StructField(key, hot.schema[key].dataType)
     long = T.LongType()
 
     def table(*names_types):
@@ -178,8 +187,6 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
     summary = table(("first", long), ("last", long), ("d", long), ("lo", long), ("hi", long))
 
     def shift_through(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         def begin(row):
             return [row[0], row[0], 0, 0, cap]
 
@@ -227,8 +234,6 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
     )
 
     def lead_through(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         def begin(row):
             return row[1], row[2], _LeadMap(token, cap, refill, row[1], row[2])
 
@@ -250,8 +255,6 @@ def _bucket_starts(rows, key, ts, order, token, cap, refill) -> DataFrame:
     starts = table(("_units", long), ("_last", long))
 
     def chain_leads(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         # A map can have a piece per row of one token interval, so the pieces are
         # streamed and only the one that holds the lead is kept.
         schema = to_arrow_schema(starts)
@@ -381,10 +384,17 @@ def concurrency_admit(
     `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     limit = max(1, limit)
-    rows, any_hot = with_slices(df, key, start, hot_rows, hot)
+    cuts = hot_keys(df, key, start, hot_rows) if hot is None else hot
+    if cuts:
+        asking = df.where(_counts(when)).select(key, start, end, order)
+        asking = settle(_hot_rows(asking, key, start, order, cuts))
+        cuts = _widened(asking, key, start, end, cuts)
+        sliced, _ = with_slices(asking.drop("_slice", "_hot"), key, start, hot=cuts)
+        states = _slot_starts(sliced, key, start, end, order, limit)
+    rows, any_hot = with_slices(df, key, start, hot=cuts)
     rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
-        rows = join_slices(rows, small_side(_slot_starts(rows, key, start, end, order, limit)), key)
+        rows = join_slices(rows, small_side(states), key)
     else:
         rows = rows.withColumn("_running", F.lit(None).cast("array<long>"))
     out = T.StructType(
@@ -397,24 +407,18 @@ def concurrency_admit(
     kept = df.columns
 
     def fold(batches):
-        group, ends = None, []
+        group, running = None, []
         for batch in batches:
-            needed = (key, "_slice", start, end, "_running", "_counts")
-            columns = [batch.column(c).to_pylist() for c in needed]
-            admitted, retry = [], []
-            for k, piece, begin, finish, before, counts in zip(*columns):
+            needed = (start, end, "_running", "_counts")
+            begins, ends, before, counts = [batch.column(c).to_pylist() for c in needed]
+            admitted = [False if c else None for c in counts]
+            for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
-                    group, ends = (k, piece), list(before or [])
-                if not counts:
-                    admitted.append(None)
-                    retry.append(None)
-                    continue
-                ends = [e for e in ends if e > begin]
-                ok = len(ends) < limit
-                if ok:
-                    ends.append(finish)
-                admitted.append(ok)
-                retry.append(0 if ok else retry_after)
+                    group, running = (k, piece), list(before[at] or [])
+                asking = [i for i in range(at, to) if counts[i]]
+                for i in take_slots([begins[i] for i in asking], [ends[i] for i in asking], running, limit):
+                    admitted[asking[i]] = True
+            retry = [None if ok is None else 0 if ok else retry_after for ok in admitted]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
                 + [pa.array(admitted, pa.bool_()), pa.array(retry, pa.int32())],
@@ -424,38 +428,75 @@ def concurrency_admit(
     return _sorted(rows.drop("_hot"), key, [start, order]).mapInArrow(fold, out)
 
 
-def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
-    """`(key, _slice, _running)`: end times running into each hot slice."""
-    hot = rows.where("_hot AND _counts").select(key, "_slice", start, end, order)
-    key_field = T.StructField(key, rows.schema[key].dataType)
-    long, longs = T.LongType(), T.ArrayType(T.LongType())
+def take_slots(begins: list, ends: list, running: list, limit: int) -> list[int]:
+    """Positions of the admitted rows; `running`, the end times in use, is brought up to date."""
+    taken, i = [], 0
+    while i < len(begins):
+        running[:] = [e for e in running if e > begins[i]]
+        if len(running) < limit:
+            taken.append(i)
+            running.append(ends[i])
+            i += 1
+        else:
+            # Every row before the first slot is free is rejected.
+            i = bisect_left(begins, min(running), i + 1)
+    return taken
 
-    def table(*names_types):
-        return T.StructType(
-            [key_field, T.StructField("_slice", long)]
-            + [T.StructField(n, t) for n, t in names_types]
+
+HOLDS_PER_SLICE = 64
+SLICES_AT_LEAST = 256
+
+
+def _widened(asking, key, start, end, cuts) -> list[tuple]:
+    """Slices long enough for many admissions, so that few start states are guessed wrong.
+
+    A slice covers at least HOLDS_PER_SLICE mean intervals of its key, unless that
+    would leave fewer than SLICES_AT_LEAST slices.
+    """
+    held = (
+        asking.groupBy(key)
+        .agg(
+            F.avg(F.greatest(F.col(end) - F.col(start), F.lit(0).cast("long"))).alias("held"),
+            (F.max(start) - F.min(start)).alias("span"),
         )
+        .collect()
+    )
+    least = {
+        row[key]: min(int(row.held * HOLDS_PER_SLICE), row.span // SLICES_AT_LEAST) for row in held
+    }
+    return [(k, lo, max(width, least.get(k, 0))) for k, lo, width in cuts]
 
-    folded = table(("_running", longs), ("first", long), ("starts", longs), ("ends", longs))
 
-    def run_slices(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
+def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
+    """`(key, _slice, _running)`: end times running into each hot slice."""
+    hot = hot.select(key, "_slice", start, end, order)
+    key_field = T.StructField(key, hot.schema[key].dataType)
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    state_fields = [
+        T.StructField("_running", longs),
+        T.StructField("first", long),
+        T.StructField("last", long),
+        T.StructField("starts", longs),
+        T.StructField("ends", longs),
+    ]
+    folded = T.StructType([key_field, T.StructField("_slice", long), *state_fields])
+    chained = T.StructType([*folded.fields, T.StructField("changed", T.BooleanType())])
 
+    def run_slices(batches):
         def begin(row):
-            running = list(row[2] or [])
-            return running, row[0], [(None, e) for e in running]
+            before = list(row[2] or [])
+            return before, row[0], row[0], list(before), []
 
         def each(state, group_rows):
-            running, first, slots = state
-            for at, finish, _ in group_rows:
-                slots = [s for s in slots if s[1] > at]
-                if len(slots) < limit:
-                    slots.append((at, finish))
-            return running, first, slots
+            before, first, _, running, own = state
+            begins, ends = [r[0] for r in group_rows], [r[1] for r in group_rows]
+            own += [(begins[i], ends[i]) for i in take_slots(begins, ends, running, limit)]
+            own = [o for o in own if o[1] > begins[-1]]
+            return before, first, begins[-1], running, own
 
         def finish(state):
-            own = [s for s in state[2] if s[0] is not None]
-            return [(state[0], state[1], [s for s, _ in own], [e for _, e in own])]
+            before, first, last, _, own = state
+            return [(before, first, last, [s for s, _ in own], [e for _, e in own])]
 
         return _per_group(
             batches, key, [start, end, "_running"], begin, each, finish, to_arrow_schema(folded)
@@ -464,37 +505,43 @@ def _slot_starts(rows, key, start, end, order, limit) -> DataFrame:
     def refold(part):
         return _sorted(part, key, [start, order]).mapInArrow(run_slices, folded)
 
-    next_states = table(*[(f.name, f.dataType) for f in folded.fields[2:]], ("changed", T.BooleanType()))
-
     def chain(part: pd.DataFrame) -> pd.DataFrame:
         # What earlier slices leave running, as far as slots were free for it. Once
         # those slices are right nothing is left out here, so a pass without a
         # change proves every slice, from the first one on.
         part = part.sort_values("_slice")
-        live, states = [], []
-        for first, starts, ends in zip(part["first"], part["starts"], part["ends"]):
-            states.append(sorted(e for e in live if e > first))
-            for at, finish in zip(starts, ends):
+        live, states, changed, all_starts, all_ends = [], [], [], [], []
+        columns = [part[c] for c in ("_running", "first", "last", "starts", "ends")]
+        for before, first, last, starts, ends in zip(*columns):
+            state = sorted(e for e in live if e > first)
+            differs = state != [int(e) for e in before]
+            if differs and len(state) >= limit and state[0] > last:
+                # Full from its first row to its last: nothing is admitted, no need to look.
+                differs, starts, ends = False, [], []
+            states.append(state)
+            changed.append(differs)
+            all_starts.append([int(s) for s in starts])
+            all_ends.append([int(e) for e in ends])
+            for at, finish in zip(all_starts[-1], all_ends[-1]):
                 live = [e for e in live if e > at]
                 if len(live) < limit:
-                    live.append(int(finish))
-        part["changed"] = [
-            state != [int(e) for e in before] for state, before in zip(states, part["_running"])
-        ]
-        part["_running"] = states
+                    live.append(finish)
+        part["_running"], part["starts"], part["ends"] = states, all_starts, all_ends
+        part["changed"] = changed
         return part
 
-    nothing = hot.withColumn("_running", F.lit(None).cast("array<long>"))
-    states = refold(nothing)
+    states = refold(hot.withColumn("_running", F.lit(None).cast("array<long>")))
     while True:
-        states = settle(states.groupBy(key).applyInPandas(chain, next_states))
-        changed = states.where("changed").select(key, "_slice", "_running")
-        if changed.isEmpty():
+        states = settle(states.groupBy(key).applyInPandas(chain, chained))
+        changed = states.where("changed")
+        count, first, last = changed.agg(F.count("*"), F.min("first"), F.max("last")).first()
+        if count == 0:
             return states.select(key, "_slice", "_running")
-        again = hot.join(
-            small_side(changed.withColumnsRenamed({key: "_k", "_slice": "_s"})),
+        # The rows lie sorted in their files, so the time range skips what has settled.
+        again = hot.where(F.col(start).between(first, last)).join(
+            small_side(
+                changed.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_running")
+            ),
             F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")),
         ).drop("_k", "_s")
-        states = refold(again).unionByName(
-            states.where("NOT changed").drop("changed")
-        )
+        states = refold(again).unionByName(states.where("NOT changed").drop("changed"))
