@@ -27,7 +27,10 @@ def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """Files as rows: path, length, body BINARY. Names are filtered before any body is read."""
+    """Files as rows: path, length, body BINARY. Names are filtered before any body is read.
+
+    Spark's file readers pass over files of zero bytes, so those have no row.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -42,10 +45,11 @@ def read_templates(spark: SparkSession, path: str, glob: str = "*.yaml") -> Data
     text = F.col("value")
     tag_line = F.regexp_extract(text, r"(?m)^\s*tags:[ \t]*(.*)$", 1)
     return (
-        spark.read.option("wholetext", "true")
+        spark.read.format("text")
+        .option("wholetext", "true")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
-        .text(path)
+        .load(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.nullif(
