@@ -33,6 +33,4 @@ def small_side(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     The count stops at `max_rows + 1`. A larger side is returned without a hint
     and the join shuffles both sides.
     """
-    if policy_rows(side.select(F.lit(1))) is not None:
-        return F.broadcast(side)
     return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side

@@ -120,23 +120,27 @@ def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> Dat
     listed = rules.select("rule", "literal", "needed").distinct()
     short = policy_rows(listed, RULE_LITERALS_IN_PLAN)
     if short is not None:
+        literals = sorted({r["literal"] for r in short})
+        counted = df.select(
+            row_id, *[_occurrences(F.col(col), lit).alias(f"_n{i}") for i, lit in enumerate(literals)]
+        )
         by_rule: dict = {}
         for r in short:
-            by_rule.setdefault((r["rule"], r["needed"]), []).append(r["literal"])
-        verdicts = []
-        for (rule, needed), literals in sorted(by_rule.items()):
-            counts = [_occurrences(F.col(col), lit) for lit in sorted(literals)]
-            per_literal = F.array(*counts)
-            verdicts.append(
-                F.struct(
-                    F.lit(rule).alias("rule"),
-                    F.lit(needed).cast("int").alias("needed"),
-                    F.size(F.filter(per_literal, lambda c: c > 0)).alias("matched"),
-                    F.aggregate(per_literal, F.lit(0), lambda a, c: a + c).alias("hits"),
-                )
+            by_rule.setdefault((r["rule"], r["needed"]), []).append(f"_n{literals.index(r['literal'])}")
+        verdicts = [
+            F.struct(
+                F.lit(rule).alias("rule"),
+                F.lit(needed).cast("int").alias("needed"),
+                sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in names), F.lit(0)).alias("matched"),
+                sum((F.col(n) for n in names), F.lit(0)).alias("hits"),
             )
-        held = F.filter(F.array(*verdicts), lambda v: v["matched"] >= v["needed"])
-        return df.select(row_id, F.inline(held)).select(row_id, "rule", "matched", "hits")
+            for (rule, needed), names in sorted(by_rule.items())
+        ]
+        return (
+            counted.select(row_id, F.inline(F.array(*verdicts)))
+            .where(F.col("matched") >= F.col("needed"))
+            .select(row_id, "rule", "matched", "hits")
+        )
     literal_hits = _automaton_hits(df, row_id, col, listed)
     needs = listed.withColumnRenamed("literal", "_literal")
     return (
@@ -149,9 +153,11 @@ def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> Dat
 
 
 def _occurrences(text: Column, literal: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
+    """Non-overlapping occurrences of a literal; a text without it costs one search."""
     removed = F.char_length(text) - F.char_length(F.replace(text, F.lit(literal), F.lit("")))
-    return F.coalesce((removed / F.lit(len(literal))).cast("int"), F.lit(0))
+    return F.when(
+        F.contains(text, F.lit(literal)), (removed / F.lit(len(literal))).cast("int")
+    ).otherwise(0)
 
 
 MAX_LITERALS = 2_000_000

@@ -18,6 +18,8 @@ TIMEOUT_KILL = r"^timeout after ([0-9]+)s; killing container (\S+)$"
 PARTIAL_CLEANUP = r"^workdir (.+) not fully removed; using root-container cleanup$"
 LEAK = r"^workdir LEAK: could not remove (.+)$"
 
+FOUND = "\x01"
+
 # The carriers of a bearer token, as name and pattern.
 SECRET_PATTERNS = (
     ("bearer_header", r"Authorization: Bearer [A-Za-z0-9._~+/=-]+"),
@@ -49,36 +51,40 @@ def exec_log_parse(df: DataFrame, line: str = "line") -> DataFrame:
         }
     )
     message = F.col("_message")
-    kinds = stamped.withColumn(
+    # Each format is matched once: its groups are set apart by a mark and split.
+    formats = {"exec": (EXEC, 7), "timeout_kill": (TIMEOUT_KILL, 2), "partial_cleanup": (PARTIAL_CLEANUP, 1), "leak": (LEAK, 1)}
+    starts = {"exec": "exec ", "timeout_kill": "timeout ", "partial_cleanup": "workdir ", "leak": "workdir LEAK"}
+
+    def groups(kind: str) -> Column:
+        regex, count = formats[kind]
+        marked = F.regexp_replace(
+            message, regex, FOUND + FOUND.join(f"${g}" for g in range(1, count + 1))
+        )
+        return F.when(message.startswith(starts[kind]), F.split(marked, FOUND, count + 1))
+
+    matched = stamped.withColumns({f"_{kind}": groups(kind) for kind in formats})
+    kinds = matched.withColumn(
         "kind",
-        F.when(message.rlike(EXEC), F.lit("exec"))
-        .when(message.rlike(TIMEOUT_KILL), F.lit("timeout_kill"))
-        .when(message.rlike(PARTIAL_CLEANUP), F.lit("partial_cleanup"))
-        .when(message.rlike(LEAK), F.lit("leak"))
-        .otherwise(F.lit("other")),
+        F.coalesce(
+            *[F.when(F.size(f"_{kind}") == count + 1, F.lit(kind)) for kind, (_, count) in formats.items()],
+            F.lit("other"),
+        ),
     )
 
-    def part(group: int) -> Column:
-        return F.when(F.col("kind") == "exec", F.regexp_extract(message, EXEC, group))
-
-    return kinds.withColumns(
-        {
-            "image": part(1),
-            "network": part(2),
-            "raw": part(3) == "True",
-            "granted": part(4) == "True",
-            "timeout": F.when(F.col("kind") == "exec", part(5))
-            .when(F.col("kind") == "timeout_kill", F.regexp_extract(message, TIMEOUT_KILL, 1))
-            .try_cast("int"),
-            "n_files": part(6).try_cast("int"),
-            "cmd": _unquote(part(7)),
-            "target": F.when(
-                F.col("kind") == "timeout_kill", F.regexp_extract(message, TIMEOUT_KILL, 2)
-            )
-            .when(F.col("kind") == "partial_cleanup", F.regexp_extract(message, PARTIAL_CLEANUP, 1))
-            .when(F.col("kind") == "leak", F.regexp_extract(message, LEAK, 1)),
-        }
-    ).drop("_message")
+    def part(kind: str, group: int) -> Column:
+        return F.when(F.col("kind") == kind, F.get(f"_{kind}", F.lit(group)))
+
+    added = {
+        "image": part("exec", 1),
+        "network": part("exec", 2),
+        "raw": part("exec", 3) == "True",
+        "granted": part("exec", 4) == "True",
+        "timeout": F.coalesce(part("exec", 5), part("timeout_kill", 1)).try_cast("int"),
+        "n_files": part("exec", 6).try_cast("int"),
+        "cmd": _unquote(part("exec", 7)),
+        "target": F.coalesce(part("timeout_kill", 2), part("partial_cleanup", 1), part("leak", 1)),
+    }
+    return kinds.withColumns(added).drop("_message", *[f"_{kind}" for kind in formats])
 
 
 def secret_scan(df: DataFrame, col: str, patterns=SECRET_PATTERNS) -> DataFrame:

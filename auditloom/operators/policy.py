@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.net import block_size, cidr_bounds
 from auditloom.functions.sizing import policy_rows, small_side, small_table
+from auditloom.session import settle
 
 # Fixed values of the egress policy.
 SOURCE_SUBNET = "172.31.255.0/24"
@@ -153,6 +154,8 @@ def toggle_asof(
         .withColumn("_to", F.coalesce("_next", "_next_first"))
         .select("_scope", "_from", "_to", "_on")
     )
+    # Written once: both sizes below and the join itself read it.
+    periods = settle(periods)
     closed = periods.where(F.col("_to").isNotNull()).withColumn(
         "_bucket",
         F.explode(F.expr(f"sequence(_from div {bucket_us}, (_to - 1) div {bucket_us})")),

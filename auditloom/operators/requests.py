@@ -29,43 +29,53 @@ def request_parse(df: DataFrame, json_col: str, images: tuple[str, ...] = IMAGES
     as text or with a zero fraction, flags as the usual yes/no words. An image
     of any type that is not a known name becomes the default.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(json_col)).withColumn(
-        "_object", F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()
+    fields = ("command", "network", "timeout", "raw", "image", "files")
+    # One step per layer, so that a field is taken out of the body only once.
+    parsed = df.withColumn("_v", F.try_parse_json(json_col)).withColumns(
+        {
+            "is_corrupt": F.col("_v").isNull(),
+            "_object": F.col("_v").isNotNull() & F.col(json_col).rlike(r"^[ \t\n\r]*\{"),
+            **{f"_{f}": F.try_variant_get("_v", f"$.{f}", "variant") for f in fields},
+        }
     )
-
-    def field(name: str) -> Column:
-        return F.try_variant_get("_v", f"$.{name}", "variant")
+    kinds = parsed.withColumns({f"_{f}_kind": F.schema_of_variant(f"_{f}") for f in fields[:-1]})
 
     def kind(name: str) -> Column:
-        return F.schema_of_variant(field(name))
-
-    def text(name: str) -> Column:
-        return F.try_variant_get("_v", f"$.{name}", "string")
+        return F.col(f"_{name}_kind")
 
-    def present(name: str) -> Column:
-        return field(name).isNotNull()
+    def read(name: str, as_type: str) -> Column:
+        return F.try_variant_get(f"_{name}", "$", as_type)
 
-    def is_text(name: str) -> Column:
-        return kind(name) == "STRING"
+    def text(name: str) -> Column:
+        return F.when(kind(name) == "STRING", read(name, "string"))
 
     number = kind("timeout").isin("BIGINT", "DOUBLE", "BOOLEAN") | kind("timeout").startswith(
         "DECIMAL"
     )
-    as_double = F.try_variant_get("_v", "$.timeout", "double")
-    whole_text = F.regexp_extract(text("timeout"), r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*\z", 1)
+    as_double = read("timeout", "double")
+    digits = F.regexp_extract(text("timeout"), r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*\z", 1)
     timeout = F.when(
-        number & (as_double == F.floor(as_double)),
-        F.try_variant_get("_v", "$.timeout", "int"),
-    ).when(is_text("timeout"), whole_text.try_cast("int"))
-
-    word = F.lower(text("raw"))
+        number, F.when(as_double == F.floor(as_double), read("timeout", "int"))
+    ).when(digits != "", digits.try_cast("int"))
+    word = F.lower(read("raw", "string"))
     raw = (
-        F.when(~present("raw"), F.lit(False))
-        .when(kind("raw") == "BOOLEAN", F.try_variant_get("_v", "$.raw", "boolean"))
+        F.when(F.col("_raw").isNull(), F.lit(False))
+        .when(kind("raw") == "BOOLEAN", read("raw", "boolean"))
         .when(word.isin(*TRUE_WORDS), F.lit(True))
         .when(word.isin(*FALSE_WORDS), F.lit(False))
     )
-    entries = F.try_variant_get("_v", "$.files", "array<variant>")
+    typed = kinds.withColumns(
+        {
+            "command": text("command"),
+            "network": F.when(F.col("_network").isNull(), F.lit("none")).otherwise(text("network")),
+            "timeout": timeout,
+            "raw": raw,
+            "image": F.when(text("image").isin(*images), text("image")).otherwise(
+                F.lit(DEFAULT_IMAGE)
+            ),
+            "_entries": read("files", "array<variant>"),
+        }
+    )
 
     def entry_text(entry: Column, name: str) -> Column:
         part = F.try_variant_get(entry, f"$.{name}", "variant")
@@ -75,50 +85,45 @@ def request_parse(df: DataFrame, json_col: str, images: tuple[str, ...] = IMAGES
         )
 
     files = F.transform(
-        entries,
+        "_entries",
         lambda e: F.struct(entry_text(e, "name").alias("name"), entry_text(e, "b64").alias("b64")),
     )
-    typed = parsed.withColumns(
+    errors = named_when(
         {
-            "is_corrupt": F.col("_v").isNull(),
-            "command": F.when(is_text("command"), text("command")),
-            "network": F.when(~present("network"), F.lit("none")).when(
-                is_text("network"), text("network")
-            ),
-            "timeout": timeout,
-            "raw": raw,
-            "image": F.when(
-                is_text("image") & text("image").isin(*images), text("image")
-            ).otherwise(F.lit(DEFAULT_IMAGE)),
-            "files": files,
+            "body_type": ~F.col("is_corrupt") & ~F.col("_object"),
+            "command_type": kind("command") != "STRING",
+            "timeout_type": (kind("timeout") != "VOID") & F.col("timeout").isNull(),
+            "raw_type": F.col("_raw").isNotNull() & F.col("raw").isNull(),
+            "files_type": F.col("_files").isNotNull()
+            & ~F.is_variant_null("_files")
+            & F.col("_entries").isNull(),
         }
     )
+    added = ["is_corrupt", "command", "network", "timeout", "raw", "image"]
+    return typed.select(
+        *[c for c in df.columns if c not in (*added, "files", "type_errors")],
+        *added,
+        files.alias("files"),
+        errors.alias("type_errors"),
+    )
 
-    def absent_or_null(name: str) -> Column:
-        return ~present(name) | (kind(name) == "VOID")
 
-    errors = F.array_compact(
-        F.array(
-            F.when(~F.col("_object"), F.lit("body_type")),
-            F.when(F.col("_object") & present("command") & ~is_text("command"), F.lit("command_type")),
-            F.when(~absent_or_null("timeout") & F.col("timeout").isNull(), F.lit("timeout_type")),
-            F.when(present("raw") & F.col("raw").isNull(), F.lit("raw_type")),
-            F.when(~absent_or_null("files") & entries.isNull(), F.lit("files_type")),
-        )
+def named_when(rules: dict[str, Column]) -> Column:
+    """Names of the rules that hold, in order; a null rule does not hold."""
+    none = F.array().cast("array<string>")
+    return F.concat(
+        *[F.when(hit, F.array(F.lit(name))).otherwise(none) for name, hit in rules.items()]
     )
-    return typed.withColumn(
-        "type_errors", F.when(F.col("is_corrupt"), F.array().cast("array<string>")).otherwise(errors)
-    ).drop("_v", "_object")
 
 
 def request_validate(df: DataFrame) -> DataFrame:
     """Add `violations`, the names of broken rules, and `valid`."""
     command, network, timeout = F.col("command"), F.col("network"), F.col("timeout")
-    rules = [
-        F.when(F.coalesce(F.length(command), F.lit(0)) < 1, F.lit("command_empty")),
-        F.when(~F.coalesce(network.isin(*NETWORKS), F.lit(False)), F.lit("network_unknown")),
-        F.when(~timeout.between(TIMEOUT_MIN, TIMEOUT_MAX), F.lit("timeout_range")),
-    ]
+    rules = {
+        "command_empty": F.coalesce(F.length(command), F.lit(0)) < 1,
+        "network_unknown": ~F.coalesce(network.isin(*NETWORKS), F.lit(False)),
+        "timeout_range": ~timeout.between(TIMEOUT_MIN, TIMEOUT_MAX),
+    }
     if "files" in df.columns:
 
         def unsafe(name: Column) -> Column:
@@ -129,12 +134,10 @@ def request_validate(df: DataFrame) -> DataFrame:
         def badly_sized(name: Column) -> Column:
             return ~F.coalesce(F.length(name).between(1, NAME_MAX), F.lit(False))
 
-        rules += [
-            F.when(F.exists("files", lambda f: unsafe(f["name"])), F.lit("file_name")),
-            F.when(F.exists("files", lambda f: badly_sized(f["name"])), F.lit("file_name_length")),
-            F.when(F.exists("files", lambda f: f["b64"].isNull()), F.lit("file_body")),
-        ]
-    found = F.array_compact(F.array(*rules))
+        rules["file_name"] = F.exists("files", lambda f: unsafe(f["name"]))
+        rules["file_name_length"] = F.exists("files", lambda f: badly_sized(f["name"]))
+        rules["file_body"] = F.exists("files", lambda f: f["b64"].isNull())
+    found = named_when(rules)
     if "type_errors" in df.columns:
         found = F.concat(F.col("type_errors"), found)
     return df.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
@@ -149,7 +152,7 @@ def profile_resolve(df: DataFrame, profiles: DataFrame, host_cpus: int) -> DataF
     if short is not None:
         known = F.col("image").isin(*[row["name"] for row in short])
         image = F.when(known, F.col("image")).otherwise(F.lit(DEFAULT_IMAGE))
-        marked = df.withColumn("image_eff", image)
+        marked, side = df.withColumn("image_eff", image), F.broadcast(profiles)
     else:
         names = profiles.select(F.col("name").alias("_known"))
         marked = (
@@ -157,7 +160,8 @@ def profile_resolve(df: DataFrame, profiles: DataFrame, host_cpus: int) -> DataF
             .withColumn("image_eff", F.coalesce("_known", F.lit(DEFAULT_IMAGE)))
             .drop("_known")
         )
-    joined = marked.join(small_side(profiles), F.col("image_eff") == F.col("name"), "left").drop("name")
+        side = small_side(profiles)
+    joined = marked.join(side, F.col("image_eff") == F.col("name"), "left").drop("name")
     asked = F.coalesce(F.col("timeout"), F.col("timeout_default"))
     too_many = F.col("cpus").try_cast("decimal(18,3)") > F.lit(host_cpus)
     return joined.withColumns(

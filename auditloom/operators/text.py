@@ -113,9 +113,15 @@ def strip_space(text: Column) -> Column:
 
 
 # KEY=value, KEY=rcN tM and KEY_rc=N tM lines of a probe run.
-PROBE_LINE = r"^([A-Za-z][A-Za-z0-9]*)(_rc)?=(.*)$"
-PROBE_RC = r"^rc([0-9]+)"
-PROBE_SECONDS = r"(?:^|\s)t([0-9]+)$"
+PROBE_KEY = r"^[A-Za-z][A-Za-z0-9]*(_rc)?\z"
+PROBE_RC = r"^(?:rc)([0-9]+)"
+PROBE_BARE_RC = r"^([0-9]+)"
+PROBE_SECONDS = r"(?:^|\s)t([0-9]+)\z"
+
+
+def _number(digits: Column) -> Column:
+    # Most values hold no number, and a failed cast is slow.
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def probe_parse(df: DataFrame, col: str) -> DataFrame:
@@ -124,20 +130,26 @@ def probe_parse(df: DataFrame, col: str) -> DataFrame:
     `rc` and `t` are null where the line carries none. Other lines are skipped.
     """
     others = [c for c in df.columns if c != col]
-    lines = df.select(*others, F.explode(_lines(F.col(col))).alias("_line")).where(
-        F.col("_line").rlike(PROBE_LINE)
+    lines = df.select(*others, F.explode(_lines(F.col(col))).alias("_line"))
+    at = F.instr("_line", "=")
+    parts = lines.where(at > 1).select(
+        *others,
+        F.substring_index("_line", "=", 1).alias("_label"),
+        F.expr("substring(_line, instr(_line, '=') + 1)").alias("value"),
     )
-    value = F.regexp_extract("_line", PROBE_LINE, 3)
-    bare = F.regexp_extract("_line", PROBE_LINE, 2) == "_rc"
-    rc_text = F.when(bare, F.regexp_extract(value, r"^([0-9]+)", 1)).otherwise(
-        F.regexp_extract(value, PROBE_RC, 1)
+    bare = F.col("_label").endswith("_rc")
+    rc = F.when(bare, F.regexp_extract("value", PROBE_BARE_RC, 1)).when(
+        F.col("value").startswith("rc"), F.regexp_extract("value", PROBE_RC, 1)
     )
-    return lines.select(
+    seconds = F.when(F.contains("value", F.lit("t")), F.regexp_extract("value", PROBE_SECONDS, 1))
+    return parts.where(F.col("_label").rlike(PROBE_KEY)).select(
         *others,
-        F.regexp_extract("_line", PROBE_LINE, 1).alias("key"),
-        value.alias("value"),
-        rc_text.try_cast("int").alias("rc"),
-        F.regexp_extract(value, PROBE_SECONDS, 1).try_cast("int").alias("t"),
+        F.when(bare, F.expr("substring(_label, 1, length(_label) - 3)"))
+        .otherwise(F.col("_label"))
+        .alias("key"),
+        "value",
+        _number(rc).alias("rc"),
+        _number(seconds).alias("t"),
     )
 
 
