@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import pandas as pd
@@ -160,14 +161,27 @@ def _occurrences(text: Column, literal: str) -> Column:
     ).otherwise(0)
 
 
-MAX_LITERALS = 2_000_000
+LITERALS_PER_AUTOMATON = 1_000_000
 
 
 def _automaton_hits(df: DataFrame, row_id: str, col: str, listed: DataFrame) -> DataFrame:
-    """Occurrences of each literal per item, non-overlapping: `(id, _literal, _n)`."""
-    literals = listed.select("literal").distinct().limit(MAX_LITERALS + 1).toPandas()["literal"].tolist()
-    if len(literals) > MAX_LITERALS:
-        raise ValueError("rule set too large for one automaton; split it by rule")
+    """Occurrences of each literal per item, non-overlapping: `(id, _literal, _n)`.
+
+    A rule set beyond one automaton is split by hash, with one pass per part.
+    """
+    literals = listed.select("literal").distinct()
+    parts = -(-literals.count() // LITERALS_PER_AUTOMATON)
+    part = F.pmod(F.xxhash64("literal"), F.lit(parts))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _search(df, row_id, col, [r["literal"] for r in literals.where(part == n).toLocalIterator()])
+            for n in range(parts)
+        ],
+    )
+
+
+def _search(df: DataFrame, row_id: str, col: str, literals: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(literals)
     hit_type = T.ArrayType(
         T.StructType([T.StructField("_literal", T.StringType()), T.StructField("_n", T.IntegerType())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,7 @@ def probe_parse(df: DataFrame, col: str) -> DataFrame:
 
 
 MAX_EXPECTATIONS = 10_000
+CHECKS_PER_PASS = 256
 
 
 def expectation_suite(
@@ -169,7 +172,8 @@ def expectation_suite(
     observation of the key does) and ne_key (non-empty and different from the value
     of the key named in `expected`). A key that was never observed fails; `runs`
     adds runs without any observation. All checks are aggregates of one
-    grouping, combined before its shuffle, however many rows a run has.
+    grouping per CHECKS_PER_PASS of them, combined before its shuffle, however many
+    rows a run has.
     """
     checks = policy_rows(
         expectations.select("name", "key", "operator", "expected").orderBy("name"), MAX_EXPECTATIONS
@@ -201,8 +205,8 @@ def expectation_suite(
             return (mine != "") & (mine != other)
         return F.bool_or(tests[check["operator"]])
 
-    aggregates = [
-        F.struct(
+    def verdict(check) -> Column:
+        return F.struct(
             F.lit(check["name"]).alias("name"),
             F.lit(check["key"]).alias("key"),
             F.max(of(check["key"])).alias("value"),
@@ -210,11 +214,14 @@ def expectation_suite(
             .otherwise(F.lit("FAIL"))
             .alias("result"),
         )
-        for check in checks
+
+    passes = [
+        rows.groupBy(*keys)
+        .agg(F.array(*[verdict(c) for c in checks[at : at + CHECKS_PER_PASS]]).alias("_checks"))
+        .select(*keys, F.inline("_checks"))
+        for at in range(0, len(checks), CHECKS_PER_PASS)
     ]
-    return rows.groupBy(*keys).agg(F.array(*aggregates).alias("_checks")).select(
-        *keys, F.inline("_checks")
-    )
+    return reduce(DataFrame.unionByName, passes)
 
 
 def gate(results: DataFrame, by: str | None = None) -> DataFrame:

@@ -37,18 +37,30 @@ def request_lifecycle(
     period_us: int = 60_000_000,
     burst: int = 10,
     limit: int = 3,
+    ip_key: str | None = None,
+    ip_tokens_per_period: int = 0,
+    ip_burst: int = 20,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Validate, resolve and grant every request, then throttle and classify it.
 
     Reads request_id, the key, ts_us, end_us, is_corrupt, auth_ok, bad_base64 and
     the request fields. Only requests past authentication and schema meet
-    the bucket, only those it allows ask for a slot. Everything before the two
-    per-key folds is narrow; each fold shuffles once.
+    the bucket, only those it allows ask for a slot. With `ip_key` and a positive
+    `ip_tokens_per_period`, every readable request meets a bucket of its address
+    first. Everything before the per-key folds is narrow; each fold shuffles once.
     """
     hot = hot_keys(requests, key, "ts_us", hot_rows)
     checked = grant_derive(profile_resolve(request_validate(requests), profiles, host_cpus))
-    accepted = ~F.coalesce("is_corrupt", F.lit(False)) & F.coalesce("auth_ok", F.lit(True)) & F.col("valid")
+    readable = ~F.coalesce("is_corrupt", F.lit(False))
+    accepted = readable & F.coalesce("auth_ok", F.lit(True)) & F.col("valid")
+    if ip_key is not None and ip_tokens_per_period > 0:
+        checked = rate_limit_label(
+            checked.withColumn("_readable", readable),
+            ip_key, "ts_us", "request_id", ip_tokens_per_period, period_us, ip_burst, when="_readable",
+            hot=hot_keys(requests, ip_key, "ts_us", hot_rows),
+        ).withColumnsRenamed({"allowed": "ip_allowed", "retry_after": "ip_retry_after"}).drop("_readable")
+        accepted = accepted & F.coalesce("ip_allowed", F.lit(True))
     limited = rate_limit_label(
         checked.withColumn("_accepted", accepted),
         key, "ts_us", "request_id", tokens_per_period, period_us, burst, when="_accepted", hot=hot,

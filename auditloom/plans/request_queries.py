@@ -183,6 +183,16 @@ def status_classify(spark, sf):
     )
 
 
+def status_ip_limit(spark, sf):
+    """The same with a bucket per address in front, four users to an address."""
+    requests_v = view(spark, sf, "requests_v").withColumn("ip", F.expr("k div 4"))
+    judged = request_lifecycle(
+        requests_v, profile_table(spark), HOST_CPUS, tokens_per_period=2, period_us=DAY_US, burst=2, limit=2,
+        ip_key="ip", ip_tokens_per_period=9, ip_burst=5,
+    )
+    return judged.select("request_id", "status", "error", "retry_after")
+
+
 def status_counts(spark, sf):
     return (
         _lifecycle(spark, sf)
@@ -191,22 +201,22 @@ def status_counts(spark, sf):
     )
 
 
-def bucket_sql(source: str, token: int, cap: int, refill: int, out: str = "bucket") -> str:
-    """Recursive CTEs that walk every key of `source(k, request_id, ts_us)` row by row."""
+def bucket_sql(source: str, token: int, cap: int, refill: int, key: str = "k", tag: str = "") -> str:
+    """Recursive CTEs that walk every key of `source(key, request_id, ts_us)` row by row."""
     full = -(-cap // max(1, refill))
-    return f"""numbered AS (SELECT k, request_id, ts_us,
-  row_number() OVER (PARTITION BY k ORDER BY ts_us, request_id) AS rn FROM {source}),
-{out} AS (
- SELECT rn, k, request_id, ts_us, CAST({cap} AS BIGINT) AS level FROM numbered WHERE rn = 1
+    return f"""numbered{tag} AS (SELECT {key} AS k, request_id, ts_us,
+  row_number() OVER (PARTITION BY {key} ORDER BY ts_us, request_id) AS rn FROM {source}),
+bucket{tag} AS (
+ SELECT rn, k, request_id, ts_us, CAST({cap} AS BIGINT) AS level FROM numbered{tag} WHERE rn = 1
  UNION ALL
  SELECT n.rn, n.k, n.request_id, n.ts_us,
   least({cap}, b.level - CASE WHEN b.level >= {token} THEN {token} ELSE 0 END
    + least(n.ts_us - b.ts_us, {full}) * {refill})
- FROM {out} b JOIN numbered n ON n.k = b.k AND n.rn = b.rn + 1),
-labelled AS (SELECT k, request_id, ts_us, level >= {token} AS allowed,
+ FROM bucket{tag} b JOIN numbered{tag} n ON n.k = b.k AND n.rn = b.rn + 1),
+labelled{tag} AS (SELECT k, request_id, ts_us, level >= {token} AS allowed,
   CAST(CASE WHEN level >= {token} THEN 0
    ELSE greatest(1, ({token} - level + {refill * 1_000_000} - 1) // {refill * 1_000_000}) END AS INTEGER) AS retry_after
- FROM {out})"""
+ FROM bucket{tag})"""
 
 
 def slots_sql(source: str, limit: int) -> str:
@@ -223,16 +233,19 @@ slots AS (
  FROM slots s JOIN queued q ON q.k = s.k AND q.rn = s.rn + 1)"""
 
 
-STATUS_BASE = f"""WITH RECURSIVE {with_views("requests_v")}, {PROFILES_SQL},
-checked AS (SELECT r.*, p.name AS image_eff,
+CHECKED = f"""{with_views("requests_v")}, {PROFILES_SQL},
+checked AS (SELECT r.*, r.k // 4 AS ip, p.name AS image_eff,
   greatest(5, least(coalesce(timeout, p.timeout_default), p.timeout_cap)) AS timeout_eff,
   command <> '' AND network IN ('none', 'egress') AND coalesce(timeout BETWEEN 5 AND 1800, true) AS valid
  FROM requests_v r JOIN profiles p
-  ON p.name = CASE WHEN r.image IN (SELECT name FROM profiles) THEN r.image ELSE 'base' END),
-accepted AS (SELECT * FROM checked WHERE NOT is_corrupt AND auth_ok AND valid),
-{bucket_sql("accepted", DAY_US, 2 * DAY_US, 2)},
+  ON p.name = CASE WHEN r.image IN (SELECT name FROM profiles) THEN r.image ELSE 'base' END)"""
+
+THROTTLED = f"""{bucket_sql("accepted", DAY_US, 2 * DAY_US, 2)},
 passed AS (SELECT a.* FROM accepted a JOIN labelled l USING (request_id) WHERE l.allowed),
-{slots_sql("passed", 2)},
+{slots_sql("passed", 2)}"""
+
+STATUS_BASE = f"""WITH RECURSIVE {CHECKED},
+accepted AS (SELECT * FROM checked WHERE NOT is_corrupt AND auth_ok AND valid), {THROTTLED},
 verdicts AS (SELECT c.request_id, c.image_eff, c.timeout_eff,
   CASE WHEN is_corrupt THEN 422 WHEN NOT auth_ok THEN 401 WHEN NOT valid THEN 422
    WHEN NOT l.allowed THEN 429 WHEN NOT s.admitted THEN 429 WHEN bad_base64 THEN 400 ELSE 200 END AS status,
@@ -242,6 +255,21 @@ verdicts AS (SELECT c.request_id, c.image_eff, c.timeout_eff,
   CASE WHEN NOT l.allowed THEN l.retry_after WHEN NOT s.admitted THEN 5 END AS retry_after
  FROM checked c LEFT JOIN labelled l USING (request_id) LEFT JOIN slots s USING (request_id))"""
 
+STATUS_IP_LIMIT = f"""WITH RECURSIVE {CHECKED}, readable AS (SELECT * FROM checked WHERE NOT is_corrupt),
+{bucket_sql("readable", DAY_US, 5 * DAY_US, 9, key="ip", tag="_ip")},
+accepted AS (SELECT r.* FROM readable r JOIN labelled_ip i USING (request_id) WHERE i.allowed AND auth_ok AND valid),
+{THROTTLED}
+SELECT c.request_id,
+ CASE WHEN is_corrupt THEN 422 WHEN NOT i.allowed THEN 429 WHEN NOT auth_ok THEN 401 WHEN NOT valid THEN 422
+  WHEN NOT l.allowed THEN 429 WHEN NOT s.admitted THEN 429 WHEN bad_base64 THEN 400 ELSE 200 END AS status,
+ CASE WHEN is_corrupt THEN 'malformed' WHEN NOT i.allowed THEN 'rate_limited' WHEN NOT auth_ok THEN 'unauthorized'
+  WHEN NOT valid THEN 'schema' WHEN NOT l.allowed THEN 'rate_limited' WHEN NOT s.admitted THEN 'concurrency_limited'
+  WHEN bad_base64 THEN 'bad_base64' END AS error,
+ CASE WHEN NOT i.allowed THEN i.retry_after WHEN NOT auth_ok OR NOT valid THEN NULL
+  WHEN NOT l.allowed THEN l.retry_after WHEN NOT s.admitted THEN 5 END AS retry_after
+FROM checked c LEFT JOIN labelled_ip i USING (request_id) LEFT JOIN labelled l USING (request_id)
+ LEFT JOIN slots s USING (request_id)"""
+
 STATUS_CLASSIFY = f"""{STATUS_BASE}
 SELECT request_id, status, error, retry_after, image_eff, timeout_eff FROM verdicts"""
 
@@ -323,6 +351,7 @@ QUERIES = {
     "outcome_label": (outcome_label, OUTCOME_LABEL),
     "status_classify": (status_classify, STATUS_CLASSIFY),
     "status_counts": (status_counts, STATUS_COUNTS),
+    "status_ip_limit": (status_ip_limit, STATUS_IP_LIMIT),
     "exec_log_parse": (exec_log_parse, EXEC_LOG_PARSE),
     "secret_scan": (secret_scan, SECRET_SCAN),
     "secret_redact": (secret_redact, SECRET_REDACT),

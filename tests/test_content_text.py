@@ -58,6 +58,7 @@ def test_pattern_rules_short_and_long(spark, monkeypatch):
     rule_df = small_table(spark, rules, "rule string, literal string, needed int")
     assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
     monkeypatch.setattr(content, "policy_rows", lambda t, n: sizing.policy_rows(t, 3))
+    monkeypatch.setattr(content, "LITERALS_PER_AUTOMATON", 3)
     assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
 
 
@@ -128,7 +129,8 @@ def test_json_defaults(spark):
     assert [r.ok for r in got] == [None, None, None, True, None, None]
 
 
-def test_probe_lines_and_expectations(spark):
+def test_probe_lines_and_expectations(spark, monkeypatch):
+    monkeypatch.setattr(text, "CHECKS_PER_PASS", 4)
     out = "noise\nIP=172.31.255.2\nPUBDNS=OK\nPUBIP=rc0 t1\nPEER=rc280 t6\nMETA_rc=28 t6\nMAGICDNS=rc9\n=x"
     probes = text.probe_parse(docs(spark, out, "nothing"), "t")
     got = {r.key: (r.value, r.rc, r.t) for r in probes.collect()}
