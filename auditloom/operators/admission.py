@@ -23,7 +23,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +48,9 @@ def bucket_units(tokens_per_period: int, period_us: int, burst: int) -> tuple[in
 
 def bucket_step(units: int, gap_us: int, token: int, cap: int, refill: int) -> tuple[bool, int, int]:
     """One request: (allowed, retry_after, units left)."""
-    level = min(cap, units + max(0, gap_us) * refill)
+    level = units + gap_us * refill if gap_us > 0 else units
+    if level > cap:
+        level = cap
     if level >= token:
         return True, 0, level - token
     if refill <= 0:
@@ -97,21 +101,20 @@ def rate_limit_label(
     def fold(batches):
         group, units, last = None, cap, None
         for batch in batches:
-            needed = (key, "_slice", ts, "_units", "_last", "_counts")
-            columns = [batch.column(c).to_pylist() for c in needed]
-            allowed, retry = [], []
-            for k, piece, at, start, before, counts in zip(*columns):
+            times, counts = batch.column(ts).to_pylist(), batch.column("_counts").to_pylist()
+            allowed, retry = [None] * len(times), [None] * len(times)
+            for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
                     group = (k, piece)
-                    units, last = (cap, at) if start is None else (start, before)
-                if not counts:
-                    allowed.append(None)
-                    retry.append(None)
-                    continue
-                ok, wait, units = bucket_step(units, at - last, token, cap, refill)
-                last = max(last, at)
-                allowed.append(ok)
-                retry.append(wait)
+                    units, last = batch.column("_units")[at].as_py(), batch.column("_last")[at].as_py()
+                    if units is None:
+                        units, last = cap, times[at]
+                for i in range(at, to):
+                    if counts[i]:
+                        now = times[i]
+                        allowed[i], retry[i], units = bucket_step(units, now - last, token, cap, refill)
+                        if now > last:
+                            last = now
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
                 + [pa.array(allowed, pa.bool_()), pa.array(retry, pa.int32())],
@@ -137,11 +140,14 @@ def _sorted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def _runs(batch, key: str):
     """(key, slice, from, to) of the runs of one group in a sorted batch."""
-    ks, ps = batch.column(key).to_pylist(), batch.column("_slice").to_pylist()
-    cuts = [i for i in range(1, len(ks)) if ks[i] != ks[i - 1] or ps[i] != ps[i - 1]]
-    for at, to in zip([0, *cuts], [*cuts, len(ks)]):
-        if at < to:
-            yield ks[at], ps[at], at, to
+    if batch.num_rows == 0:
+        return
+    ks, ps = batch.column(key), batch.column("_slice")
+    codes = ks.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    pieces = ps.to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (pieces[1:] != pieces[:-1])) + 1
+    for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield ks[at].as_py(), ps[at].as_py(), at, to
 
 
 FLUSH_ROWS = 10_000
@@ -409,12 +415,13 @@ def concurrency_admit(
     def fold(batches):
         group, running = None, []
         for batch in batches:
-            needed = (start, end, "_running", "_counts")
-            begins, ends, before, counts = [batch.column(c).to_pylist() for c in needed]
+            needed = (start, end, "_counts")
+            begins, ends, counts = [batch.column(c).to_pylist() for c in needed]
             admitted = [False if c else None for c in counts]
             for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
-                    group, running = (k, piece), list(before[at] or [])
+                    group, running = (k, piece), batch.column("_running")[at].as_py() or []
+                    heapify(running)
                 asking = [i for i in range(at, to) if counts[i]]
                 for i in take_slots([begins[i] for i in asking], [ends[i] for i in asking], running, limit):
                     admitted[asking[i]] = True
@@ -429,17 +436,18 @@ def concurrency_admit(
 
 
 def take_slots(begins: list, ends: list, running: list, limit: int) -> list[int]:
-    """Positions of the admitted rows; `running`, the end times in use, is brought up to date."""
+    """Positions of the admitted rows; `running`, a heap of end times, is brought up to date."""
     taken, i = [], 0
     while i < len(begins):
-        running[:] = [e for e in running if e > begins[i]]
+        while running and running[0] <= begins[i]:
+            heappop(running)
         if len(running) < limit:
             taken.append(i)
-            running.append(ends[i])
+            heappush(running, ends[i])
             i += 1
         else:
             # Every row before the first slot is free is rejected.
-            i = bisect_left(begins, min(running), i + 1)
+            i = bisect_left(begins, running[0], i + 1)
     return taken
 
 
@@ -484,7 +492,7 @@ def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
 
     def run_slices(batches):
         def begin(row):
-            before = list(row[2] or [])
+            before = sorted(row[2] or [])
             return before, row[0], row[0], list(before), []
 
         def each(state, group_rows):
