@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -400,9 +400,9 @@ def concurrency_admit(
     rows, any_hot = with_slices(df, key, start, hot=cuts)
     rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
-        rows = join_slices(rows, small_side(states), key)
+        rows = _with_running(join_slices(rows, small_side(states), key), start)
     else:
-        rows = rows.withColumn("_running", F.lit(None).cast("array<long>"))
+        rows = rows.withColumn("_running", F.lit(None).cast("string"))
     out = T.StructType(
         [
             *df.schema.fields,
@@ -420,9 +420,12 @@ def concurrency_admit(
             admitted = [False if c else None for c in counts]
             for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
-                    group, running = (k, piece), batch.column("_running")[at].as_py() or []
-                    heapify(running)
+                    group, running = (k, piece), None
                 asking = [i for i in range(at, to) if counts[i]]
+                if not asking:
+                    continue
+                if running is None:
+                    running = _end_times(batch.column("_running")[asking[0]].as_py())
                 for i in take_slots([begins[i] for i in asking], [ends[i] for i in asking], running, limit):
                     admitted[asking[i]] = True
             retry = [None if ok is None else 0 if ok else retry_after for ok in admitted]
@@ -475,8 +478,21 @@ def _widened(asking, key, start, end, cuts) -> list[tuple]:
     return [(k, lo, max(width, least.get(k, 0))) for k, lo, width in cuts]
 
 
+def _with_running(rows: DataFrame, start: str) -> DataFrame:
+    """Keep `_running` on the first rows of a slice only, as text.
+
+    An array column would be slow to hand to Python, also where it is null.
+    """
+    listed = F.array_join(F.col("_running").cast("array<string>"), ",")
+    return rows.withColumn("_running", F.when(F.col(start) == F.col("first"), listed)).drop("first")
+
+
+def _end_times(text: str | None) -> list[int]:
+    return sorted(int(e) for e in text.split(",")) if text else []
+
+
 def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
-    """`(key, _slice, _running)`: end times running into each hot slice."""
+    """`(key, _slice, first, _running)`: end times running into each hot slice."""
     hot = hot.select(key, "_slice", start, end, order)
     key_field = T.StructField(key, hot.schema[key].dataType)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
@@ -492,7 +508,7 @@ def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
 
     def run_slices(batches):
         def begin(row):
-            before = sorted(row[2] or [])
+            before = _end_times(row[2])
             return before, row[0], row[0], list(before), []
 
         def each(state, group_rows):
@@ -538,18 +554,20 @@ def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
         part["changed"] = changed
         return part
 
-    states = refold(hot.withColumn("_running", F.lit(None).cast("array<long>")))
+    states = refold(hot.withColumn("_running", F.lit(None).cast("string")))
     while True:
         states = settle(states.groupBy(key).applyInPandas(chain, chained))
         changed = states.where("changed")
         count, first, last = changed.agg(F.count("*"), F.min("first"), F.max("last")).first()
         if count == 0:
-            return states.select(key, "_slice", "_running")
+            return states.select(key, "_slice", "first", "_running")
         # The rows lie sorted in their files, so the time range skips what has settled.
         again = hot.where(F.col(start).between(first, last)).join(
             small_side(
-                changed.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_running")
+                changed.select(
+                    F.col(key).alias("_k"), F.col("_slice").alias("_s"), "first", "_running"
+                )
             ),
             F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")),
         ).drop("_k", "_s")
-        states = refold(again).unionByName(states.where("NOT changed").drop("changed"))
+        states = refold(_with_running(again, start)).unionByName(states.where("NOT changed").drop("changed"))
