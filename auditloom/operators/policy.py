@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ RANGE_JOIN_BLOCKS = 64
 HOUR_US = 3_600_000_000
 
 
+def range_of(cidr: str) -> tuple[int, int]:
+    """First and last address of one block."""
+    net = ip_network(cidr)
+    return int(net[0]), int(net[-1])
+
+
 def block_list(spark, raw=RAW_BLOCKS, forward=FORWARD_BLOCKS) -> DataFrame:
     """Blocks as rows (stage, seq, cidr, prefix_len, lo, hi)."""
     rows = [("raw", i, c) for i, c in enumerate(raw, 1)]

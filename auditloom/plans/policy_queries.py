@@ -9,7 +9,7 @@ from auditloom.functions.sizing import small_table
 from auditloom.operators import policy
 from auditloom.plans.views import table, view, with_views
 
-SUBNET = (2887778048, 2887778303)
+SUBNET = policy.range_of(policy.SOURCE_SUBNET)
 
 BLOCKS_SQL = """blocks(stage, seq, cidr, lo, hi) AS (VALUES
  ('raw', 1, '100.64.0.0/10', 1681915904, 1686110207), ('forward', 1, '100.64.0.0/10', 1681915904, 1686110207),
@@ -105,7 +105,7 @@ first AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY flow_id ORD
 SELECT s.flow_id, CASE WHEN f.stage IS NULL THEN 'accept' ELSE 'drop' END AS verdict, f.stage, f.rule
 FROM switched s LEFT JOIN first f USING (flow_id)"""
 
-RULE_ROWS = [(1000, SUBNET[0], SUBNET[1], "51820"), (32766, 0, 4294967295, "main")]
+RULE_ROWS = [(policy.RULE_PREF, *SUBNET, policy.TUNNEL_TABLE), (32766, 0, 4294967295, "main")]
 ROUTE_ROWS = [
     ("51820", 0, 0, 4294967295, "wg0"),
     ("main", 0, 0, 4294967295, "eth0"),
