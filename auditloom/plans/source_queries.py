@@ -14,7 +14,7 @@ from auditloom.sources.files import read_bodies, read_log, write_responses
 
 
 def log_file(spark, sf):
-    folder = run_folder(spark, "log-file")
+    folder = run_folder(spark, "log-file") + "/rows"
     view(spark, sf, "log_v").select("line").write.text(folder)
     parsed = exec_log_parse(read_log(spark, folder))
     return parsed.groupBy("level", "kind", "image", "network").agg(
@@ -35,7 +35,7 @@ SELECT level, kind, image, network, count(*) AS n, CAST(sum(timeout) AS BIGINT)
 
 
 def body_file(spark, sf):
-    folder = run_folder(spark, "body-file")
+    folder = run_folder(spark, "body-file") + "/rows"
     view(spark, sf, "bodies_v").select("body").write.text(folder)
     parsed = request_parse(read_bodies(spark, folder), "body")
     return parsed.groupBy("network", "image", "raw", "is_corrupt").agg(
@@ -48,7 +48,7 @@ SELECT network, image, raw, is_corrupt, count(*) AS n, CAST(sum(timeout) AS BIGI
 
 
 def response_file(spark, sf):
-    folder = run_folder(spark, "response-file")
+    folder = run_folder(spark, "response-file") + "/rows"
     rows = view(spark, sf, "requests_v").select("request_id", "exit_code", "stdout", "stderr", "timed_out")
     write_responses(rows, folder)
     return json_project(

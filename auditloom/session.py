@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="auditloom-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -43,13 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one run below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run below the shared one; it goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
 
 
 def settle(df):
     """Write a small intermediate table to the shared folder and cut its lineage."""
     spark = df.sparkSession
-    path = run_folder(spark, "settled")
+    path = f"{run_folder(spark, 'settled')}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

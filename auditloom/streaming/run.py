@@ -25,15 +25,16 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Process all available input, then return the written result as a table.
 
-    Result and checkpoint go to the shared folder, so a restarted run goes on from
-    its last batch.
+    Result and checkpoint go to `folder`. A later call with the same folder goes
+    on from the last batch of the one before; without a folder the run gets one of
+    its own below the shared one and starts from nothing.
     """
     spark = stream.sparkSession
     use_rocksdb(spark)
-    folder = run_folder(spark, name)
+    folder = folder or run_folder(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
