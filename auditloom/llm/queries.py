@@ -6,9 +6,19 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import table
 from auditloom.llm.exact_dedup import exact_dedup_labels
+from auditloom.llm.language_id import fit_language_model, held_out, identify_languages
+from auditloom.llm.minhash import near_duplicate_labels
 from auditloom.llm.mixing import mix_totals
 from auditloom.llm.packing import pack_by_length
+from auditloom.llm.quality import quality_labels
 from auditloom.llm.sharding import interleave_shards
+from auditloom.llm.substring import removal_labels
+from auditloom.llm.token_stream import read_token_stream, write_token_stream
+from auditloom.llm.warc import read_archives, resolve_revisits, write_archives
+from auditloom.session import run_folder
+
+WORD = r"[^\x20\x09-\x0D]+"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -59,6 +69,82 @@ SELECT doc_id, piece, start, CAST(length AS BIGINT) AS length, bucket, place //
  place % ({token_budget} // bucket) AS slot, bucket - length AS padding FROM r"""
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs, learn=~held_out())
+    judged = identify_languages(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc_segments(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    files = write_archives(pages, run_folder(spark, "warc"))
+    return resolve_revisits(read_archives(spark, files))
+
+
+WARC_SEGMENTS = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+d AS (SELECT page_id, payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, payload_bytes >= 100 AND page_id <> min(page_id) OVER (PARTITION BY payload_digest) AS again,
+ min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN again THEN first END AS refers_to, 'ok' AS status FROM f"""
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_labels(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM spots),
+covered AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM covered GROUP BY 1),
+split AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (SELECT doc_id, source, line, regexp_extract_all(line, '{WORD}') AS ws FROM split),
+worded AS (SELECT *, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
+  'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM lines WHERE len(ws) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY 1),
+frequent AS (SELECT source, k FROM worded GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
+lost AS (SELECT doc_id, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded w JOIN frequent f
+  ON w.k = f.k AND w.source IS NOT DISTINCT FROM f.source GROUP BY 1),
+base AS (SELECT doc_id, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n, 0) AS n_line_words_removed
+ FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN lost USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT (n_words - n_line_words_removed) * 100 < n_words * 30 AS kept FROM failed"""
+
+
+def op6_repeated_passages(spark, sf_dir):
+    return removal_labels(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+REPEATED_PASSAGES = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+wins AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(ws[i:i + 19], ' ')) ORDER BY doc_id, i) AS n FROM spots),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM wins WHERE n > 1),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+ FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def op7_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicate_labels(docs, shingle_words=3, percent=85).drop("text_hash")
+
+
+def op8_token_stream(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = run_folder(spark, "token-stream")
+    write_token_stream(docs, folder, public_tokenizers.path(TOKENIZER))
+    return read_token_stream(spark, folder)
+
+
 def op9_interleave_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -96,6 +182,12 @@ FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source"""
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, EXACT_DEDUP),
     "op2_length_buckets": (op2_length_buckets, _length_buckets_sql()),
+    "op3_language_id": (op3_language_id, None),
+    "op4_warc_segments": (op4_warc_segments, WARC_SEGMENTS),
+    "op5_quality_rules": (op5_quality_rules, QUALITY_RULES),
+    "op6_repeated_passages": (op6_repeated_passages, REPEATED_PASSAGES),
+    "op7_near_duplicates": (op7_near_duplicates, None),
+    "op8_token_stream": (op8_token_stream, None),
     "op9_interleave_shards": (op9_interleave_shards, None),
     "op10_mix_sources": (op10_mix_sources, MIX_SOURCES),
 }
