@@ -54,8 +54,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(df):
-    """Write a small intermediate table to the shared folder and cut its lineage."""
+    """Write an intermediate table to the shared folder and cut its lineage.
+
+    Zstandard, since the writers of the default codec hold buffers outside the heap
+    until a collection, which add up over many small tasks.
+    """
     spark = df.sparkSession
     path = f"{run_folder(spark, 'settled')}/rows"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
