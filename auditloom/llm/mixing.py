@@ -2,17 +2,15 @@
 
 All steps are DataFrame operations. Each source's documents, in seeded order and
 repeated for further epochs, are cut into blocks of about `block_words` words. The blocks a
-source owes to the mix are its quota. A binary tree splits all quotas among the
-output shards: at each node the urn of blocks is shuffled and halved, which is a draw
-from the multivariate hypergeometric distribution, so every shard gets its quota exactly
+source owes to the mix are its quota. A tree splits all quotas among the
+output shards: each node shuffles its urn of blocks and halves it, a draw
+from the multivariate hypergeometric distribution, so the quotas of the shards add up exactly
 and no block is drawn twice. Each shard then takes its quota from the source's permuted
 blocks and shuffles what it got by itself.
 """
 
 from __future__ import annotations
 
-from math import log2
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,37 +56,38 @@ def source_targets(units: DataFrame, source_col: str, share: float = SHARE, max_
     return left.select(source_col, "source_size", "weight", target.alias("target"))
 
 
-def split_quotas(blocks: DataFrame, source_col: str, shards: int, seed: str) -> DataFrame:
-    """(source, shard, quota): the tree over all blocks, one level per halving."""
-    levels = int(log2(shards))
-    if 2**levels != shards:
-        raise ValueError("shards must be a power of two")
-    slices = slice_count(blocks.sparkSession)
-    node = blocks.withColumn("shard", F.lit(0))
-    for level in range(levels):
-        key = seeded_key(f"{seed}:{level}", F.col(source_col), F.col("epoch"), F.col("block"))
-        urn = settle(node.withColumn("urn_key", key))
-        sizes = urn.groupBy(F.col("shard").alias("node")).agg(F.count(F.lit(1)).alias("node_blocks"))
-        drawn = running_before(
-            urn,
-            ["shard"],
-            key_slice(F.col("urn_key"), slices),
-            [F.col("urn_key"), F.col(source_col), F.col("epoch"), F.col("block")],
-            {"drawn": F.lit(1)},
-        ).join(sizes, F.col("shard") == F.col("node"))
-        right = (F.col("drawn") * 2 >= F.col("node_blocks")).cast("int")
-        node = drawn.withColumn("shard", F.col("shard") * 2 + right).select(*blocks.columns, "shard")
-    return node.groupBy(source_col, "shard").agg(F.count(F.lit(1)).alias("quota"))
-
-
-def draw_blocks(blocks: DataFrame, quotas: DataFrame, source_col: str, seed: str) -> DataFrame:
+def tree_shard(drawn: Column, n_blocks: Column, shards: int) -> Column:
+    """The leaf of a block drawn at place `drawn` of `n_blocks`.
+
+    All levels of the tree follow from one shuffle of the urn: a node holds a stretch of
+    the shuffled blocks and hands one half to each child. Given which blocks are in a stretch,
+    their order is still uniform, so each halving is a multivariate hypergeometric draw.
+    Node k of the level with m nodes holds the places with place * m div n_blocks = k.
+    """
+    return F.floor(drawn * shards / n_blocks).cast("int")
+
+
+def split_quotas(blocks: DataFrame, source_col: str, shards: int) -> DataFrame:
+    """(source, shard, quota): exact block quotas of the leaves of the splitting tree over all blocks."""
+    drawn = running_before(
+        blocks,
+        [],
+        key_slice(F.col("urn_key"), slice_count(blocks.sparkSession)),
+        [F.col("urn_key"), F.col(source_col), F.col("epoch"), F.col("block")],
+        {"drawn": F.lit(1)},
+    )
+    n_blocks = F.lit(max(blocks.count(), 1))
+    leaves = drawn.withColumn("shard", tree_shard(F.col("drawn"), n_blocks, shards))
+    return leaves.groupBy(source_col, "shard").agg(F.count(F.lit(1)).alias("quota"))
+
+
+def draw_blocks(blocks: DataFrame, quotas: DataFrame, source_col: str) -> DataFrame:
     """(source, epoch, block, shard): shards take consecutive runs of the permuted blocks, quota by quota."""
-    key = seeded_key(f"{seed}:permute", F.col(source_col), F.col("epoch"), F.col("block"))
     permuted = running_before(
-        settle(blocks.withColumn("urn_key", key)),
+        blocks,
         [source_col],
-        key_slice(F.col("urn_key"), slice_count(blocks.sparkSession)),
-        [F.col("urn_key"), F.col("epoch"), F.col("block")],
+        key_slice(F.col("permute_key"), slice_count(blocks.sparkSession)),
+        [F.col("permute_key"), F.col("epoch"), F.col("block")],
         {"place": F.lit(1)},
     )
     before = Window.partitionBy(source_col).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,9 +163,15 @@ def mix_draws(
         "block", F.floor(F.col("words_before") / F.lit(block_words))
     )
     taken = settle(taken.select(id_col, "text_hash", source_col, "epoch", "block"))
-    blocks = settle(taken.select(source_col, "epoch", "block").distinct())
-    quotas = settle(split_quotas(blocks, source_col, shards, seed))
-    drawn = draw_blocks(blocks, quotas, source_col, seed).select(
+    block = [F.col(source_col), F.col("epoch"), F.col("block")]
+    blocks = settle(
+        taken.select(*block)
+        .distinct()
+        .withColumns(
+            {"urn_key": seeded_key(f"{seed}:urn", *block), "permute_key": seeded_key(f"{seed}:permute", *block)}
+        )
+    )
+    drawn = draw_blocks(blocks, split_quotas(blocks, source_col, shards), source_col).select(
         F.col(source_col).alias("d_source"), F.col("epoch").alias("d_epoch"), F.col("block").alias("d_block"), "shard"
     )
     draws = taken.join(
