@@ -185,7 +185,8 @@ def clean_documents(
         & (F.col(text_hash) == F.col("c_hash"))
         & F.col(host_col).eqNullSafe(F.col("c_host")),
     )
-    rows = joined.select(*docs.columns, F.col("c_lines").alias(gone))
+    names = docs.columns
+    rows = joined.select(*names, F.col("c_lines").alias(gone))
 
     def strip(batches):
         for batch in batches:
@@ -198,7 +199,7 @@ def clean_documents(
                         line for line in data if not (own := line.split()) or line_key(own) not in frequent
                     ).decode("utf-8", "surrogatepass")
                 texts.append(value)
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(strip, docs.schema)

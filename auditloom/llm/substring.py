@@ -301,6 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """`docs`, all columns, with the kept words, joined by one space, as the text of those that lose words."""
     spans_col = fresh(docs, "spans")
     joined = with_spans(docs, repeated_spans(docs, id_col, text_col, window), id_col, text_col, spans_col)
+    names = docs.columns
 
     def rewrite(batches):
         for batch in batches:
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, spans in zip(batch.column(text_col), batch.column(spans_col)):
                 value, own = text.as_py(), spans.as_py()
                 texts.append(b" ".join(kept_words(value, own)[1]).decode("utf-8", "surrogatepass") if own else value)
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(rewrite, docs.schema)
