@@ -267,7 +267,8 @@ def confirmed(
         F.col(id_col).cast("long").alias("t_id"), F.xxhash64(F.col(text_col)).alias("t_hash"), F.col(text_col).alias("text")
     )
     own = (
-        blocked.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")))
+        blocked.hint("merge")
+        .join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")))
         .join(last, F.col("root") == F.col("l_root"))
     )
     dealt = (
