@@ -11,7 +11,7 @@ import xxhash
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 ROLL_TOO = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
-MAX_WORDS_KNOWN = 1_000_000
+MAX_WORDS_KNOWN = 250_000
 
 
 class WordHashes(dict):

@@ -3,7 +3,7 @@
 A pass over the texts hashes all windows with rolling (Rabin-Karp) polynomials. Chunks of documents drop
 their own repeats first, so a passage that millions of documents share sends one entry per chunk. The entries,
 56 hash bits and a place, go to buckets by further hash bits; a bucket finds the first place of every hash and
-returns all others. Per document the repeated windows merge into maximal removal
+returns all others, packed by shards of documents. Per document the repeated windows merge into maximal removal
 intervals. The number of buckets follows the size of the corpus; with 56 bits and the bucket, two of n
 windows get mixed up with probability below n / 2^35 in the whole corpus for buckets of BUCKET_WINDOWS.
 """
@@ -24,8 +24,8 @@ from auditloom.llm.shingles import ROLL, ROLL_TOO, WordHashes, mixed, rolling
 from auditloom.session import settle
 
 WINDOW = 20
-CHUNK_BYTES = 12_000_000
-BUCKET_WINDOWS = 2_000_000
+CHUNK_BYTES = 6_000_000
+BUCKET_WINDOWS = 1_500_000
 BYTES_PER_WORD = 6
 #: Sorts after all ids, for rows without one.
 NO_ID = 2**63 - 1
@@ -51,6 +51,21 @@ def differences(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(batches, key: str):
+    """The rows of each value of `key`, in the order of sorted batches."""
+    at, held = None, []
+    for batch in batches:
+        for n in range(batch.num_rows):
+            row = batch.slice(n, 1).to_pylist()[0]
+            if held and row[key] != at:
+                yield held
+                held = []
+            at = row[key]
+            held.append(row)
+    if held:
+        yield held
+
+
 ENTRY_SCHEMA = "bucket int, n_entries int, n_docs int, repeats boolean, hashes binary, docs binary, counts binary, places binary"
 
 
@@ -154,20 +169,65 @@ def bucket_repeats(rows: list[dict]):
     yield ids[later], text_hashes[later], places[later]
 
 
-REPEAT_SCHEMA = "doc_id bigint, text_hash bigint, places binary"
-
-
-def place_rows(ids: np.ndarray, text_hashes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its places as 32-bit numbers."""
+REPEAT_SCHEMA = "shard int, n_docs int, docs binary, counts binary, places binary"
+
+
+def repeat_rows(found: list[tuple], shards: int) -> list[dict]:
+    """One row per shard of documents for the repeats of a bucket, its documents and places packed."""
+    if not found:
+        return []
+    ids, text_hashes, places = (np.concatenate(parts) for parts in zip(*found))
+    mark = mixed(ids.view(np.uint64) * ROLL ^ text_hashes.view(np.uint64))
+    shard = ((mark >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((places, text_hashes, ids, shard))
+    ids, text_hashes, places, shard = (v[order] for v in (ids, text_hashes, places, shard))
+    new_doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (text_hashes[1:] != text_hashes[:-1])])
+    starts = np.flatnonzero(new_doc)
+    counts = np.diff(np.append(starts, len(ids)))
+    own = shard[starts]
+    rows = []
+    for lo, hi in runs(own):
+        entries = slice(starts[lo], starts[hi - 1] + counts[hi - 1])
+        at = starts[lo:hi]
+        rows.append(
+            {
+                "shard": int(own[lo]), "n_docs": hi - lo, "docs": ids[at].tobytes() + text_hashes[at].tobytes(),
+                "counts": counts[lo:hi].astype("<u4").tobytes(),
+                "places": zstandard.compress(places[entries].astype("<u4").tobytes(), 1),
+            }
+        )
+    return rows
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of equal values."""
+    if len(values) == 0:
+        return []
+    borders = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(borders, borders[1:]))
+
+
+def shard_spans(rows: list[dict], window: int) -> pa.RecordBatch:
+    """(id, text hash, spans) of the documents of a shard: their repeated windows merged into maximal intervals."""
+    ids, text_hashes, places = [], [], []
+    for row in rows:
+        n, counts = row["n_docs"], np.frombuffer(row["counts"], "<u4")
+        ids.append(np.repeat(np.frombuffer(row["docs"], np.int64, n), counts))
+        text_hashes.append(np.repeat(np.frombuffer(row["docs"], np.int64, n, 8 * n), counts))
+        places.append(np.frombuffer(zstandard.decompress(row["places"]), "<u4").astype(np.int64))
+    ids, text_hashes, places = (np.concatenate(v) for v in (ids, text_hashes, places))
     order = np.lexsort((places, text_hashes, ids))
-    ids, text_hashes, places = ids[order], text_hashes[order], places[order].astype("<u4")
-    borders = np.flatnonzero((ids[1:] != ids[:-1]) | (text_hashes[1:] != text_hashes[:-1])) + 1
-    starts = np.concatenate([[0], borders]).astype(np.int64)
-    bounds = np.concatenate([starts, [len(ids)]]).astype(np.int32) * 4
-    binary = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(places)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[starts]), pa.array(text_hashes[starts]), binary], names=["doc_id", "text_hash", "places"]
+    ids, text_hashes, places = ids[order], text_hashes[order], places[order]
+    new_doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (text_hashes[1:] != text_hashes[:-1])])
+    new_span = new_doc | np.concatenate([[True], places[1:] > places[:-1] + window])
+    first = np.flatnonzero(new_span)
+    ends = places[np.append(first[1:], len(places)) - 1] + window
+    offsets = np.append(np.flatnonzero(new_doc[first]), len(first)).astype(np.int32)
+    docs = np.flatnonzero(new_doc)
+    spans = pa.ListArray.from_arrays(
+        pa.array(offsets), pa.StructArray.from_arrays([pa.array(places[first]), pa.array(ends)], names=["start", "end"])
     )
+    return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(text_hashes[docs]), spans], names=["doc_id", "text_hash", "spans"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -211,41 +271,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     held, size = [], 0
         yield from close()
 
-    def find_repeats(batches):
-        at, held = None, []
-        for batch in batches:
-            for n in range(batch.num_rows):
-                row = batch.slice(n, 1).to_pylist()[0]
-                if row["bucket"] != at:
-                    for found in bucket_repeats(held):
-                        if len(found[0]):
-                            yield place_rows(*found)
-                    at, held = row["bucket"], []
-                held.append(row)
-        for found in bucket_repeats(held):
-            if len(found[0]):
-                yield place_rows(*found)
+    repeat_type = pa.schema([("shard", pa.int32()), ("n_docs", pa.int32())] + [(n, pa.binary()) for n in ("docs", "counts", "places")])
 
-    entries = rows.mapInArrow(hash_windows, entry_type)
-    repeats = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find_repeats, REPEAT_SCHEMA)
-    gathered = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))
+    def find_repeats(batches):
+        for held in grouped(batches, "bucket"):
+            found = [f for f in bucket_repeats(held) if len(f[0])]
+            if rows := repeat_rows(found, buckets):
+                yield pa.RecordBatch.from_pylist(rows, schema=repeat_type)
 
     def merge(batches):
-        for batch in batches:
-            spans = []
-            for parts in batch.column("places"):
-                places = np.sort(np.frombuffer(b"".join(parts.as_py()), "<u4")).astype(np.int64)
-                breaks = np.flatnonzero(places[1:] > places[:-1] + window)
-                starts = places[np.concatenate([[0], breaks + 1])]
-                ends = places[np.concatenate([breaks, [len(places) - 1]])] + window
-                spans.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())])
-            span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(spans, span_type)],
-                names=["doc_id", "text_hash", "spans"],
-            )
+        for held in grouped(batches, "shard"):
+            yield shard_spans(held, window)
 
-    merged = gathered.mapInArrow(merge, f"doc_id bigint, text_hash bigint, spans {SPANS}")
+    entries = rows.mapInArrow(hash_windows, entry_type)
+    repeats = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find_repeats, REPEAT_SCHEMA)
+    merged = (
+        repeats.repartition(buckets, "shard")
+        .sortWithinPartitions("shard")
+        .mapInArrow(merge, f"doc_id bigint, text_hash bigint, spans {SPANS}")
+    )
     return settle(merged.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
 
 
