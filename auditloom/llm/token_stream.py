@@ -9,6 +9,7 @@ with the place of every document.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,17 +25,61 @@ from auditloom.llm.files import open_mapped, open_output, task_file
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-MEMO_PIECES = 500_000
-#: A space that follows other white space; such a text is not cut at its spaces.
-RUN_OF_SPACE = re.compile(r"\s ")
+MEMO_PIECES = 600_000
+# The characters of the Unicode property White_Space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+# The words of the byte-level pre-tokenizer, as far as they are Latin, and its signs for bytes.
+LATIN_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+SPACED, LINED = re.compile(f" [^{WHITE}]"), re.compile(f"\n[^{WHITE}]")
+LATIN_PIECE = re.compile("[ \\n]?(?:(?!<\\|)[!-~\u00a1-\u00ac\u00ae-\u024f])+")
+LATIN_WORD = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LATIN_LETTER}{NUMBER}]+|\\s+"
+)
+PLAIN_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {
+    b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in SHOWN)
+}
+
+
+def piece_keys(text: str) -> list[str]:
+    """The pieces of a text as keys, which `piece_of` turns back.
+
+    A piece with a space in front loses it, one with a line end in front keeps it, any other
+    gets a space at its end. Texts without runs of white space are split at spaces and line ends.
+    """
+    keys = text.replace("\n", " \n").split(" ")
+    if "" in keys or "\n" in keys:
+        found = PIECE.findall(text)
+        return [p[1:] if SPACED.match(p) else p if LINED.match(p) else p + " " for p in found]
+    keys[0] += " "
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[:-1] if key.endswith(" ") else key if key.startswith("\n") else " " + key
+
+
+class Places(dict):
+    """The number of each piece key, in the order of first use; `new` lists those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
 
 
 class PieceEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer file, each distinct piece encoded once.
 
-    Tokens of this tokenizer kind never reach over a space that follows a visible
-    character, so a text is the sum of its pieces cut before such spaces. Texts with
-    runs of white space go through the tokenizer whole. Both give the ids of
+    Tokens of this tokenizer kind never reach over white space that follows a visible
+    character, so a text is the sum of its pieces, each a run of white space
+    and the visible run after it. The ids are those of
     `Tokenizer.encode(text, add_special_tokens=False)`.
     """
 
@@ -44,48 +89,100 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
-        self.forget()
+        rules = json.loads(self.tokenizer.to_str())
+        #: Whether the file asks for nothing but the usual byte-level words and the model.
+        self.plain = (
+            rules["normalizer"] is None
+            and rules["pre_tokenizer"] in (PLAIN_WORDS, {**PLAIN_WORDS, "trim_offsets": False})
+            and all(len(t["content"]) > 3 and t["content"].startswith("<|") for t in rules["added_tokens"])
+        )
+        self.places, self.n_ids = Places(), 0
+        self.ids = np.empty(1 << 16, self.dtype)
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        self.first, self.later = {}, {}
-        self.ids = np.empty(1 << 16, self.dtype)
-        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-        self.n_pieces = self.n_ids = 0
-
-    def _learn(self, memo: dict, keys: list[str], texts: list[str]) -> None:
-        for key, encoding in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            got = encoding.ids
-            while self.n_ids + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            if self.n_pieces == len(self.starts):
-                self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
-            self.ids[self.n_ids : self.n_ids + len(got)] = got
-            self.starts[self.n_pieces], self.sizes[self.n_pieces] = self.n_ids, len(got)
-            memo[key] = self.n_pieces
-            self.n_pieces += 1
-            self.n_ids += len(got)
-
-    def _places(self, memo: dict, pieces: list[str], lead: str) -> np.ndarray:
-        try:
-            return np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-            self._learn(memo, new, [lead + p for p in new])
-            return np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
+        """Keep the pieces that were used most, half of MEMO_PIECES at most; uses are halved."""
+        pieces, uses = list(self.places), self.uses[: len(self.places)]
+        least = 2
+        while (uses >= least).sum() > MEMO_PIECES // 2:
+            least *= 2
+        kept = np.flatnonzero(uses >= least)
+        self.ids, sizes = self._gather(kept)
+        self.places, self.n_ids = Places(), len(self.ids)
+        for place, number in enumerate(kept.tolist()):
+            self.places[pieces[number]] = place
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, uses[kept] // 2
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after the other, number of ids of each)."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(total)], sizes
+
+    def _by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each piece) of pieces in Latin letters, by the tokenizer's own BPE model.
+
+        The model gets the words of the pre-tokenizer, bytes as their stand-in characters.
+        """
+        tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for piece in pieces:
+            before = len(flat)
+            for word in LATIN_WORD.findall(piece):
+                if word.isascii():
+                    word = word.replace(" ", "\u0120").replace("\n", "\u010a")
+                else:
+                    word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+                flat += [t.id for t in tokenize(word)]
+            sizes.append(len(flat) - before)
+        return np.array(flat, np.int64), np.array(sizes, np.int64)
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+
+    def _learn(self) -> None:
+        latin, rest = [], []
+        for key in self.places.new:
+            piece = piece_of(key)
+            (latin if self.plain and LATIN_PIECE.fullmatch(piece) else rest).append((self.places[key], piece))
+        self.places.new = []
+        for found, encode in ((latin, self._by_model), (rest, self._alone)):
+            numbers = [number for number, _ in found]
+            ids, sizes = encode([piece for _, piece in found])
+            if len(sizes) == 0:
+                continue
+            while self.n_ids + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + 1, self.dtype)])
+            while len(self.places) > len(self.starts):
+                more = np.zeros(len(self.starts) + 1, np.int64)
+                self.starts, self.sizes, self.uses = (np.concatenate([v, more]) for v in (self.starts, self.sizes, self.uses))
+            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+            self.starts[numbers] = self.n_ids + np.cumsum(sizes) - sizes
+            self.sizes[numbers] = sizes
+            self.n_ids += len(ids)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        if RUN_OF_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        if self.n_pieces > MEMO_PIECES:
+        if len(self.places) > MEMO_PIECES:
             self.forget()
-        head, *rest = text.split(" ")
-        places = np.concatenate([self._places(self.first, [head], ""), self._places(self.later, rest, " ")])
-        sizes = self.sizes[places]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1])]
+        keys = piece_keys(text)
+        places = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        if self.places.new:
+            self._learn()
+        np.add.at(self.uses, places, 1)
+        return self._gather(places)[0]
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of this worker; the tasks that it runs one after the other share what it knows."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 class SequenceWriter:
@@ -209,7 +306,7 @@ def write_token_stream(
 
     def write(batches):
         part, writer = TaskContext.get().partitionId(), None
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.dtype)
         for batch in batches:
             if batch.num_rows == 0:
