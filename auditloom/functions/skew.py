@@ -1,77 +1,69 @@
-"""Time slices for keys that hold too many rows for one task.
+"""Slices of equal size for keys that hold too many rows for one task.
 
-Operators that walk a key in time order would give a hot key to one task. Here
-such keys are cut into time slices. Each slice is worked on its own and a small
-carry (one row per slice) passes from slice to slice, so results stay exact.
-Keys below the limit keep the single slice 0.
+Operators that walk a key in order would give a hot key to one task. Here the rows of such
+keys are cut by rank: a range partitioning over (key, order) deals them into
+pieces of about equal size, however they crowd in time, and the piece is written down as the slice.
+Each slice is worked on its own and a small carry (one row per slice) passes from
+slice to slice, so results stay exact. Keys below the limit keep the single slice 0.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.sizing import small_table
+from auditloom.session import settle
 
 HOT_ROWS = 8_000_000
-MAX_HOT_KEYS = 10_000
-SLICES_PER_LIMIT = 8
-MAX_SLICES = 4_096
+PIECES_PER_LIMIT = 8
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Keys above the limit, null among them, and the number of pieces for their rows."""
+
+    keys: list = field(default_factory=list)
+    pieces: int = 0
+
+    def __bool__(self) -> bool:
+        return bool(self.keys)
+
 
+NONE_HOT = Hot()
 
-def hot_keys(df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """(key, first time, slice width) of the keys with more than `hot_rows` rows.
 
-    Reads only `key` and `ts`, combined before the shuffle. At most
-    MAX_HOT_KEYS keys come back, the largest first; a key left out of that list
-    holds less than 1/MAX_HOT_KEYS of the rows. Count, minimum and maximum are
-    exact, so a recomputed task finds the same slices. A job of several operators
-    over the same rows asks once, on its input, and hands the list on.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> Hot:
+    """The keys with more than `hot_rows` rows.
+
+    Reads `key` alone, combined before the shuffle. At most rows / `hot_rows` keys reach
+    the driver. A job of several operators over the same rows asks once, on its input, and hands the answer
+    on; a job that knows its keys can state them, or NONE_HOT, and nothing runs.
     """
-    hot = (
-        df.groupBy(F.col(key).alias("_hot_key"))
-        .agg(F.count("*").alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-        .where((F.col("n") > hot_rows) & (F.col("hi") > F.col("lo")))
-        .orderBy(F.desc("n"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    cuts = []
-    for row in hot:
-        pieces = min(MAX_SLICES, -(-row.n * SLICES_PER_LIMIT // hot_rows))
-        cuts.append((row._hot_key, row.lo, max(1, -(-(row.hi - row.lo + 1) // pieces))))
-    return cuts
-
-
-def with_slices(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
-) -> tuple[DataFrame, bool]:
-    """Add `_slice` BIGINT and `_hot` BOOLEAN; also tell whether any key is hot."""
-    cuts = hot_keys(df, key, ts, hot_rows) if hot is None else hot
-    if not cuts:
+    found = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect()
+    return Hot([r["_key"] for r in found], sum(-(-r["n"] * PIECES_PER_LIMIT // hot_rows) for r in found))
+
+
+def with_slices(df: DataFrame, key: str, order: list[str], hot: Hot) -> tuple[DataFrame, bool]:
+    """Add `_slice` BIGINT and `_hot` BOOLEAN; also tell whether any key is hot.
+
+    Slices of a key follow each other in rising `order`; rows that tie in it may fall on either
+    side of a cut. With hot keys the rows are written down once before they are parted, so that
+    what made `df` does not run twice, and the hot ones once more with their slice, which a repeated task then finds unchanged.
+    """
+    if not hot:
         return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)}), False
-    schema = T.StructType(
-        [
-            T.StructField("_hot_key", df.schema[key].dataType),
-            T.StructField("_lo", T.LongType()),
-            T.StructField("_width", T.LongType()),
-        ]
-    )
-    cut_table = small_table(df.sparkSession, cuts, schema)
-    sliced = df.join(
-        F.broadcast(cut_table), F.col(key).eqNullSafe(F.col("_hot_key")), "left"
-    ).withColumns(
-        {
-            "_slice": F.coalesce(F.expr(f"(`{ts}` - _lo) div _width"), F.lit(0).cast("long")),
-            "_hot": F.col("_width").isNotNull(),
-        }
-    )
-    return sliced.drop("_hot_key", "_lo", "_width"), True
+    rows = settle(df)
+    schema = T.StructType([T.StructField("_hot_key", df.schema[key].dataType)])
+    listed = F.broadcast(small_table(df.sparkSession, [(k,) for k in hot.keys], schema))
+    same = F.col(key).eqNullSafe(F.col("_hot_key"))
+    cold = rows.join(listed, same, "left_anti").withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
+    cut = rows.join(listed, same, "left_semi").repartitionByRange(hot.pieces, key, *order)
+    sliced = settle(cut.withColumn("_slice", F.spark_partition_id().cast("long")))
+    return cold.unionByName(sliced.withColumn("_hot", F.lit(True))), True
 
 
 def join_slices(rows: DataFrame, per_slice: DataFrame, key: str) -> DataFrame:
@@ -85,32 +77,27 @@ def join_slices(rows: DataFrame, per_slice: DataFrame, key: str) -> DataFrame:
     ).drop("_side_key", "_side_slice")
 
 
-def running(
-    df: DataFrame,
+def running_sliced(
+    rows: DataFrame,
+    any_hot: bool,
     key: str,
-    ts: str,
     order: list[Column],
     local: Column,
-    frame: tuple[str, int, int],
+    frame: tuple[int, int],
     total: Column,
     carried: Column,
     combine,
     out: str,
     reverse: bool = False,
-    hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
 ) -> DataFrame:
-    """Running window value per key, with hot keys cut into slices.
+    """Running window value per key over rows that have `_slice` and `_hot`.
 
-    `local` is the window value inside a slice over `order` and `frame`
-    (`("rows" | "range", start, end)`), `total` the aggregate of one slice,
+    `local` is the window value inside a slice over `order` and the ROWS `frame`,
+    `total` the aggregate of one slice,
     `carried` the window aggregate over the `_total` of the slices before it
     (after it if `reverse`), and `combine(local, carry)` the final value.
     """
-    rows, any_hot = with_slices(df, key, ts, hot_rows, hot)
-    kind, lo, hi = frame
-    window = Window.partitionBy(key, "_slice").orderBy(*order)
-    window = window.rowsBetween(lo, hi) if kind == "rows" else window.rangeBetween(lo, hi)
+    window = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*frame)
     labelled = rows.withColumn(out, local.over(window))
     if any_hot:
         slice_order = F.col("_slice").desc() if reverse else F.col("_slice")
@@ -128,4 +115,18 @@ def running(
         labelled = join_slices(labelled, carry, key).withColumn(
             out, combine(F.col(out), F.col("_carry"))
         )
-    return labelled.drop("_slice", "_hot", "_total", "_carry")
+    return labelled.drop("_carry")
+
+
+def running(
+    df: DataFrame,
+    key: str,
+    cut_by: list[str],
+    hot_rows: int = HOT_ROWS,
+    hot: Hot | None = None,
+    **window,
+) -> DataFrame:
+    """`running_sliced` over the rows of `df`, hot keys cut along the rising columns `cut_by`."""
+    hot = hot_keys(df, key, hot_rows) if hot is None else hot
+    rows, any_hot = with_slices(df, key, cut_by, hot)
+    return running_sliced(rows, any_hot, key, **window).drop("_slice", "_hot")

@@ -2,7 +2,7 @@
 
 Both are folds: a row's fate depends on the rows before it. Keys below `hot_rows`
 are folded in one sorted pass over their partition, with the state carried
-from Arrow batch to Arrow batch. A hotter key is cut into time slices that are
+from Arrow batch to Arrow batch. A hotter key is cut into slices of equal size that are
 folded side by side, once the state at the start of each slice is known.
 
 Token bucket. One token is `period_us` units and a microsecond refills
@@ -13,10 +13,10 @@ real bucket is ahead of it by less than one token, and that lead goes through a
 slice as a monotone map of a circle of one token length (`_lead_map`), which
 composes as well.
 
-Concurrency cap. The state at a slice start is the set of end times still
-running from earlier slices. All slices are folded from a guess (nothing is running);
-slices whose start state turns out different are folded again until none is. Every
-pass settles at least one more slice; with many admissions per slice a few passes do.
+Concurrency cap. A row that starts when every interval before it has ended meets an
+empty key whatever was admitted, so a hot key falls apart there into runs that are folded side by
+side. Where a hot key never idles, its run is one fold in one task, over rows
+streamed in order with at most `limit` end times in memory: exact, but as long as the run.
 """
 
 from __future__ import annotations
@@ -28,16 +28,18 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from auditloom.functions.skew import HOT_ROWS, hot_keys, join_slices, with_slices
+from auditloom.functions.skew import HOT_ROWS, Hot, hot_keys, join_slices, running_sliced, with_slices
 from auditloom.functions.sizing import small_side
 from auditloom.session import settle
 
 NO_REFILL_RETRY = 60
+#: End of an interval that is still running.
+NEVER = 2**63 - 1
 MICROS = 1_000_000
 
 
@@ -69,7 +71,7 @@ def rate_limit_label(
     burst: int = 10,
     when: str | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add `allowed` and `retry_after` (seconds) by a token bucket per key.
 
@@ -79,12 +81,11 @@ def rate_limit_label(
     `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     token, cap, refill = bucket_units(tokens_per_period, period_us, burst)
-    cuts = hot_keys(df, key, ts, hot_rows) if hot is None else hot
-    rows, any_hot = with_slices(df, key, ts, hot=cuts)
+    hot = hot_keys(df, key, hot_rows) if hot is None else hot
+    rows, any_hot = with_slices(df, key, [ts, order], hot)
     rows = rows.withColumn("_counts", _counts(when))
     if any_hot:
-        meeting = df.where(_counts(when)).select(key, ts, order)
-        meeting = settle(_hot_rows(meeting, key, ts, order, cuts))
+        meeting = rows.where("_hot AND _counts").select(key, "_slice", ts, order)
         starts = settle(_bucket_starts(meeting, key, ts, order, token, cap, refill))
         rows = join_slices(rows, small_side(starts), key)
     else:
@@ -128,12 +129,6 @@ def _counts(when: str | None):
     return F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
 
 
-def _hot_rows(df: DataFrame, key: str, ts: str, order: str, cuts: list[tuple]) -> DataFrame:
-    """The rows of the hot keys with their slice, sorted inside each."""
-    rows, _ = with_slices(df, key, ts, hot=cuts)
-    return _sorted(rows.where("_hot"), key, [ts, order])
-
-
 def _sorted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.repartition(key, "_slice").sortWithinPartitions(key, "_slice", *order)
 
@@ -380,29 +375,20 @@ def concurrency_admit(
     retry_after: int = 5,
     when: str | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add `admitted` and `retry_after`: at most `limit` admitted rows of a key run at once.
 
     Rows are taken in order of (`start`, `order`), times are BIGINT microseconds. An
-    interval that ends at a row's start has freed its slot; a rejected row holds none.
-    With `when`, a BOOLEAN column, only rows where it is true ask for a slot.
+    interval that ends at a row's start has freed its slot; a rejected row holds none; a null end
+    means still running. With `when`, a BOOLEAN column, only rows where it is true ask for a slot.
     `hot` is a ready answer of `functions.skew.hot_keys`.
     """
     limit = max(1, limit)
-    cuts = hot_keys(df, key, start, hot_rows) if hot is None else hot
-    if cuts:
-        asking = df.where(_counts(when)).select(key, start, end, order)
-        asking = settle(_hot_rows(asking, key, start, order, cuts))
-        cuts = _widened(asking, key, start, end, cuts)
-        sliced, _ = with_slices(asking.drop("_slice", "_hot"), key, start, hot=cuts)
-        states = _slot_starts(sliced, key, start, end, order, limit)
-    rows, any_hot = with_slices(df, key, start, hot=cuts)
-    rows = rows.withColumn("_counts", _counts(when))
+    hot = hot_keys(df, key, hot_rows) if hot is None else hot
+    rows, any_hot = with_slices(df.withColumn("_counts", _counts(when)), key, [start, order], hot)
     if any_hot:
-        rows = _with_running(join_slices(rows, small_side(states), key), start)
-    else:
-        rows = rows.withColumn("_running", F.lit(None).cast("string"))
+        rows = _with_runs(rows, key, start, end, order)
     out = T.StructType(
         [
             *df.schema.fields,
@@ -415,19 +401,13 @@ def concurrency_admit(
     def fold(batches):
         group, running = None, []
         for batch in batches:
-            needed = (start, end, "_counts")
-            begins, ends, counts = [batch.column(c).to_pylist() for c in needed]
+            begins, ends, counts = (batch.column(c).to_pylist() for c in (start, end, "_counts"))
             admitted = [False if c else None for c in counts]
             for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
-                    group, running = (k, piece), None
-                asking = [i for i in range(at, to) if counts[i]]
-                if not asking:
-                    continue
-                if running is None:
-                    running = _end_times(batch.column("_running")[asking[0]].as_py())
-                for i in take_slots([begins[i] for i in asking], [ends[i] for i in asking], running, limit):
-                    admitted[asking[i]] = True
+                    group, running = (k, piece), []
+                for i in take_slots(begins, ends, [i for i in range(at, to) if counts[i]], running, limit):
+                    admitted[i] = True
             retry = [None if ok is None else 0 if ok else retry_after for ok in admitted]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
@@ -438,136 +418,108 @@ def concurrency_admit(
     return _sorted(rows.drop("_hot"), key, [start, order]).mapInArrow(fold, out)
 
 
-def take_slots(begins: list, ends: list, running: list, limit: int) -> list[int]:
-    """Positions of the admitted rows; `running`, a heap of end times, is brought up to date."""
-    taken, i = [], 0
-    while i < len(begins):
+def take_slots(begins: list, ends: list, asking: list[int], running: list, limit: int) -> list[int]:
+    """The rows among `asking` that are admitted; `running`, a heap of end times, is brought up to date."""
+    taken, n = [], 0
+    while n < len(asking):
+        i = asking[n]
         while running and running[0] <= begins[i]:
             heappop(running)
         if len(running) < limit:
             taken.append(i)
-            heappush(running, ends[i])
-            i += 1
+            heappush(running, NEVER if ends[i] is None else ends[i])
+            n += 1
         else:
             # Every row before the first slot is free is rejected.
-            i = bisect_left(begins, running[0], i + 1)
+            n = bisect_left(asking, running[0], n + 1, key=begins.__getitem__)
     return taken
 
 
-HOLDS_PER_SLICE = 64
-SLICES_AT_LEAST = 256
-
-
-def _widened(asking, key, start, end, cuts) -> list[tuple]:
-    """Slices long enough for many admissions, so that few start states are guessed wrong.
+def _with_runs(rows: DataFrame, key: str, start: str, end: str, order: str) -> DataFrame:
+    """Make `_slice` of the hot rows the number of their run.
 
-    A slice covers at least HOLDS_PER_SLICE mean intervals of its key, unless that
-    would leave fewer than SLICES_AT_LEAST slices.
+    A run begins where an asking row starts at or after the end of every asking row before
+    it. Both the latest end so far and the number of runs so far are running values over slices.
     """
-    held = (
-        asking.groupBy(key)
-        .agg(
-            F.avg(F.greatest(F.col(end) - F.col(start), F.lit(0).cast("long"))).alias("held"),
-            (F.max(start) - F.min(start)).alias("span"),
-        )
-        .collect()
+    first, here = Window.unboundedPreceding, Window.currentRow
+    sequence = [F.col(start), F.col(order)]
+    until = F.when(F.col("_counts"), F.coalesce(F.col(end), F.lit(NEVER)))
+    hot = running_sliced(
+        rows.where("_hot"), True, key, order=sequence, local=F.max(until), frame=(first, -1),
+        total=F.max(until), carried=F.max("_total"), combine=F.greatest, out="_until",
+    )
+    begins = F.col("_counts") & F.coalesce(F.col(start) >= F.col("_until"), F.lit(True))
+    hot = settle(hot.withColumn("_begins", begins.cast("long")).drop("_until"))
+    hot = running_sliced(
+        hot, True, key, order=sequence, local=F.sum("_begins"), frame=(first, here),
+        total=F.sum("_begins"), carried=F.sum("_total"),
+        combine=lambda local, carry: local + F.coalesce(carry, F.lit(0).cast("long")), out="_run",
     )
-    least = {
-        row[key]: min(int(row.held * HOLDS_PER_SLICE), row.span // SLICES_AT_LEAST) for row in held
-    }
-    return [(k, lo, max(width, least.get(k, 0))) for k, lo, width in cuts]
+    hot = hot.withColumn("_slice", F.col("_run")).drop("_begins", "_run")
+    return rows.where("NOT _hot").unionByName(hot)
 
 
-def _with_running(rows: DataFrame, start: str) -> DataFrame:
-    """Keep `_running` on the first rows of a slice only, as text.
+def throttle_label(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    end: str,
+    order: str,
+    tokens_per_period: int = 30,
+    period_us: int = 60 * MICROS,
+    burst: int = 10,
+    limit: int = 3,
+    slot_retry: int = 5,
+    when: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    hot: Hot | None = None,
+) -> DataFrame:
+    """`rate_limit_label`, then `concurrency_admit` of the rows it allows, in one fold.
 
-    An array column would be slow to hand to Python, also where it is null.
+    Adds `rate_allowed`, `rate_retry_after`, `slot_admitted` and `slot_retry_after`. Both limits have the same
+    key and order, so one shuffle serves both; only with hot keys the two run one after the other. All
+    columns of `df` go through the fold: hand in a narrow table.
     """
-    listed = F.array_join(F.col("_running").cast("array<string>"), ",")
-    return rows.withColumn("_running", F.when(F.col(start) == F.col("first"), listed)).drop("first")
-
-
-def _end_times(text: str | None) -> list[int]:
-    return sorted(int(e) for e in text.split(",")) if text else []
-
-
-def _slot_starts(hot, key, start, end, order, limit) -> DataFrame:
-    """`(key, _slice, first, _running)`: end times running into each hot slice."""
-    hot = hot.select(key, "_slice", start, end, order)
-    key_field = T.StructField(key, hot.schema[key].dataType)
-    long, longs = T.LongType(), T.ArrayType(T.LongType())
-    state_fields = [
-        T.StructField("_running", longs),
-        T.StructField("first", long),
-        T.StructField("last", long),
-        T.StructField("starts", longs),
-        T.StructField("ends", longs),
-    ]
-    folded = T.StructType([key_field, T.StructField("_slice", long), *state_fields])
-    chained = T.StructType([*folded.fields, T.StructField("changed", T.BooleanType())])
-
-    def run_slices(batches):
-        def begin(row):
-            before = _end_times(row[2])
-            return before, row[0], row[0], list(before), []
-
-        def each(state, group_rows):
-            before, first, _, running, own = state
-            begins, ends = [r[0] for r in group_rows], [r[1] for r in group_rows]
-            own += [(begins[i], ends[i]) for i in take_slots(begins, ends, running, limit)]
-            own = [o for o in own if o[1] > begins[-1]]
-            return before, first, begins[-1], running, own
-
-        def finish(state):
-            before, first, last, _, own = state
-            return [(before, first, last, [s for s, _ in own], [e for _, e in own])]
-
-        return _per_group(
-            batches, key, [start, end, "_running"], begin, each, finish, to_arrow_schema(folded)
+    hot = hot_keys(df, key, hot_rows) if hot is None else hot
+    names = {"allowed": "rate_allowed", "retry_after": "rate_retry_after"}
+    if hot:
+        limited = rate_limit_label(df, key, ts, order, tokens_per_period, period_us, burst, when, hot=hot)
+        admitted = concurrency_admit(
+            limited.withColumnsRenamed(names), key, ts, end, order, limit, slot_retry, "rate_allowed", hot=hot
         )
+        return admitted.withColumnsRenamed({"admitted": "slot_admitted", "retry_after": "slot_retry_after"})
+    token, cap, refill = bucket_units(tokens_per_period, period_us, burst)
+    limit, kept = max(1, limit), df.columns
+    added = {"rate_allowed": pa.bool_(), "rate_retry_after": pa.int32(), "slot_admitted": pa.bool_(), "slot_retry_after": pa.int32()}
+    kinds = (T.BooleanType(), T.IntegerType()) * 2
+    out = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds))])
 
-    def refold(part):
-        return _sorted(part, key, [start, order]).mapInArrow(run_slices, folded)
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        # What earlier slices leave running, as far as slots were free for it. Once
-        # those slices are right nothing is left out here, so a pass without a
-        # change proves every slice, from the first one on.
-        part = part.sort_values("_slice")
-        live, states, changed, all_starts, all_ends = [], [], [], [], []
-        columns = [part[c] for c in ("_running", "first", "last", "starts", "ends")]
-        for before, first, last, starts, ends in zip(*columns):
-            state = sorted(e for e in live if e > first)
-            differs = state != [int(e) for e in before]
-            if differs and len(state) >= limit and state[0] > last:
-                # Full from its first row to its last: nothing is admitted, no need to look.
-                differs, starts, ends = False, [], []
-            states.append(state)
-            changed.append(differs)
-            all_starts.append([int(s) for s in starts])
-            all_ends.append([int(e) for e in ends])
-            for at, finish in zip(all_starts[-1], all_ends[-1]):
-                live = [e for e in live if e > at]
-                if len(live) < limit:
-                    live.append(finish)
-        part["_running"], part["starts"], part["ends"] = states, all_starts, all_ends
-        part["changed"] = changed
-        return part
+    def fold(batches):
+        group, units, last, running = None, cap, None, []
+        for batch in batches:
+            times, ends, counts = (batch.column(c).to_pylist() for c in (ts, end, "_counts"))
+            allowed, wait = [None] * len(times), [None] * len(times)
+            admitted, slot_wait = [None] * len(times), [None] * len(times)
+            for k, piece, at, to in _runs(batch, key):
+                if group != (k, piece):
+                    group, units, last, running = (k, piece), cap, None, []
+                asking = []
+                for i in range(at, to):
+                    if counts[i]:
+                        now = times[i]
+                        gap = 0 if last is None else now - last
+                        allowed[i], wait[i], units = bucket_step(units, gap, token, cap, refill)
+                        last = now if last is None or now > last else last
+                        if allowed[i]:
+                            asking.append(i)
+                            admitted[i], slot_wait[i] = False, slot_retry
+                for i in take_slots(times, ends, asking, running, limit):
+                    admitted[i], slot_wait[i] = True, 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept]
+                + [pa.array(v, k) for v, k in zip((allowed, wait, admitted, slot_wait), added.values())],
+                names=[*kept, *added],
+            )
 
-    states = refold(hot.withColumn("_running", F.lit(None).cast("string")))
-    while True:
-        states = settle(states.groupBy(key).applyInPandas(chain, chained))
-        changed = states.where("changed")
-        count, first, last = changed.agg(F.count("*"), F.min("first"), F.max("last")).first()
-        if count == 0:
-            return states.select(key, "_slice", "first", "_running")
-        # The rows lie sorted in their files, so the time range skips what has settled.
-        again = hot.where(F.col(start).between(first, last)).join(
-            small_side(
-                changed.select(
-                    F.col(key).alias("_k"), F.col("_slice").alias("_s"), "first", "_running"
-                )
-            ),
-            F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")),
-        ).drop("_k", "_s")
-        states = refold(_with_running(again, start)).unionByName(states.where("NOT changed").drop("changed"))
+    rows, _ = with_slices(df.withColumn("_counts", _counts(when)), key, [ts, order], hot)
+    return _sorted(rows.drop("_hot"), key, [ts, order]).mapInArrow(fold, out)

@@ -1,6 +1,6 @@
 """Keyed state over time that built-in windows and joins can express.
 
-Times are BIGINT microseconds. Every per-key window goes through time slices
+Times are BIGINT microseconds. Every per-key window goes through slices of equal size
 for keys above `hot_rows`; `hot` takes a ready answer of `functions.skew.hot_keys`.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.skew import HOT_ROWS, running
+from auditloom.functions.skew import HOT_ROWS, Hot, running
 
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
@@ -20,11 +20,12 @@ def concurrency_profile(
     start: str,
     end: str,
     hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Active intervals [start, end) per key after each change point: `(key, t_us, active)`.
 
-    Starts and ends at the same instant are netted, and combined before the shuffle.
+    Starts and ends at the same instant are netted, and combined before the shuffle. An
+    interval with a null end is still running: it counts from its start on.
     """
     points = (
         df.select(
@@ -33,22 +34,24 @@ def concurrency_profile(
                 F.array(
                     F.struct(F.col(start).alias("t_us"), F.lit(1).cast("long").alias("_d")),
                     F.struct(
-                        F.greatest(start, end).alias("t_us"), F.lit(-1).cast("long").alias("_d")
+                        F.when(F.col(end).isNotNull(), F.greatest(start, end)).alias("t_us"),
+                        F.lit(-1).cast("long").alias("_d"),
                     ),
                 )
             ).alias("_p"),
         )
         .select(key, "_p.*")
+        .where(F.col("t_us").isNotNull())
         .groupBy(key, "t_us")
         .agg(F.sum("_d").alias("_delta"))
     )
     return running(
         points,
         key,
-        "t_us",
+        ["t_us"],
         order=[F.col("t_us")],
         local=F.sum("_delta"),
-        frame=("rows", FIRST, HERE),
+        frame=(FIRST, HERE),
         total=F.sum("_delta"),
         carried=F.sum("_total"),
         combine=lambda local, carry: local + F.coalesce(carry, F.lit(0).cast("long")),
@@ -74,7 +77,7 @@ def deadline_absence(
     is_confirm: Column,
     grace_us: int,
     hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Every arm row with `due_us`, `confirm_us` and `outcome` (confirmed, rollback).
 
@@ -87,13 +90,13 @@ def deadline_absence(
     looked = running(
         kept,
         key,
-        ts,
-        order=[F.col(ts).desc()],
+        [ts, "_confirm"],  # at the same instant confirms come after the arms they confirm
+        order=[F.col(ts).desc(), F.col("_confirm").desc()],
         local=F.min(confirm_ts),
-        frame=("range", FIRST, HERE),
+        frame=(FIRST, HERE),
         total=F.min(confirm_ts),
         carried=F.min("_total"),
-        combine=lambda local, carry: F.coalesce(local, carry),
+        combine=F.coalesce,
         out="confirm_us",
         reverse=True,
         hot_rows=hot_rows,
@@ -148,7 +151,7 @@ def early_retry(
     allowed: str = "allowed",
     retry_after: str = "retry_after",
     hot_rows: int = HOT_ROWS,
-    hot: list[tuple] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add `denied_us`, `wait_left_us` and `early`: sent before the key's previous
     denial had run out of its retry_after."""
@@ -159,10 +162,10 @@ def early_retry(
     looked = running(
         df,
         key,
-        ts,
+        [ts, order],
         order=[F.col(ts), F.col(order)],
         local=F.last(denial, ignorenulls=True),
-        frame=("rows", FIRST, -1),
+        frame=(FIRST, -1),
         total=F.max_by(denial, F.when(~F.col(allowed), sequence)),
         carried=F.last("_total", ignorenulls=True),
         combine=lambda local, carry: F.coalesce(local, carry),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.sizing import small_table
-from auditloom.functions.skew import HOT_ROWS, hot_keys
-from auditloom.operators.admission import concurrency_admit, rate_limit_label
+from auditloom.functions.skew import HOT_ROWS, Hot, hot_keys
+from auditloom.operators.admission import rate_limit_label, throttle_label
 from auditloom.operators.requests import (
     grant_derive,
     profile_resolve,
@@ -40,7 +40,10 @@ def request_lifecycle(
     ip_key: str | None = None,
     ip_tokens_per_period: int = 0,
     ip_burst: int = 20,
+    carry: tuple[str, ...] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: Hot | None = None,
+    hot_ips: Hot | None = None,
 ) -> DataFrame:
     """Validate, resolve and grant every request, then throttle and classify it.
 
@@ -48,24 +51,31 @@ def request_lifecycle(
     the request fields. Only requests past authentication and schema meet
     the bucket, only those it allows ask for a slot. With `ip_key` and a positive
     `ip_tokens_per_period`, every readable request meets a bucket of its address
-    first. Everything before the per-key folds is narrow; each fold shuffles once.
+    first. The folds get identifiers, times and flags alone; one shuffle serves both
+    limits of a key. The result has request_id, status, error, retry_after and the columns in `carry`, which go through
+    the folds too. Without `carry` it has all columns, joined back by request_id, which must then be unique.
     """
-    hot = hot_keys(requests, key, "ts_us", hot_rows)
     checked = grant_derive(profile_resolve(request_validate(requests), profiles, host_cpus))
     readable = ~F.coalesce("is_corrupt", F.lit(False))
+    flags = [c for c in ("is_corrupt", "token_set", "auth_ok", "valid", "bad_base64") if c in checked.columns]
+    own = list(dict.fromkeys(["request_id", key, "ts_us", "end_us", *flags, *(carry or ())]))
     accepted = readable & F.coalesce("auth_ok", F.lit(True)) & F.col("valid")
     if ip_key is not None and ip_tokens_per_period > 0:
-        checked = rate_limit_label(
-            checked.withColumn("_readable", readable),
-            ip_key, "ts_us", "request_id", ip_tokens_per_period, period_us, ip_burst, when="_readable",
-            hot=hot_keys(requests, ip_key, "ts_us", hot_rows),
+        hot_ips = hot_keys(requests, ip_key, hot_rows) if hot_ips is None else hot_ips
+        checked_ip = checked.select(*dict.fromkeys([*own, ip_key]), readable.alias("_readable"))
+        narrow = rate_limit_label(
+            checked_ip, ip_key, "ts_us", "request_id", ip_tokens_per_period, period_us, ip_burst, when="_readable", hot=hot_ips
         ).withColumnsRenamed({"allowed": "ip_allowed", "retry_after": "ip_retry_after"}).drop("_readable")
         accepted = accepted & F.coalesce("ip_allowed", F.lit(True))
-    limited = rate_limit_label(
-        checked.withColumn("_accepted", accepted),
-        key, "ts_us", "request_id", tokens_per_period, period_us, burst, when="_accepted", hot=hot,
-    ).withColumnsRenamed({"allowed": "rate_allowed", "retry_after": "rate_retry_after"})
-    admitted = concurrency_admit(
-        limited, key, "ts_us", "end_us", "request_id", limit, when="rate_allowed", hot=hot
-    ).withColumnsRenamed({"admitted": "slot_admitted", "retry_after": "slot_retry_after"})
-    return status_classify(admitted.drop("_accepted"))
+    else:
+        narrow = checked.select(*own)
+    hot = hot_keys(requests, key, hot_rows) if hot is None else hot
+    throttled = throttle_label(
+        narrow.withColumn("_accepted", accepted), key, "ts_us", "end_us", "request_id",
+        tokens_per_period, period_us, burst, limit, when="_accepted", hot=hot,
+    )
+    judged = status_classify(throttled.drop("_accepted"))
+    if carry is not None:
+        return judged.select("request_id", *[c for c in carry if c != "request_id"], "status", "error", "retry_after")
+    labels = [c for c in judged.columns if c not in checked.columns]
+    return checked.join(judged.select("request_id", *labels), "request_id")

@@ -170,17 +170,15 @@ SELECT request_id, coalesce(exit_code, -1) AS exit_code_eff,
 FROM requests_v"""
 
 
-def _lifecycle(spark, sf):
+def _lifecycle(spark, sf, carry):
     return request_lifecycle(
         view(spark, sf, "requests_v"), profile_table(spark), HOST_CPUS,
-        tokens_per_period=2, period_us=DAY_US, burst=2, limit=2,
+        tokens_per_period=2, period_us=DAY_US, burst=2, limit=2, carry=carry,
     )
 
 
 def status_classify(spark, sf):
-    return _lifecycle(spark, sf).select(
-        "request_id", "status", "error", "retry_after", "image_eff", "timeout_eff"
-    )
+    return _lifecycle(spark, sf, ("image_eff", "timeout_eff"))
 
 
 def status_ip_limit(spark, sf):
@@ -188,14 +186,14 @@ def status_ip_limit(spark, sf):
     requests_v = view(spark, sf, "requests_v").withColumn("ip", F.expr("k div 4"))
     judged = request_lifecycle(
         requests_v, profile_table(spark), HOST_CPUS, tokens_per_period=2, period_us=DAY_US, burst=2, limit=2,
-        ip_key="ip", ip_tokens_per_period=9, ip_burst=5,
+        ip_key="ip", ip_tokens_per_period=9, ip_burst=5, carry=(),
     )
-    return judged.select("request_id", "status", "error", "retry_after")
+    return judged
 
 
 def status_counts(spark, sf):
     return (
-        _lifecycle(spark, sf)
+        _lifecycle(spark, sf, ("image_eff",))
         .groupBy("status", "image_eff")
         .agg(F.count("*").alias("n"), F.sum("retry_after").alias("wait_s"))
     )
@@ -221,7 +219,7 @@ labelled{tag} AS (SELECT k, request_id, ts_us, level >= {token} AS allowed,
 
 def slots_sql(source: str, limit: int) -> str:
     """Recursive CTEs for the concurrency cap over `source(k, request_id, ts_us, end_us)`."""
-    return f"""queued AS (SELECT k, request_id, ts_us, end_us,
+    return f"""queued AS (SELECT k, request_id, ts_us, coalesce(end_us, 9223372036854775807) AS end_us,
   row_number() OVER (PARTITION BY k ORDER BY ts_us, request_id) AS rn FROM {source}),
 slots AS (
  SELECT rn, k, request_id, true AS admitted, [end_us] AS ends FROM queued WHERE rn = 1

@@ -25,7 +25,7 @@ RATE_LIMIT_LABEL = f"{BUCKET_BASE} SELECT request_id, k, ts_us, allowed, retry_a
 
 def early_retry(spark, sf):
     # One count of the keys serves both operators.
-    hot = hot_keys(view(spark, sf, "requests_v"), "k", "ts_us")
+    hot = hot_keys(view(spark, sf, "requests_v"), "k")
     labelled = rate_limit_label(spark, sf, hot)
     return state.early_retry(labelled, "k", "ts_us", "request_id", hot=hot).select(
         "request_id", "denied_us", "wait_left_us", "early"
@@ -56,7 +56,7 @@ def concurrency_profile(spark, sf):
 
 
 PROFILE_BASE = f"""WITH {with_views('requests_v')}, points AS (
- SELECT k, ts_us AS t_us, 1 AS d FROM requests_v UNION ALL SELECT k, end_us, -1 FROM requests_v),
+ SELECT k, ts_us AS t_us, 1 AS d FROM requests_v UNION ALL SELECT k, end_us, -1 FROM requests_v WHERE end_us IS NOT NULL),
 netted AS (SELECT k, t_us, sum(d) AS d FROM points GROUP BY k, t_us),
 profile AS (SELECT k, t_us, CAST(sum(d) OVER (PARTITION BY k ORDER BY t_us) AS BIGINT) AS active FROM netted)"""
 CONCURRENCY_PROFILE = f"{PROFILE_BASE} SELECT k, t_us, active FROM profile"

@@ -39,7 +39,7 @@ SELECT event_id AS request_id, user_id AS k, {US} AS ts_us,
   WHEN event_id % 31 = 0 THEN NULL ELSE 0 END AS exit_code,
  CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('SCAN-DONE ', props) END AS stdout,
  CASE WHEN event_id % 9 = 0 THEN concat('warn ', event_type) ELSE '' END AS stderr,
- {US} + CAST(floor(value * 1000) AS BIGINT) * 3600000 AS end_us
+ CASE WHEN event_id % 211 = 0 THEN NULL ELSE {US} + CAST(floor(value * 1000) AS BIGINT) * 3600000 END AS end_us
 FROM events""",
     # The same requests as JSON bodies, some ill-typed, some cut off.
     "bodies_v": """
