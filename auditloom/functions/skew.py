@@ -130,3 +130,28 @@ def running(
     hot = hot_keys(df, key, hot_rows) if hot is None else hot
     rows, any_hot = with_slices(df, key, cut_by, hot)
     return running_sliced(rows, any_hot, key, **window).drop("_slice", "_hot")
+
+
+SALTS = 64
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot_rows: int = HOT_ROWS // 16) -> DataFrame:
+    """Left join of `rows` with `side`, which has one row per value of `key`, without a hot task.
+
+    Values with more than `hot_rows` rows and a thousandth of all, at most HOT_SHARE
+    of them, are spread over SALTS tasks; their row of `side` is copied as often.
+    """
+    counts = rows.groupBy(F.col(key).alias("_value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    top = counts.orderBy(F.desc("n")).limit(HOT_SHARE).collect()
+    hot = [r["_value"] for r in top if r["_value"] is not None]
+    if not hot:
+        return rows.join(side, key, "left")
+
+    def is_hot(column: Column) -> Column:
+        return F.coalesce(column.isin(*hot), F.lit(False))
+
+    salt = F.when(is_hot(F.col(key)), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    salts = F.when(is_hot(F.col(key)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.withColumn("_salt", salt.cast("int"))
+    return salted.join(side.withColumn("_salt", F.explode(salts)), [key, "_salt"], "left").drop("_salt")

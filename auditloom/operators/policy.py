@@ -7,9 +7,9 @@ from ipaddress import ip_network
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.net import block_size, cidr_bounds
-from auditloom.functions.sizing import policy_rows, small_side, small_table
-from auditloom.session import settle
+from auditloom.functions.net import LAST_ADDRESS, aligned_blocks, cidr_bounds, network_of
+from auditloom.functions.sizing import is_small, policy_rows, small_side, small_table
+from auditloom.functions.skew import HOT_ROWS, Hot, running, spread_join
 
 # Fixed values of the egress policy.
 SOURCE_SUBNET = "172.31.255.0/24"
@@ -25,7 +25,6 @@ RAW_BLOCKS = ("100.64.0.0/10",)
 RULE_PREF, TUNNEL_TABLE = 1000, "51820"
 
 RANGE_JOIN_BLOCKS = 64
-HOUR_US = 3_600_000_000
 
 
 def range_of(cidr: str) -> tuple[int, int]:
@@ -47,23 +46,34 @@ def with_bounds(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
 
 
 def cidr_match(df: DataFrame, ip_col: str, cidrs: DataFrame) -> DataFrame:
-    """Rows of `df` joined to every block that holds the address.
+    """Rows of `df` joined to every range that holds the address.
 
-    `cidrs` has cidr, prefix_len, lo, hi. A short list is a broadcast range join.
-    A longer one is an equi join on (prefix length, network address), tried once
-    per distinct prefix length (33 at most), so its cost does not grow with the list.
+    `cidrs` has lo and hi, of any alignment, and other columns of its own; a range without both ends
+    holds nothing, and neither does any range hold what is no IPv4 number. A short list is a broadcast
+    range join. A longer one is cut into aligned blocks and met by an equi join on (host bits, network),
+    at most 33 probes per address however long the list. Blocks too many to
+    broadcast are probed by the distinct addresses.
     """
-    if policy_rows(cidrs.select("cidr"), RANGE_JOIN_BLOCKS) is not None:
-        return df.join(F.broadcast(cidrs), F.col(ip_col).between(F.col("lo"), F.col("hi")))
-    lengths = [r[0] for r in cidrs.select("prefix_len").distinct().limit(33).collect()]
-    size = block_size(F.col("_len"))
-    probes = df.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))).withColumn(
-        "_net", F.col(ip_col) - F.col(ip_col) % size
-    )
-    joined = probes.join(
-        small_side(cidrs), (F.col("_len") == F.col("prefix_len")) & (F.col("_net") == F.col("lo"))
-    )
-    return joined.drop("_len", "_net")
+    if policy_rows(cidrs.select("lo"), RANGE_JOIN_BLOCKS) is not None:
+        ip = F.col(ip_col)
+        held = ip.between(F.col("lo"), F.col("hi")) & ip.between(0, LAST_ADDRESS)
+        return df.join(F.broadcast(cidrs), held)
+    blocks = aligned_blocks(cidrs)
+    bits = [r["_bits"] for r in blocks.select("_bits").distinct().collect()]  # 33 values at most
+    if is_small(blocks):
+        return _probe(df, ip_col, F.broadcast(blocks), bits)
+    held = _probe(df.select(F.col(ip_col)).distinct(), ip_col, blocks, bits)
+    found = held.groupBy(ip_col).agg(F.collect_list(F.struct(*cidrs.columns)).alias("_found"))
+    return spread_join(df, found, ip_col).select(*df.columns, F.inline("_found"))
+
+
+def _probe(df: DataFrame, ip_col: str, blocks: DataFrame, bits: list[int]) -> DataFrame:
+    listed = F.array(*[F.lit(n) for n in sorted(bits)]).cast("array<int>")
+    ip = F.col(ip_col)
+    probes = df.where(ip.between(0, LAST_ADDRESS)).withColumn("_p_bits", F.explode(listed))
+    probes = probes.withColumn("_p_net", network_of(ip, F.col("_p_bits")))
+    joined = probes.join(blocks, (F.col("_p_bits") == F.col("_bits")) & (F.col("_p_net") == F.col("_net")))
+    return joined.drop("_p_bits", "_p_net", "_bits", "_net")
 
 
 def _within(ip: Column, lo: int, hi: int) -> Column:
@@ -111,13 +121,13 @@ def egress_verdict(
             hit[stage] = F.coalesce(*tests) if tests else F.lit(None).cast("string")
     else:
         # A long list: find the first block of each stage per distinct address.
-        found = cidr_match(df.select("dst_ip").distinct(), "dst_ip", blocks)
+        found = cidr_match(df.select("dst_ip").distinct(), "dst_ip", blocks.select("stage", "seq", "cidr", "lo", "hi"))
         first = {
             stage: F.max_by("cidr", F.when(F.col("stage") == stage, F.col("seq"))).alias(f"_{stage}")
             for stage in ("raw", "forward")
         }
         per_address = found.groupBy("dst_ip").agg(*first.values())
-        rows = df.join(per_address, "dst_ip", "left")
+        rows = spread_join(df, per_address, "dst_ip")
         hit = {stage: F.col(f"_{stage}") for stage in first}
     chosen = (
         F.when(~scoped, passed)
@@ -135,62 +145,49 @@ def toggle_asof(
     ts: str,
     scope: str,
     change_order: str,
-    bucket_us: int = HOUR_US,
+    hot_rows: int = HOT_ROWS,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add `kill_switch`: the switch state of the flow's scope at its time.
 
-    `up` turns it on, `disable` off, `down` leaves it, and it starts off. Changes
-    become periods [from, to) cut at bucket borders, so each flow meets its
-    period in an equi join on (scope, bucket). The flows are shuffled only if the
-    periods are too many to broadcast, and then a busy scope spreads over its buckets.
+    `up` turns it on, `disable` off, `down` leaves it, and it starts off; of changes at one
+    instant the last by `change_order` counts. A short list of changes is a broadcast join of their
+    periods. A longer one runs along with the flows: one row per flow and change, the
+    last change carried on in order of time, a busy scope cut into slices.
     """
     effective = (
-        changes.where(F.col("action").isin("up", "disable"))
+        changes.where(F.col("action").isin("up", "disable") & F.col(scope).isNotNull() & F.col(ts).isNotNull())
         .groupBy(F.col(scope).alias("_scope"), F.col(ts).alias("_from"))
         .agg(F.max_by(F.col("action") == "up", F.col(change_order)).alias("_on"))
-        .withColumn("_bucket", F.expr(f"_from div {bucket_us}"))
-    )
-    inside = Window.partitionBy("_scope", "_bucket").orderBy("_from")
-    first_in_bucket = effective.groupBy("_scope", "_bucket").agg(F.min("_from").alias("_first"))
-    after = Window.partitionBy("_scope").orderBy("_bucket")
-    following = first_in_bucket.select(
-        "_scope", "_bucket", F.lead("_first").over(after).alias("_next_first")
-    )
-    periods = (
-        effective.withColumn("_next", F.lead("_from").over(inside))
-        .join(following, ["_scope", "_bucket"])
-        .withColumn("_to", F.coalesce("_next", "_next_first"))
-        .select("_scope", "_from", "_to", "_on")
-    )
-    # Written once: both sizes below and the join itself read it.
-    periods = settle(periods)
-    closed = periods.where(F.col("_to").isNotNull()).withColumn(
-        "_bucket",
-        F.explode(F.expr(f"sequence(_from div {bucket_us}, (_to - 1) div {bucket_us})")),
-    )
-    final = periods.where(F.col("_to").isNull()).select(
-        F.col("_scope").alias("_last_scope"),
-        F.col("_from").alias("_last_from"),
-        F.col("_on").alias("_last_on"),
     )
-    columns = flows.columns
-    at = F.col(ts)
-    joined = flows.withColumn("_at_bucket", F.expr(f"`{ts}` div {bucket_us}")).join(
-        small_side(closed),
-        (F.col(scope) == F.col("_scope"))
-        & (F.col("_at_bucket") == F.col("_bucket"))
-        & (at >= F.col("_from"))
-        & (at < F.col("_to")),
-        "left",
-    )
-    joined = joined.join(
-        small_side(final),
-        (F.col(scope) == F.col("_last_scope")) & (at >= F.col("_last_from")),
-        "left",
+    columns, at = flows.columns, F.col(ts)
+    if policy_rows(effective) is not None:
+        periods = effective.withColumn("_to", F.lead("_from").over(Window.partitionBy("_scope").orderBy("_from")))
+        held = (
+            (F.col(scope) == F.col("_scope")) & (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
+        )
+        joined = flows.join(F.broadcast(periods), held, "left")
+        return joined.select(*columns, F.coalesce("_on", F.lit(False)).alias("kill_switch"))
+    marks = effective.select(F.col("_scope").alias(scope), F.col("_from").alias(ts), "_on")
+    both = flows.withColumn("_is_flow", F.lit(True)).unionByName(
+        marks.withColumn("_is_flow", F.lit(False)), allowMissingColumns=True
     )
-    return joined.select(
-        *columns, F.coalesce("_on", "_last_on", F.lit(False)).alias("kill_switch")
+    first, here = Window.unboundedPreceding, Window.currentRow
+    carried = running(
+        both,
+        scope,
+        [ts, "_is_flow"],  # a change counts from its own instant on
+        hot_rows=hot_rows,
+        hot=hot,
+        order=[at, F.col("_is_flow")],
+        local=F.last("_on", ignorenulls=True),
+        frame=(first, here),
+        total=F.max_by("_on", F.when(F.col("_on").isNotNull(), at)),
+        carried=F.last("_total", ignorenulls=True),
+        combine=F.coalesce,
+        out="_state",
     )
+    return carried.where("_is_flow").select(*columns, F.coalesce("_state", F.lit(False)).alias("kill_switch"))
 
 
 def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFrame:
@@ -198,12 +195,13 @@ def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFram
 
     `rules` has pref, src_lo, src_hi, table_name; `routes` has table_name,
     prefix_len, lo, hi, via. Rules are tried by rising pref, and inside a table
-    the longest prefix wins. Reads src_ip and dst_ip.
+    the longest prefix wins. Reads src_ip and dst_ip. Without a rule or a route both columns are null.
     """
     paths = rules.join(routes, "table_name").select(
         "pref", "table_name", "src_lo", "src_hi", "prefix_len", "lo", "hi", "via"
     )
     short = policy_rows(paths)
+    path_type = "struct<table_name: string, via: string>"
     if short is not None:
         ordered = sorted(short, key=lambda p: (p["pref"], -p["prefix_len"], p["via"]))
         tests = [
@@ -214,20 +212,43 @@ def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFram
             )
             for p in ordered
         ]
-        return df.withColumn("_path", F.coalesce(*tests)).select(*df.columns, "_path.*")
-    # Many routes: longest prefix per (table, address), then the lowest rule.
-    addresses = df.select("src_ip", "dst_ip").distinct()
-    by_prefix = cidr_match(
-        addresses, "dst_ip", routes.withColumn("cidr", F.concat_ws("/", "lo", "prefix_len"))
+        path = F.coalesce(*tests) if tests else F.lit(None).cast(path_type)
+        return df.withColumn("_path", path).select(*df.columns, "_path.*")
+    # Many routes: the rules of each source first, no further than the first table with a default route.
+    sources = df.select("src_ip").distinct()
+    ruled = cidr_match(sources, "src_ip", rules.select("pref", "table_name", F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi")))
+    defaults = (
+        routes.where((F.col("lo") <= 0) & (F.col("hi") >= LAST_ADDRESS))
+        .select(F.col("table_name").alias("_default_table"))
+        .distinct()
     )
-    ruled = by_prefix.join(small_side(rules), "table_name").where(
-        F.col("src_ip").between(F.col("src_lo"), F.col("src_hi"))
+    last = F.min(F.when(F.col("_default_table").isNotNull(), F.col("pref"))).over(Window.partitionBy("src_ip"))
+    reached = (
+        ruled.select("src_ip", "pref", "table_name")
+        .join(small_side(defaults), F.col("table_name") == F.col("_default_table"), "left")
+        .withColumn("_last", last)
+        .where(F.col("_last").isNull() | (F.col("pref") <= F.col("_last")))
+        .select("src_ip", "pref", "table_name")
     )
-    rank = F.struct(F.col("pref"), -F.col("prefix_len"), F.col("via"))
-    best = ruled.groupBy("src_ip", "dst_ip").agg(
-        F.min_by(F.struct("table_name", "via"), rank).alias("_path")
+    blocks = aligned_blocks(routes.select("table_name", "prefix_len", "lo", "hi", "via"))
+    bits = [r["_bits"] for r in blocks.select("_bits").distinct().collect()]  # 33 values at most
+    listed = F.array(*[F.lit(n) for n in sorted(bits)]).cast("array<int>")
+    probes = (
+        df.select("src_ip", "dst_ip")
+        .distinct()
+        .join(reached, "src_ip")
+        .withColumn("_p_bits", F.explode(listed))
+        .withColumn("_p_net", network_of(F.col("dst_ip"), F.col("_p_bits")))
     )
-    return df.join(best, ["src_ip", "dst_ip"], "left").select(*df.columns, "_path.*")
+    side = blocks.select(F.col("table_name").alias("_table"), "prefix_len", "via", "_bits", "_net")
+    hits = probes.join(
+        small_side(side),
+        (F.col("table_name") == F.col("_table")) & (F.col("_p_bits") == F.col("_bits")) & (F.col("_p_net") == F.col("_net")),
+    )
+    rank = F.struct(F.col("pref"), -F.col("prefix_len"), F.col("via"))
+    pair = F.concat_ws(">", "src_ip", "dst_ip")
+    best = hits.groupBy(pair.alias("_pair")).agg(F.min_by(F.struct("table_name", "via"), rank).alias("_path"))
+    return spread_join(df.withColumn("_pair", pair), best, "_pair").select(*df.columns, "_path.*")
 
 
 def ruleset_reconcile(
@@ -263,14 +284,14 @@ def mtu_drop_profile(df: DataFrame, mtu_by_path: DataFrame, path: str) -> DataFr
     """Per path: packets, drops (size over the MTU with DF set), share, pattern.
 
     `mtu_by_path` has path, mtu. `black_hole` means that small packets pass while
-    every large one is dropped.
+    every large one is dropped. A path without an MTU has a row with null MTU and no drops.
     """
     limits = mtu_by_path.select(F.col("path").alias("_path"), "mtu")
-    joined = df.join(small_side(limits), F.col(path) == F.col("_path"))
-    large = F.col("size") > F.col("mtu")
-    dropped = large & F.col("df")
+    joined = df.join(small_side(limits), F.col(path) == F.col("_path"), "left")
+    large = F.coalesce(F.col("size") > F.col("mtu"), F.lit(False))
+    dropped = large & F.coalesce(F.col("df"), F.lit(False))
     return (
-        joined.groupBy(F.col("_path").alias("path"), "mtu")
+        joined.groupBy(F.col(path).alias("path"), "mtu")
         .agg(
             F.count("*").alias("packets"),
             F.count_if(large).alias("large"),
@@ -288,40 +309,67 @@ def mtu_drop_profile(df: DataFrame, mtu_by_path: DataFrame, path: str) -> DataFr
     )
 
 
-def target_host(text: Column) -> Column:
-    """Host of the first URL in a text, lower case; null without one."""
-    url = F.regexp_extract(text, r"[A-Za-z][A-Za-z0-9+.-]*://[^\s'\"<>|;]+", 0)
-    return F.lower(F.try_parse_url(F.nullif(url, F.lit("")), F.lit("HOST")))
+# Last labels of file names that are no top-level domains.
+FILE_SUFFIXES = ("conf", "csv", "gnmap", "gz", "htm", "html", "json", "log", "lst", "nmap", "pcap", "txt", "xml", "yaml", "yml")
+URL = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s'\"<>|;]+"
+ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+HOST_NAME = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*"
+BARE_TARGET = rf"(?<![\w./-])(?:{ADDRESS}|{HOST_NAME})(?![\w.-])"
 
 
-def scope_check(df: DataFrame, col: str, allowed: DataFrame) -> DataFrame:
-    """Add `host` and `in_scope`: the target is an allowed domain or below one.
+def target_hosts(text: Column) -> Column:
+    """All hosts a command names, lower case, URLs first: hosts of URLs, then bare names and addresses.
 
-    A host has one suffix per label. A short list is tested inside the row; for a
-    long one the suffixes of the distinct hosts are looked up with an equi join.
+    A bare name has two labels or more and does not end like a file (FILE_SUFFIXES); names behind
+    a slash are paths. Where a name could be either, as with `.sh`, it counts as a host.
     """
-    hosted = df.withColumn("host", target_host(F.col(col)))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
+    urls = F.regexp_extract_all(text, F.lit(URL), F.lit(0))
+    of_urls = F.transform(urls, lambda u: F.try_parse_url(u, F.lit("HOST")))
+    bare = F.regexp_extract_all(F.regexp_replace(text, URL, " "), F.lit(BARE_TARGET), F.lit(0))
+    named = F.filter(bare, lambda h: ~F.lower(F.substring_index(h, ".", -1)).isin(*FILE_SUFFIXES))
+    return F.array_distinct(F.transform(F.array_compact(F.concat(of_urls, named)), F.lower))
+
+
+def _suffixes(host: Column) -> Column:
+    """The host and every domain above it; an address stands for itself alone."""
+    labels = F.split(host, r"\.")
+    above = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    domains = allowed.select(F.lower("domain").alias("_suffix")).distinct()
+    return F.when(host.rlike(rf"^{ADDRESS}\z"), F.array(host)).otherwise(above)
+
+
+def scope_check(df: DataFrame, col: str, allowed: DataFrame) -> DataFrame:
+    """Add `hosts`, `host` (the first) and `in_scope`: every target is an allowed domain or below one.
+
+    A text without a target is not in scope. A short list is tested inside the row; for a
+    long one the suffixes of the distinct hosts are looked up with an equi join, and rows meet the
+    verdict on their set of hosts.
+    """
+    listed = df.withColumn("hosts", F.coalesce(target_hosts(F.col(col)), F.array().cast("array<string>")))
+    hosted = listed.withColumn("host", F.get("hosts", F.lit(0)))
+    some = F.size("hosts") > 0
+    domains = allowed.select(F.lower("domain").alias("_suffix")).where("_suffix IS NOT NULL").distinct()
     short = policy_rows(domains)
     if short is not None:
-        listed = F.array(*[F.lit(r["_suffix"]) for r in short]).cast("array<string>")
-        return hosted.withColumn(
-            "in_scope", F.coalesce(F.arrays_overlap(suffixes, listed), F.lit(False))
-        )
-    in_scope = (
-        hosted.where(F.col("host").isNotNull())
-        .select("host")
+        known = F.array(*[F.lit(r["_suffix"]) for r in short]).cast("array<string>")
+        return hosted.withColumn("in_scope", some & F.forall("hosts", lambda h: F.arrays_overlap(_suffixes(h), known)))
+    sets = hosted.where(some).select("hosts").distinct()
+    fine = (
+        sets.select(F.explode("hosts").alias("_host"))
         .distinct()
-        .select("host", F.explode(suffixes).alias("_suffix"))
+        .withColumn("_suffix", F.explode(_suffixes(F.col("_host"))))
         .join(small_side(domains), "_suffix", "left_semi")
-        .select(F.col("host").alias("_ok_host"))
+        .select("_host")
         .distinct()
+        .withColumn("_fine", F.lit(True))
     )
-    return hosted.join(in_scope, F.col("host") == F.col("_ok_host"), "left").select(
-        *hosted.columns, F.col("_ok_host").isNotNull().alias("in_scope")
+    judged = (
+        sets.withColumn("_host", F.explode("hosts"))
+        .join(fine, "_host", "left")
+        .groupBy(F.array_join("hosts", " ").alias("_set"))
+        .agg(F.bool_and(F.coalesce("_fine", F.lit(False))).alias("in_scope"))
     )
+    rows = spread_join(hosted.withColumn("_set", F.array_join("hosts", " ")), judged, "_set")
+    return rows.select(*hosted.columns, F.coalesce("in_scope", F.lit(False)).alias("in_scope"))

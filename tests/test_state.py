@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import state
+from auditloom.functions import sizing
+from auditloom.operators import policy, state
 from auditloom.operators.policy import toggle_asof
 
 
@@ -73,7 +74,7 @@ def test_early_retry(spark):
         assert {r.i: (r.denied_us, r.wait_left_us, r.early) for r in got.collect()} == want
 
 
-def test_toggle_asof(spark):
+def test_toggle_asof(spark, monkeypatch):
     rng = random.Random(4)
     changes = [(s, rng.randrange(0, 5000), c, rng.choice(["up", "down", "disable"])) for c in range(60) for s in (1, 2)]
     flows = [(rng.choice([1, 2, 3]), rng.randrange(-50, 6000), i) for i in range(500)]
@@ -83,8 +84,10 @@ def test_toggle_asof(spark):
         want[i] = max(seen, key=lambda c: (c[1], c[2]))[3] == "up" if seen else False
     flow_df = spark.createDataFrame(flows, "site long, ts long, i long")
     change_df = spark.createDataFrame(changes, "site long, ts long, c long, action string")
-    for bucket in (7, 100, 100_000):
-        got = toggle_asof(flow_df, change_df, "ts", "site", "c", bucket_us=bucket)
+    assert {r.i: r.kill_switch for r in toggle_asof(flow_df, change_df, "ts", "site", "c").collect()} == want
+    monkeypatch.setattr(policy, "policy_rows", lambda t, n=1: sizing.policy_rows(t, 1))
+    for hot_rows in (60, 10_000):
+        got = toggle_asof(flow_df, change_df, "ts", "site", "c", hot_rows=hot_rows)
         assert {r.i: r.kill_switch for r in got.collect()} == want
 
 
