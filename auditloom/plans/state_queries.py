@@ -130,7 +130,74 @@ c AS (SELECT c_custkey AS name FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(w.name, c.name) AS name, CASE WHEN w.name IS NULL THEN 'workdirs' ELSE 'containers' END AS missing_from
 FROM w FULL JOIN c ON w.name = c.name WHERE w.name IS NULL OR c.name IS NULL"""
 
+# The hot ways: one key above the limit, in slices, next to keys that stay whole.
+HOT_LIMIT = 150
+
+
+def hot_rate_limit(spark, sf):
+    rows = view(spark, sf, "hot_requests_v").select("request_id", "k", "ts_us")
+    return admission.rate_limit_label(rows, "k", "ts_us", "request_id", PER_DAY, DAY_US, BURST, hot_rows=HOT_LIMIT)
+
+
+HOT_BASE = f"{with_views('requests_v', 'hot_requests_v')}"
+HOT_BUCKET = f"WITH RECURSIVE {HOT_BASE}, {bucket_sql('hot_requests_v', DAY_US, BURST * DAY_US, PER_DAY)}"
+HOT_RATE_LIMIT = f"{HOT_BUCKET} SELECT request_id, k, ts_us, allowed, retry_after FROM labelled"
+
+
+def hot_early_retry(spark, sf):
+    labelled = hot_rate_limit(spark, sf)
+    return state.early_retry(labelled, "k", "ts_us", "request_id", hot_rows=HOT_LIMIT).select(
+        "request_id", "denied_us", "wait_left_us", "early"
+    )
+
+
+HOT_EARLY_RETRY = HOT_BUCKET + EARLY_RETRY.removeprefix(BUCKET_BASE)
+
+
+def hot_concurrency_admit(spark, sf):
+    rows = view(spark, sf, "hot_requests_v").select("request_id", "k", "ts_us", "end_us")
+    admitted = admission.concurrency_admit(rows, "k", "ts_us", "end_us", "request_id", LIMIT, hot_rows=HOT_LIMIT)
+    return admitted.select("request_id", "admitted", "retry_after")
+
+
+HOT_CONCURRENCY_ADMIT = f"""WITH RECURSIVE {HOT_BASE}, {slots_sql('hot_requests_v', LIMIT)}
+SELECT request_id, admitted, CASE WHEN admitted THEN 0 ELSE 5 END AS retry_after FROM slots"""
+
+
+def hot_concurrency_profile(spark, sf):
+    rows = view(spark, sf, "hot_requests_v").select("k", "ts_us", "end_us")
+    return state.concurrency_profile(rows, "k", "ts_us", "end_us", hot_rows=HOT_LIMIT)
+
+
+HOT_CONCURRENCY_PROFILE = CONCURRENCY_PROFILE.replace(with_views("requests_v"), HOT_BASE).replace(
+    "FROM requests_v UNION", "FROM hot_requests_v UNION"
+).replace("-1 FROM requests_v", "-1 FROM hot_requests_v")
+
+
+def hot_deadline(spark, sf):
+    visits = _visits(spark, sf).withColumns(
+        {"user_id": F.when(F.col("user_id") % 5 == 0, 0).otherwise(F.col("user_id")), "ts_us": F.col("ts_us") - F.col("ts_us") % 3_600_000_000}
+    )
+    judged = state.deadline_absence(
+        visits, "user_id", "ts_us",
+        F.col("event_type") == "signup", F.col("event_type") == "purchase", DAY_US // 8, hot_rows=HOT_LIMIT,
+    )
+    return judged.select("event_id", "due_us", "confirm_us", "outcome")
+
+
+HOT_DEADLINE = f"""WITH v AS (SELECT event_id, event_type, CASE WHEN user_id % 5 = 0 THEN 0 ELSE user_id END AS u,
+  epoch_us(ts) - epoch_us(ts) % 3600000000 AS t FROM events)
+SELECT a.event_id, a.t + {DAY_US // 8} AS due_us, min(c.t) AS confirm_us,
+ CASE WHEN count(c.event_id) > 0 THEN 'confirmed' ELSE 'rollback' END AS outcome
+FROM v a LEFT JOIN v c ON c.u = a.u AND c.event_type = 'purchase' AND c.t BETWEEN a.t AND a.t + {DAY_US // 8}
+WHERE a.event_type = 'signup' GROUP BY a.event_id, a.t"""
+
 QUERIES = {
+    "hot_rate_limit": (hot_rate_limit, HOT_RATE_LIMIT),
+    "hot_early_retry": (hot_early_retry, HOT_EARLY_RETRY),
+    "hot_concurrency_admit": (hot_concurrency_admit, HOT_CONCURRENCY_ADMIT),
+    "hot_concurrency_profile": (hot_concurrency_profile, HOT_CONCURRENCY_PROFILE),
+    "hot_deadline": (hot_deadline, HOT_DEADLINE),
     "rate_limit_label": (rate_limit_label, RATE_LIMIT_LABEL),
     "early_retry": (early_retry, EARLY_RETRY),
     "concurrency_admit": (concurrency_admit, CONCURRENCY_ADMIT),

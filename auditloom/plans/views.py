@@ -41,6 +41,22 @@ SELECT event_id AS request_id, user_id AS k, {US} AS ts_us,
  CASE WHEN event_id % 9 = 0 THEN concat('warn ', event_type) ELSE '' END AS stderr,
  CASE WHEN event_id % 211 = 0 THEN NULL ELSE {US} + CAST(floor(value * 1000) AS BIGINT) * 3600000 END AS end_us
 FROM events""",
+    # The same requests with one key that holds a fifth of them, half of those in daily bursts.
+    "hot_requests_v": """
+SELECT request_id, CASE WHEN k % 5 = 0 THEN 0 ELSE k END AS k,
+ CASE WHEN k % 10 = 0 THEN ts_us - ts_us % 86400000000 ELSE ts_us END AS ts_us,
+ CASE WHEN end_us IS NULL AND k % 5 = 0 THEN ts_us ELSE end_us END AS end_us FROM requests_v""",
+    # Commands that name one host, several, or none.
+    "commands_v": """
+SELECT event_id AS command_id, CASE event_id % 8
+ WHEN 0 THEN concat('nmap -sS -Pn -F ', h1) WHEN 1 THEN concat('curl -o page.html https://', h1, '/a/b.txt http://', h2, ':8080/?q=x.y')
+ WHEN 2 THEN concat('hydra -l root -P /srv/words.lst ', h1, ' ssh') WHEN 3 THEN 'ls -la /tmp/notes.txt'
+ WHEN 4 THEN concat('ssh admin@', upper(h1), ' | tee run.log') WHEN 5 THEN concat('nmap 10.1.', CAST(user_id % 4 AS STRING), '.7/24 ', h2)
+ WHEN 6 THEN concat('whatweb "', h1, '" ', h2) ELSE concat('dig ', h1, ' @10.1.1.7') END AS command,
+ CASE event_id % 8 WHEN 3 THEN '' WHEN 1 THEN concat(h1, ' ', h2) WHEN 5 THEN concat('10.1.', CAST(user_id % 4 AS STRING), '.7 ', h2)
+ WHEN 6 THEN CASE WHEN h1 = h2 THEN h1 ELSE concat(h1, ' ', h2) END WHEN 7 THEN concat(h1, ' 10.1.1.7') ELSE h1 END AS named
+FROM (SELECT event_id, user_id, concat('h', CAST(event_id % 300 AS STRING), '.example', CAST(event_id % 7 AS STRING), '.com') AS h1,
+ concat('h', CAST(user_id % 300 AS STRING), '.example', CAST(user_id % 7 AS STRING), '.com') AS h2 FROM events) AS hosts""",
     # The same requests as JSON bodies, some ill-typed, some cut off.
     "bodies_v": """
 SELECT event_id AS request_id,
@@ -149,9 +165,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SOURCE = {"files_v": "documents"}
+DEPENDS = {"hot_requests_v": ("requests_v",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source = SOURCE.get(name, "events")
     scan = f"FROM parquet.`{sf_dir}/{source}.parquet`"
-    return spark.sql(view_sql(name, "spark").replace(f"FROM {source}", scan))
+    text = view_sql(name, "spark")
+    for inner in DEPENDS.get(name, ()):
+        text = text.replace(f"FROM {inner}", f"FROM ({view_sql(inner, 'spark')}) AS {inner}")
+    return spark.sql(text.replace(f"FROM {source}", scan))
