@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from auditloom.functions.sizing import policy_rows
+from auditloom.functions.sizing import policy_rows, small_side
+from auditloom.session import settle
 
 # Leading bytes (hex) of common file types, most specific first.
 MAGIC = (
@@ -114,20 +113,23 @@ def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> Dat
 
     `rules` has one row per literal: rule, literal, needed. A rule holds when at
     least `needed` of its distinct literals occur ("any" is 1, "all" is their number);
-    `hits` adds up the occurrences. A short rule set becomes column expressions, one pass and
-    no shuffle. A longer one is searched with one automaton per task, whose cost
-    per character does not grow with the number of literals.
+    with `needed` 0 it holds for every item. `hits` adds up the occurrences. Empty and null literals are
+    left out: they never match. A short rule set becomes column expressions, one pass and
+    no shuffle. A longer one looks for a piece of every literal among the pieces of the texts
+    (`_candidates`), and searches a text for the literals whose piece it has.
     """
-    listed = rules.select("rule", "literal", "needed").distinct()
+    listed = rules.select("rule", F.nullif("literal", F.lit("")).alias("literal"), "needed").distinct()
     short = policy_rows(listed, RULE_LITERALS_IN_PLAN)
     if short is not None:
-        literals = sorted({r["literal"] for r in short})
+        literals = sorted({r["literal"] for r in short if r["literal"] is not None})
         counted = df.select(
-            row_id, *[_occurrences(F.col(col), lit).alias(f"_n{i}") for i, lit in enumerate(literals)]
+            row_id, *[_occurrences(F.col(col), F.lit(lit)).alias(f"_n{i}") for i, lit in enumerate(literals)]
         )
         by_rule: dict = {}
         for r in short:
-            by_rule.setdefault((r["rule"], r["needed"]), []).append(f"_n{literals.index(r['literal'])}")
+            names = by_rule.setdefault((r["rule"], r["needed"]), [])
+            if r["literal"] is not None:
+                names.append(f"_n{literals.index(r['literal'])}")
         verdicts = [
             F.struct(
                 F.lit(rule).alias("rule"),
@@ -137,103 +139,167 @@ def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> Dat
             )
             for (rule, needed), names in sorted(by_rule.items())
         ]
+        if not verdicts:
+            return counted.select(row_id, F.lit("").alias("rule"), F.lit(0).alias("matched"), F.lit(0).alias("hits")).where("false")
         return (
             counted.select(row_id, F.inline(F.array(*verdicts)))
             .where(F.col("matched") >= F.col("needed"))
             .select(row_id, "rule", "matched", "hits")
         )
-    literal_hits = _automaton_hits(df, row_id, col, listed)
+    literals = listed.where("literal IS NOT NULL").select("literal").distinct()
     needs = listed.withColumnRenamed("literal", "_literal")
+    counted = _literal_hits(df, row_id, col, literals).join(needs, "_literal").select(row_id, "rule", "needed", "_n")
+    always = listed.where("needed <= 0").select("rule", "needed").distinct()
+    if policy_rows(always, 0) is None:  # rules that hold for every item, of which each then has a row
+        counted = counted.unionByName(df.select(row_id).crossJoin(small_side(always)).withColumn("_n", F.lit(0)))
     return (
-        literal_hits.join(needs, "_literal")
-        .groupBy(row_id, "rule", "needed")
-        .agg(F.count("*").cast("int").alias("matched"), F.sum("_n").cast("int").alias("hits"))
+        counted.groupBy(row_id, "rule", "needed")
+        .agg(F.count_if(F.col("_n") > 0).cast("int").alias("matched"), F.sum("_n").cast("int").alias("hits"))
         .where(F.col("matched") >= F.col("needed"))
         .select(row_id, "rule", "matched", "hits")
     )
 
 
-def _occurrences(text: Column, literal: str) -> Column:
+def _occurrences(text: Column, literal: Column) -> Column:
     """Non-overlapping occurrences of a literal; a text without it costs one search."""
-    removed = F.char_length(text) - F.char_length(F.replace(text, F.lit(literal), F.lit("")))
-    return F.when(
-        F.contains(text, F.lit(literal)), (removed / F.lit(len(literal))).cast("int")
-    ).otherwise(0)
+    removed = F.char_length(text) - F.char_length(F.replace(text, literal, F.lit("")))
+    return F.when(F.contains(text, literal), (removed / F.char_length(literal)).cast("int")).otherwise(0)
 
 
-LITERALS_PER_AUTOMATON = 1_000_000
+#: Literals are matched by pieces as long as the shortest run of their class, runs of at least so many characters; MAX_PIECE at most.
+PIECE_CLASSES = (5, 3, 1)
+MAX_PIECE = 8
+#: Kinds of runs that a piece stays inside of: letters and digits, or anything else.
+RUN_KINDS = {"word": r"[\p{L}\p{N}]", "other": r"[^\p{L}\p{N}]"}
 
 
-def _automaton_hits(df: DataFrame, row_id: str, col: str, listed: DataFrame) -> DataFrame:
-    """Occurrences of each literal per item, non-overlapping: `(id, _literal, _n)`.
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, also where `body` uses it inside of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    A rule set beyond one automaton is split by hash, with one pass per part.
-    """
-    literals = listed.select("literal").distinct()
-    parts = -(-literals.count() // LITERALS_PER_AUTOMATON)
-    part = F.pmod(F.xxhash64("literal"), F.lit(parts))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _search(df, row_id, col, [r["literal"] for r in literals.where(part == n).toLocalIterator()])
-            for n in range(parts)
-        ],
+
+def _pieces(text: Column, kind: str, n: int) -> Column:
+    """All substrings of `n` characters of one kind, overlapping ones too, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?=({RUN_KINDS[kind]}{{{n}}}))"), F.lit(1))
+
+
+def _anchors(literals: DataFrame) -> DataFrame:
+    """`(_literal, _kind, _q, _piece)`: for each literal the piece of its longest run that the fewest literals share."""
+    literal = F.col("literal")
+    runs = F.regexp_extract_all(literal, F.lit("|".join(f"{r}+" for r in RUN_KINDS.values())), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("run"))))["run"]
+    run = literals.withColumn("_run", longest)
+    length = F.char_length("_run")
+    kind = F.when(F.col("_run").rlike(f"^{RUN_KINDS['word']}"), "word").otherwise("other")
+    classed = run.withColumns(
+        {"_kind": kind, "_class": F.coalesce(*[F.when(length >= n, F.lit(n)) for n in PIECE_CLASSES])}
+    )
+    shortest = F.min(length).over(Window.partitionBy("_kind", "_class"))
+    cut = classed.withColumn("_q", F.least(shortest, F.lit(MAX_PIECE))).select(
+        literal.alias("_literal"),
+        "_kind",
+        "_q",
+        F.explode(
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.char_length("_run") - F.col("_q") + 1), lambda i: F.substring("_run", i, F.col("_q"))
+                )
+            )
+        ).alias("_piece"),
     )
+    shared = cut.withColumn("_shared", F.count(F.lit(1)).over(Window.partitionBy("_kind", "_piece")))
+    best = Window.partitionBy("_literal").orderBy("_shared", "_piece")
+    return shared.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("_literal", "_kind", "_q", "_piece")
+
+
+def _candidates(df: DataFrame, row_id: str, col: str, literals: DataFrame) -> DataFrame:
+    """`(id, _literal)` where the text has the literal's piece; a row per distinct pair.
+
+    A text with the literal has its runs, whole or inside longer ones, and so every piece
+    of them. Kinds and lengths that no literal uses are not made.
+    """
+    anchors = settle(_anchors(literals))
+    used = anchors.select("_kind", "_q").distinct().collect()  # at most one row per kind and length
+    found = [
+        df.select(
+            row_id, F.lit(r["_kind"]).alias("_kind"), F.explode(_pieces(F.col(col), r["_kind"], r["_q"])).alias("_piece")
+        )
+        for r in used
+    ]
+    if not found:
+        return df.select(row_id, F.lit("").alias("_literal")).where("false")
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.join(small_side(anchors.drop("_q")), ["_kind", "_piece"]).select(row_id, "_literal").distinct()
+
 
+def _literal_hits(df: DataFrame, row_id: str, col: str, literals: DataFrame) -> DataFrame:
+    """Occurrences of each literal per item, non-overlapping: `(id, _literal, _n)`, none without one.
 
-def _search(df: DataFrame, row_id: str, col: str, literals: list[str]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(literals)
-    hit_type = T.ArrayType(
-        T.StructType([T.StructField("_literal", T.StringType()), T.StructField("_n", T.IntegerType())])
+    `row_id` must tell the rows apart.
+    """
+    listed = _candidates(df, row_id, col, literals).groupBy(row_id).agg(F.collect_list("_literal").alias("_literals"))
+    counted = df.select(row_id, col).join(listed, row_id).select(
+        row_id,
+        F.inline(
+            F.transform(
+                "_literals", lambda lit: F.struct(lit.alias("_literal"), _occurrences(F.col(col), lit).alias("_n"))
+            )
+        ),
     )
+    return counted.where("_n > 0")
+
 
-    @F.pandas_udf(hit_type)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
+BLOCK = 256
 
-        automaton = ahocorasick.Automaton()
-        for literal in shared.value:
-            automaton.add_word(literal, literal)
-        automaton.make_automaton()
-        for texts in batches:
-            found = []
-            for text in texts:
-                counts, free = {}, {}
-                for end, literal in automaton.iter(text or ""):
-                    if end - len(literal) + 1 >= free.get(literal, 0):
-                        counts[literal] = counts.get(literal, 0) + 1
-                        free[literal] = end + 1
-                found.append([{"_literal": k, "_n": n} for k, n in counts.items()])
-            yield pd.Series(found)
 
-    return df.select(row_id, F.inline(search(F.col(col))))
+def _running_sums(lengths: Column) -> Column:
+    """Sums of the first 1, 2, ... items of an array, by sums of whole blocks and the rest of one."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+    def block(i: Column) -> Column:
+        return F.floor(i / BLOCK).cast("int")
+
+    def with_lengths(items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), block(F.size(items) - 1))
+        return _let(F.transform(numbers, lambda b: total(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))), lambda blocks: with_blocks(items, blocks))
+
+    def with_blocks(items: Column, blocks: Column) -> Column:
+        return _let(
+            F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))),
+            lambda before: F.transform(
+                items, lambda _, i: F.get(before, block(i)) + total(F.slice(items, block(i) * BLOCK + 1, i % BLOCK + 1))
+            ),
+        )
+
+    return _let(lengths, with_lengths)
 
 
 def signature_scan(df: DataFrame, row_id: str, body: str, signatures: list[str]) -> DataFrame:
     """Byte offset of every non-overlapping occurrence: `(id, signature, offset)`.
 
-    `body` is a binary column. Offsets come from a vectorised search inside the
-    task, linear in the body; built-in functions count matches but do not place them.
+    `body` is a binary column. Read as Latin-1 a byte is a character, so the body is split at
+    the signature's bytes and the lengths of the pieces add up to the offsets. An empty signature occurs nowhere.
     """
-    needles = [(s, s.encode("utf-8")) for s in signatures]
-    hit_type = T.ArrayType(
-        T.StructType([T.StructField("signature", T.StringType()), T.StructField("offset", T.LongType())])
-    )
+    as_text = F.decode(F.col(body), "ISO-8859-1")
+
+    def hits(signature: str) -> Column:
+        needle = signature.encode("utf-8").decode("latin-1")
+        lengths = F.transform(F.split(F.col("_text"), re.escape(needle), -1), lambda p: F.char_length(p).cast("long"))
+        offsets = _let(
+            _running_sums(lengths),
+            lambda sums: F.transform(
+                F.slice(sums, F.lit(1), F.size(sums) - 1), lambda at, i: at + i.cast("long") * len(needle)
+            ),
+        )
+        placed = F.transform(offsets, lambda at: F.struct(F.lit(signature).alias("signature"), at.alias("offset")))
+        return F.when(F.contains(F.col("_text"), F.lit(needle)), placed)
 
-    @F.pandas_udf(hit_type)
-    def offsets(bodies: pd.Series) -> pd.Series:
-        found = []
-        for data in bodies:
-            hits = []
-            for name, needle in needles:
-                at = data.find(needle) if data is not None else -1
-                while at >= 0:
-                    hits.append({"signature": name, "offset": at})
-                    at = data.find(needle, at + len(needle))
-            found.append(hits)
-        return pd.Series(found)
-
-    return df.select(row_id, F.inline(offsets(F.col(body))))
+    wanted = [hits(s) for s in signatures if s]
+    none = F.array().cast("array<struct<signature: string, offset: bigint>>")
+    found = F.flatten(F.array(*[F.coalesce(h, none) for h in wanted])) if wanted else none
+    return df.select(row_id, as_text.alias("_text")).select(row_id, F.inline(found))
 
 
 def keyword_profile(df: DataFrame, row_id: str, col: str, keywords: dict[str, str]) -> DataFrame:

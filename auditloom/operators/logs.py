@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.sizing import policy_rows, small_side
+from auditloom.operators.content import pattern_rules
 
 # The formats of the service's log lines.
 STAMP = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}) ([A-Z]+) (.*)$"
@@ -28,13 +29,30 @@ SECRET_PATTERNS = (
 MASK = "[redacted]"
 
 
+# The escapes of a Python `repr`.
+ESCAPED = r"\\(?:x[0-9a-f]{2}|u[0-9a-f]{4}|U[0-9a-f]{8}|[\s\S])|[^\\]+"
+SHORT_ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
+
+
 def _unquote(quoted: Column) -> Column:
-    """Inside of a quoted command with its common escapes undone."""
+    """Inside of a quoted command with its escapes undone, as Python's `repr` wrote them.
+
+    Lone surrogates, which no text in UTF-8 can hold, become U+FFFD.
+    """
     inner = F.regexp_extract(quoted, r"(?s)^(['\"])(.*)\1$", 2)
-    held = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
-    for escape, char in (("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        held = F.replace(held, F.lit(escape), F.lit(char))
-    return F.replace(held, F.lit("\x00"), F.lit("\\"))
+
+    def plain(piece: Column) -> Column:
+        kind, rest = F.substring(piece, 2, 1), F.substring(piece, 3, 8)
+        code = F.decode(F.unhex(F.lpad(rest, 8, "0")), "UTF-32")
+        short = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in SHORT_ESCAPES.items()], kind)
+        return (
+            F.when(~piece.startswith("\\"), piece)
+            .when(kind.isin("x", "u", "U") & (F.char_length(piece) > 2), code)
+            .otherwise(short)
+        )
+
+    pieces = F.regexp_extract_all(inner, F.lit(ESCAPED), F.lit(0))
+    return F.when(F.contains(inner, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(inner)
 
 
 def exec_log_parse(df: DataFrame, line: str = "line") -> DataFrame:
@@ -114,23 +132,37 @@ def secret_redact(df: DataFrame, col: str, patterns=SECRET_PATTERNS, mask: str =
     return df.withColumn(col, text)
 
 
-def known_secret_scan(df: DataFrame, row_id: str, col: str, known: DataFrame) -> DataFrame:
-    """Rows of `df` whose text holds a word with a SHA-256 listed in `known.sha256`.
+#: What a word may consist of where only hashes are known: runs of token characters, and runs of
+#: anything but white space, quotes, brackets and separators, also without punctuation at their ends.
+WORD_PATTERNS = (
+    r"[A-Za-z0-9_-]+",
+    r"[^\s'\"`,;<>(){}\[\]]+",
+    r"[A-Za-z0-9_](?:[^\s'\"`,;<>(){}\[\]]*[A-Za-z0-9_])?",
+)
+
 
-    The secrets themselves never enter the plan, only their hashes.
+def known_secret_scan(
+    df: DataFrame, row_id: str, col: str, known: DataFrame, words: tuple[str, ...] = WORD_PATTERNS
+) -> DataFrame:
+    """Rows of `df` whose text holds a known secret: `(id, sha256)`.
+
+    With a column `secret` in `known`, every occurrence of a value counts, whatever its length or
+    characters and wherever in a word it stands; empty values are left out. With `sha256` alone the secrets never
+    enter the plan: the words of the text, by the patterns in `words`, are hashed and looked up.
+    That finds a secret of any length that stands as such a word, and not one that holds white
+    space, quotes, brackets or separators or is joined to other characters; widen `words` for those. An optional
+    column `length` in `known` spares hashing words of other lengths.
     """
-    words = df.select(
-        row_id,
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.col(col), F.lit("[A-Za-z0-9_-]{16,}"), F.lit(0)))
-        ).alias("_word"),
-    ).select(row_id, F.sha2("_word", 256).alias("sha256"))
-    return words.join(small_side(known.select("sha256").distinct()), "sha256").select(row_id, "sha256")
-
-
-def pattern_list(patterns: DataFrame) -> list[tuple[str, str]]:
-    """(name, pattern) pairs of a short pattern table."""
-    rows = policy_rows(patterns.select("name", "pattern").orderBy("name"))
-    if rows is None:
-        raise ValueError("too many patterns for one pass; split the pattern table")
-    return [(row["name"], row["pattern"]) for row in rows]
+    if "secret" in known.columns:
+        rules = known.where(F.col("secret") != "").select(
+            F.sha2("secret", 256).alias("rule"), F.col("secret").alias("literal"), F.lit(1).alias("needed")
+        )
+        return pattern_rules(df, row_id, col, rules).select(row_id, F.col("rule").alias("sha256"))
+    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.col(col), F.lit(w), F.lit(0)) for w in words])))
+    if "length" in known.columns:
+        lengths = policy_rows(known.select("length").distinct())
+        if lengths is not None:
+            listed = [r["length"] for r in lengths]
+            found = F.filter(found, lambda w: F.char_length(w).isin(*listed))
+    hashed = df.select(row_id, F.explode(found).alias("_word")).select(row_id, F.sha2("_word", 256).alias("sha256"))
+    return hashed.join(small_side(known.select("sha256").distinct()), "sha256").select(row_id, "sha256")

@@ -27,7 +27,8 @@ def request_parse(df: DataFrame, json_col: str, images: tuple[str, ...] = IMAGES
     Adds command, network, timeout, raw, image, files, `type_errors` (fields of
     the wrong type) and `is_corrupt` (not JSON at all). Whole numbers may come
     as text or with a zero fraction, flags as the usual yes/no words. An image
-    of any type that is not a known name becomes the default.
+    of any type that is not a known name becomes the default. JSON is read strictly: a body
+    with a repeated key, or with NaN or Infinity for a number, is corrupt.
     """
     fields = ("command", "network", "timeout", "raw", "image", "files")
     # One step per layer, so that a field is taken out of the body only once.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.sizing import policy_rows
+from auditloom.functions.sizing import small_side
 
 
 def json_project(
@@ -155,10 +155,6 @@ def probe_parse(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-MAX_EXPECTATIONS = 10_000
-CHECKS_PER_PASS = 256
-
-
 def expectation_suite(
     expectations: DataFrame,
     observed: DataFrame,
@@ -171,57 +167,51 @@ def expectation_suite(
     Operators: eq, prefix, ge, le, empty, non_empty, ne (each passes if any
     observation of the key does) and ne_key (non-empty and different from the value
     of the key named in `expected`). A key that was never observed fails; `runs`
-    adds runs without any observation. All checks are aggregates of one
-    grouping per CHECKS_PER_PASS of them, combined before its shuffle, however many
-    rows a run has.
+    adds runs without any observation. `value` is the largest observed one.
+
+    The observations meet the expectations in one join on the key, whatever the number of either. What
+    passes, and the largest value per key (a top-1 window, cut down before its shuffle), then
+    gather per run: one row with an entry per checked key and passed check. Without expectations the result is empty.
     """
-    checks = policy_rows(
-        expectations.select("name", "key", "operator", "expected").orderBy("name"), MAX_EXPECTATIONS
-    )
-    if checks is None:
-        raise ValueError(f"more than {MAX_EXPECTATIONS} expectations; split the table")
     keys = [run] if run else []
-    rows = observed.select(*keys, "key", "value")
-    if runs is not None:
-        rows = rows.unionByName(runs.select(*keys), allowMissingColumns=True)
-    value = F.col("value")
-
-    def of(key: str) -> Column:
-        return F.when(F.col("key") == key, value)
-
-    def holds(check) -> Column:
-        seen, expected = of(check["key"]), F.lit(check["expected"])
-        tests = {
-            "eq": seen == expected,
-            "ne": seen != expected,
-            "prefix": seen.startswith(expected),
-            "ge": seen.try_cast("double") >= expected.try_cast("double"),
-            "le": seen.try_cast("double") <= expected.try_cast("double"),
-            "empty": seen == "",
-            "non_empty": seen != "",
-        }
-        if check["operator"] == "ne_key":
-            mine, other = F.max(seen), F.max(of(check["expected"]))
-            return (mine != "") & (mine != other)
-        return F.bool_or(tests[check["operator"]])
-
-    def verdict(check) -> Column:
-        return F.struct(
-            F.lit(check["name"]).alias("name"),
-            F.lit(check["key"]).alias("key"),
-            F.max(of(check["key"])).alias("value"),
-            F.when(F.coalesce(holds(check), F.lit(False)), F.lit("PASS"))
-            .otherwise(F.lit("FAIL"))
-            .alias("result"),
+    checks = expectations.select("name", "key", "operator", "expected")
+    watched = checks.select("key").unionByName(checks.where("operator = 'ne_key'").select(F.col("expected").alias("key")))
+    seen = observed.select(*keys, "key", "value").join(small_side(watched.distinct()), "key", "left_semi")
+
+    value, expected = F.col("value"), F.col("expected")
+    numbers = value.try_cast("double"), expected.try_cast("double")
+    tests = {
+        "eq": value == expected,
+        "ne": value != expected,
+        "prefix": value.startswith(expected),
+        "ge": numbers[0] >= numbers[1],
+        "le": numbers[0] <= numbers[1],
+        "empty": value == "",
+        "non_empty": value != "",
+    }
+    holds = F.coalesce(*[F.when(F.col("operator") == name, test) for name, test in tests.items()], F.lit(False))
+    passed = seen.join(small_side(checks), "key").where(holds).select(*keys, "name")
+
+    largest = Window.partitionBy(*keys, "key").orderBy(F.desc_nulls_last("value"))
+    top = seen.withColumn("_rank", F.row_number().over(largest)).where("_rank = 1").select(*keys, "key", "value")
+    parts = [top, passed]
+    if run:
+        parts += [source.select(run) for source in (observed, runs) if source is not None]
+    gathered = (
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        .groupBy(*keys)
+        .agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))).alias("_values"),
+            F.collect_set("name").alias("_passed"),
         )
-
-    passes = [
-        rows.groupBy(*keys)
-        .agg(F.array(*[verdict(c) for c in checks[at : at + CHECKS_PER_PASS]]).alias("_checks"))
-        .select(*keys, F.inline("_checks"))
-        for at in range(0, len(checks), CHECKS_PER_PASS)
-    ]
-    return reduce(DataFrame.unionByName, passes)
+    )
+    rows = gathered.crossJoin(small_side(checks))  # the result has a row for each run and check
+    mine, other = F.try_element_at("_values", F.col("key")), F.try_element_at("_values", F.col("expected"))
+    passes = F.when(F.col("operator") == "ne_key", (mine != "") & (mine != other)).otherwise(
+        F.array_contains("_passed", F.col("name"))
+    )
+    result = F.when(F.coalesce(passes, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL"))
+    return rows.select(*keys, "name", "key", mine.alias("value"), result.alias("result"))
 
 
 def gate(results: DataFrame, by: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions.sizing import small_table
 from auditloom.operators import logs, requests
 from auditloom.plans.lifecycle import DAY_US, profile_table, request_lifecycle
 from auditloom.plans.views import table, view, with_views
@@ -323,20 +324,67 @@ SECRET_REDACT = """SELECT doc_id, regexp_replace(regexp_replace(text, 'Authoriza
  '[redacted]', 'g'), 'token = "[^"]+"', '[redacted]', 'g') AS text FROM documents"""
 
 
-def known_secret_scan(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    words = F.regexp_extract_all("text", F.lit('token = "([A-Za-z0-9_-]{16,})"'), F.lit(1))
-    known = docs.where(F.col("source") != "src0").select(F.explode(words).alias("w")).select(
-        F.sha2("w", 256).alias("sha256")
+# Planted secrets: a short one, one with punctuation, one inside other characters, one with a space.
+PLANTED = ["a1b2c3d4e5f", "p.q/r+s=t", "Zz-_long-token-0123456789", "two words"]
+
+
+def _planted(spark, sf):
+    """Documents, some of them with a secret after, between or inside other text."""
+    secret = F.element_at(F.array(*[F.lit(x) for x in PLANTED]), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = (
+        F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" key: "), secret, F.lit(".")))
+        .when(F.col("doc_id") % 9 == 1, F.concat(F.lit("curl 'x"), secret, F.lit("y' "), F.col("text")))
+        .when(F.col("doc_id") % 9 == 2, F.concat(F.col("text"), F.lit("\n"), secret))
+        .otherwise(F.col("text"))
     )
+    return table(spark, sf, "documents").select("doc_id", "source", text.alias("text"))
+
+
+PLANTED_SQL = f"""planted AS (SELECT doc_id, source, CASE doc_id % 9 WHEN 0 THEN concat(text, ' key: ', secret, '.')
+  WHEN 1 THEN concat('curl ''x', secret, 'y'' ', text) WHEN 2 THEN concat(text, chr(10), secret) ELSE text END AS text
+ FROM (SELECT *, {PLANTED!r}[doc_id % 4 + 1] AS secret FROM documents))"""
+
+
+def known_secret_scan(spark, sf):
+    """By hash: the words of the texts against hashes of planted secrets and of token assignments elsewhere."""
+    docs = _planted(spark, sf)
+    words = F.regexp_extract_all("text", F.lit('token = "([^"]+)"'), F.lit(1))
+    assigned = docs.where(F.col("source") != "src0").select(F.explode(words).alias("w"))
+    known = assigned.unionByName(small_table(spark, [(x,) for x in PLANTED], "w string"))
+    return logs.known_secret_scan(docs, "doc_id", "text", known.select(F.sha2("w", 256).alias("sha256")))
+
+
+WORD_RUNS = " UNION ALL ".join(
+    f"SELECT doc_id, unnest(regexp_extract_all(text, '{w}')) AS w FROM planted"
+    for w in (word.replace("'", "''") for word in logs.WORD_PATTERNS)
+)
+KNOWN_SECRET_SCAN = f"""WITH {PLANTED_SQL}, known AS (SELECT DISTINCT sha256(w) AS sha256 FROM (
+  SELECT unnest(regexp_extract_all(text, 'token = "([^"]+)"', 1)) AS w FROM planted WHERE source <> 'src0'
+  UNION ALL SELECT unnest({PLANTED!r})))
+SELECT DISTINCT doc_id, sha256(w) AS sha256 FROM ({WORD_RUNS}) WHERE sha256(w) IN (SELECT sha256 FROM known)"""
+
+
+def known_secret_values(spark, sf):
+    """By value: anything goes, wherever it stands."""
+    known = small_table(spark, [(x,) for x in PLANTED], "secret string")
+    return logs.known_secret_scan(_planted(spark, sf), "doc_id", "text", known)
+
+
+VALUES_SQL = """SELECT doc_id, sha256(secret) AS sha256 FROM planted JOIN known ON contains(text, secret)"""
+KNOWN_SECRET_VALUES = f"WITH {PLANTED_SQL}, known AS (SELECT unnest({PLANTED!r}) AS secret) {VALUES_SQL}"
+
+
+def known_secret_table(spark, sf):
+    """By value, the long-list way: a secret per customer next to the planted ones."""
+    names = table(spark, sf, "customer").select(F.concat(F.lit("key-"), F.md5(F.col("c_custkey").cast("string"))).alias("secret"))
+    known = names.unionByName(small_table(spark, [(x,) for x in PLANTED], "secret string"))
+    docs = _planted(spark, sf).withColumn("text", F.concat("text", F.lit(" key-"), F.md5((F.col("doc_id") * 3).cast("string")), F.lit("z")))
     return logs.known_secret_scan(docs, "doc_id", "text", known)
 
 
-KNOWN_SECRET_SCAN = """WITH known AS (SELECT DISTINCT sha256(w) AS sha256 FROM (SELECT
-  unnest(regexp_extract_all(text, 'token = "([A-Za-z0-9_-]{16,})"', 1)) AS w FROM documents WHERE source <> 'src0'))
-SELECT DISTINCT doc_id, sha256(w) AS sha256 FROM (SELECT doc_id,
-  unnest(regexp_extract_all(text, '[A-Za-z0-9_-]{16,}')) AS w FROM documents)
-WHERE sha256(w) IN (SELECT sha256 FROM known)"""
+KNOWN_SECRET_TABLE = f"""WITH {PLANTED_SQL.replace("planted AS", "first_planted AS")},
+planted AS (SELECT doc_id, concat(text, ' key-', md5(CAST(doc_id * 3 AS VARCHAR)), 'z') AS text FROM first_planted),
+known AS (SELECT concat('key-', md5(CAST(c_custkey AS VARCHAR))) AS secret FROM customer UNION ALL SELECT unnest({PLANTED!r})) {VALUES_SQL}"""
 
 QUERIES = {
     "request_parse": (request_parse, REQUEST_PARSE),
@@ -354,4 +402,6 @@ QUERIES = {
     "secret_scan": (secret_scan, SECRET_SCAN),
     "secret_redact": (secret_redact, SECRET_REDACT),
     "known_secret_scan": (known_secret_scan, KNOWN_SECRET_SCAN),
+    "known_secret_values": (known_secret_values, KNOWN_SECRET_VALUES),
+    "known_secret_table": (known_secret_table, KNOWN_SECRET_TABLE),
 }

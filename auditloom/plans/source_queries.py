@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.operators.content import file_inventory
 from auditloom.operators.logs import exec_log_parse
 from auditloom.operators.requests import request_parse
 from auditloom.operators.text import json_project
 from auditloom.plans.request_queries import BODY_FIELDS
-from auditloom.plans.views import view, with_views
+from auditloom.plans.views import table, view, with_views
 from auditloom.session import run_folder
-from auditloom.sources.files import read_bodies, read_log, write_responses
+from auditloom.sources.files import (
+    read_bodies,
+    read_corpus,
+    read_log,
+    read_settings,
+    read_templates,
+    write_responses,
+    write_table,
+)
 
 
 def log_file(spark, sf):
@@ -61,7 +70,59 @@ def response_file(spark, sf):
 RESPONSE_FILE = f"""WITH {with_views("requests_v")}
 SELECT request_id, exit_code, stdout, stderr, timed_out FROM requests_v"""
 
+def corpus_file(spark, sf):
+    """Each benchmark item as a file of its own, read back as a corpus with size and hash."""
+    folder = run_folder(spark, "corpus-file") + "/rows"
+    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(folder)
+    files = file_inventory(read_corpus(spark, folder, "*.txt"), "path", "body")
+    return files.select(F.regexp_extract("path", r"item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "size", "sha256")
+
+
+CORPUS_FILE = """SELECT item_id, CAST(strlen(text) + 1 AS BIGINT) AS size, sha256(concat(text, chr(10))) AS sha256 FROM benchmark"""
+
+
+def template_tree(spark, sf):
+    """A template per supplier, in a folder of its own."""
+    folder = run_folder(spark, "template-tree") + "/rows"
+    key = F.col("s_suppkey")
+    severity = F.when(key % 4 == 0, "Critical").when(key % 4 == 1, "high").when(key % 4 == 2, "low").otherwise("")
+    text = F.concat(
+        F.lit("id: t"), key, F.lit("\ninfo:\n  severity: "), severity, F.lit("\n  tags: cve, , nation"), F.col("s_nationkey"), F.lit(" ,x\n")
+    )
+    table(spark, sf, "supplier").select(key.alias("key"), text.alias("value")).write.partitionBy("key").text(folder)
+    return read_templates(spark, folder, "*.txt").select(
+        F.regexp_extract("path", r"key=([0-9]+)/", 1).cast("long").alias("key"), "severity", F.array_join("tags", ",").alias("tags")
+    )
+
+
+TEMPLATE_TREE = """SELECT s_suppkey AS key, CASE s_suppkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'low' END AS severity,
+ concat('cve,nation', s_nationkey, ',x') AS tags FROM supplier"""
+
+
+def settings_file(spark, sf):
+    folder = run_folder(spark, "settings-file") + "/rows"
+    key = F.col("c_custkey")
+    line = F.when(key % 5 == 0, F.concat(F.lit("# "), key)).otherwise(F.concat(F.lit("  KEY_"), key, F.lit("="), "c_name", F.lit("=x")))
+    table(spark, sf, "customer").select(line.alias("value")).write.text(folder)
+    return read_settings(spark, folder).select("key", "value")
+
+
+SETTINGS_FILE = """SELECT concat('KEY_', c_custkey) AS key, concat(c_name, '=x') AS value FROM customer WHERE c_custkey % 5 <> 0"""
+
+
+def partitioned_table(spark, sf):
+    folder = run_folder(spark, "partitioned-table") + "/rows"
+    write_table(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), folder, ["o_orderstatus"])
+    return spark.read.parquet(folder).where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+PARTITIONED_TABLE = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'"
+
 QUERIES = {
+    "corpus_file": (corpus_file, CORPUS_FILE),
+    "template_tree": (template_tree, TEMPLATE_TREE),
+    "settings_file": (settings_file, SETTINGS_FILE),
+    "partitioned_table": (partitioned_table, PARTITIONED_TABLE),
     "log_file": (log_file, LOG_FILE),
     "body_file": (body_file, BODY_FILE),
     "response_file": (response_file, RESPONSE_FILE),

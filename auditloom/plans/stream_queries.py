@@ -1,4 +1,4 @@
-"""Registered streaming queries: the events file as a stream, run to its end."""
+"""Registered streaming queries: the events as a stream of several micro-batches, run to its end."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from auditloom.plans.lifecycle import DAY_US
 from auditloom.plans.request_queries import EXEC_LOG_PARSE
 from auditloom.plans.state_queries import BURST, PER_DAY, RATE_LIMIT_LABEL
 from auditloom.plans.views import view_sql
+from auditloom.session import run_folder
 from auditloom.streaming.deadline import deadline_stream
 from auditloom.streaming.rate_limit import rate_limit_stream
 from auditloom.streaming.run import read_stream, run_available
@@ -16,9 +17,20 @@ from auditloom.streaming.run import read_stream, run_available
 MICROS_EXPR = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def _events(spark, sf):
-    # A pattern, so that one file and a folder of files both do.
-    return read_stream(spark, f"{sf}/events.parquet*")
+    """The events as they would arrive: files in order of time, one per micro-batch."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("_us", F.expr(MICROS_EXPR))
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
+    parts = 4 + ends.n // ROWS_PER_FILE
+    width = (ends.hi - ends.lo) // parts + 1
+    folder = run_folder(spark, "event-files") + "/rows"
+    for n in range(parts):
+        piece = rows.where((F.col("_us") - ends.lo).between(n * width, (n + 1) * width - 1))
+        piece.drop("_us").coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, max_files=1)
 
 
 def rate_limit_stream_query(spark, sf):

@@ -99,6 +99,7 @@ PROBE_CHECKS = [
     ("public ip", "PUBIP", "eq", "0"),
     ("peer blocked", "PEER", "eq", "28"),
     ("metadata blocked", "META", "eq", "28"),
+    ("private ranges blocked", "RFC1918", "eq", "28"),
     ("mesh dns blocked", "MAGICDNS", "eq", "9"),
 ]
 CHECK_SCHEMA = "name string, key string, operator string, expected string"

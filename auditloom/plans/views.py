@@ -142,6 +142,7 @@ SELECT event_id AS run,
   '\\nPUBIP=rc0 t', CAST(event_id % 4 AS STRING),
   CASE WHEN event_id % 6 = 0 THEN '\\nPEER=rc280 t6' ELSE '\\nPEER=rc28 t6' END,
   CASE WHEN event_id % 2 = 0 THEN '\\nMETA=rc28 t6' ELSE '\\nMETA_rc=28 t6' END,
+  CASE WHEN event_id % 7 = 0 THEN '\\nRFC1918=rc0 t1' ELSE '\\nRFC1918=rc28 t6' END,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE '\\nMAGICDNS_rc=9' END) AS out
 FROM events""",
 }

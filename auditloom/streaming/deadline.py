@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Iterator
 
 import pandas as pd
@@ -16,43 +17,49 @@ class _Deadline(StatefulProcessor):
         self.key_name, self.id_name, self.ts, self.grace_us = key_name, id_name, ts, grace_us
 
     def init(self, handle) -> None:
+        # Keyed by time, so that a batch writes what changes and not the whole state.
         self.handle = handle
-        self.arms = handle.getListState("arms", "id bigint, at bigint")
-        self.confirms = handle.getListState("confirms", "at bigint")
+        self.arms = handle.getMapState("arms", "at bigint, id bigint", "open boolean")
+        self.confirms = handle.getMapState("confirms", "at bigint", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows), ignore_index=True)
-        waiting = list(self.arms.get())
-        known = {at for (at,) in self.confirms.get()}
+        old_arms = {(at, arm_id) for at, arm_id in self.arms.keys()}
+        old_confirms = {at for (at,) in self.confirms.keys()}
         new_arms = part[part["is_arm"]]
-        fresh = list(zip(new_arms[self.id_name].tolist(), new_arms[self.ts].tolist()))
-        for _, at in fresh:
+        fresh = set(zip(new_arms[self.ts].tolist(), new_arms[self.id_name].tolist()))
+        confirms = old_confirms | set(part[part["is_confirm"]][self.ts].tolist())
+        ordered = sorted(confirms)
+        done = []
+        for at, arm_id in sorted(old_arms | fresh):
+            n = bisect_left(ordered, at)
+            if n < len(ordered) and ordered[n] <= at + self.grace_us:
+                done.append((arm_id, at, ordered[n]))
+        closed = {(at, arm_id) for arm_id, at, _ in done}
+        still_timed = {self._timer(at) for at, _ in (old_arms | fresh) - closed}
+        for arm in closed & old_arms:
+            self.arms.removeKey(arm)
+        for at, arm_id in fresh - closed:
+            self.arms.updateValue((at, arm_id), (True,))
             self.handle.registerTimer(self._timer(at))
-        known |= set(part[part["is_confirm"]][self.ts].tolist())
-        ordered = sorted(known)
-        open_arms, done = [], []
-        for arm_id, at in waiting + fresh:
-            found = next((c for c in ordered if at <= c <= at + self.grace_us), None)
-            if found is None:
-                open_arms.append((arm_id, at))
-            else:
-                done.append((arm_id, at, found))
-        still_timed = {self._timer(at) for _, at in open_arms}
-        for _, at, _ in done:
-            if self._timer(at) not in still_timed:
-                self.handle.deleteTimer(self._timer(at))
-        self._keep(self.arms, open_arms)
+        for timer in {self._timer(at) for at, _ in closed & old_arms} - still_timed:
+            self.handle.deleteTimer(timer)
         # An arm that is still to come is not older than the watermark.
         horizon = timerValues.getCurrentWatermarkInMs() * 1000
-        self._keep(self.confirms, [(c,) for c in ordered if c >= horizon])
+        for at in old_confirms:
+            if at < horizon:
+                self.confirms.removeKey((at,))
+        for at in confirms - old_confirms:
+            if at >= horizon:
+                self.confirms.updateValue((at,), (True,))
         if done:
             yield self._rows(key, done, "confirmed")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = list(self.arms.get())
-        late = [(i, at, None) for i, at in waiting if self._timer(at) <= limit]
-        self._keep(self.arms, [(i, at) for i, at in waiting if self._timer(at) > limit])
+        late = [(arm_id, at, None) for at, arm_id in list(self.arms.keys()) if self._timer(at) <= limit]
+        for arm_id, at, _ in late:
+            self.arms.removeKey((at, arm_id))
         if late:
             yield self._rows(key, late, "rollback")
 
@@ -63,13 +70,6 @@ class _Deadline(StatefulProcessor):
         # One millisecond past the deadline: a confirm at the deadline itself counts.
         return (at + self.grace_us) // 1000 + 1
 
-    @staticmethod
-    def _keep(state, values):
-        if values:
-            state.put(values)
-        else:
-            state.clear()
-
     def _rows(self, key, done, outcome):
         return pd.DataFrame(
             {

@@ -12,6 +12,7 @@ from auditloom.operators.admission import (
     concurrency_admit,
     image_of,
     rate_limit_label,
+    throttle_label,
 )
 
 
@@ -130,3 +131,34 @@ def test_slots_hot_key_in_slices(spark):
             at += rng.randrange(0, 100)
             rows.append((7 if rng.random() < 0.8 else rng.choice([1, None]), at, at + rng.randrange(0, longest), i))
         check_slots(spark, rows, 3, 200)
+
+
+def test_slots_with_open_ends_and_renewals(spark):
+    for seed, (longest, idle) in enumerate([(50, 0.05), (5000, 0.0), (300, 0.01)]):
+        rng = random.Random(seed + 20)
+        rows, at = [], 0
+        for i in range(1200):
+            at += 10_000 if rng.random() < idle else rng.randrange(0, 60)
+            end = None if rng.random() < 0.002 else at + rng.randrange(0, longest)
+            rows.append((7 if rng.random() < 0.8 else rng.choice([1, None]), at, end, i))
+        df = spark.createDataFrame(rows, "k long, a long, b long, i long")
+        want = naive_slots([(k, a, 10**15 if b is None else b, i) for k, a, b, i in rows], 3)
+        for hot_rows in (150, 10_000):
+            got = concurrency_admit(df, "k", "a", "b", "i", 3, hot_rows=hot_rows).collect()
+            assert {r.i: r.admitted for r in got} == want
+
+
+def test_both_limits_in_one_fold(spark):
+    rng = random.Random(31)
+    rows, at = [], 0
+    for i in range(900):
+        at += rng.randrange(0, 400)
+        rows.append((7 if rng.random() < 0.7 else rng.choice([1, None]), at, at + rng.randrange(0, 3000), i, rng.random() < 0.9))
+    df = spark.createDataFrame(rows, "k long, a long, b long, i long, ok boolean")
+    bucket = naive_bucket([(k, a, i) for k, a, _, i, ok in rows if ok], 3, 1000, 2)
+    slots = naive_slots([(k, a, b, i) for k, a, b, i, ok in rows if ok and bucket[i][0]], 2)
+    want = {i: (*bucket.get(i, (None, None)), slots.get(i)) for *_, i, _ in rows}
+    for hot_rows in (100, 10_000):
+        got = throttle_label(df, "k", "a", "b", "i", 3, 1000, 2, 2, when="ok", hot_rows=hot_rows).collect()
+        assert {r.i: (r.rate_allowed, r.rate_retry_after, r.slot_admitted) for r in got} == want
+        assert all(r.slot_retry_after == {None: None, True: 0, False: 5}[r.slot_admitted] for r in got)

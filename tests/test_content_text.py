@@ -58,7 +58,6 @@ def test_pattern_rules_short_and_long(spark, monkeypatch):
     rule_df = small_table(spark, rules, "rule string, literal string, needed int")
     assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
     monkeypatch.setattr(content, "policy_rows", lambda t, n: sizing.policy_rows(t, 3))
-    monkeypatch.setattr(content, "LITERALS_PER_AUTOMATON", 3)
     assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
 
 
@@ -129,8 +128,7 @@ def test_json_defaults(spark):
     assert [r.ok for r in got] == [None, None, None, True, None, None]
 
 
-def test_probe_lines_and_expectations(spark, monkeypatch):
-    monkeypatch.setattr(text, "CHECKS_PER_PASS", 4)
+def test_probe_lines_and_expectations(spark):
     out = "noise\nIP=172.31.255.2\nPUBDNS=OK\nPUBIP=rc0 t1\nPEER=rc280 t6\nMETA_rc=28 t6\nMAGICDNS=rc9\n=x"
     probes = text.probe_parse(docs(spark, out, "nothing"), "t")
     got = {r.key: (r.value, r.rc, r.t) for r in probes.collect()}
@@ -189,5 +187,65 @@ def test_secrets(spark):
     assert redacted[0] == "[redacted] and [redacted]" and redacted[1] == "clean"
     known = spark.createDataFrame([(hashlib.sha256(key.encode()).hexdigest(),)], "sha256 string")
     assert sorted(r.i for r in logs.known_secret_scan(df, "i", "t", known).collect()) == [0, 2]
-    table = spark.createDataFrame([("n", "x+")], "name string, pattern string")
-    assert logs.pattern_list(table) == [("n", "x+")]
+
+
+def test_rules_without_needs_and_empty_literals(spark, monkeypatch):
+    rule_df = spark.createDataFrame(
+        [("any", "abc", 0), ("any", "zz", 0), ("blank", "", 1), ("mixed", "", 1), ("mixed", "b c", 1), ("none", None, 0), ("wide", "\u00e9t\u00e9 ##", 1)],
+        "rule string, literal string, needed int",
+    )
+    df = docs(spark, "abcabc b c", "zz", "", "un \u00e9t\u00e9 ## ici", "ab cd")
+    want = {
+        (0, "any", 1, 2), (1, "any", 1, 1), (2, "any", 0, 0), (3, "any", 0, 0), (4, "any", 0, 0), (0, "mixed", 1, 1), (4, "mixed", 1, 1),
+        (3, "wide", 1, 1), *((i, "none", 0, 0) for i in range(5)),
+    }
+    assert {tuple(r) for r in content.pattern_rules(df, "i", "t", rule_df).collect()} == want
+    monkeypatch.setattr(content, "policy_rows", lambda t, n: sizing.policy_rows(t, 0))
+    assert {tuple(r) for r in content.pattern_rules(df, "i", "t", rule_df).collect()} == want
+
+
+def test_long_rule_lists_equal_short_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    signs = ["a", "b", "ab", "\u00e9", "-", " ", "#", "1"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    literals = {"".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(40)}
+    rule_df = spark.createDataFrame([(f"r{i % 7}", x, 1 + i % 3) for i, x in enumerate(sorted(literals))], "rule string, literal string, needed int")
+    df = docs(spark, *texts)
+    short = {tuple(r) for r in content.pattern_rules(df, "i", "t", rule_df).collect()}
+    monkeypatch.setattr(content, "policy_rows", lambda t, n: sizing.policy_rows(t, 3))
+    assert {tuple(r) for r in content.pattern_rules(df, "i", "t", rule_df).collect()} == short and len(short) > 20
+
+
+def test_signatures_in_random_bytes(spark):
+    rng = random.Random(9)
+    bodies = [bytes(rng.choice(b"ab\xff\x00.") for _ in range(rng.randrange(0, 2000))) for _ in range(12)] + [b"ab" * 3000]
+    wanted = ["ab", "a", "..", "", "\u00ff"]
+    want = set()
+    for i, body in enumerate(bodies):
+        for s in wanted:
+            needle, at = s.encode(), 0
+            while needle and (at := body.find(needle, at)) >= 0:
+                want.add((i, s, at))
+                at += len(needle)
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "i int, body binary")
+    got = [(r.i, r.signature, r.offset) for r in content.signature_scan(df, "i", "body", wanted).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert content.signature_scan(df, "i", "body", [""]).count() == 0
+
+
+def test_expectations_meet_in_a_join(spark):
+    observed = spark.createDataFrame([(1, "a", "x"), (1, "a", "z"), (2, "b", "5"), (1, "c", None)], "run int, key string, value string")
+    schema = "name string, key string, operator string, expected string"
+    many = [(f"n{i}", "a" if i % 2 else "b", "eq", "x" if i % 3 else "5") for i in range(300)]
+    checks = spark.createDataFrame(many, schema)
+    results = text.expectation_suite(checks, observed, run="run")
+    seen = {1: {"a": {"x", "z"}}, 2: {"b": {"5"}}}
+    want = {(r, n, k, max(seen[r].get(k, {None}), key=lambda v: v or ""), "PASS" if e in seen[r].get(k, ()) else "FAIL") for r in seen for n, k, _, e in many}
+    assert {tuple(r) for r in results.collect()} == want and results.count() == 600
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    empty = spark.createDataFrame([], schema)
+    assert text.expectation_suite(empty, observed, run="run").count() == 0
+    assert text.expectation_suite(empty, observed).columns == ["name", "key", "value", "result"]
+    alone = text.expectation_suite(checks.limit(1), observed.where("false"))
+    assert [r.result for r in alone.collect()] == ["FAIL"]

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.functions import sizing
+from auditloom.functions import sizing, skew
 from auditloom.functions.net import ip_to_long
 from auditloom.functions.sizing import small_table
 from auditloom.operators import policy
@@ -154,3 +154,74 @@ def test_joins_broadcast_small_sides_only(spark):
     hinted = sizing.small_side(spark.range(400), 300)
     assert "ResolvedHint" not in hinted._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in sizing.small_side(spark.range(400), 500)._jdf.queryExecution().analyzed().toString()
+
+
+def test_ranges_of_any_shape_short_and_long(spark):
+    rng = random.Random(5)
+    top = 2**32 - 1
+    ranges = [(0, top), (5, 5), (top, top), (0, 0), (7, 3), (None, 9), (9, None), (None, None), (-5, 4), (top - 3, top + 9), (2**40, 2**41)]
+    ranges += [(a, a + rng.choice([0, 1, 2, 1000, 10**6, 10**9])) for a in (rng.randrange(2**32) for _ in range(60))]
+    ips = [0, 1, 4, 5, 6, top, top - 3, None, -2, top + 1] + [rng.randrange(2**32) for _ in range(60)]
+    ips += [a for a, _ in ranges[11:]] + [b for _, b in ranges[11:]]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip long")
+    listed = [(n, lo, hi) for n, (lo, hi) in enumerate(ranges)]
+    table = spark.createDataFrame(listed, "n int, lo long, hi long")
+    want = sorted(
+        (i, n) for i, ip in enumerate(ips) for n, lo, hi in listed
+        if None not in (ip, lo, hi) and lo <= ip <= hi and 0 <= ip <= top
+    )
+    assert len(ranges) > policy.RANGE_JOIN_BLOCKS
+    assert sorted((r.i, r.n) for r in policy.cidr_match(df, "ip", table).collect()) == want
+    few = table.where("n < 40")
+    assert sorted((r.i, r.n) for r in policy.cidr_match(df, "ip", few).collect()) == [w for w in want if w[1] < 40]
+
+
+def test_ranges_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    ranges = [(n, a, a + rng.randrange(10**8)) for n, a in enumerate(rng.randrange(2**32) for _ in range(80))]
+    ips = [rng.randrange(2**32) for _ in range(50)] * 3 + [ranges[0][1]] * 300
+    df = spark.createDataFrame(list(enumerate(ips)), "i int, ip long")
+    table = spark.createDataFrame(ranges, "n int, lo long, hi long")
+    want = sorted((i, n) for i, ip in enumerate(ips) for n, lo, hi in ranges if lo <= ip <= min(hi, 2**32 - 1))
+    monkeypatch.setattr(policy, "is_small", lambda side: False)
+    monkeypatch.setattr(policy, "spread_join", lambda rows, side, key: skew.spread_join(rows, side, key, hot_rows=100))
+    assert sorted((r.i, r.n) for r in policy.cidr_match(df, "ip", table).collect()) == want
+
+
+def test_no_rule_and_no_route(spark):
+    flows = spark.createDataFrame([(1, 5, 6)], "i int, src_ip long, dst_ip long")
+    rules = spark.createDataFrame([], "pref int, src_lo long, src_hi long, table_name string")
+    routes = spark.createDataFrame([], "table_name string, prefix_len int, lo long, hi long, via string")
+    assert [(r.table_name, r.via) for r in policy.policy_route(flows, rules, routes).collect()] == [(None, None)]
+
+
+def test_rules_of_a_source_end_at_a_default_route(spark, monkeypatch):
+    """300 tables with a default route each make one candidate a flow, not 300."""
+    rules = spark.createDataFrame([(n, 0, 2**32 - 1, f"t{n}") for n in range(300)], "pref int, src_lo long, src_hi long, table_name string")
+    routes = spark.createDataFrame([(f"t{n}", 0, 0, 2**32 - 1, f"v{n}") for n in range(300)], "table_name string, prefix_len int, lo long, hi long, via string")
+    flows = spark.createDataFrame([(i, i % 7, i) for i in range(100)], "i int, src_ip long, dst_ip long")
+    got = policy.policy_route(flows, rules, routes)
+    assert {(r.table_name, r.via) for r in got.collect()} == {("t0", "v0")} and got.count() == 100
+
+
+def test_paths_without_an_mtu_stay(spark):
+    flows = spark.createDataFrame([("x", 100, True), (None, 9000, True)], "path string, size long, df boolean")
+    limits = small_table(spark, [("wg0", 1420)], "path string, mtu bigint")
+    got = {(r.path, r.mtu, r.packets, r.dropped, r.black_hole) for r in policy.mtu_drop_profile(flows, limits, "path").collect()}
+    assert got == {("x", None, 1, 0, False), (None, None, 1, 0, False)}
+
+
+def test_all_targets_of_a_command(spark, monkeypatch):
+    rows = [
+        ("curl http://ok.com http://evil.com", ["ok.com", "evil.com"], False), ("nmap -Pn ok.com", ["ok.com"], True),
+        ("nmap -sS -Pn -F 10.0.0.1/24 a.ok.com", ["10.0.0.1", "a.ok.com"], True), ("ssh root@OK.com:22", ["ok.com"], True),
+        ("curl -o out.html https://ok.com/a.txt?x=evil.com", ["ok.com"], True), ("cat /etc/hosts.conf notes.txt", [], False),
+        ("hydra -l x evil.org ssh", ["evil.org"], False), ("dig a.ok.com ok.com", ["a.ok.com", "ok.com"], True), (None, [], False),
+        ("ping 10.0.0.2", ["10.0.0.2"], False), ("ping 110.0.0.1", ["110.0.0.1"], False),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, c string")
+    allowed = spark.createDataFrame([("ok.com",), ("10.0.0.1",), ("0.0.1",), (None,)], "domain string")
+    want = {i: (hosts, fine) for i, (_, hosts, fine) in enumerate(rows)}
+    assert {r.i: (r.hosts, r.in_scope) for r in policy.scope_check(df, "c", allowed).collect()} == want
+    monkeypatch.setattr(policy, "policy_rows", lambda t, n=1: sizing.policy_rows(t, 1))
+    assert {r.i: (r.hosts, r.in_scope) for r in policy.scope_check(df, "c", allowed).collect()} == want

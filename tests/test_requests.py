@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from auditloom.operators import logs
 from auditloom.functions.codec import is_strict_base64
 from auditloom.functions.sizing import small_table
 from auditloom.operators import requests as rq
@@ -148,3 +149,38 @@ def test_status_precedence(spark):
     assert got[99] == (200, None)
     assert (got[1][1], got[5][1], got[6][1], got[0][1]) == (3, 7, 5, None)
     assert rq.status_classify(df.select("i", "auth_ok")).where("i = 3").first().status == 401
+
+
+def test_commands_come_back_from_their_repr(spark):
+    rng = random.Random(4)
+    signs = ["a", " ", "'", '"', "\\", "\n", "\r", "\t", "\x1b", "\x00", "\u200b", "\u00e9", "\U0001f600", "\U000e0001", "x41", "\\n", "\x7f", "\xad"]
+    commands = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(200)]
+    line = "2024-01-01 00:00:00,000 INFO exec image=base network=none raw=False(granted=False) timeout=60s files=0 cmd="
+    df = spark.createDataFrame([(i, line + repr(c)) for i, c in enumerate(commands)], "i int, line string")
+    got = {r.i: r.cmd for r in logs.exec_log_parse(df).collect()}
+    assert got == dict(enumerate(commands))
+
+
+def test_known_secrets_of_any_shape(spark):
+    import hashlib
+
+    secrets = ["s3cr3t", "p.q/r+s=t", "with space", "x", "longer-token_0123456789"]
+    texts = ["key s3cr3t.", "(p.q/r+s=t)", "a with space b", "no such thing", "say 'longer-token_0123456789', yes", "ab3s3cr3tz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sha = {s: hashlib.sha256(s.encode()).hexdigest() for s in secrets}
+    values = spark.createDataFrame([(s,) for s in [*secrets, ""]], "secret string")
+    got = {tuple(r) for r in logs.known_secret_scan(df, "i", "t", values).collect()}
+    assert got == {(i, sha[s]) for i, t in enumerate(texts) for s in secrets if s in t}
+    for columns in ([(sha[s],) for s in secrets], [(sha[s], len(s)) for s in secrets]):
+        hashes = spark.createDataFrame(columns, "sha256 string" + (", length int" if len(columns[0]) == 2 else ""))
+        got = {tuple(r) for r in logs.known_secret_scan(df, "i", "t", hashes).collect()}
+        assert got == {(0, sha["s3cr3t"]), (1, sha["p.q/r+s=t"]), (4, sha["longer-token_0123456789"])}
+
+
+def test_status_counts_move_narrow_rows_only(spark, sf_dir):
+    from auditloom.plans.request_queries import status_counts
+
+    plan = status_counts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line or "MapInArrow" in line]
+    assert moved and not any(name in line for line in moved for name in ("command", "stdout", "stderr", "props", "memory"))
+    assert plan.count("MapInArrow") == 1

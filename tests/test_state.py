@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditloom.functions import sizing
+from auditloom.functions import sizing, skew
 from auditloom.operators import policy, state
 from auditloom.operators.policy import toggle_asof
 
@@ -97,3 +97,38 @@ def test_orphans(spark):
     assert [r.name for r in state.orphan_sweep(names, ended, "name", "run-").collect()] == ["run-2"]
     pairs = state.orphan_pairs(names, ended, "name", ("a", "b")).collect()
     assert {(r.name, r.missing_from) for r in pairs} == {("run-2", "b"), ("other", "b"), ("run-9", "a")}
+
+
+def test_slices_hold_equal_shares_of_bursts(spark):
+    """98 of 100 rows inside ten time units, and a key with a single time."""
+    rng = random.Random(7)
+    rows = [(1, rng.randrange(10) if i % 50 else i * 100, i) for i in range(10_000)] + [(2, 5, i) for i in range(3_000)] + [(3, i, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, a long, i long")
+    limit = 1_000
+    hot = skew.hot_keys(df, "k", limit)
+    assert sorted(hot.keys) == [1, 2]
+    sliced, any_hot = skew.with_slices(df, "k", ["a", "i"], hot)
+    sizes = sliced.groupBy("k", "_slice", "_hot").agg(F.count("*").alias("n"), F.min(F.struct("a", "i")).alias("lo"), F.max(F.struct("a", "i")).alias("hi")).collect()
+    assert any_hot and max(r.n for r in sizes if r._hot) <= limit and sum(r.n for r in sizes) == len(rows)
+    for key in (1, 2):
+        pieces = sorted((r for r in sizes if r.k == key), key=lambda r: r._slice)
+        assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(pieces, pieces[1:])) and len(pieces) > 3
+    assert [r.n for r in sizes if r.k == 3] == [90]
+
+
+def test_open_intervals_stay_active(spark):
+    rows = [(1, 0, None, 1), (1, 5, 8, 2), (2, 3, None, 3)]
+    df = spark.createDataFrame(rows, "k long, a long, b long, i long")
+    got = {(r.k, r.t_us): r.active for r in state.concurrency_profile(df, "k", "a", "b").collect()}
+    assert got == {(1, 0): 1, (1, 5): 2, (1, 8): 1, (2, 3): 1}
+
+
+def test_toggle_rows_grow_with_the_input_alone(spark, monkeypatch):
+    """Changes years apart: no row but one per flow and change."""
+    year = 365 * 86_400 * 1_000_000
+    changes = spark.createDataFrame([(n, n % 20, n * 3 * year, "up") for n in range(200)], "c long, site long, ts long, action string")
+    flows = spark.createDataFrame([(i % 20, i * year) for i in range(100)], "site long, ts long")
+    monkeypatch.setattr(policy, "policy_rows", lambda t, n=1: sizing.policy_rows(t, 1))
+    looked = toggle_asof(flows, changes, "ts", "site", "c")
+    looked.collect()
+    assert "sequence" not in looked._jdf.queryExecution().executedPlan().toString().lower()

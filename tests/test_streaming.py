@@ -59,3 +59,19 @@ def test_deadline_stream_equals_batch(spark):
     assert result == {tuple(r[n] for n in names) for r in want.collect()}
     outcomes = {r[0]: r[4] for r in result}
     assert outcomes[900] == "confirmed" and outcomes[902] == "rollback"
+
+
+def test_a_stopped_stream_goes_on_from_its_folder(spark):
+    rng = random.Random(3)
+    rows, at = [], 1_700_000_000 * SECOND
+    for i in range(200):
+        at += rng.randrange(0, 3 * SECOND)
+        rows.append((rng.choice([1, 2]), at, i))
+    source, target = run_folder(spark, "test-input") + "/rows", run_folder(spark, "test-resume")
+    schema = "k long, at long, i long"
+    for part in (rows[:90], rows[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = rate_limit_stream(read_stream(spark, source), "k", "at", "i", 10, 60 * SECOND, 3)
+        got = run_available(stream, "test-resume", folder=target)
+    want = rate_limit_label(spark.read.parquet(source), "k", "at", "i", 10, 60 * SECOND, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
