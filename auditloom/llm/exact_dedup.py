@@ -56,7 +56,8 @@ class DigestIndex:
         unseen = firsts.hint("merge").join(self.rows().hint("merge"), "digest", "left_anti")
         (
             unseen.select("digest", "keep_id", F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
+            # Dealt by the bucket number, so that each bucket is one file of one task.
+            .repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
             .write.mode("append")
             .format("parquet")
             .bucketBy(self.buckets, "digest")

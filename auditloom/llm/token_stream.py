@@ -26,6 +26,9 @@ from auditloom.llm.files import open_mapped, open_output, task_file
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
 MEMO_PIECES = 600_000
+MODEL_CACHE = 100_000
+#: Documents that are encoded together.
+GROUP = 64
 # The characters of the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -39,6 +42,7 @@ LATIN_WORD = re.compile(
 )
 PLAIN_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPACE_SIGN, LINE_SIGN = "\u0120", "\u010a"
 BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {
     b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in SHOWN)
 }
@@ -62,6 +66,18 @@ def piece_of(key: str) -> str:
     return key[:-1] if key.endswith(" ") else key if key.startswith("\n") else " " + key
 
 
+def latin_words(key: str) -> list[str]:
+    """The pre-tokenizer's words of a piece in Latin letters, bytes as their signs; the usual shapes without a search."""
+    if key.isalpha():
+        return [SPACE_SIGN + (key if key.isascii() else key.encode().decode("latin-1").translate(BYTE_SIGNS))]
+    if key.isascii():
+        if key[-1] in ".," and key[:-1].isalpha():
+            return [SPACE_SIGN + key[:-1], key[-1]]
+        if key[0] == "\n" and key[1:].isalpha():
+            return [LINE_SIGN, key[1:]]
+    return [w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in LATIN_WORD.findall(piece_of(key))]
+
+
 class Places(dict):
     """The number of each piece key, in the order of first use; `new` lists those not encoded yet."""
 
@@ -96,6 +112,8 @@ class PieceEncoder:
             and rules["pre_tokenizer"] in (PLAIN_WORDS, {**PLAIN_WORDS, "trim_offsets": False})
             and all(len(t["content"]) > 3 and t["content"].startswith("<|") for t in rules["added_tokens"])
         )
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(MODEL_CACHE)
         self.places, self.n_ids = Places(), 0
         self.ids = np.empty(1 << 16, self.dtype)
         self.starts, self.sizes, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
@@ -120,36 +138,33 @@ class PieceEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(total)], sizes
 
-    def _by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_model(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each piece) of pieces in Latin letters, by the tokenizer's own BPE model.
 
         The model gets the words of the pre-tokenizer, bytes as their stand-in characters.
         """
         tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
-        for piece in pieces:
+        for key in keys:
             before = len(flat)
-            for word in LATIN_WORD.findall(piece):
-                if word.isascii():
-                    word = word.replace(" ", "\u0120").replace("\n", "\u010a")
-                else:
-                    word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            for word in latin_words(key):
                 flat += [t.id for t in tokenize(word)]
             sizes.append(len(flat) - before)
         return np.array(flat, np.int64), np.array(sizes, np.int64)
 
-    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _alone(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [piece_of(key) for key in keys]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
 
     def _learn(self) -> None:
         latin, rest = [], []
         for key in self.places.new:
-            piece = piece_of(key)
-            (latin if self.plain and LATIN_PIECE.fullmatch(piece) else rest).append((self.places[key], piece))
+            fits = self.plain and (key.isascii() and key.isalnum() or LATIN_PIECE.fullmatch(piece_of(key)))
+            (latin if fits else rest).append(key)
         self.places.new = []
-        for found, encode in ((latin, self._by_model), (rest, self._alone)):
-            numbers = [number for number, _ in found]
-            ids, sizes = encode([piece for _, piece in found])
+        for keys, encode in ((latin, self._by_model), (rest, self._alone)):
+            numbers = [self.places[key] for key in keys]
+            ids, sizes = encode(keys)
             if len(sizes) == 0:
                 continue
             while self.n_ids + len(ids) > len(self.ids):
@@ -163,16 +178,24 @@ class PieceEncoder:
             self.n_ids += len(ids)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each)."""
         if len(self.places) > MEMO_PIECES:
             self.forget()
-        keys = piece_keys(text)
+        keys, counts = [], [0]
+        for text in texts:
+            if text:
+                keys += piece_keys(text)
+            counts.append(len(keys))
         places = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
         if self.places.new:
             self._learn()
         np.add.at(self.uses, places, 1)
-        return self._gather(places)[0]
+        ids, sizes = self._gather(places)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[counts]
+        return ids, np.diff(ends)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -305,32 +328,28 @@ def write_token_stream(
     )
 
     def write(batches):
-        part, writer = TaskContext.get().partitionId(), None
+        part_no, writer = TaskContext.get().partitionId(), None
         encoder = encoder_of(tokenizer_path)
-        end = np.array([end_id], encoder.dtype)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if writer is None:
-                name = task_file(folder, ".arrows")
-                writer = SequenceWriter(name, encoder.dtype, sequence)
-            starts, sizes = [], []
-            for text in batch.column("text"):
-                ids = encoder.encode(text.as_py() or "")
-                starts.append(writer.n_ids)
-                sizes.append(len(ids) + 1)
-                writer.add(ids)
-                writer.add(end)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([part] * len(starts), pa.int32()),
-                    pa.array([name] * len(starts)),
-                    pa.array(starts, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                ],
-                names=schema.fieldNames(),
-            )
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                if writer is None:
+                    name = task_file(folder, ".arrows")
+                    writer = SequenceWriter(name, encoder.dtype, sequence)
+                ids, sizes = encoder.encode_all(part.column("text").to_pylist())
+                starts = writer.n_ids + np.cumsum(sizes + 1) - sizes - 1
+                writer.add(np.insert(ids, np.cumsum(sizes), end_id))
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([part_no] * n, pa.int32()),
+                        pa.array([name] * n),
+                        pa.array(starts, pa.int64()),
+                        pa.array(sizes + 1, pa.int64()),
+                    ],
+                    names=schema.fieldNames(),
+                )
         if writer is not None:
             writer.close()
 
@@ -352,7 +371,8 @@ def read_token_stream(spark: SparkSession, folder: str) -> DataFrame:
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("file_tokens"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", "file_tokens", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("before"))
-    placed = index.join(offsets, "file").repartition("file").sortWithinPartitions("file", "start")
+    n_files = max(1, files.count())  # a file's rows are few, but reading it is a task of its own
+    placed = index.join(offsets, "file").repartition(n_files, "file").sortWithinPartitions("file", "start")
     schema = T.StructType(
         [index.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")]]
     )

@@ -230,7 +230,8 @@ def read_records(files: DataFrame, segmented: bool) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.select("file").repartition("file").mapInArrow(read, RECORD_SCHEMA)
+    # A row is a whole file's work, so each gets a task whatever the size of the rows.
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(read, RECORD_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
