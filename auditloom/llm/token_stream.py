@@ -16,87 +16,135 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.files import open_mapped, open_output, task_file
+from auditloom.llm.shingles import mixed
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-MEMO_PIECES = 600_000
+MEMO_PIECES, TABLE_BITS = 1_000_000, 21
+#: Bytes that are hashed in one step; a longer piece is hashed by itself.
+STEP_BYTES = 1 << 18
 MODEL_CACHE = 100_000
 #: Documents that are encoded together.
 GROUP = 64
-# The characters of the Unicode property White_Space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+# The characters of the Unicode property White_Space beyond ASCII.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
 # The words of the byte-level pre-tokenizer, as far as they are Latin, and its signs for bytes.
 LATIN_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-SPACED, LINED = re.compile(f" [^{WHITE}]"), re.compile(f"\n[^{WHITE}]")
 LATIN_PIECE = re.compile("[ \\n]?(?:(?!<\\|)[!-~\u00a1-\u00ac\u00ae-\u024f])+")
 LATIN_WORD = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LATIN_LETTER}{NUMBER}]+|\\s+"
 )
 PLAIN_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SPACE_SIGN, LINE_SIGN = "\u0120", "\u010a"
+SPACE_SIGN = "\u0120"
 BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {
     b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in SHOWN)
 }
 
 
-def piece_keys(text: str) -> list[str]:
-    """The pieces of a text as keys, which `piece_of` turns back.
+def piece_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin: a run of white space and the visible run after it are one piece.
 
-    A piece with a space in front loses it, one with a line end in front keeps it, any other
-    gets a space at its end. Texts without runs of white space are split at spaces and line ends.
+    Tokens of a byte-level BPE never reach over white space that follows a visible character, so a text is
+    the sum of its pieces.
     """
-    keys = text.replace("\n", " \n").split(" ")
-    if "" in keys or "\n" in keys:
-        found = PIECE.findall(text)
-        return [p[1:] if SPACED.match(p) else p if LINED.match(p) else p + " " for p in found]
-    keys[0] += " "
-    return keys
+    space = SPACE_BYTES[data]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = space[1:] & ~space[:-1]
+    begins[text_starts] = True
+    return np.flatnonzero(begins)
 
 
-def piece_of(key: str) -> str:
-    return key[:-1] if key.endswith(" ") else key if key.startswith("\n") else " " + key
-
-
-def latin_words(key: str) -> list[str]:
+def latin_words(piece: str) -> list[str]:
     """The pre-tokenizer's words of a piece in Latin letters, bytes as their signs; the usual shapes without a search."""
-    if key.isalpha():
-        return [SPACE_SIGN + (key if key.isascii() else key.encode().decode("latin-1").translate(BYTE_SIGNS))]
-    if key.isascii():
-        if key[-1] in ".," and key[:-1].isalpha():
-            return [SPACE_SIGN + key[:-1], key[-1]]
-        if key[0] == "\n" and key[1:].isalpha():
-            return [LINE_SIGN, key[1:]]
-    return [w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in LATIN_WORD.findall(piece_of(key))]
-
-
-class Places(dict):
-    """The number of each piece key, in the order of first use; `new` lists those not encoded yet."""
+    if piece[0] == " " and piece.isascii():
+        if piece[1:].isalpha():
+            return [SPACE_SIGN + piece[1:]]
+        if piece[-1] in ".," and piece[1:-1].isalpha():
+            return [SPACE_SIGN + piece[1:-1], piece[-1]]
+    return [w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in LATIN_WORD.findall(piece)]
+
+
+class HashTable:
+    """64-bit hash to a number, by open addressing in two arrays; looks up and adds whole arrays."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64(2**bits - 1)
+        self.hashes, self.numbers = np.zeros(2**bits, np.uint64), np.full(2**bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where there is none."""
+        at = (hashes & self.mask).astype(np.int64)
+        found = self.numbers[at]
+        other = np.flatnonzero((found >= 0) & (self.hashes[at] != hashes))
+        while len(other):
+            at[other] = (at[other] + 1) & int(self.mask)
+            found[other] = self.numbers[at[other]]
+            other = other[(found[other] >= 0) & (self.hashes[at[other]] != hashes[other])]
+        return found
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct new hashes with their numbers."""
+        at, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.numbers[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            self.hashes[at[placed]], self.numbers[at[placed]] = hashes[placed], numbers[placed]
+            rest = np.ones(len(hashes), bool)
+            rest[placed] = False
+            todo = todo[rest[todo]]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+
+
+class PieceHasher:
+    """64-bit hashes of pieces of a byte array, all at once, by running sums of a polynomial with random byte values."""
 
     def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        place = self[piece] = len(self)
-        self.new.append(piece)
-        return place
+        base = 0x9E3779B97F4A7C15
+        self.values = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+        self.powers, self.inverses = self._powers(base), self._powers(pow(base, -1, 2**64))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        factors = np.full(STEP_BYTES, base, np.uint64)
+        factors[0] = 1
+        return np.multiply.accumulate(factors)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, lo = np.empty(len(starts), np.uint64), 0
+        while lo < len(starts):
+            hi = int(np.searchsorted(ends, starts[lo] + STEP_BYTES, "right"))
+            if hi == lo:  # one long piece
+                out[lo] = xxhash.xxh64_intdigest(data[starts[lo] : ends[lo]])
+                lo += 1
+                continue
+            first, last = starts[lo], ends[hi - 1]
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum(self.values[data[first:last]] * self.powers[: last - first], out=sums[1:])
+            own = sums[ends[lo:hi] - first] - sums[starts[lo:hi] - first]
+            sizes = (ends[lo:hi] - starts[lo:hi]).astype(np.uint64)
+            out[lo:hi] = mixed(own * self.inverses[starts[lo:hi] - first] + sizes)
+            lo = hi
+        return out
 
 
 class PieceEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer file, each distinct piece encoded once.
 
-    Tokens of this tokenizer kind never reach over white space that follows a visible
-    character, so a text is the sum of its pieces, each a run of white space
-    and the visible run after it. The ids are those of
-    `Tokenizer.encode(text, add_special_tokens=False)`.
+    The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`. Pieces are known by
+    a 64-bit hash; with MEMO_PIECES known at a time, a new piece is taken for another with probability below 1e-13.
+    Texts with white space beyond ASCII go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -114,21 +162,21 @@ class PieceEncoder:
         )
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(MODEL_CACHE)
-        self.places, self.n_ids = Places(), 0
-        self.ids = np.empty(1 << 16, self.dtype)
+        self.hasher, self.table = PieceHasher(), HashTable(TABLE_BITS)
+        self.ids, self.n_ids, self.n_pieces = np.empty(1 << 16, self.dtype), 0, 0
         self.starts, self.sizes, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
     def forget(self) -> None:
         """Keep the pieces that were used most, half of MEMO_PIECES at most; uses are halved."""
-        pieces, uses = list(self.places), self.uses[: len(self.places)]
-        least = 2
+        uses, least = self.uses[: self.n_pieces], 2
         while (uses >= least).sum() > MEMO_PIECES // 2:
             least *= 2
         kept = np.flatnonzero(uses >= least)
         self.ids, sizes = self._gather(kept)
-        self.places, self.n_ids = Places(), len(self.ids)
-        for place, number in enumerate(kept.tolist()):
-            self.places[pieces[number]] = place
+        self.n_ids, self.n_pieces = len(self.ids), len(kept)
+        self.hashes, self.table = self.hashes[kept], HashTable(TABLE_BITS)
+        self.table.add(self.hashes, np.arange(len(kept)))
         self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, uses[kept] // 2
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,64 +186,83 @@ class PieceEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(total)], sizes
 
-    def _by_model(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_model(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         """(all ids, number of ids of each piece) of pieces in Latin letters, by the tokenizer's own BPE model.
 
         The model gets the words of the pre-tokenizer, bytes as their stand-in characters.
         """
         tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
-        for key in keys:
+        for piece in pieces:
             before = len(flat)
-            for word in latin_words(key):
+            for word in latin_words(piece):
                 flat += [t.id for t in tokenize(word)]
             sizes.append(len(flat) - before)
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
+        return flat, sizes
 
-    def _alone(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [piece_of(key) for key in keys]
+    def _alone(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
-
-    def _learn(self) -> None:
-        latin, rest = [], []
-        for key in self.places.new:
-            fits = self.plain and (key.isascii() and key.isalnum() or LATIN_PIECE.fullmatch(piece_of(key)))
-            (latin if fits else rest).append(key)
-        self.places.new = []
-        for keys, encode in ((latin, self._by_model), (rest, self._alone)):
-            numbers = [self.places[key] for key in keys]
-            ids, sizes = encode(keys)
-            if len(sizes) == 0:
+        return [i for ids in found for i in ids], [len(ids) for ids in found]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces; they get the next places in the order given."""
+        first, n = self.n_pieces, len(pieces)
+        while first + n > len(self.starts):
+            self.starts, self.sizes, self.uses, self.hashes = (
+                np.concatenate([v, np.zeros(len(v) + 1, v.dtype)]) for v in (self.starts, self.sizes, self.uses, self.hashes)
+            )
+        fits = [self.plain and (p[1:].isalpha() and p.isascii() or bool(LATIN_PIECE.fullmatch(p))) for p in pieces]
+        for way, encode in ((True, self._by_model), (False, self._alone)):
+            own = [k for k, fit in enumerate(fits) if fit == way]
+            if not own:
                 continue
+            ids, sizes = encode([pieces[k] for k in own])
+            sizes, numbers = np.array(sizes, np.int64), np.array(own) + first
             while self.n_ids + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + 1, self.dtype)])
-            while len(self.places) > len(self.starts):
-                more = np.zeros(len(self.starts) + 1, np.int64)
-                self.starts, self.sizes, self.uses = (np.concatenate([v, more]) for v in (self.starts, self.sizes, self.uses))
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
             self.starts[numbers] = self.n_ids + np.cumsum(sizes) - sizes
             self.sizes[numbers] = sizes
             self.n_ids += len(ids)
+        self.hashes[first : first + n] = hashes
+        self.uses[first : first + n] = 0
+        self.table.add(hashes, np.arange(first, first + n))
+        self.n_pieces += n
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each)."""
-        if len(self.places) > MEMO_PIECES:
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each); null and empty texts have none."""
+        wide = [k for k, t in enumerate(texts) if t and not t.isascii() and WIDE_SPACE.search(t)]
+        if wide:
+            whole = {k: np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.dtype) for k in wide}
+            ids, sizes = self.encode_all([None if k in whole else t for k, t in enumerate(texts)])
+            ends = np.cumsum(sizes)
+            parts = [whole.get(k, ids[end - size : end]) for k, (end, size) in enumerate(zip(ends, sizes))]
+            return np.concatenate(parts), np.array([len(part) for part in parts])
+        if self.n_pieces > MEMO_PIECES:
             self.forget()
-        keys, counts = [], [0]
-        for text in texts:
-            if text:
-                keys += piece_keys(text)
-            counts.append(len(keys))
-        places = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
-        if self.places.new:
-            self._learn()
+        coded = [t.encode() if t else b"" for t in texts]
+        lengths = np.array([len(c) for c in coded], np.int64)
+        raw = b"".join(coded)
+        if not raw:
+            return np.empty(0, self.dtype), lengths
+        data, text_ends = np.frombuffer(raw, np.uint8), np.cumsum(lengths)
+        starts = piece_starts(data, (text_ends - lengths)[lengths > 0])
+        ends = np.append(starts[1:], len(data))
+        hashes = self.hasher.hashes(data, starts, ends)
+        places = self.table.find(hashes)
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            new, first, which = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            at = unknown[first]
+            pieces = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            places[unknown] = self.n_pieces + which
+            self._learn(new, pieces)
         np.add.at(self.uses, places, 1)
         ids, sizes = self._gather(places)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[counts]
-        return ids, np.diff(ends)
+        before = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, np.concatenate([[0], text_ends]))]
+        return ids, np.diff(before)
 
 
 _encoders: dict[str, PieceEncoder] = {}
