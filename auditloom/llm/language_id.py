@@ -295,7 +295,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def accepted_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3
 ) -> DataFrame:
     """`docs`, all columns, without those whose language cannot be told.
 
