@@ -156,6 +156,24 @@ def op9_interleave_shards(spark, sf_dir):
     )
 
 
+#: CRC-32 of the texts, byte by byte over a table made by its rule.
+CRC_SQL = r"""steps AS (SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+ UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS tab FROM steps WHERE k = 8),
+hexed AS (SELECT doc_id, string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1,', 'g'), ',')[:-2] AS h FROM documents),
+bytes AS (SELECT doc_id, list_transform(h, lambda x: CAST(concat('0x', x) AS BIGINT)) AS b FROM hexed),
+crcs AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+ FROM bytes, crc_table)"""
+INTERLEAVE_SHARDS = f"""WITH RECURSIVE {CRC_SQL},
+ranked AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(concat('shard:', doc_id)) AS k,
+  row_number() OVER (PARTITION BY source ORDER BY md5(concat('shard:', doc_id)), doc_id) - 1 AS r,
+  count(*) OVER (PARTITION BY source) AS n FROM documents),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2 * n), source NULLS LAST, k, doc_id) - 1 AS place, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard,
+ CAST(place - (place * 8 // total * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed JOIN crcs USING (doc_id)"""
+
+
 def op10_mix_sources(spark, sf_dir):
     return mix_totals(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -188,6 +206,6 @@ QUERIES = {
     "op6_repeated_passages": (op6_repeated_passages, REPEATED_PASSAGES),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_token_stream": (op8_token_stream, None),
-    "op9_interleave_shards": (op9_interleave_shards, None),
+    "op9_interleave_shards": (op9_interleave_shards, INTERLEAVE_SHARDS),
     "op10_mix_sources": (op10_mix_sources, MIX_SOURCES),
 }
