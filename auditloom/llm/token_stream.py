@@ -9,7 +9,6 @@ with the place of every document.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -27,10 +26,10 @@ from auditloom.llm.shingles import mixed
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-MEMO_PIECES, TABLE_BITS = 1_000_000, 21
+MEMO_PIECES, TABLE_BITS = 500_000, 20
 #: Bytes that are hashed in one step; a longer piece is hashed by itself.
-STEP_BYTES = 1 << 18
-MODEL_CACHE = 100_000
+STEP_BYTES = 1 << 17
+MODEL_CACHE = 50_000
 #: Documents that are encoded together.
 GROUP = 64
 # The characters of the Unicode property White_Space beyond ASCII.
@@ -44,7 +43,6 @@ LATIN_PIECE = re.compile("[ \\n]?(?:(?!<\\|)[!-~\u00a1-\u00ac\u00ae-\u024f])+")
 LATIN_WORD = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LATIN_LETTER}{NUMBER}]+|\\s+"
 )
-PLAIN_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPACE_SIGN = "\u0120"
 BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {
@@ -149,16 +147,18 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
-        rules = json.loads(self.tokenizer.to_str())
+        words, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
         #: Whether the file asks for nothing but the usual byte-level words and the model.
         self.plain = (
-            rules["normalizer"] is None
-            and rules["pre_tokenizer"] in (PLAIN_WORDS, {**PLAIN_WORDS, "trim_offsets": False})
-            and all(len(t["content"]) > 3 and t["content"].startswith("<|") for t in rules["added_tokens"])
+            self.tokenizer.normalizer is None
+            and isinstance(words, pre_tokenizers.ByteLevel)
+            and not words.add_prefix_space
+            and words.use_regex
+            and all(len(t.content) > 3 and t.content.startswith("<|") for t in added)
         )
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(MODEL_CACHE)
