@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from auditloom.llm.queries import QUERIES
+from auditloom.session import run_folder, settle
+from tests.llm.odd import frame, odd_rows
 from tests.llm.test_minhash import brute_force as near_groups
 from tests.llm.test_sharding import brute_force as shard_places
 from tests.oracle_check import compare, connect
@@ -64,3 +66,33 @@ def test_pipeline_stages(spark, con, sf_dir):
     tokens = sum(len(r.text.encode().split()) + 1 for r in mixed.collect())
     assert packed.groupBy().sum("length").first()[0] == tokens
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_pipeline_stages_take_odd_and_empty_documents(spark, sf_dir):
+    for rows in (odd_rows(), [], [(None, None, None, None, None)] * 3):
+        docs = frame(spark, rows, clash=True)
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES:
+            kept = settle(stage(spark, kept, sf_dir))
+            if name != "pack":
+                assert kept.columns == docs.columns, name
+        if rows == odd_rows():
+            assert kept.where("length > 0").count() == kept.count() > 50
+
+
+def test_queries_take_an_empty_table(spark):
+    folder = run_folder(spark, "test-empty")
+    frame(spark, []).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    for name, (query, _) in QUERIES.items():
+        assert query(spark, folder).collect() == [], name
+
+
+def test_queries_take_odd_documents(spark, sf_dir):
+    """Nulls, blanks, repeated rows and ids through every query on documents."""
+    folder = run_folder(spark, "test-odd")
+    frame(spark, odd_rows(), clash=True).write.parquet(f"{folder}/documents.parquet")
+    for name, (query, _) in QUERIES.items():
+        if name != "op4_warc_segments":
+            n = query(spark, folder).count()
+            assert n == len(odd_rows()) if name != "op2_length_buckets" else n > len(odd_rows()), name
