@@ -21,6 +21,8 @@ from auditloom.session import settle
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
+#: Rounds that fill the gap to a target.
+FILLS = 3
 
 
 def source_targets(units: DataFrame, source_col: str, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -117,6 +119,36 @@ def document_units(docs: DataFrame, id_col: str, text_col: str, source_col: str,
     )
 
 
+def taken_epochs(units: DataFrame, id_col: str, source_col: str, max_epochs: int) -> DataFrame:
+    """Units with the `epoch` they are taken in: documents in seeded order up to the target, then smaller ones for what is missing.
+
+    A document is taken where it ends at or before the target. What is then missing, less than the next document, is
+    filled FILLS times over from the rest of that epoch: documents no longer than the gap, in seeded order, as far as they fit.
+    """
+    epochs = units.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn(
+        "ends", F.col("epoch") * F.col("source_size") + F.col("words_before") + F.col("unit_words")
+    )
+    fits = F.col("ends") <= F.col("target")
+    got = F.coalesce(F.sum(F.when(fits, F.col("unit_words"))), F.lit(0))
+    gaps = epochs.groupBy(F.col(source_col).alias("g_source")).agg((F.max("target") - got).alias("gap"))
+    last = F.col("epoch") == F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
+    taken = epochs.where(fits)
+    rest = epochs.where(~fits & last & (F.col("unit_words") > 0))
+    for _ in range(FILLS):
+        spare = rest.join(gaps, F.col(source_col).eqNullSafe(F.col("g_source"))).where(F.col("unit_words") <= F.col("gap"))
+        order = [F.col("mix_key"), F.col(id_col), F.col("text_hash"), F.col("size")]
+        slices = key_slice(F.col("mix_key"), slice_count(units.sparkSession))
+        summed = running_before(
+            settle(spare.drop("g_source")), [source_col], slices, order, {"spare_before": F.col("unit_words")}
+        )
+        filling = settle(summed.withColumn("filling", F.col("spare_before") + F.col("unit_words") <= F.col("gap")))
+        taken = taken.unionByName(filling.where("filling").select(*epochs.columns))
+        rest = filling.where("NOT filling").select(*epochs.columns)
+        got = F.coalesce(F.sum(F.when(F.col("filling"), F.col("unit_words"))), F.lit(0))
+        gaps = filling.groupBy(F.col(source_col).alias("g_source")).agg((F.max("gap") - got).alias("gap"))
+    return taken
+
+
 def mix_draws(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -136,8 +168,8 @@ def mix_draws(
     `local_key`, the seeded order inside the shard.
 
     An epoch of a source is its documents in seeded order. The mix takes whole epochs
-    while the target covers them and of the next epoch the documents whose middle word lies
-    before the target, so a source misses its target by half a document at most. The size
+    while the target covers them and of the next epoch what `taken_epochs` says: never more than the target, and
+    less by a small part of a document where the source has small ones. The size
     is the number of words (null text: 0); a document without words is taken in every epoch
     that reaches its place. A null source is a source of its own, with the last weight. Rows that repeat id, text and source
     are one unit: they are drawn together and each counts its words. Ids that
@@ -157,9 +189,7 @@ def mix_draws(
         {"words_before": F.col("unit_words")},
     )
     units = settle(ordered.join(targets, F.col(source_col).eqNullSafe(F.col("t_source"))).drop("t_source"))
-    epochs = units.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-    at = F.col("epoch") * F.col("source_size") + F.col("words_before")
-    taken = epochs.where(at * 2 + F.col("unit_words") < F.col("target") * 2).withColumn(
+    taken = taken_epochs(units, id_col, source_col, max_epochs).withColumn(
         "block", F.floor(F.col("words_before") / F.lit(block_words))
     )
     taken = settle(taken.select(id_col, "text_hash", source_col, "epoch", "block"))

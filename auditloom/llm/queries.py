@@ -8,7 +8,7 @@ from auditloom.llm.common import table
 from auditloom.llm.exact_dedup import exact_dedup_labels
 from auditloom.llm.language_id import fit_language_model, held_out, identify_languages
 from auditloom.llm.minhash import near_duplicate_labels
-from auditloom.llm.mixing import mix_totals
+from auditloom.llm.mixing import FILLS, mix_totals
 from auditloom.llm.packing import pack_by_length
 from auditloom.llm.quality import quality_labels
 from auditloom.llm.sharding import interleave_shards
@@ -178,7 +178,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix_totals(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-MIX_SOURCES = r"""WITH docs AS (SELECT doc_id, source,
+MIX_BASE = r"""WITH docs AS (SELECT doc_id, source,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   md5(concat('mix', ':', coalesce(source, ''), ':', doc_id)) AS k FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY 1),
@@ -190,12 +190,27 @@ left_over AS (SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM sums) AS bud
  WINDOW f AS (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, least(room::DOUBLE,
   (SELECT max((budget - filled::DOUBLE) / weight_left::DOUBLE) FROM left_over) * weight) AS target FROM left_over),
-placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs)
-SELECT doc_id, size, source_size, target,
- size * (CASE WHEN 2 * before + size < 2 * target THEN 1 ELSE 0 END
-  + CASE WHEN 2 * (source_size + before) + size < 2 * target THEN 1 ELSE 0 END) AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source"""
+placed AS (SELECT doc_id, source, size, k, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs),
+epochs AS (SELECT p.*, source_size, target, epoch, epoch * source_size + before + size <= target AS fits
+ FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS epoch)),
+gaps0 AS (SELECT source, max(target) - coalesce(sum(CASE WHEN fits THEN size END), 0) AS gap FROM epochs GROUP BY source),
+rest0 AS (SELECT doc_id, source, size, k FROM epochs WHERE NOT fits AND epoch = floor(target / nullif(source_size, 0)) AND size > 0)"""
+MIX_FILL = """, spare{n} AS (SELECT r.*, gap, coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY k, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= gap AS filling
+ FROM rest{m} r JOIN gaps{m} g ON r.source IS NOT DISTINCT FROM g.source WHERE size <= gap),
+gaps{n} AS (SELECT source, max(gap) - coalesce(sum(CASE WHEN filling THEN size END), 0) AS gap FROM spare{n} GROUP BY source),
+rest{n} AS (SELECT doc_id, source, size, k FROM spare{n} WHERE NOT filling)"""
+MIX_SOURCES = (
+    MIX_BASE
+    + "".join(MIX_FILL.format(n=n, m=n - 1) for n in range(1, FILLS + 1))
+    + """, taken AS (SELECT doc_id FROM epochs WHERE fits"""
+    + "".join(f" UNION ALL SELECT doc_id FROM spare{n} WHERE filling" for n in range(1, FILLS + 1))
+    + """),
+times AS (SELECT doc_id, count(*) AS n FROM taken GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, size * coalesce(n, 0) AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN times USING (doc_id)"""
+)
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, EXACT_DEDUP),
