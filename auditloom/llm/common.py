@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
+import types
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The six ASCII white-space characters, as a regular expression class and as text.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+WORD_CLASS = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 SLICES_PER_PARTITION = 4
@@ -25,10 +33,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def word_count(text: Column) -> Column:
-    """Number of `[^\\x20\\x09-\\x0D]+` in a text as BIGINT; null has none."""
-    trimmed = F.btrim(text, F.lit(SPACE_CHARS))
-    n = F.size(F.split(trimmed, f"{SPACE_CLASS}+")).cast("long")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0).cast("long")).otherwise(n)
+    """Number of `[^\\x20\\x09-\\x0D]+` in a text as BIGINT; null has none.
+
+    Every word with the space after it becomes one sign, so no array of words is made.
+    """
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.char_length(F.regexp_replace(trimmed, f"{WORD_CLASS}+{SPACE_CLASS}*", "x")).cast("long")
 
 
 def seeded_key(seed: str, *parts: Column) -> Column:
@@ -75,3 +85,40 @@ def running_before(
         same = same & F.col(g).eqNullSafe(F.col(f"{g}_side"))
     joined = local.join(offsets, same)
     return joined.withColumns({n: F.col(n) + F.col(f"{n}_offset") for n in values}).select(*df.columns, *values)
+
+
+def hand_back() -> None:
+    """Free what is unreachable and give unused memory of the allocators back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """`run`, a function over Arrow batches, that starts and ends with `hand_back`.
+
+    Python workers go from task to task. What the function of an earlier task left in cycles, and
+    what the allocators keep, would be missing elsewhere on the executor.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        hand_back()
+        yield from run(batches)
+        hand_back()
+
+    return wrapped
+
+
+def kept_in_worker(name: str, make):
+    """An object that a Python worker makes once and its later tasks find again.
+
+    The functions of this package travel with each task by value, and the globals of their modules with
+    them, so what is to outlive a task is kept with the interpreter.
+    """
+    holder = sys.modules.setdefault("_auditloom_worker", types.ModuleType("_auditloom_worker"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)

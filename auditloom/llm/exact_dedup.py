@@ -38,7 +38,7 @@ class DigestIndex:
     """
 
     def __init__(
-        self, spark: SparkSession, name: str, path: str, buckets: int = 64, id_type: str = "BIGINT", clean: bool = False
+        self, spark: SparkSession, name: str, path: str, buckets: int = 64, id_type: str = "BIGINT"
     ):
         self.spark, self.name, self.buckets = spark, name, buckets
         if not spark.catalog.tableExists(name):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import fresh
+from auditloom.llm.common import fresh, lean
 
 ORDERS = (1, 2, 3)
 FEATURES = 2**16
@@ -26,15 +26,26 @@ UNDETERMINED = "und"
 #: Odd multipliers of the n-gram hash, one per position.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-_letters: np.ndarray | None = None
+#: Code points below are looked up in a table; the letters among the others are few in any text.
+TABLED = 0x3000
 
 
 def letter_table() -> np.ndarray:
-    """For each code point, whether it is a letter; built once per worker."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return _letters
+    """For the first TABLED code points, whether they are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(TABLED)), bool, TABLED)
+
+
+_letters = letter_table()
+
+
+def are_letters(codes: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter."""
+    found = _letters[np.minimum(codes, TABLED - 1)]
+    high = np.flatnonzero(codes >= TABLED)
+    if len(high):
+        distinct, which = np.unique(codes[high], return_inverse=True)
+        found[high] = np.fromiter((chr(c).isalpha() for c in distinct.tolist()), bool, len(distinct))[which]
+    return found
 
 
 def gram_features(text: str) -> Iterator[np.ndarray]:
@@ -47,7 +58,7 @@ def gram_features(text: str) -> Iterator[np.ndarray]:
     for at in range(0, len(lowered), PIECE):
         piece = lowered[at : at + PIECE + ORDERS[-1] - 1]
         codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters = letter_table()[codes]
+        letters = are_letters(codes)
         codes = np.where(letters, codes, 32).astype(np.uint64)
         starts = min(len(codes), PIECE)
         for order in ORDERS:
@@ -176,7 +187,7 @@ def document_frequencies(labelled: DataFrame, text_col: str) -> tuple[np.ndarray
         )
 
     found = (
-        labelled.select(text_col).mapInArrow(count, "feature bigint, n bigint")
+        labelled.select(text_col).mapInArrow(lean(count), "feature bigint, n bigint")
         .groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     )
     totals = np.zeros(FEATURES + 1, np.int64)
@@ -239,7 +250,7 @@ def fit_language_model(
                     )
 
     schema = "lang string, calibrates boolean, used binary, counts binary"
-    rows = sample.select("lang", "text", "calibrates").mapInArrow(features, schema).toArrow().to_pylist()
+    rows = sample.select("lang", "text", "calibrates").mapInArrow(lean(features), schema).toArrow().to_pylist()
     number = {lang: i for i, lang in enumerate(languages)}
     decoded = [
         (np.frombuffer(r["used"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<i4"), number[r["lang"]], r["calibrates"])
@@ -286,7 +297,7 @@ def identify_languages(
                 names=schema.fieldNames(),
             )
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(lean(predict), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

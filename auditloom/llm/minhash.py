@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import fresh, key_slice, running_before, seeded_key, slice_count
+from auditloom.llm.common import fresh, key_slice, lean, running_before, seeded_key, slice_count
 from auditloom.llm.components import connected_components
 from auditloom.llm.shingles import WordHashes, fingerprint, mixed, shingle_set
 from auditloom.session import settle
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> D
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")
     )
-    return settle(rows.mapInArrow(make, fields))
+    return settle(rows.mapInArrow(lean(make), fields))
 
 
 def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +177,7 @@ def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-    return dealt.mapInArrow(link, "u bigint, v bigint")
+    return dealt.mapInArrow(lean(link), "u bigint, v bigint")
 
 
 def spanning(ids: np.ndarray, sigs: np.ndarray, least: int) -> np.ndarray:
@@ -308,7 +308,7 @@ def confirmed(
         if (found := close()) is not None:
             yield found
 
-    return dealt.mapInArrow(check, "u bigint, v bigint")
+    return dealt.mapInArrow(lean(check), "u bigint, v bigint")
 
 
 def near_duplicate_labels(

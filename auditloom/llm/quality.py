@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import fresh
+from auditloom.llm.common import fresh, lean
 from auditloom.session import settle
 
 # The symbols that are counted, and the shares and sizes of the base rule.
@@ -113,7 +113,7 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str)
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(host_col).alias("host"),
         F.col(text_col).alias("text"),
     )
-    counted = narrow.mapInArrow(count, T.StructType(fields))
+    counted = narrow.mapInArrow(lean(count), T.StructType(fields))
     return settle(counted.withColumn("row_no", F.monotonically_increasing_id()))
 
 
@@ -202,4 +202,4 @@ def clean_documents(
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(strip, docs.schema)
+    return rows.mapInArrow(lean(strip), docs.schema)

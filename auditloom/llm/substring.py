@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import fresh
+from auditloom.llm.common import fresh, lean
 from auditloom.llm.shingles import ROLL, ROLL_TOO, WordHashes, mixed, rolling
 from auditloom.session import settle
 
@@ -283,12 +283,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for held in grouped(batches, "shard"):
             yield shard_spans(held, window)
 
-    entries = rows.mapInArrow(hash_windows, entry_type)
-    repeats = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find_repeats, REPEAT_SCHEMA)
+    entries = rows.mapInArrow(lean(hash_windows), entry_type)
+    repeats = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(find_repeats), REPEAT_SCHEMA)
     merged = (
         repeats.repartition(buckets, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(merge, f"doc_id bigint, text_hash bigint, spans {SPANS}")
+        .mapInArrow(lean(merge), f"doc_id bigint, text_hash bigint, spans {SPANS}")
     )
     return settle(merged.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
 
@@ -338,7 +338,7 @@ def removal_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=schema.fieldNames(),
             )
 
-    return joined.mapInArrow(label, schema)
+    return joined.mapInArrow(lean(label), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -356,4 +356,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(rewrite, docs.schema)
+    return joined.mapInArrow(lean(rewrite), docs.schema)

@@ -15,23 +15,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.llm.common import kept_in_worker, lean
 from auditloom.llm.files import open_mapped, open_output, task_file
 from auditloom.llm.shingles import mixed
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-MEMO_PIECES, TABLE_BITS = 500_000, 20
+MEMO_PIECES, TABLE_BITS = 400_000, 20
 #: Bytes that are hashed in one step; a longer piece is hashed by itself.
 STEP_BYTES = 1 << 17
-MODEL_CACHE = 50_000
-#: Documents that are encoded together.
-GROUP = 64
+MODEL_CACHE = 20_000
+#: Bytes of text that are encoded together; a longer text is a group of its own.
+GROUP_BYTES = 1 << 19
 # The characters of the Unicode property White_Space beyond ASCII.
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE_BYTES = np.zeros(256, bool)
@@ -265,16 +267,6 @@ class PieceEncoder:
         return ids, np.diff(before)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder_of(path: str) -> PieceEncoder:
-    """The encoder of this worker; the tasks that it runs one after the other share what it knows."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
-
-
 class SequenceWriter:
     """One stream file; `add` takes the ids of a document, in any number of calls."""
 
@@ -357,6 +349,17 @@ class SequenceFile:
         return sum(b.column("mask").values.true_count for b in self.batches)
 
 
+def groups(batch: pa.RecordBatch):
+    """Consecutive slices of about GROUP_BYTES of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_token_stream(
     docs: DataFrame,
     folder: str,
@@ -396,10 +399,9 @@ def write_token_stream(
 
     def write(batches):
         part_no, writer = TaskContext.get().partitionId(), None
-        encoder = encoder_of(tokenizer_path)
+        encoder = kept_in_worker(f"encoder:{tokenizer_path}", lambda: PieceEncoder(tokenizer_path))
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
+            for part in groups(batch):
                 if writer is None:
                     name = task_file(folder, ".arrows")
                     writer = SequenceWriter(name, encoder.dtype, sequence)
@@ -420,7 +422,7 @@ def write_token_stream(
         if writer is not None:
             writer.close()
 
-    ordered.mapInArrow(write, schema).write.parquet(f"{folder}/index")
+    ordered.mapInArrow(lean(write), schema).write.parquet(f"{folder}/index")
     return read_index(spark, folder)
 
 
@@ -464,4 +466,4 @@ def read_token_stream(spark: SparkSession, folder: str) -> DataFrame:
                 names=schema.fieldNames(),
             )
 
-    return placed.mapInArrow(read, schema)
+    return placed.mapInArrow(lean(read), schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.llm.common import lean
 from auditloom.llm.files import open_input, open_output, task_file
 from auditloom.session import settle
 
@@ -169,7 +170,7 @@ def write_archives(
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
-    mark_revisits(pages, **columns).mapInArrow(write, "file string, records bigint").write.parquet(f"{folder}/files")
+    mark_revisits(pages, **columns).mapInArrow(lean(write), "file string, records bigint").write.parquet(f"{folder}/files")
     return spark.read.parquet(f"{folder}/files")
 
 
@@ -231,7 +232,7 @@ def read_records(files: DataFrame, segmented: bool) -> DataFrame:
                     yield _batch(rows)
 
     # A row is a whole file's work, so each gets a task whatever the size of the rows.
-    return files.select("file").repartition(max(1, files.count())).mapInArrow(read, RECORD_SCHEMA)
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(lean(read), RECORD_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -255,7 +256,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
             for origin, segments in zip(batch.column("origin_id"), batch.column("segments")):
                 yield _batch([_joined(origin.as_py(), segments.as_py())])
 
-    return groups.mapInArrow(join, RECORD_SCHEMA).drop("segment", "total_length", "origin_id")
+    return groups.mapInArrow(lean(join), RECORD_SCHEMA).drop("segment", "total_length", "origin_id")
 
 
 def _joined(origin: str, segments: list[dict]) -> tuple:
