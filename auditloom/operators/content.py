@@ -23,7 +23,9 @@ MAGIC = (
     ("jpeg", "FFD8FF"),
     ("gif", "47494638"),
     ("html", "3C21444F43545950452068746D6C"),
+    ("html", "3C21646F63747970652068746D6C"),
     ("html", "3C68746D6C"),
+    ("html", "3C48544D4C"),
     ("xml", "3C3F786D6C"),
     ("script", "2321"),
 )
