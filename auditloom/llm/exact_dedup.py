@@ -50,6 +50,14 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def next_batch(self) -> int:
+        last = self.rows().agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
+
+    def drop(self) -> None:
+        """Forget the table; its files stay with their folder."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def add(self, digests: DataFrame, batch: int, id_col: str = "doc_id") -> None:
         """Append the digests of a batch that the index lacks, each with its smallest id."""
         firsts = digests.groupBy("digest").agg(F.min(id_col).alias("keep_id"))
@@ -88,12 +96,19 @@ def id_batches(digests: DataFrame, id_col: str, batches: int) -> list[DataFrame]
 
 
 def exact_dedup_labels(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, buckets: int = 64
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batches: int = 2,
+    buckets: int = 64,
+    index: DigestIndex | None = None,
 ) -> DataFrame:
     """One row per document: id, `digest`, `keep_id`, `group_size`, `kept`.
 
     The texts are read once, for their digests; batches of rising ids then go
-    through one `DigestIndex`, so the smallest id of equal texts stays. A null text
+    through one `DigestIndex`, so the smallest id of equal texts stays. With an `index` of
+    earlier documents a text it knows keeps its id from there, and the new texts stay in it; without
+    one the index is made for this call. A null text
     counts as empty, empty texts equal each other, and texts of any length are
     digested whole. A null id loses to any id; a text with null ids only has a
     null `keep_id`, and its rows are all kept, since no id tells them apart. Rows
@@ -102,23 +117,30 @@ def exact_dedup_labels(
     """
     spark = docs.sparkSession
     digests = settle(docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("digest")))
-    name = f"digest_index_{uuid.uuid4().hex}"
-    index = DigestIndex(
-        spark, name, f"{run_folder(spark, 'digest-index')}/rows", buckets, digests.schema[id_col].dataType.simpleString()
-    )
-    for number, batch in enumerate(id_batches(digests, id_col, batches)):
+    own = index is None
+    if own:
+        folder = f"{run_folder(spark, 'digest-index')}/rows"
+        id_type = digests.schema[id_col].dataType.simpleString()
+        index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", folder, buckets, id_type)
+    first = index.next_batch()
+    for number, batch in enumerate(id_batches(digests, id_col, batches), first):
         index.add(batch, number, id_col)
-    return index.resolve(digests).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    labels = index.resolve(digests)
+    if own:
+        index.drop()
+    return labels.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None
+) -> DataFrame:
     """`docs`, all columns, with one row of each group of equal texts.
 
     Follows `exact_dedup_labels`; of rows that tie in both id and text one stays,
     chosen by the hash of the whole row. One shuffle of the texts, of kept rows with a
     duplicate only on the narrow side.
     """
-    labels = exact_dedup_labels(docs, id_col, text_col)
+    labels = exact_dedup_labels(docs, id_col, text_col, index=index)
     keep = labels.where("kept").select(F.col("digest").alias("k_digest"), F.col(id_col).alias("k_id")).distinct()
     digest, rank = fresh(docs, "digest"), fresh(docs, "digest_rank")
     same_row = Window.partitionBy(digest, id_col).orderBy(F.xxhash64(*docs.columns))

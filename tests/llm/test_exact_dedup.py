@@ -59,3 +59,18 @@ def test_index_lasts_and_takes_only_unseen_digests(spark):
     text = unseen._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text
     spark.sql("DROP TABLE test_lasting_index")
+
+
+def test_new_documents_meet_a_lasting_index(spark):
+    index = DigestIndex(spark, "test_growing_index", run_folder(spark, "test-index") + "/rows", buckets=4)
+    first = spark.createDataFrame([(1, "a", None, None, None), (2, "b", None, None, None), (3, "a ", None, None, None)], SCHEMA)
+    second = spark.createDataFrame([(0, "b", None, None, None), (9, "c", None, None, None), (8, "c", None, None, None)], SCHEMA)
+    kept = [{r.doc_id for r in drop_exact_duplicates(docs, index=index).collect()} for docs in (first, second)]
+    assert kept == [{1, 2, 3}, {8}]
+    labels = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup_labels(second, index=index).collect()}
+    assert labels == {0: (2, 1, False), 9: (8, 2, False), 8: (8, 2, True)}
+    assert index.rows().count() == 4
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup_labels(first).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    index.drop()
