@@ -78,7 +78,8 @@ def rate_limit_label(
     `ts` is BIGINT microseconds and not null. Rows of a key are taken in order of
     (`ts`, `order`); a new key starts with a full bucket. With `when`, a BOOLEAN
     column, only rows where it is true meet the bucket; the others get nulls.
-    `hot` is a ready answer of `functions.skew.hot_keys`.
+    `hot` is a ready answer of `functions.skew.hot_keys`. What passes between the slices of a hot key, one
+    row for the clipped shift and a few for the lead map of each, goes through one task, streamed.
     """
     token, cap, refill = bucket_units(tokens_per_period, period_us, burst)
     hot = hot_keys(df, key, hot_rows) if hot is None else hot
