@@ -180,9 +180,25 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SHORT_RUN = 64
+
+
 def _pieces(text: Column, kind: str, n: int) -> Column:
-    """All substrings of `n` characters of one kind, overlapping ones too, in one linear pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?=({RUN_KINDS[kind]}{{{n}}}))"), F.lit(1))
+    """All substrings of `n` characters of one kind, overlapping ones too, from the distinct runs of the text.
+
+    A short run is cut by position; a long one by a pattern that looks ahead, which stays linear.
+    """
+    sign = RUN_KINDS[kind]
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{sign}{{{n},}}"), F.lit(0)))
+
+    def cut(run: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(run) - (n - 1))
+        short = F.transform(starts, lambda i: F.substring(run, i, F.lit(n)))
+        return F.when(F.char_length(run) <= SHORT_RUN, short).otherwise(
+            F.regexp_extract_all(run, F.lit(f"(?=({sign}{{{n}}}))"), F.lit(1))
+        )
+
+    return F.flatten(F.transform(runs, cut))
 
 
 def _anchors(literals: DataFrame) -> DataFrame:
@@ -240,7 +256,9 @@ def _literal_hits(df: DataFrame, row_id: str, col: str, literals: DataFrame) ->
     `row_id` must tell the rows apart.
     """
     listed = _candidates(df, row_id, col, literals).groupBy(row_id).agg(F.collect_list("_literal").alias("_literals"))
-    counted = df.select(row_id, col).join(listed, row_id).select(
+    # Searching costs far more than the bytes tell, so the texts stay in as many partitions as are set.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.select(row_id, col).repartition(parts, row_id).join(listed, row_id).select(
         row_id,
         F.inline(
             F.transform(

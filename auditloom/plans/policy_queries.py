@@ -121,7 +121,7 @@ def toggle_asof_table(spark, sf):
         F.when(F.col("event_id") % 3 == 0, "up").when(F.col("event_id") % 3 == 1, "disable").otherwise("down").alias("action"),
     )
     flows = view(spark, sf, "flows_v").select("flow_id", "ts_us", "site")
-    return policy.toggle_asof(flows, changes, "ts_us", "site", "change_id", hot_rows=150).select("flow_id", "kill_switch")
+    return policy.toggle_asof(flows, changes, "ts_us", "site", "change_id", hot_rows=1000).select("flow_id", "kill_switch")
 
 
 TOGGLE_ASOF_TABLE = f"""WITH {with_views("flows_v")}, changes AS (SELECT event_id AS change_id, epoch_us(ts) AS ts_us, user_id % 5 AS site,

@@ -131,7 +131,7 @@ SELECT coalesce(w.name, c.name) AS name, CASE WHEN w.name IS NULL THEN 'workdirs
 FROM w FULL JOIN c ON w.name = c.name WHERE w.name IS NULL OR c.name IS NULL"""
 
 # The hot ways: one key above the limit, in slices, next to keys that stay whole.
-HOT_LIMIT = 150
+HOT_LIMIT = 1000
 
 
 def hot_rate_limit(spark, sf):
