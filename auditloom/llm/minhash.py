@@ -4,16 +4,17 @@
    the hash of the first DEPTH values of the tree's order. Equal sets become one node.
 2. Forest: the nodes of a tree that share a key are a region, sorted by the tree's
    signature order, so those with the longest common prefix are neighbours. Where a region is
-   larger than REGION, only neighbours within REGION are compared, that is: the denser the region,
-   the deeper the prefix they share; a hot region is also cut by deeper keys before it is dealt out.
+   larger than REGION, neighbours within REGION are compared first; a hot region is also cut by deeper
+   keys before it is dealt out. If that leaves a region in more than one family, all its nodes of
+   different families are compared, in pairs of blocks of BLOCK_NODES.
    Signature estimates well below the threshold already make two nodes relatives.
 3. Families are the connected components of relatives. Their full sets are brought together
    once and all links inside a family are decided exactly, large families in pairs of
    blocks. Only spanning edges leave a task, never the pairs.
 4. Connected components of the confirmed links are the groups.
 
-A link is missed only if no tree puts both ends in one region: at the threshold 0.85 that has
-probability (1 - 0.85^4)^16, less than 1e-5.
+A link is missed only if no tree puts both ends in one region, at the threshold 0.85 with
+probability (1 - 0.85^4)^16, less than 1e-5, or if its estimate is SLACK deviations too low, less than 4e-6.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from auditloom.session import settle
 TREES, DEPTH, SLOTS = 16, 4, 128
 REGION = 1024
 HOT_REGION = 50_000
+BLOCK_NODES = 8192
 BLOCK_SHINGLES = 200_000
 SHORT_SHINGLES = 150
 COLUMNS_AT_ONCE = 2048
@@ -108,12 +110,22 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> D
     return settle(rows.mapInArrow(lean(make), fields))
 
 
-def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning edges (u, v) of nodes whose signatures agree well enough in some region of the forest."""
+def least_agreeing(threshold: float) -> int:
+    """Number of equal signature values from which two nodes are relatives."""
+    spread = np.sqrt(threshold * (1 - threshold) / SLOTS)
+    return int(np.floor(SLOTS * (threshold - SLACK * spread)))
+
+
+def region_members(nodes: DataFrame) -> DataFrame:
+    """Settled: one row per node and tree of the nodes that share a key, with its region's size `n` and lowest node `low`."""
     entries = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
     shared = settle(sizes.select(F.col("key").alias("s_key"), "n", "low"))
-    members = settle(entries.join(shared, F.col("key") == F.col("s_key")).select("node", "tree", "key", "n", "low"))
+    return settle(entries.join(shared, F.col("key") == F.col("s_key")).select("node", "tree", "key", "n", "low"))
+
+
+def relatives(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Spanning edges (u, v) of nodes whose signatures agree well enough, of neighbours in the regions of the forest."""
     signed = members.join(nodes.select(F.col("node").alias("s_node"), "sig"), F.col("node") == F.col("s_node"))
     step = SLOTS // TREES
     start = F.col("tree") * step
@@ -131,8 +143,7 @@ def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
         .sortWithinPartitions("key", "cut", "in_order", "node")
         .select("key", "cut", "node", "in_order", "low")
     )
-    spread = np.sqrt(threshold * (1 - threshold) / SLOTS)
-    least = int(np.floor(SLOTS * (threshold - SLACK * spread)))
+    least = least_agreeing(threshold)
 
     def link(batches):
         held: list[tuple] = []  # of the region at hand: (nodes, signatures)
@@ -158,14 +169,14 @@ def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
                     if n_held > 1:
                         edges.append(close(True))
                     held, n_held, at = [], 0, (keys[lo], cuts[lo])
-                    if cuts[lo]:  # the parts of a hot region count as one family as well
+                    if cuts[lo]:  # a foot of each part of a hot region
                         edges.append(np.array([[ids[lo], lows[lo]]]))
                 while lo < hi:
                     take = min(hi - lo, REGION - n_held)
                     held.append((ids[lo : lo + take], sigs[lo : lo + take]))
                     n_held, lo = n_held + take, lo + take
                     if n_held == REGION:
-                        # Parts of a dense region count as one family: its exact check decides.
+                        # Joins most dense regions to one family, whose exact check decides; `across_windows` sees to the others.
                         part = np.concatenate([h[0] for h in held])
                         edges.append(np.stack([part[:1], part[-1:]], 1))
                         edges.append(close(False))
@@ -180,6 +191,102 @@ def relatives(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(lean(link), "u bigint, v bigint")
 
 
+def across_windows(nodes: DataFrame, members: DataFrame, families: DataFrame, threshold: float) -> DataFrame | None:
+    """Edges (u, v) between families with relatives in one region larger than REGION; None if each is one family.
+
+    All nodes of different families are compared, so this is exact on the signatures: a region is dealt
+    into blocks of about BLOCK_NODES, and a task holds one block or two. The work is quadratic
+    in the size of a region that is not one family, and nothing for the others.
+    """
+    wide = members.where(F.col("n") > REGION)
+    rooted = wide.join(families.select(F.col("node").alias("f_node"), "root"), F.col("node") == F.col("f_node"), "left")
+    rooted = settle(rooted.select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    split = rooted.groupBy(F.col("key").alias("o_key")).agg(F.min("root").alias("one"), F.max("root").alias("other"))
+    split = settle(split.where("one <> other").select("o_key"))
+    if split.isEmpty():
+        return None
+    parts = F.ceil(F.col("n") / BLOCK_NODES)
+    blocked = (
+        rooted.join(split, F.col("key") == F.col("o_key"))
+        .join(nodes.select(F.col("node").alias("s_node"), "sig"), F.col("node") == F.col("s_node"))
+        .select("key", "root", "sig", (parts - 1).alias("last"), F.pmod(F.xxhash64("node"), parts).alias("block"))
+    )
+    pairs = F.expr("transform(sequence(0L, last), b -> struct(least(b, block) AS one, greatest(b, block) AS two))")
+    dealt = (
+        blocked.withColumn("pair", F.explode(pairs))
+        .select("key", "pair.one", "pair.two", "block", "root", "sig")
+        .repartition("key", "one", "two")
+        .sortWithinPartitions("key", "one", "two")
+    )
+    least = least_agreeing(threshold)
+
+    def link(batches):
+        at, held = None, []  # of the pair of blocks at hand: (roots, which block, signatures)
+
+        def close():
+            roots, blocks, sigs = (np.concatenate(part) for part in zip(*held))
+            edges = crossing(roots, blocks == at[1], sigs, least, at[1] != at[2])
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            key, one, two, block, root = (batch.column(c).to_numpy() for c in ("key", "one", "two", "block", "root"))
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            borders = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            for lo, hi in zip([0, *borders], [*borders, len(key)]):
+                if (key[lo], one[lo], two[lo]) != at:
+                    if held:
+                        yield close()
+                    at, held = (key[lo], one[lo], two[lo]), []
+                held.append((root[lo:hi], block[lo:hi], sigs[lo:hi]))
+        if held:
+            yield close()
+
+    return dealt.mapInArrow(lean(link), "u bigint, v bigint")
+
+
+def agreeing(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Number of equal values of each of `some` and each of `others`; both hold a signature per column."""
+    found = np.zeros((some.shape[1], others.shape[1]), np.uint8)
+    for slot in range(SLOTS):
+        found += some[slot][:, None] == others[slot]
+    return found
+
+
+def crossing(roots: np.ndarray, first: np.ndarray, sigs: np.ndarray, least: int, across: bool) -> np.ndarray:
+    """Edges (u, v) that join the roots of rows of different families that agree in at least `least` places.
+
+    `across`: only rows of the first block and rows of the other one are compared.
+    """
+    by_root = np.argsort(roots, kind="stable")
+    roots, first, sigs = roots[by_root], first[by_root], np.ascontiguousarray(sigs[by_root].T)
+    left = np.flatnonzero(first)
+    joined = {int(r): int(r) for r in np.unique(roots)}
+
+    def find(r):
+        while joined[r] != r:
+            joined[r] = r = joined[joined[r]]
+        return r
+
+    edges = []
+    for lo in range(0, len(left), 64):
+        rows = left[lo : lo + 64]
+        # Rows of one family lie side by side; those behind `rows` are compared when it is their turn.
+        rest = np.flatnonzero(~first) if across else np.arange(rows[0], len(roots))
+        if rows[0] != rows[-1] and roots[rows[0]] == roots[rows[-1]] or len(rows) == 1:
+            rest = rest[roots[rest] != roots[rows[0]]]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            near = agreeing(sigs[:, rows], sigs[:, part]) >= least
+            near &= roots[rows][:, None] != roots[part]
+            a, b = np.nonzero(near)
+            if len(a):
+                for u, v in np.unique(np.stack([roots[rows[a]], roots[part[b]]], 1), axis=0).tolist():
+                    if (x := find(u)) != (y := find(v)):
+                        joined[max(x, y)] = min(x, y)
+                        edges.append((u, v))
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
 def spanning(ids: np.ndarray, sigs: np.ndarray, least: int) -> np.ndarray:
     """Star edges (node, hub) of the components of rows that agree in at least `least` places."""
     n = len(ids)
@@ -203,6 +310,16 @@ def stars(ids: np.ndarray, linked) -> np.ndarray:
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
+def related(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Families (node, root): the connected components of relatives."""
+    members = region_members(nodes)
+    families = connected_components(relatives(nodes, members, threshold))
+    more = across_windows(nodes, members, families, threshold)
+    if more is None:
+        return families
+    return connected_components(families.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
 def exact_links(
     sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, percent: int, across: bool
 ) -> np.ndarray:
@@ -335,7 +452,7 @@ def near_duplicate_labels(
     nodes = settle(
         first.select("node", "set_id", "doc_id", "text_hash", "n_shingles", "sig", "keys").dropDuplicates(["set_id"])
     )
-    families = connected_components(relatives(nodes, percent / 100))
+    families = related(nodes, percent / 100)
     links = confirmed(docs, nodes, families, id_col, text_col, shingle_words, percent)
     components = connected_components(links)
     by_set = settle(

@@ -157,3 +157,52 @@ def test_one_document_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert near_duplicate_labels(spark.createDataFrame([], SCHEMA)).count() == 0
     assert drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def half_similar_nodes(spark, rng, n, pairs):
+    """Nodes of one region of one tree, half alike; `pairs` of them agree in 120 places but not in the first after the key."""
+    base = rng.integers(0, 256, minhash.SLOTS, dtype=np.uint8)
+    sigs = np.where(rng.random((n, minhash.SLOTS)) < 0.5, base, rng.integers(0, 256, (n, minhash.SLOTS), dtype=np.uint8))
+    sigs[:, : minhash.DEPTH] = base[: minhash.DEPTH]
+    planted = [(k, n - 1 - k) for k in range(pairs)]
+    for x, y in planted:
+        sigs[y] = sigs[x]
+        for slot in (minhash.DEPTH, *rng.choice(np.arange(minhash.DEPTH + 1, minhash.SLOTS), 7, replace=False)):
+            sigs[y, slot] ^= 128
+    order = rng.permutation(n).tolist()
+    rows = [(order[i], [7] + [i * 100 + t for t in range(1, minhash.TREES)], bytearray(sigs[i].tobytes())) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node long, keys array<long>, sig binary")
+    return nodes, [(order[x], order[y]) for x, y in planted]
+
+
+@pytest.mark.parametrize("hot", [50_000, 100])
+def test_windows_and_cuts_hide_no_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "REGION", 16)
+    monkeypatch.setattr(minhash, "HOT_REGION", hot)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 100)
+    nodes, planted = half_similar_nodes(spark, np.random.default_rng(8), 400, 60)
+    root = {r.node: r.root for r in minhash.related(nodes, 0.85).collect()}
+    assert [p for p in planted if root.get(p[0], p[0]) != root.get(p[1], p[1])] == []
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_crossing_joins_what_agrees(across):
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 2, (150, minhash.SLOTS), dtype=np.uint8)
+    sigs[100:] = sigs[:50] ^ (rng.random((50, minhash.SLOTS)) < 0.05)
+    roots = np.arange(150) // 3 * 3
+    first = np.arange(150) < 80 if across else np.ones(150, bool)
+    got = connected(minhash.crossing(roots, first, sigs, 90, across))
+    near = (sigs[:, None] == sigs[None]).sum(2) >= 90
+    want = [(roots[i], roots[j]) for i, j in zip(*np.nonzero(near)) if not across or first[i] != first[j]]
+    assert got == connected(want) and len(got) > 50 / 3
+
+
+def connected(edges):
+    up = {}
+    find = lambda r: r if up.setdefault(r, r) == r else find(up[r])
+    for u, v in edges:
+        if u != v:
+            x, y = find(int(u)), find(int(v))
+            up[max(x, y)] = min(x, y)
+    return {r: find(r) for r in up}
