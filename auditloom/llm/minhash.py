@@ -1,7 +1,7 @@
 """Near duplicates by an LSH forest over minhash signatures, confirmed on the full shingle sets.
 
 1. One pass over the texts: shingle set, its fingerprint, a minhash signature and one key per tree,
-   the hash of the first DEPTH values of the tree's order. Equal sets become one node.
+   the hash of the first values of the tree's order (`forest_shape`: 4 values and 16 trees at 0.85, 22 at 0.80). Equal sets become one node.
 2. Forest: the nodes of a tree that share a key are a region, sorted by the tree's
    signature order, so those with the longest common prefix are neighbours. Where a region is
    larger than REGION, neighbours within REGION are compared first; a hot region is also cut by deeper
@@ -13,8 +13,8 @@
    blocks. Only spanning edges leave a task, never the pairs.
 4. Connected components of the confirmed links are the groups.
 
-A link is missed only if no tree puts both ends in one region, at the threshold 0.85 with
-probability (1 - 0.85^4)^16, less than 1e-5, or if its estimate is SLACK deviations too low, less than 4e-6.
+A link is missed only if no tree puts both ends in one region, at the threshold with
+probability (1 - 0.85^4)^16 or (1 - 0.80^4)^22, less than MISS, or if its estimate is SLACK deviations too low, less than 4e-6.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from auditloom.llm.shingles import WordHashes, fingerprint, mixed, shingle_set
 from auditloom.session import settle
 
 TREES, DEPTH, SLOTS = 16, 4, 128
+#: Probability with which the trees may miss a pair at the threshold; `forest_shape` adds trees for it.
+MISS = 1e-5
 REGION = 1024
 HOT_REGION = 50_000
 BLOCK_NODES = 8192
@@ -61,16 +63,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return lows
 
 
-def tree_keys(lows: np.ndarray) -> np.ndarray:
-    """Per tree, a hash of the first DEPTH values of its order and its number."""
-    step = SLOTS // TREES
-    keys = np.arange(1, TREES + 1, dtype=np.uint64)
-    for j in range(DEPTH):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + lows[np.arange(TREES) * step + j])
+def forest_shape(percent: int) -> tuple[int, int]:
+    """(trees, depth): TREES trees of DEPTH values, or what more trees or less depth a miss below MISS takes at `percent`."""
+    for depth in range(DEPTH, 0, -1):
+        apart = 1 - (percent / 100) ** depth
+        trees = max(TREES, int(np.ceil(np.log(MISS) / np.log(apart)))) if 0 < apart < 1 else TREES
+        if trees * depth <= SLOTS:
+            return trees, depth
+    return SLOTS, 1
+
+
+def tree_keys(lows: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Per tree, a hash of the first `depth` values of its order and its number."""
+    step = SLOTS // trees
+    keys = np.arange(1, trees + 1, dtype=np.uint64)
+    for j in range(depth):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + lows[np.arange(trees) * step + j])
     return keys.view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
     """Settled: `doc_id`, `text_hash`, `n_shingles`, `set_id`, `sig` (low bytes of the signature), `keys`."""
     fields = T.StructType(
         [
@@ -80,6 +92,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> D
         ]
     )
 
+    trees, depth = forest_shape(percent)
+
     def make(batches):
         hashes = WordHashes()
         for batch in batches:
@@ -95,7 +109,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> D
                     lows = signature(found)
                     ids.append(fingerprint(found))
                     sigs.append((lows & np.uint64(255)).astype(np.uint8).tobytes())
-                    keys.append(tree_keys(lows))
+                    keys.append(tree_keys(lows, trees, depth))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()),
@@ -124,16 +138,17 @@ def region_members(nodes: DataFrame) -> DataFrame:
     return settle(entries.join(shared, F.col("key") == F.col("s_key")).select("node", "tree", "key", "n", "low"))
 
 
-def relatives(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def relatives(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Spanning edges (u, v) of nodes whose signatures agree well enough, of neighbours in the regions of the forest."""
     signed = members.join(nodes.select(F.col("node").alias("s_node"), "sig"), F.col("node") == F.col("s_node"))
-    step = SLOTS // TREES
+    trees, depth = forest_shape(percent)
+    step = SLOTS // trees
     start = F.col("tree") * step
     order = F.concat(F.substring("sig", start + 1, F.lit(SLOTS)), F.substring("sig", F.lit(1), start))
-    # Regions beyond HOT_REGION are cut by the next DEPTH and 2 * DEPTH values of the tree's order.
+    # Regions beyond HOT_REGION are cut by the next `depth` and 2 * `depth` values of the tree's order.
     deeper = F.when(F.col("n") <= HOT_REGION, F.lit(0)).otherwise(
         F.xxhash64(
-            F.substring("in_order", F.lit(1), F.when(F.col("n") <= HOT_REGION * 16, 2 * DEPTH).otherwise(4 * DEPTH))
+            F.substring("in_order", F.lit(1), F.when(F.col("n") <= HOT_REGION * 16, 2 * depth).otherwise(4 * depth))
         )
     )
     dealt = (
@@ -143,7 +158,7 @@ def relatives(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFra
         .sortWithinPartitions("key", "cut", "in_order", "node")
         .select("key", "cut", "node", "in_order", "low")
     )
-    least = least_agreeing(threshold)
+    least = least_agreeing(percent / 100)
 
     def link(batches):
         held: list[tuple] = []  # of the region at hand: (nodes, signatures)
@@ -191,7 +206,7 @@ def relatives(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFra
     return dealt.mapInArrow(lean(link), "u bigint, v bigint")
 
 
-def across_windows(nodes: DataFrame, members: DataFrame, families: DataFrame, threshold: float) -> DataFrame | None:
+def across_windows(nodes: DataFrame, members: DataFrame, families: DataFrame, percent: int) -> DataFrame | None:
     """Edges (u, v) between families with relatives in one region larger than REGION; None if each is one family.
 
     All nodes of different families are compared, so this is exact on the signatures: a region is dealt
@@ -218,7 +233,7 @@ def across_windows(nodes: DataFrame, members: DataFrame, families: DataFrame, th
         .repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two")
     )
-    least = least_agreeing(threshold)
+    least = least_agreeing(percent / 100)
 
     def link(batches):
         at, held = None, []  # of the pair of blocks at hand: (roots, which block, signatures)
@@ -310,11 +325,11 @@ def stars(ids: np.ndarray, linked) -> np.ndarray:
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
-def related(nodes: DataFrame, threshold: float) -> DataFrame:
+def related(nodes: DataFrame, percent: int) -> DataFrame:
     """Families (node, root): the connected components of relatives."""
     members = region_members(nodes)
-    families = connected_components(relatives(nodes, members, threshold))
-    more = across_windows(nodes, members, families, threshold)
+    families = connected_components(relatives(nodes, members, percent))
+    more = across_windows(nodes, members, families, percent)
     if more is None:
         return families
     return connected_components(families.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
@@ -441,7 +456,7 @@ def near_duplicate_labels(
     linked, gets the smallest id of its component (null if none has one) and is not kept unless that is null. An
     empty table gives no rows; other columns are not read. Ids are integers below 2^62.
     """
-    rows = sketch(docs, id_col, text_col, shingle_words)
+    rows = sketch(docs, id_col, text_col, shingle_words, percent)
     grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("rep_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("null_hash")
     )
@@ -452,7 +467,7 @@ def near_duplicate_labels(
     nodes = settle(
         first.select("node", "set_id", "doc_id", "text_hash", "n_shingles", "sig", "keys").dropDuplicates(["set_id"])
     )
-    families = related(nodes, percent / 100)
+    families = related(nodes, percent)
     links = confirmed(docs, nodes, families, id_col, text_col, shingle_words, percent)
     components = connected_components(links)
     by_set = settle(

@@ -181,7 +181,7 @@ def test_windows_and_cuts_hide_no_pair(spark, monkeypatch, hot):
     monkeypatch.setattr(minhash, "HOT_REGION", hot)
     monkeypatch.setattr(minhash, "BLOCK_NODES", 100)
     nodes, planted = half_similar_nodes(spark, np.random.default_rng(8), 400, 60)
-    root = {r.node: r.root for r in minhash.related(nodes, 0.85).collect()}
+    root = {r.node: r.root for r in minhash.related(nodes, 85).collect()}
     assert [p for p in planted if root.get(p[0], p[0]) != root.get(p[1], p[1])] == []
 
 
@@ -206,3 +206,12 @@ def connected(edges):
             x, y = find(int(u)), find(int(v))
             up[max(x, y)] = min(x, y)
     return {r: find(r) for r in up}
+
+
+def test_trees_miss_less_than_the_bound():
+    assert minhash.forest_shape(85) == (16, 4) and minhash.forest_shape(80) == (22, 4)
+    for percent in range(12, 100):
+        trees, depth = minhash.forest_shape(percent)
+        assert (1 - (percent / 100) ** depth) ** trees <= minhash.MISS and trees * depth <= minhash.SLOTS
+    assert minhash.forest_shape(100) == (16, 4) and minhash.forest_shape(1) == (128, 1)
+    assert len(set(minhash.tree_keys(np.arange(128, dtype=np.uint64), 22, 4).tolist())) == 22
