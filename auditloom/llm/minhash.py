@@ -389,7 +389,7 @@ def confirmed(
         settle(member),
         ["root"],
         key_slice(F.col("family_key"), slice_count(docs.sparkSession)),
-        [F.col("family_key"), F.col("node")],
+        [F.col("family_key"), F.col("node"), F.col("text_hash")],
         {"shingles_before": F.col("weight")},
     )
     blocked = settle(placed.withColumn("block", F.floor(F.col("shingles_before") / BLOCK_SHINGLES)))
@@ -405,14 +405,14 @@ def confirmed(
     )
     dealt = (
         own.withColumn("pair", F.explode(pairs))
-        .select("root", "pair.one", "pair.two", "block", "node", "text")
+        .select("root", "pair.one", "pair.two", "block", "node", "text_hash", "text")
         .repartition("root", "one", "two")
-        .sortWithinPartitions("root", "one", "two", "block", "node")
+        .sortWithinPartitions("root", "one", "two", "block", "node", "text_hash")
     )
 
     def check(batches):
         hashes = WordHashes()
-        at, sets, ids, blocks = None, [], [], []
+        at, last_row, sets, ids, blocks = None, None, [], [], []
 
         def close():
             if len(sets) < 2:
@@ -425,15 +425,17 @@ def confirmed(
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"]) if len(found) else None
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("root", "one", "two", "block", "node", "text")]
-            for root, one, two, block, node, text in zip(*columns):
+            columns = [batch.column(c) for c in ("root", "one", "two", "block", "node", "text_hash", "text")]
+            for root, one, two, block, node, text_hash, text in zip(*columns):
                 key = (root.as_py(), one.as_py(), two.as_py())
                 if key != at:
                     if (found := close()) is not None:
                         yield found
-                    at, sets, ids, blocks = key, [], [], []
-                if ids and ids[-1] == node.as_py():  # a repeated row
+                    at, last_row, sets, ids, blocks = key, None, [], [], []
+                # Texts of one document are sets of their own.
+                if (row := (node.as_py(), text_hash.as_py())) == last_row:  # a repeated row
                     continue
+                last_row = row
                 sets.append(shingle_set(hashes.of(words_of(text.as_py())), shingle_words))
                 ids.append(node.as_py())
                 blocks.append(block.as_py())
@@ -443,6 +445,14 @@ def confirmed(
     return dealt.mapInArrow(lean(check), "u bigint, v bigint")
 
 
+def shared_ids(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (u, v) from the node of each set to the ids of its documents that have other sets as well."""
+    held = settle(rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_id").distinct())
+    several = held.groupBy(F.col("doc_id").alias("m_id")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("m_id")
+    found = held.join(several, F.col("doc_id") == F.col("m_id")).join(sets, "set_id")
+    return found.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct()
+
+
 def near_duplicate_labels(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -469,7 +479,7 @@ def near_duplicate_labels(
     )
     families = related(nodes, percent)
     links = confirmed(docs, nodes, families, id_col, text_col, shingle_words, percent)
-    components = connected_components(links)
+    components = connected_components(links.unionByName(shared_ids(rows, sets)))
     by_set = settle(
         sets.join(components, "node", "left").select(
             F.col("set_id").alias("c_set"), F.coalesce("root", "node").alias("component")

@@ -215,3 +215,22 @@ def test_trees_miss_less_than_the_bound():
         assert (1 - (percent / 100) ** depth) ** trees <= minhash.MISS and trees * depth <= minhash.SLOTS
     assert minhash.forest_shape(100) == (16, 4) and minhash.forest_shape(1) == (128, 1)
     assert len(set(minhash.tree_keys(np.arange(128, dtype=np.uint64), 22, 4).tolist())) == 22
+
+
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    """Ids with two or three texts, each with near copies or copies under other ids."""
+    rng = random.Random(15)
+    rows = []
+    for k in range(12):
+        one, two, three = (prose(rng, 120) for _ in range(3))
+        near = [" ".join(t.split()[:-1] + ["changed"]) for t in (one, two, three)]
+        at = 1000 + 100 * k
+        rows += [(at, one, "en", "a", 1), (at, two, "en", "a", 1), (at, near[0], "en", "a", 1), (at + 1, near[0], "en", "a", 1)]
+        rows += [(at + 2, near[1], "en", "a", 1), (at - 50, three, "en", "a", 1), (at + 2, three, "en", "a", 1), (at, one, "en", "a", 1)]
+    got = near_duplicate_labels(frame(spark, rows), shingle_words=3, percent=85).collect()
+    want = brute_force(rows, 3, 85)
+    assert len(got) == len(rows) and len(set(want.values())) > 1
+    texts = defaultdict(set)
+    for (doc_id, _), answer in want.items():
+        texts[doc_id].add(answer)
+    assert all((r.n_shingles, r.component_id) in texts[r.doc_id] for r in got)
