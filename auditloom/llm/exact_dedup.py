@@ -91,8 +91,9 @@ def id_batches(digests: DataFrame, id_col: str, batches: int) -> list[DataFrame]
     if ends.lo is None:
         return [digests]
     width = max(1, -(-(ends.hi - ends.lo + 1) // batches))
-    number = F.coalesce(F.expr(f"(`{id_col}` - {ends.lo}) div {width}"), F.lit(batches - 1))
-    return [digests.where(number == n) for n in range(min(batches, -(-(ends.hi - ends.lo + 1) // width)))] or [digests]
+    count = -(-(ends.hi - ends.lo + 1) // width)
+    number = F.coalesce(F.expr(f"(`{id_col}` - {ends.lo}) div {width}"), F.lit(count - 1))
+    return [digests.where(number == n) for n in range(count)]
 
 
 def exact_dedup_labels(

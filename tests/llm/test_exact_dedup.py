@@ -74,3 +74,14 @@ def test_new_documents_meet_a_lasting_index(spark):
     exact_dedup_labels(first).count()
     assert {t.name for t in spark.catalog.listTables()} == before
     index.drop()
+
+
+def test_null_ids_next_to_few_ids(spark):
+    """Rows without an id fall into a batch that exists, also where the ids make fewer batches than asked for."""
+    for ids, batches in (([5], 2), ([0, 8], 4), ([0, 1], 2)):
+        rows = [(i, f"text {i}", None, None, None) for i in ids] + [(None, text, None, None, None) for text in ("alone", "alone", "text 0")]
+        got = exact_dedup_labels(frame(spark, rows), batches=batches, buckets=2).collect()
+        assert len(got) == len(rows)
+        assert sum(r.keep_id is None and r.kept and r.group_size == 2 for r in got) == 2
+    docs = frame(spark, [(5, "one", "en", "a", 1), (None, "two", "en", "a", 1)])
+    assert {r.text for r in drop_exact_duplicates(docs).collect()} == {"one", "two"}
