@@ -83,3 +83,14 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(ValueError):
         session.shared_dir(Session())
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_partitions_are_all_read_back_and_pruned(spark):
+    out = f"{session.run_folder(spark, 'partitions')}/rows"
+    rows = [(i, "FOP"[i % 3]) for i in range(30)]
+    files.write_table(spark.createDataFrame(rows, "id long, status string"), out, ["status"])
+    back = spark.read.parquet(out)
+    assert sorted((r.id, r.status) for r in back.collect()) == rows
+    pruned = back.where("status <> 'P'")
+    assert "PartitionFilters: [isnotnull(status" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert len(pruned.inputFiles()) >= 1 and pruned.count() == 20
