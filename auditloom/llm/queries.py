@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import table
 from auditloom.llm.exact_dedup import exact_dedup_labels
+from auditloom.llm.hard_negatives import mine_hard_negatives
+from auditloom.llm.hnsw import nearest_neighbours
 from auditloom.llm.language_id import fit_language_model, held_out, identify_languages
+from auditloom.llm.merkle import merkle_manifest
 from auditloom.llm.minhash import near_duplicate_labels
 from auditloom.llm.mixing import FILLS, mix_totals
 from auditloom.llm.packing import pack_by_length
@@ -212,6 +215,96 @@ SELECT doc_id, size, source_size, target, size * coalesce(n, 0) AS taken
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN times USING (doc_id)"""
 )
 
+
+def op11_nearest_neighbours(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+#: The exact answer; the graphs find all of it on tables of the size that the driver compares.
+NEAREST_NEIGHBOURS = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+ FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+ FROM v a JOIN v r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without_breaks = F.replace("text", F.lit("\n"), F.lit(""))
+    return merkle_manifest(docs, F.when(tampered, without_breaks).otherwise(F.col("text")))
+
+
+def _field_sql(value):
+    return f"coalesce(concat(strlen(CAST({value} AS VARCHAR)), ':', {value}), '-')"
+
+
+def _leaf_sql(text):
+    return "sha256(concat(" + ", ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _tree_sql(name, leaves):
+    """Nodes of all levels of the trees whose leaves have grp, pos, n, d."""
+    return f"""{name} AS (SELECT 0 AS level, grp, pos, n, d FROM {leaves} UNION ALL
+ SELECT level + 1, grp, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY level, grp, pos // 3, n)"""
+
+
+def _steps_sql(name, tree, leaves):
+    """Siblings before and after each leaf's node at every level."""
+    return f"""{name} AS (SELECT l.key, t.level, coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (WHERE t.pos < l.pos // p.step), '') AS lft,
+  coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (WHERE t.pos > l.pos // p.step), '') AS rgt
+ FROM {leaves} l JOIN powers p ON true JOIN {tree} t ON t.level = p.level AND t.grp = l.grp AND t.n > 1 AND t.pos // 3 = l.pos // (p.step * 3)
+ GROUP BY l.key, t.level)"""
+
+
+MERKLE_MANIFEST = f"""WITH RECURSIVE steps AS (SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+ UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS tab FROM steps WHERE k = 8),
+crcs AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 2 = 0 AS tampered
+ FROM (SELECT DISTINCT doc_id FROM documents) d, crc_table),
+powers AS (SELECT n AS level, CAST(power(3, n) AS BIGINT) AS step FROM range(25) r(n)),
+made AS (SELECT doc_id, source, {_leaf_sql("text")} AS d,
+  CASE WHEN tampered THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS found
+ FROM documents JOIN crcs USING (doc_id)),
+leaves AS (SELECT *, row_number() OVER () AS key, coalesce(concat('=' || source), '') AS grp,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id, d) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM made),
+{_tree_sql("trees", "leaves")},
+subs AS (SELECT grp AS key, d, '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM trees WHERE n = 1),
+{_tree_sql("crown", "subs")}, {_steps_sql("low_path", "trees", "leaves")}, {_steps_sql("high_path", "crown", "subs")},
+path AS (SELECT l.key, row_number() OVER (PARTITION BY l.key ORDER BY part, level) AS spot, lft, rgt FROM (
+  SELECT key, 0 AS part, level, lft, rgt FROM low_path UNION ALL
+  SELECT l.key, 1, h.level, lft, rgt FROM leaves l JOIN high_path h ON h.key = l.grp) l),
+fold AS (SELECT key, 0 AS spot, found AS d FROM leaves UNION ALL
+ SELECT f.key, f.spot + 1, sha256(concat(lft, d, rgt)) FROM fold f JOIN path p ON p.key = f.key AND p.spot = f.spot + 1),
+proofs AS (SELECT key, string_agg(concat(lft, rgt), '' ORDER BY spot) AS proof FROM path GROUP BY key)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, c.d AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+ f.d AS folded_root, f.d = c.d AS verified
+FROM leaves l JOIN subs s ON s.key = l.grp JOIN crown c ON c.n = 1
+ LEFT JOIN proofs p ON p.key = l.key JOIN (SELECT key, arg_max(d, spot) AS d FROM fold GROUP BY key) f ON f.key = l.key"""
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, EXACT_DEDUP),
     "op2_length_buckets": (op2_length_buckets, _length_buckets_sql()),
@@ -223,4 +316,7 @@ QUERIES = {
     "op8_token_stream": (op8_token_stream, None),
     "op9_interleave_shards": (op9_interleave_shards, INTERLEAVE_SHARDS),
     "op10_mix_sources": (op10_mix_sources, MIX_SOURCES),
+    "op11_nearest_neighbours": (op11_nearest_neighbours, NEAREST_NEIGHBOURS),
+    "op12_hard_negatives": (op12_hard_negatives, HARD_NEGATIVES),
+    "op13_merkle_manifest": (op13_merkle_manifest, MERKLE_MANIFEST),
 }

@@ -12,6 +12,7 @@ from auditloom.session import run_folder, settle
 from tests.llm.odd import frame, odd_rows
 from tests.llm.test_minhash import brute_force as near_groups
 from tests.llm.test_sharding import brute_force as shard_places
+from tests.llm.vectors_odd import vectors_frame
 from tests.oracle_check import compare, connect
 
 
@@ -21,7 +22,7 @@ def con(sf_dir):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -84,6 +85,7 @@ def test_queries_take_an_empty_table(spark):
     folder = run_folder(spark, "test-empty")
     frame(spark, []).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors_frame(spark, []).write.parquet(f"{folder}/embeddings.parquet")
     for name, (query, _) in QUERIES.items():
         assert query(spark, folder).collect() == [], name
 
@@ -93,6 +95,6 @@ def test_queries_take_odd_documents(spark, sf_dir):
     folder = run_folder(spark, "test-odd")
     frame(spark, odd_rows(), clash=True).write.parquet(f"{folder}/documents.parquet")
     for name, (query, _) in QUERIES.items():
-        if name != "op4_warc_segments":
+        if name not in ("op4_warc_segments", "op11_nearest_neighbours", "op12_hard_negatives"):  # on other tables
             n = query(spark, folder).count()
             assert n == len(odd_rows()) if name != "op2_length_buckets" else n > len(odd_rows()), name
