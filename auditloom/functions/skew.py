@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.functions.sizing import small_table
+from auditloom.functions.sizing import small_side, small_table
 from auditloom.session import settle
 
 HOT_ROWS = 8_000_000
@@ -132,26 +132,22 @@ def running(
     return running_sliced(rows, any_hot, key, **window).drop("_slice", "_hot")
 
 
-SALTS = 64
-HOT_SHARE = 1000
-
-
 def spread_join(rows: DataFrame, side: DataFrame, key: str, hot_rows: int = HOT_ROWS // 16) -> DataFrame:
     """Left join of `rows` with `side`, which has one row per value of `key`, without a hot task.
 
-    Values with more than `hot_rows` rows and a thousandth of all, at most HOT_SHARE
-    of them, are spread over SALTS tasks; their row of `side` is copied as often.
+    Rows of a value with more than `hot_rows` of them, null among the values, are numbered and written down, and dealt by number to
+    as many tasks as it takes for `hot_rows` each; their row of `side` is copied as often. Equal rows are
+    told apart like all others. The hot values stay in a table of their own, so there may be any number of them.
     """
-    counts = rows.groupBy(F.col(key).alias("_value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    top = counts.orderBy(F.desc("n")).limit(HOT_SHARE).collect()
-    hot = [r["_value"] for r in top if r["_value"] is not None]
-    if not hot:
+    counts = rows.groupBy(F.col(key).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = settle(counts.select("_value", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    if not hot.limit(1).count():
         return rows.join(side, key, "left")
-
-    def is_hot(column: Column) -> Column:
-        return F.coalesce(column.isin(*hot), F.lit(False))
-
-    salt = F.when(is_hot(F.col(key)), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0))
-    salts = F.when(is_hot(F.col(key)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = rows.withColumn("_salt", salt.cast("int"))
-    return salted.join(side.withColumn("_salt", F.explode(salts)), [key, "_salt"], "left").drop("_salt")
+    rows, listed = settle(rows), small_side(hot)
+    same = F.col(key).eqNullSafe(F.col("_value"))
+    cold = rows.join(listed, same, "left_anti").join(side, key, "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")
+    dealt = settle(rows.join(listed, same).withColumn("_salt", salt).drop("_value", "_salts"))
+    copies = side.join(listed, F.col(key) == F.col("_value")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    spread = dealt.join(copies.drop("_value", "_salts"), [key, "_salt"], "left").drop("_salt")
+    return cold.unionByName(spread)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from ipaddress import ip_network
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.net import LAST_ADDRESS, aligned_blocks, cidr_bounds, network_of
+from auditloom.functions.ranges import flattened, looked_up
 from auditloom.functions.sizing import is_small, policy_rows, small_side, small_table
 from auditloom.functions.skew import HOT_ROWS, Hot, running, spread_join
+from auditloom.session import settle
 
 # Fixed values of the egress policy.
 SOURCE_SUBNET = "172.31.255.0/24"
@@ -67,6 +70,20 @@ def cidr_match(df: DataFrame, ip_col: str, cidrs: DataFrame) -> DataFrame:
     return spread_join(df, found, ip_col).select(*df.columns, F.inline("_found"))
 
 
+def cidr_first_match(df: DataFrame, ip_col: str, cidrs: DataFrame, rank: Column) -> DataFrame:
+    """All rows of `df` with the other columns of the one range of `cidrs` that holds the address and has the smallest `rank`.
+
+    Null where no range does. `cidrs` has lo and hi, as in `cidr_match`; ties go by the other columns in order. The
+    list is flattened to ranges that do not overlap, of which each distinct address meets one.
+    """
+    others = [c for c in cidrs.columns if c not in ("lo", "hi")]
+    flat = flattened(cidrs, F.lit(0), rank, F.struct(*others))
+    ip = F.col(ip_col)
+    asked = df.where(ip.between(0, LAST_ADDRESS)).select(ip.cast("long").alias("_at"), F.lit(0).alias("_group")).distinct()
+    met = looked_up(asked, flat).select(F.col("_at").alias(ip_col), F.col("_value").alias("_first"))
+    return spread_join(df, met, ip_col).select(*df.columns, *[F.col(f"_first.{c}") for c in others])
+
+
 def _probe(df: DataFrame, ip_col: str, blocks: DataFrame, bits: list[int]) -> DataFrame:
     listed = F.array(*[F.lit(n) for n in sorted(bits)]).cast("array<int>")
     ip = F.col(ip_col)
@@ -120,15 +137,15 @@ def egress_verdict(
             ]
             hit[stage] = F.coalesce(*tests) if tests else F.lit(None).cast("string")
     else:
-        # A long list: find the first block of each stage per distinct address.
-        found = cidr_match(df.select("dst_ip").distinct(), "dst_ip", blocks.select("stage", "seq", "cidr", "lo", "hi"))
-        first = {
-            stage: F.max_by("cidr", F.when(F.col("stage") == stage, F.col("seq"))).alias(f"_{stage}")
-            for stage in ("raw", "forward")
-        }
-        per_address = found.groupBy("dst_ip").agg(*first.values())
+        # A long list: each stage flattened to ranges with their first block, one of which each distinct address meets.
+        stages = ("raw", "forward")
+        flat = flattened(blocks, F.col("stage"), -F.col("seq"), F.col("cidr"))
+        addresses = df.where(scoped).select("dst_ip").where(F.col("dst_ip").between(0, LAST_ADDRESS)).distinct()
+        asked = addresses.select(F.col("dst_ip").alias("_at"), F.explode(F.array(*[F.lit(s) for s in stages])).alias("_group"))
+        first = {s: F.max(F.when(F.col("_group") == s, F.col("_value"))).alias(f"_{s}") for s in stages}
+        per_address = looked_up(asked, flat).groupBy(F.col("_at").alias("dst_ip")).agg(*first.values())
         rows = spread_join(df, per_address, "dst_ip")
-        hit = {stage: F.col(f"_{stage}") for stage in first}
+        hit = {s: F.col(f"_{s}") for s in stages}
     chosen = (
         F.when(~scoped, passed)
         .when(hit["raw"].isNotNull(), verdict("raw", hit["raw"]))
@@ -203,7 +220,7 @@ def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFram
     short = policy_rows(paths)
     path_type = "struct<table_name: string, via: string>"
     if short is not None:
-        ordered = sorted(short, key=lambda p: (p["pref"], -p["prefix_len"], p["via"]))
+        ordered = sorted(short, key=lambda p: (p["pref"], -p["prefix_len"], p["via"] is not None, p["via"] or ""))
         tests = [
             F.when(
                 _within(F.col("src_ip"), p["src_lo"], p["src_hi"])
@@ -230,24 +247,26 @@ def policy_route(df: DataFrame, rules: DataFrame, routes: DataFrame) -> DataFram
         .where(F.col("_last").isNull() | (F.col("pref") <= F.col("_last")))
         .select("src_ip", "pref", "table_name")
     )
-    blocks = aligned_blocks(routes.select("table_name", "prefix_len", "lo", "hi", "via"))
-    bits = [r["_bits"] for r in blocks.select("_bits").distinct().collect()]  # 33 values at most
-    listed = F.array(*[F.lit(n) for n in sorted(bits)]).cast("array<int>")
-    probes = (
-        df.select("src_ip", "dst_ip")
-        .distinct()
-        .join(reached, "src_ip")
-        .withColumn("_p_bits", F.explode(listed))
-        .withColumn("_p_net", network_of(F.col("dst_ip"), F.col("_p_bits")))
-    )
-    side = blocks.select(F.col("table_name").alias("_table"), "prefix_len", "via", "_bits", "_net")
-    hits = probes.join(
-        small_side(side),
-        (F.col("table_name") == F.col("_table")) & (F.col("_p_bits") == F.col("_bits")) & (F.col("_p_net") == F.col("_net")),
-    )
-    rank = F.struct(F.col("pref"), -F.col("prefix_len"), F.col("via"))
+    # Each source has its tables in order. Pairs ask their next tables, twice as many each time, until one has a route.
+    chains = reached.groupBy("src_ip").agg(F.array_sort(F.collect_list(F.struct("pref", "table_name"))).alias("_chain"))
+    found_route = F.struct("table_name", "via")
+    flat = flattened(routes, F.col("table_name"), -F.col("prefix_len"), found_route)
+    pairs = df.select("src_ip", "dst_ip").where(F.col("dst_ip").between(0, LAST_ADDRESS)).distinct()
+    open_pairs = settle(spread_join(pairs, chains, "src_ip").where("_chain IS NOT NULL"))
+    paths, begin, width = [], 0, 1
+    while open_pairs.where(F.size("_chain") > begin).limit(1).count():
+        asked = open_pairs.select("src_ip", "dst_ip", F.posexplode(F.slice("_chain", begin + 1, width)).alias("_turn", "_rule"))
+        asked = asked.select("src_ip", F.col("dst_ip").alias("_at"), "_turn", F.col("_rule.table_name").alias("_group"))
+        hits = looked_up(asked, flat, ties=("src_ip",)).where("_value IS NOT NULL")
+        path = F.min_by("_value", "_turn").alias("_path")
+        paths.append(settle(hits.groupBy("src_ip", F.col("_at").alias("dst_ip")).agg(path)))
+        open_pairs = settle(open_pairs.join(paths[-1], ["src_ip", "dst_ip"], "left_anti"))
+        begin, width = begin + width, width * 2
     pair = F.concat_ws(">", "src_ip", "dst_ip")
-    best = hits.groupBy(pair.alias("_pair")).agg(F.min_by(F.struct("table_name", "via"), rank).alias("_path"))
+    none = F.lit(None).cast(path_type)
+    if not paths:
+        return df.withColumn("_path", none).select(*df.columns, "_path.*")
+    best = reduce(DataFrame.unionByName, paths).select(pair.alias("_pair"), F.col("_path").cast(path_type))
     return spread_join(df.withColumn("_pair", pair), best, "_pair").select(*df.columns, "_path.*")
 
 

@@ -73,6 +73,23 @@ ranges AS (SELECT k AS range_id, CASE WHEN k % 11 <> 0 THEN b END AS lo,
 SELECT flow_id, range_id FROM flows_v JOIN ranges ON dst_ip BETWEEN lo AND hi"""
 
 
+def cidr_first_match_table(spark, sf):
+    """The narrowest of the ranges that hold an address, the ranges of any shape as above."""
+    key = F.col("c_custkey")
+    lo = key * 2654435761 % 4294967296
+    ranges = table(spark, sf, "customer").select(
+        key.alias("range_id"), lo.alias("lo"), (lo + F.when(key % 7 == 0, 0).otherwise(key * 7919 % 40000000)).alias("hi")
+    )
+    flows = view(spark, sf, "flows_v").select("flow_id", "dst_ip")
+    return policy.cidr_first_match(flows, "dst_ip", ranges, F.col("hi") - F.col("lo")).select("flow_id", "range_id")
+
+
+CIDR_FIRST_MATCH_TABLE = f"""WITH {with_views("flows_v")}, ranges AS (SELECT c_custkey AS range_id, c_custkey * 2654435761 % 4294967296 AS lo,
+  c_custkey * 2654435761 % 4294967296 + CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey * 7919 % 40000000 END AS hi FROM customer)
+SELECT flow_id, range_id FROM flows_v LEFT JOIN ranges ON dst_ip BETWEEN lo AND hi
+QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY hi - lo, range_id) = 1"""
+
+
 def cidr_match_text(spark, sf):
     """Addresses written in documents, tagged with the networks of those in every other document."""
     found = table(spark, sf, "documents").select(
@@ -315,6 +332,7 @@ SCOPE_CHECK_TABLE = _commands_sql(
 )
 
 QUERIES = {
+    "cidr_first_match_table": (cidr_first_match_table, CIDR_FIRST_MATCH_TABLE),
     "cidr_match_mixed": (cidr_match_mixed, CIDR_MATCH_MIXED),
     "toggle_asof_table": (toggle_asof_table, TOGGLE_ASOF_TABLE),
     "egress_verdict_table": (egress_verdict_table, EGRESS_VERDICT_TABLE),

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from auditloom.functions import ranges as address_ranges
 from auditloom.functions import sizing, skew
 from auditloom.functions.net import ip_to_long
 from auditloom.functions.sizing import small_table
@@ -225,3 +226,82 @@ def test_all_targets_of_a_command(spark, monkeypatch):
     assert {r.i: (r.hosts, r.in_scope) for r in policy.scope_check(df, "c", allowed).collect()} == want
     monkeypatch.setattr(policy, "policy_rows", lambda t, n=1: sizing.policy_rows(t, 1))
     assert {r.i: (r.hosts, r.in_scope) for r in policy.scope_check(df, "c", allowed).collect()} == want
+
+
+def random_ranges(rng, n):
+    """Nested, overlapping, touching, equal, single, turned-around and open ranges."""
+    out = []
+    for i in range(n):
+        lo = rng.randrange(2**32) if i % 4 else rng.choice([0, 256, 2**31, 2**32 - 512])
+        hi = lo + rng.choice([0, 1, 255, 2**16, 2**24, 2**30, 2**32]) - (5 if i % 17 == 0 else 0)
+        out.append((i, None if i % 29 == 0 else lo, None if i % 31 == 0 else hi, rng.randrange(20)))
+    return out
+
+
+def test_first_match_equals_a_scan(spark, monkeypatch):
+    rng = random.Random(4)
+    ranges = random_ranges(rng, 400)
+    ips = [rng.randrange(2**32) for _ in range(300)] + [0, 255, 256, 2**31, 2**32 - 1, 2**32, -1, None, 256, 256]
+    cidrs = spark.createDataFrame(ranges, "rule int, lo long, hi long, pref int")
+    df = spark.createDataFrame(list(enumerate(ips)), "i int, ip long")
+
+    def first(ip):
+        held = [(p, r) for r, lo, hi, p in ranges if None not in (lo, hi, ip) and 0 <= ip < 2**32 and lo <= ip <= hi]
+        return min(held)[1] if held else None
+
+    want = [(i, ip, first(ip)) for i, ip in enumerate(ips)]
+    for side in (address_ranges.small_side, lambda blocks: blocks):  # blocks broadcast, and shuffled
+        monkeypatch.setattr(address_ranges, "small_side", side)
+        got = policy.cidr_first_match(df, "ip", cidrs, F.col("pref")).select("i", "ip", "rule").orderBy("i").collect()
+        assert [tuple(r) for r in got] == want
+    none = policy.cidr_first_match(df, "ip", cidrs.where("false"), F.col("pref"))
+    assert none.count() == len(ips) and none.where("rule IS NOT NULL").count() == 0
+
+
+def test_first_match_asks_once_per_address(spark):
+    """The plan has no probe per prefix length on the side of the flows: rows are not multiplied."""
+    cidrs = spark.createDataFrame(random_ranges(random.Random(5), 300), "rule int, lo long, hi long, pref int")
+    df = spark.range(1000).select((F.col("id") * 4294967).alias("ip"))
+    plan = policy.cidr_first_match(df, "ip", cidrs, F.col("pref"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "NestedLoop" not in plan
+
+
+def test_routes_without_a_gateway_short_and_long(spark, monkeypatch):
+    rules = spark.createDataFrame([(1, 0, 99, "a"), (2, 0, 2**32 - 1, "b")], "pref int, src_lo long, src_hi long, table_name string")
+    routes = spark.createDataFrame(
+        [("a", 32, 7, 7, None), ("a", 32, 7, 7, "x"), ("a", 31, 6, 7, "y"), ("b", 0, 0, 2**32 - 1, None)],
+        "table_name string, prefix_len int, lo long, hi long, via string",
+    )
+    df = spark.createDataFrame([(5, 7), (5, 6), (5, 9), (200, 7), (5, None), (None, 7)], "src_ip long, dst_ip long")
+    want = {(5, 7): ("a", None), (5, 6): ("a", "y"), (5, 9): ("b", None), (200, 7): ("b", None), (5, None): (None, None), (None, 7): (None, None)}
+    for rows in (sizing.POLICY_ROWS, 1):
+        monkeypatch.setattr(policy, "policy_rows", lambda t, n=rows: sizing.policy_rows(t, rows))
+        got = {(r.src_ip, r.dst_ip): (r.table_name, r.via) for r in policy.policy_route(df, rules, routes).collect()}
+        assert got == want
+
+
+def test_long_chains_of_tables(spark, monkeypatch):
+    """Forty tables for a source, the only route in the last one: asked in turns of 1, 2, 4, ... tables."""
+    monkeypatch.setattr(policy, "policy_rows", lambda t, n=0: None)
+    rules = spark.createDataFrame([(i, 0, 99, f"t{i:02}") for i in range(40)], "pref int, src_lo long, src_hi long, table_name string")
+    routes = spark.createDataFrame(
+        [(f"t{i:02}", 24, i * 256, i * 256 + 255, f"v{i}") for i in range(40)], "table_name string, prefix_len int, lo long, hi long, via string"
+    )
+    df = spark.range(41).select((F.col("id") % 9).alias("src_ip"), (F.col("id") * 256 + 1).alias("dst_ip"))
+    got = {r.dst_ip: r.via for r in policy.policy_route(df, rules, routes).collect()}
+    assert got == {i * 256 + 1: f"v{i}" if i < 40 else None for i in range(41)}
+
+
+def test_hot_values_are_dealt_by_number(spark):
+    """Equal rows, null keys and columns of any type, on both sides of the limit."""
+    rows = spark.range(0, 2000, 1, 3).select(
+        F.when(F.col("id") < 900, "hot").when(F.col("id") < 1500, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+        F.create_map(F.lit("a"), F.lit(1)).alias("m"),
+    )
+    side = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3)], "k string, v int")
+    want = {"hot": (900, 1), None: (600, None), **{f"k{i}": (len([j for j in range(1500, 2000) if j % 7 == i]), {1: 2, 3: 3}.get(i)) for i in range(7)}}
+    for limit in (10**6, 100):
+        joined = skew.spread_join(rows, side, "k", hot_rows=limit)
+        got = joined.groupBy("k").agg(F.count("*"), F.max("v"), F.count_distinct("v")).collect()
+        assert {r[0]: (r[1], r[2]) for r in got} == want and all(r[3] <= 1 for r in got)
+        assert joined.columns == ["k", "m", "v"]
