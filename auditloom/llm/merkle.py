@@ -170,7 +170,8 @@ def merkle_manifest(
         leaf_of(F.col(text_col) if changed is None else changed).alias("_found"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    leaves = _ranked(rows, "_group", ["_id", "_d", "_row"]).drop("_row")
+    # Written first: the range partitioning reads what it deals out twice, and that must not be the texts.
+    leaves = _ranked(settle(rows), "_group", ["_id", "_d", "_row"]).drop("_row")
 
     def over_sources(tops: DataFrame) -> DataFrame:
         sources = _ranked(tops.select(F.lit(0).alias("_all"), F.col("_group").alias("_source"), "_d"), "_all", ["_source"])
