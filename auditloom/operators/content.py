@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from auditloom.functions.bytescan import Signatures
 from auditloom.functions.sizing import policy_rows, small_side
 from auditloom.session import settle
 
@@ -269,57 +273,56 @@ def _literal_hits(df: DataFrame, row_id: str, col: str, literals: DataFrame) ->
     return counted.where("_n > 0")
 
 
-BLOCK = 256
+SIGNATURES_AT_ONCE = 100_000
 
 
-def _running_sums(lengths: Column) -> Column:
-    """Sums of the first 1, 2, ... items of an array, by sums of whole blocks and the rest of one."""
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0).cast("long"), lambda acc, n: acc + n)
-
-    def block(i: Column) -> Column:
-        return F.floor(i / BLOCK).cast("int")
-
-    def with_lengths(items: Column) -> Column:
-        numbers = F.sequence(F.lit(0), block(F.size(items) - 1))
-        return _let(F.transform(numbers, lambda b: total(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))), lambda blocks: with_blocks(items, blocks))
-
-    def with_blocks(items: Column, blocks: Column) -> Column:
-        return _let(
-            F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))),
-            lambda before: F.transform(
-                items, lambda _, i: F.get(before, block(i)) + total(F.slice(items, block(i) * BLOCK + 1, i % BLOCK + 1))
-            ),
-        )
+def signature_scan(df: DataFrame, row_id: str, body: str, signatures: list[str]) -> DataFrame:
+    """Byte offset of every non-overlapping occurrence of a text's UTF-8 bytes: `(id, signature, offset)`.
 
-    return _let(lengths, with_lengths)
+    `body` is a binary column. An empty signature occurs nowhere. Bodies stay where they are; see `signature_table_scan`.
+    """
+    return _scan(df, row_id, body, [(s, s.encode("utf-8"), None) for s in dict.fromkeys(signatures)], "string")
 
 
-def signature_scan(df: DataFrame, row_id: str, body: str, signatures: list[str]) -> DataFrame:
-    """Byte offset of every non-overlapping occurrence: `(id, signature, offset)`.
+def signature_table_scan(df: DataFrame, row_id: str, body: str, signatures: DataFrame) -> DataFrame:
+    """Byte offset of every non-overlapping occurrence of each signature: `(id, signature, offset)`, a row each.
 
-    `body` is a binary column. Read as Latin-1 a byte is a character, so the body is split at
-    the signature's bytes and the lengths of the pieces add up to the offsets. An empty signature occurs nowhere.
+    `signatures` has signature (a name), bytes (binary) and, if wanted, mask (binary): a byte of the body fits where it agrees with `bytes` in
+    the bits of the mask. A mask that is null or shorter has all bits set for the rest; a signature that is null or empty occurs
+    nowhere. An index of pieces of up to four bytes finds candidates, all bytes decide. The index goes to the tasks with the
+    job, SIGNATURES_AT_ONCE signatures at a time; a longer table takes more passes over the bodies, which are not shuffled.
     """
-    as_text = F.decode(F.col(body), "ISO-8859-1")
-
-    def hits(signature: str) -> Column:
-        needle = signature.encode("utf-8").decode("latin-1")
-        lengths = F.transform(F.split(F.col("_text"), re.escape(needle), -1), lambda p: F.char_length(p).cast("long"))
-        offsets = _let(
-            _running_sums(lengths),
-            lambda sums: F.transform(
-                F.slice(sums, F.lit(1), F.size(sums) - 1), lambda at, i: at + i.cast("long") * len(needle)
-            ),
-        )
-        placed = F.transform(offsets, lambda at: F.struct(F.lit(signature).alias("signature"), at.alias("offset")))
-        return F.when(F.contains(F.col("_text"), F.lit(needle)), placed)
-
-    wanted = [hits(s) for s in signatures if s]
-    none = F.array().cast("array<struct<signature: string, offset: bigint>>")
-    found = F.flatten(F.array(*[F.coalesce(h, none) for h in wanted])) if wanted else none
-    return df.select(row_id, as_text.alias("_text")).select(row_id, F.inline(found))
+    mask = F.col("mask") if "mask" in signatures.columns else F.lit(None).cast("binary")
+    listed = signatures.select("signature", F.col("bytes").alias("_bytes"), mask.alias("_mask")).where(F.octet_length("_bytes") > 0)
+    listed = listed.distinct()
+    kind = signatures.schema["signature"].dataType.simpleString()
+    count = listed.count()
+    if count <= SIGNATURES_AT_ONCE:
+        return _scan(df, row_id, body, [(r[0], bytes(r[1]), r[2] and bytes(r[2])) for r in listed.collect()], kind)
+    parts = settle(listed.repartitionByRange(-(-count * 2 // SIGNATURES_AT_ONCE), "signature", "_bytes", "_mask").withColumn("_part", F.spark_partition_id()))
+    scans = []
+    for r in parts.select("_part").distinct().collect():
+        rows = parts.where(F.col("_part") == r["_part"]).drop("_part").collect()
+        scans.append(_scan(df, row_id, body, [(x[0], bytes(x[1]), x[2] and bytes(x[2])) for x in rows], kind))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _scan(df: DataFrame, row_id: str, body: str, signatures: list[tuple], kind: str) -> DataFrame:
+    rows = df.select(F.col(row_id).alias("_id"), F.col(body).cast("binary").alias("_body"))
+    schema = T.StructType([rows.schema["_id"], *T.StructType.fromDDL(f"signature {kind}, offset bigint").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        known = Signatures(signatures)
+        for batch in batches:
+            owners, names, offsets = [], [], []
+            for i, value in enumerate(batch.column(1)):
+                for name, at in known.occurrences(value.as_buffer() or b""):
+                    owners.append(i), names.append(name), offsets.append(at)
+            columns = [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(names, arrow.field(1).type), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", row_id)
 
 
 def keyword_profile(df: DataFrame, row_id: str, col: str, keywords: dict[str, str]) -> DataFrame:

@@ -141,6 +141,36 @@ pieces AS (SELECT page_id, signature, len(p) AS n, unnest(range(1, len(p) + 1))
 SELECT page_id, signature, CAST(sum(strlen(piece)) OVER (PARTITION BY page_id, signature ORDER BY i)
  + (i - 1) * strlen(signature) AS BIGINT) AS "offset" FROM pieces QUALIFY i < n"""
 
+
+
+def signature_table(spark, sf):
+    """Binary signatures from a table: two or three bytes, some with half a byte or a whole one left open."""
+    pages = table(spark, sf, "pages").select(
+        "page_id", F.concat(F.encode("html", "UTF-8"), F.unhex(F.sha2(F.col("html"), 256))).alias("body")
+    )
+    key = F.col("p_partkey")
+    bytes_ = F.unhex(F.lpad(F.hex(key * 40503 % 65536), 4, "0"))
+    mask = F.when(key % 3 == 0, F.unhex(F.lit("FFF0"))).when(key % 3 == 1, F.unhex(F.lit("0FFF")))
+    parts = table(spark, sf, "part").where("p_partkey <= 300").select(F.concat(F.lit("p"), key).alias("signature"), bytes_.alias("bytes"), mask.alias("mask"))
+    fixed = small_table(spark, BINARY_SIGNATURES, "signature string, hex string, open string").select(
+        "signature", F.unhex("hex").alias("bytes"), F.unhex("open").alias("mask")
+    )
+    return content.signature_table_scan(pages, "page_id", "body", parts.unionByName(fixed))
+
+
+BINARY_SIGNATURES = [("gzip", "1F8B", None), ("tag", "3C003E", "FF00FF"), ("word", "2061206E", "FFDFFFDF"), ("any", "0022", "00FF")]
+#: Per fixed signature, its bytes in hex with a blank behind each, as a pattern.
+FIXED_PATTERNS = [("gzip", 2, "1F 8B "), ("tag", 3, "3C .. 3E "), ("word", 4, "20 [46]1 20 [46]E "), ("any", 2, ".. 22 ")]
+SIGNATURE_TABLE = rf"""WITH keyed AS (SELECT p_partkey AS k, lpad(printf('%X', p_partkey * 40503 % 65536), 4, '0') AS h FROM part WHERE p_partkey <= 300),
+sigs AS (SELECT concat('p', k) AS signature, 2 AS n, CASE k % 3 WHEN 0 THEN concat(h[1:2], ' ', h[3], '. ')
+  WHEN 1 THEN concat('.', h[2], ' ', h[3:4], ' ') ELSE concat(h[1:2], ' ', h[3:4], ' ') END AS pattern FROM keyed
+ UNION ALL VALUES {", ".join(map(str, FIXED_PATTERNS))}),
+bodies AS (SELECT page_id, regexp_replace(concat(hex(encode(html)), upper(sha256(html))), '(..)', '\1 ', 'g') AS body FROM pages WHERE html IS NOT NULL),
+parts AS (SELECT page_id, signature, n, regexp_split_to_array(body, pattern) AS p FROM bodies JOIN sigs ON regexp_matches(body, pattern)),
+pieces AS (SELECT page_id, signature, n, len(p) AS m, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM parts)
+SELECT page_id, signature, CAST(sum(length(piece) // 3) OVER (PARTITION BY page_id, signature ORDER BY i)
+ + (i - 1) * n AS BIGINT) AS "offset" FROM pieces QUALIFY i < m"""
+
 KEYWORDS = {
     "script": "<script",
     "link": "href=\"",
@@ -223,6 +253,7 @@ QUERIES = {
     "pattern_rules": (pattern_rules, PATTERN_RULES),
     "pattern_rules_table": (pattern_rules_table, PATTERN_RULES_TABLE),
     "signature_scan": (signature_scan, SIGNATURE_SCAN),
+    "signature_table": (signature_table, SIGNATURE_TABLE),
     "keyword_profile": (keyword_profile, KEYWORD_PROFILE),
     "keyword_flags": (keyword_flags, KEYWORD_FLAGS),
     "findings_filter": (findings_filter, FINDINGS_FILTER),

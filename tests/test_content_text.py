@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from auditloom.functions import sizing
+from auditloom.functions import bytescan, sizing
 from auditloom.functions.sizing import small_table
 from auditloom.operators import content, logs, text
 
@@ -249,3 +249,39 @@ def test_expectations_meet_in_a_join(spark):
     assert text.expectation_suite(empty, observed).columns == ["name", "key", "value", "result"]
     alone = text.expectation_suite(checks.limit(1), observed.where("false"))
     assert [r.result for r in alone.collect()] == ["FAIL"]
+
+
+def scan_slowly(body, value, mask):
+    mask = (mask or b"\xff" * len(value))[: len(value)].ljust(len(value), b"\xff")
+    at = 0
+    while value and at + len(value) <= len(body):
+        if all(b & m == v & m for b, v, m in zip(body[at : at + len(value)], value, mask)):
+            yield at
+            at += len(value)
+        else:
+            at += 1
+
+
+def test_binary_signatures_with_masks(spark, monkeypatch):
+    """Nulls, empty bodies, whole and half bytes left open, no byte fixed, names twice; pieces across segments, passes over parts."""
+    rng = random.Random(11)
+    bodies = [bytes(rng.choice(b"ab\xff\x00\x1f\x8b") for _ in range(rng.randrange(0, 400))) for _ in range(20)] + [b"", None, b"\x00" * 300]
+    sigs = [("gzip", b"\x1f\x8b", None), ("zeros", b"\x00" * 6, None), ("gap", b"a?b", b"\xff\x00\xff"), ("half", b"\x1f\x80", b"\xff\xf0"),
+            ("open", b"\x00\x00", b"\x00\x00"), ("short", b"ab\xff", b"\x0f"), ("gzip", b"ab", None), ("none", None, None), ("blank", b"", b"\xff")]
+    sigs += [(f"r{i}", bytes(rng.choice(b"ab\xff\x00\x1f\x8b") for _ in range(rng.randrange(1, 7))), None) for i in range(300)]
+    want = sorted((i, n, at) for i, b in enumerate(bodies) for n, v, m in set(sigs) for at in scan_slowly(b or b"", v or b"", m))
+    df = spark.createDataFrame([(i, b and bytearray(b) if b is not None else None) for i, b in enumerate(bodies)], "i int, body binary")
+    table = spark.createDataFrame([(n, v and bytearray(v), m and bytearray(m)) for n, v, m in sigs], "signature string, bytes binary, mask binary")
+    assert sorted(tuple(r) for r in content.signature_table_scan(df, "i", "body", table).collect()) == want
+    monkeypatch.setattr(content, "SIGNATURES_AT_ONCE", 50)
+    assert sorted(tuple(r) for r in content.signature_table_scan(df, "i", "body", table).collect()) == want
+    assert content.signature_table_scan(df, "i", "body", table.where("false")).count() == 0
+
+
+def test_signatures_across_segments(monkeypatch):
+    monkeypatch.setattr(bytescan, "SEGMENT", 7)
+    rng = random.Random(12)
+    body = bytes(rng.choice(b"ab") for _ in range(200))
+    rows = [(v, v, m) for v, m in ((b"abba", None), (b"a", None), (b"aabbab", b"\xff\x00\xff\xff"), (b"xx", b"\x00\x00"))]
+    want = sorted((n, at) for n, v, m in rows for at in scan_slowly(body, v, m))
+    assert sorted(bytescan.Signatures(rows).occurrences(body)) == want
