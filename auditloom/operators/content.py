@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from auditloom.functions.bytescan import Signatures
+from auditloom.functions.patterns import compiled
 from auditloom.functions.sizing import policy_rows, small_side
+from auditloom.functions.skew import spread_join
 from auditloom.session import settle
 
 # Leading bytes (hex) of common file types, most specific first.
@@ -114,28 +116,52 @@ def printable_strings(
 RULE_LITERALS_IN_PLAN = 256
 
 
+def compiled_rules(rules: DataFrame) -> DataFrame:
+    """Rules as rows rule, kind, regex, literal, needed: what is counted, and a text that every match holds (null if none is sure)."""
+    named = "pattern" if "pattern" in rules.columns else "literal"
+    kind = F.col("kind") if "kind" in rules.columns else F.lit("text")
+    listed = rules.select("rule", F.coalesce(kind, F.lit("text")).alias("kind"), F.nullif(named, F.lit("")).alias("regex"), "needed")
+    if "kind" not in rules.columns:
+        return listed.withColumn("literal", F.col("regex")).distinct()
+
+    def compile_all(batches):
+        for batch in batches:
+            kinds, patterns = batch.column("kind").to_pylist(), batch.column("regex").to_pylist()
+            done = [compiled(k, p) if p is not None else (None, None) for k, p in zip(kinds, patterns)]
+            columns = {n: batch.column(n) for n in ("rule", "kind", "needed")}
+            columns |= {"regex": pa.array([d[0] for d in done], pa.string()), "literal": pa.array([d[1] for d in done], pa.string())}
+            yield pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in schema.fields})
+
+    schema = T.StructType([*listed.schema.fields, T.StructField("literal", T.StringType())])
+    return settle(listed.distinct().mapInArrow(compile_all, schema)).distinct()
+
+
 def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> DataFrame:
     """Rules that hold per item: `(id, rule, matched, hits)`.
 
-    `rules` has one row per literal: rule, literal, needed. A rule holds when at
-    least `needed` of its distinct literals occur ("any" is 1, "all" is their number);
-    with `needed` 0 it holds for every item. `hits` adds up the occurrences. Empty and null literals are
-    left out: they never match. A short rule set becomes column expressions, one pass and
-    no shuffle. A longer one looks for a piece of every literal among the pieces of the texts
-    (`_candidates`), and searches a text for the literals whose piece it has.
+    `rules` has one row per pattern: rule, literal or pattern, needed and, if wanted, kind: `text` (as it stands), `regex`, or `hex` (bytes of the text in UTF-8,
+    see `hex_regex`). A rule holds when at least `needed` of its distinct patterns occur ("any" is 1, "all" is their number);
+    with `needed` 0 it holds for every item. `hits` adds up the occurrences, which do not overlap and are not empty. Empty and null
+    patterns are left out: they never match.
+
+    A short rule set becomes column expressions, one pass and no shuffle. A longer one looks for a piece of a text that every match of a pattern
+    holds (`required_literal`) among the pieces of the texts (`_candidates`), and counts a pattern where its piece is. Patterns
+    without such a text are counted in every item, RULE_LITERALS_IN_PLAN in a pass. Rows are told apart by what they hold: ids may be null or repeat, and
+    rows with equal id and text each have their own answer.
     """
-    listed = rules.select("rule", F.nullif("literal", F.lit("")).alias("literal"), "needed").distinct()
+    listed = compiled_rules(rules)
     short = policy_rows(listed, RULE_LITERALS_IN_PLAN)
     if short is not None:
-        literals = sorted({r["literal"] for r in short if r["literal"] is not None})
-        counted = df.select(
-            row_id, *[_occurrences(F.col(col), F.lit(lit)).alias(f"_n{i}") for i, lit in enumerate(literals)]
+        patterns = sorted({(r["kind"], r["regex"]) for r in short if r["regex"] is not None})
+        views = df.select(row_id, F.col(col).alias("_text"), *([_bytes(F.col(col)).alias("_bytes")] if any(k == "hex" for k, _ in patterns) else []))
+        counted = views.select(
+            row_id, *[_count(F.lit(kind), _view(kind), F.lit(regex), kind).alias(f"_n{i}") for i, (kind, regex) in enumerate(patterns)]
         )
         by_rule: dict = {}
         for r in short:
             names = by_rule.setdefault((r["rule"], r["needed"]), [])
-            if r["literal"] is not None:
-                names.append(f"_n{literals.index(r['literal'])}")
+            if r["regex"] is not None:
+                names.append(f"_n{patterns.index((r['kind'], r['regex']))}")
         verdicts = [
             F.struct(
                 F.lit(rule).alias("rule"),
@@ -152,18 +178,81 @@ def pattern_rules(df: DataFrame, row_id: str, col: str, rules: DataFrame) -> Dat
             .where(F.col("matched") >= F.col("needed"))
             .select(row_id, "rule", "matched", "hits")
         )
-    literals = listed.where("literal IS NOT NULL").select("literal").distinct()
-    needs = listed.withColumnRenamed("literal", "_literal")
-    counted = _literal_hits(df, row_id, col, literals).join(needs, "_literal").select(row_id, "rule", "needed", "_n")
+    listed = settle(listed)
+    keyed = df.select(F.col(row_id), _row_key(F.col(row_id), F.col(col)).alias("_key"), F.col(col).alias("_text"))
+    hits = _pattern_hits(keyed.select("_key", "_text"), listed.where("regex IS NOT NULL").select("kind", "regex", "literal").distinct())
+    needs = listed.select("rule", "needed", F.col("kind").alias("_kind"), F.col("regex").alias("_regex"))
+    counted = hits.join(small_side(needs), ["_kind", "_regex"]).select("_key", "rule", "needed", "_n")
     always = listed.where("needed <= 0").select("rule", "needed").distinct()
     if policy_rows(always, 0) is None:  # rules that hold for every item, of which each then has a row
-        counted = counted.unionByName(df.select(row_id).crossJoin(small_side(always)).withColumn("_n", F.lit(0)))
-    return (
-        counted.groupBy(row_id, "rule", "needed")
+        every = keyed.select("_key").distinct().crossJoin(small_side(always)).withColumn("_n", F.lit(0))
+        counted = counted.unionByName(every)
+    held = (
+        counted.groupBy("_key", "rule", "needed")
         .agg(F.count_if(F.col("_n") > 0).cast("int").alias("matched"), F.sum("_n").cast("int").alias("hits"))
         .where(F.col("matched") >= F.col("needed"))
-        .select(row_id, "rule", "matched", "hits")
     )
+    answers = held.groupBy("_key").agg(F.collect_list(F.struct("rule", "matched", "hits")).alias("_held"))
+    # One row per text and id that any rule holds for; equal rows meet it by number, so that none is lost or merged.
+    return spread_join(keyed.select(row_id, "_key"), settle(answers), "_key").where("_held IS NOT NULL").select(row_id, F.inline("_held"))
+
+
+def _row_key(row_id: Column, text: Column) -> Column:
+    """128 bits that tell rows apart that differ in id or text; null is not empty."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("")), F.lit("\x1f"), F.coalesce(F.concat(F.lit("="), text), F.lit(""))).cast("binary"))
+
+
+def _bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text, each as a character."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def _view(kind: str) -> Column:
+    return F.col("_bytes" if kind == "hex" else "_text")
+
+
+def _count(kind: Column, text: Column, regex: Column, known: str | None = None) -> Column:
+    """Occurrences of a pattern that are not empty; `known` is the kind where it is the same for all rows."""
+    found = F.filter(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: m != "")
+    matches = F.coalesce(F.when(F.size(found) > 0, F.size(found)), F.lit(0))
+    if known is not None:
+        return _occurrences(text, regex) if known == "text" else matches
+    return F.when(kind == "text", _occurrences(text, regex)).otherwise(matches)
+
+
+def _pattern_hits(keyed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Occurrences of each pattern per distinct row: `(_key, _kind, _regex, _n)`, none without one."""
+    named = patterns.select(F.col("kind").alias("_kind"), F.col("regex").alias("_regex"), F.col("literal").alias("_literal"))
+    out = "_key string, _kind string, _regex string, _n int"
+    parts = [keyed.sparkSession.createDataFrame([], out)]
+    with_bytes = keyed.withColumn("_bytes", _bytes(F.col("_text")))
+    found = []
+    for is_hex in (False, True):
+        listed = named.where((F.col("_kind") == "hex") == is_hex).where("_literal IS NOT NULL")
+        if listed.limit(1).count():
+            literals = listed.select(F.col("_literal").alias("literal")).distinct()
+            candidates = _candidates(with_bytes, "_key", "_bytes" if is_hex else "_text", literals)
+            found.append(candidates.join(small_side(listed), "_literal").select("_key", "_kind", "_regex"))
+    if found:
+        wanted = reduce(DataFrame.unionByName, found).groupBy("_key").agg(F.collect_set(F.struct("_kind", "_regex")).alias("_wanted"))
+        # Searching costs far more than the bytes tell, so the texts stay in as many partitions as are set.
+        width = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = keyed.repartition(width, "_key").join(wanted, "_key").withColumn("_bytes", _bytes(F.col("_text")))
+
+        def counted(p: Column) -> Column:
+            view = F.when(p["_kind"] == "hex", F.col("_bytes")).otherwise(F.col("_text"))
+            return F.struct(p["_kind"].alias("_kind"), p["_regex"].alias("_regex"), _count(p["_kind"], view, p["_regex"]).alias("_n"))
+
+        # Rows with equal keys find the same, which counts once here.
+        parts.append(texts.select("_key", F.inline(F.transform("_wanted", counted))).where("_n > 0").distinct())
+    loose = sorted((r["_kind"], r["_regex"]) for r in named.where("_literal IS NULL").collect())
+    for at in range(0, len(loose), RULE_LITERALS_IN_PLAN):
+        some = loose[at : at + RULE_LITERALS_IN_PLAN]
+        rows = F.array(
+            *[F.struct(F.lit(k).alias("_kind"), F.lit(r).alias("_regex"), _count(F.lit(k), _view(k), F.lit(r), k).alias("_n")) for k, r in some]
+        )
+        parts.append(with_bytes.select("_key", F.inline(rows)).where("_n > 0").distinct())
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _occurrences(text: Column, literal: Column) -> Column:
@@ -254,25 +343,6 @@ def _candidates(df: DataFrame, row_id: str, col: str, literals: DataFrame) -> Da
     return rows.join(small_side(anchors.drop("_q")), ["_kind", "_piece"]).select(row_id, "_literal").distinct()
 
 
-def _literal_hits(df: DataFrame, row_id: str, col: str, literals: DataFrame) -> DataFrame:
-    """Occurrences of each literal per item, non-overlapping: `(id, _literal, _n)`, none without one.
-
-    `row_id` must tell the rows apart.
-    """
-    listed = _candidates(df, row_id, col, literals).groupBy(row_id).agg(F.collect_list("_literal").alias("_literals"))
-    # Searching costs far more than the bytes tell, so the texts stay in as many partitions as are set.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.select(row_id, col).repartition(parts, row_id).join(listed, row_id).select(
-        row_id,
-        F.inline(
-            F.transform(
-                "_literals", lambda lit: F.struct(lit.alias("_literal"), _occurrences(F.col(col), lit).alias("_n"))
-            )
-        ),
-    )
-    return counted.where("_n > 0")
-
-
 SIGNATURES_AT_ONCE = 100_000
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.sizing import small_table
@@ -127,6 +128,56 @@ def pattern_rules_table(spark, sf):
 PATTERN_RULES_TABLE = f"""WITH rules AS (SELECT DISTINCT concat('item-', item_id) AS rule,
   unnest(regexp_extract_all(text, '[A-Za-z]{{7,}}')) AS literal, 5 AS needed FROM benchmark), {RULE_VERDICTS}"""
 
+
+
+def pattern_rules_any_id(spark, sf):
+    """The long-list way over rows without an id and rows that share one."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))))
+    rules = table(spark, sf, "benchmark").select(F.lit("any").alias("rule"), words.alias("literal"), F.lit(3).alias("needed"))
+    items = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 5 != 0, F.expr("doc_id div 4")).alias("item"), "text")
+    return content.pattern_rules(items, "item", "text", rules)
+
+
+PATTERN_RULES_ANY_ID = """WITH lits AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark),
+hits AS (SELECT doc_id, (length(text) - length(replace(text, w, ''))) // length(w) AS n FROM documents JOIN lits ON contains(text, w)),
+held AS (SELECT doc_id, count(*) AS matched, sum(n) AS hits FROM hits GROUP BY doc_id HAVING count(*) >= 3)
+SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id // 4 END AS item, 'any' AS rule, CAST(matched AS INTEGER) AS matched, CAST(hits AS INTEGER) AS hits FROM held"""
+
+
+def pattern_rules_mixed(spark, sf):
+    """A thousand patterns of all kinds, words of the benchmark items turned into texts, regular expressions and hex; six conditions."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))))
+    listed = table(spark, sf, "benchmark").select(words.alias("w")).distinct().withColumn("i", F.row_number().over(Window.orderBy("w"))).where("i <= 990")
+    spaced = F.trim(F.regexp_replace(F.hex(F.encode("w", "UTF-8")), "(..)", "$1 "))
+    pattern = (
+        F.when(F.col("i") % 4 == 0, F.col("w"))
+        .when(F.col("i") % 4 == 1, F.concat(F.substring("w", 1, 4), F.lit("[a-z]{2,}s")))
+        .when(F.col("i") % 4 == 2, F.concat(F.lit("[A-Z]?"), F.substring("w", 2, 30), F.lit(" +[a-z]+")))
+        .otherwise(F.concat(F.substring(spaced, 1, 6), F.lit("?? "), F.substring(spaced, 10, 100)))
+    )
+    kind = F.when(F.col("i") % 4 == 0, "text").when(F.col("i") % 4 == 3, "hex").otherwise("regex")
+    mixed = listed.select(F.concat(F.lit("r"), F.col("i") % 60).alias("rule"), kind.alias("kind"), pattern.alias("pattern"), (F.col("i") % 6 + 1).alias("needed"))
+    loose = small_table(spark, LOOSE_RULES, "rule string, kind string, pattern string, needed int")
+    return content.pattern_rules(table(spark, sf, "documents"), "doc_id", "text", mixed.unionByName(loose))
+
+
+#: Patterns that no text is sure to be part of, and a hex pattern with a jump and alternatives; each with its SQL form.
+LOOSE_RULES = [
+    ("digits", "regex", "[0-9]{5,}", 2), ("digits", "regex", "cat|dog|tree", 2), ("jump", "hex", "74 68 [1-3] (61 | 65) ?? 74", 1), ("open", "hex", "?? 3? 3?", 1)
+]
+LOOSE_SQL = [("digits", "regex", "[0-9]{5,}", 2), ("digits", "regex", "cat|dog|tree", 2), ("jump", "hex", "74 68 (.. ){1,3}(61 |65 ).. 74 ", 1), ("open", "hex", ".. 3. 3. ", 1)]
+PATTERN_RULES_MIXED = rf"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{6,}}')) AS w FROM benchmark),
+listed AS (SELECT w, row_number() OVER (ORDER BY w) AS i, regexp_replace(hex(encode(w)), '(..)', '\1 ', 'g') AS h FROM words QUALIFY i <= 990),
+rules AS (SELECT concat('r', i % 60) AS rule, CASE i % 4 WHEN 0 THEN 'text' WHEN 3 THEN 'hex' ELSE 'regex' END AS kind,
+  CASE i % 4 WHEN 0 THEN w WHEN 1 THEN concat(w[1:4], '[a-z]{{2,}}s') WHEN 2 THEN concat('[A-Z]?', w[2:], ' +[a-z]+')
+   ELSE concat(h[1:6], '.. ', h[10:]) END AS pattern, CAST(i % 6 + 1 AS INTEGER) AS needed FROM listed
+ UNION ALL VALUES {", ".join(map(str, LOOSE_SQL))}),
+docs AS (SELECT doc_id, text, regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g') AS h FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT doc_id, rule, needed, CASE kind WHEN 'text' THEN (length(text) - length(replace(text, pattern, ''))) // length(pattern)
+  WHEN 'regex' THEN len(regexp_extract_all(text, pattern)) ELSE len(regexp_extract_all(h, pattern)) END AS n FROM docs, rules)
+SELECT doc_id, rule, CAST(count(*) FILTER (WHERE n > 0) AS INTEGER) AS matched, CAST(sum(n) AS INTEGER) AS hits
+FROM hits GROUP BY doc_id, rule, needed HAVING count(*) FILTER (WHERE n > 0) >= needed"""
+
 SIGNATURES = ["<a", "<li", "<script", "</p>", "é"]
 
 
@@ -252,6 +303,8 @@ QUERIES = {
     "printable_strings": (printable_strings, PRINTABLE_STRINGS),
     "pattern_rules": (pattern_rules, PATTERN_RULES),
     "pattern_rules_table": (pattern_rules_table, PATTERN_RULES_TABLE),
+    "pattern_rules_any_id": (pattern_rules_any_id, PATTERN_RULES_ANY_ID),
+    "pattern_rules_mixed": (pattern_rules_mixed, PATTERN_RULES_MIXED),
     "signature_scan": (signature_scan, SIGNATURE_SCAN),
     "signature_table": (signature_table, SIGNATURE_TABLE),
     "keyword_profile": (keyword_profile, KEYWORD_PROFILE),

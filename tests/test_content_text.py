@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from auditloom.functions import bytescan, sizing
+from auditloom.functions import bytescan, patterns, sizing
 from auditloom.functions.sizing import small_table
 from auditloom.operators import content, logs, text
 
@@ -285,3 +286,72 @@ def test_signatures_across_segments(monkeypatch):
     rows = [(v, v, m) for v, m in ((b"abba", None), (b"a", None), (b"aabbab", b"\xff\x00\xff\xff"), (b"xx", b"\x00\x00"))]
     want = sorted((n, at) for n, v, m in rows for at in scan_slowly(body, v, m))
     assert sorted(bytescan.Signatures(rows).occurrences(body)) == want
+
+
+@pytest.mark.parametrize("n", [11, 301])
+def test_rows_without_an_id_and_repeated_ids(spark, n):
+    """The same rows on both sides of RULE_LITERALS_IN_PLAN."""
+    rows = [(1, "secret0007 here"), (None, "a secret0007"), (2, "secret0001 secret0001"), (2, "secret0001 secret0002"), (2, "nothing"), (None, None)]
+    rows += [(3, "secret0003")] * 3 + [(None, "a secret0007")] * 2
+    df = spark.createDataFrame(rows, "i int, t string").repartition(3)
+    rules = spark.createDataFrame([("r", f"secret{k:04}", 1) for k in range(n)], "rule string, literal string, needed int")
+    got = sorted((r.i or 0, r.matched, r.hits) for r in content.pattern_rules(df, "i", "t", rules).collect())
+    assert got == sorted([(1, 1, 1), (2, 1, 2), (2, 2, 2)] + [(3, 1, 1)] * 3 + [(0, 1, 1)] * 3)
+    known = spark.createDataFrame([(f"secret{k:04}",) for k in range(n)], "secret string")
+    found = logs.known_secret_scan(df, "i", "t", known).collect()
+    assert sorted(r.i or 0 for r in found) == [0, 0, 0, 1, 2, 2, 2, 3, 3, 3]
+
+
+MIXED = [
+    ("a", "text", "ab", 2), ("a", "text", "$$", 2), ("a", "regex", "b+a[^a]", 2), ("b", "regex", "a*", 1), ("b", "regex", "x|é", 1), ("c", "hex", "61 62", 1),
+    ("c", "hex", "C3 ?9 [0-2] 61", 1), ("d", "hex", "(24 | 61 61) 2E", 1), ("d", "regex", r"a\.b", 1), ("e", "regex", "", 1), ("e", "regex", None, 1), ("f", "text", "", 0),
+]
+
+
+def test_patterns_of_all_kinds(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("aabb.é€$x") for _ in range(rng.randrange(0, 50))) for _ in range(120)] + ["", None]
+
+    def count(kind, pattern, t):
+        if not pattern or t is None:
+            return 0
+        if kind == "text":
+            return t.count(pattern)
+        if kind == "hex":
+            t, pattern = t.encode().decode("latin-1"), patterns.hex_regex(pattern)
+        return sum(m.group(0) != "" for m in re.finditer(pattern, t))
+
+    want = set()
+    for i, t in enumerate(texts):
+        for rule in "abcdef":
+            mine = [r for r in MIXED if r[0] == rule]
+            counts = [count(k, p, t) for _, k, p, _ in mine]
+            matched = sum(c > 0 for c in counts)
+            if matched >= mine[0][3]:
+                want.add((i, rule, matched, sum(counts)))
+    rule_df = spark.createDataFrame(MIXED, "rule string, kind string, pattern string, needed int")
+    assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
+    monkeypatch.setattr(content, "policy_rows", lambda t, n: sizing.policy_rows(t, 0))
+    monkeypatch.setattr(content, "RULE_LITERALS_IN_PLAN", 1)
+    assert {tuple(r) for r in content.pattern_rules(docs(spark, *texts), "i", "t", rule_df).collect()} == want
+
+
+def test_every_match_holds_the_required_literal():
+    """Random patterns of all parts against random texts; and patterns whose literal is known."""
+    rng = random.Random(15)
+    parts = ["a", "b", "ab", ".", "[ab]", "[]a]", "[^a]", "(ab)", "(?:a|b)", r"\.", r"\x61", r"\d", "^", r"\b", "(?=a)", "c"]
+    counts = ["", "", "", "?", "*", "+", "{2}", "{0,2}", "{1,}", "*?", "+?"]
+    seen = 0
+    for _ in range(3000):
+        regex = "".join(p + (rng.choice(counts) if p not in ("^", r"\b", "(?=a)", "ab") else "") for p in rng.choices(parts, k=rng.randrange(1, 6)))
+        literal = patterns.required_literal(regex)
+        text = "".join(rng.choice("aabbc.]1") for _ in range(30))
+        for match in re.finditer(regex, text):
+            seen += literal is not None
+            assert literal is None or literal in match.group(0), (regex, literal, match)
+    assert seen > 500
+    known = {"abc+d?ef": "abc", "a|b": None, r"(foo)?bar\.baz[0-9]{2,}q": "bar.baz", "(?i)abc": None, r"a\Qb\Ec": None, "[a-z]*": None, r"\x{41}b": None}
+    assert {p: patterns.required_literal(p) for p in known} == known
+    for bad in ("4", "4G", "41 [", "zz"):
+        with pytest.raises(ValueError):
+            patterns.hex_regex(bad)
