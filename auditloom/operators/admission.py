@@ -13,10 +13,10 @@ real bucket is ahead of it by less than one token, and that lead goes through a
 slice as a monotone map of a circle of one token length (`_lead_map`), which
 composes as well.
 
-Concurrency cap. A row that starts when every interval before it has ended meets an
-empty key whatever was admitted, so a hot key falls apart there into runs that are folded side by
-side. Where a hot key never idles, its run is one fold in one task, over rows
-streamed in order with at most `limit` end times in memory: exact, but as long as the run.
+Concurrency cap. The state is the end times of at most `limit` running rows. Every slice of a hot key is folded side by
+side, first as if nothing ran at its start, then from the end states that its predecessor reached, until all of those have
+been tried: slices forget their start state, or have a few in turn. The true states are then read off from slice to slice
+(`_with_states`). Only a key whose slices do not settle in TRIALS folds is folded on in one task from there.
 """
 
 from __future__ import annotations
@@ -389,7 +389,9 @@ def concurrency_admit(
     hot = hot_keys(df, key, hot_rows) if hot is None else hot
     rows, any_hot = with_slices(df.withColumn("_counts", _counts(when)), key, [start, order], hot)
     if any_hot:
-        rows = _with_runs(rows, key, start, end, order)
+        rows = _with_states(rows, key, start, end, order, limit)
+    else:
+        rows = rows.withColumn("_state", F.lit(None).cast("array<bigint>"))
     out = T.StructType(
         [
             *df.schema.fields,
@@ -406,7 +408,7 @@ def concurrency_admit(
             admitted = [False if c else None for c in counts]
             for k, piece, at, to in _runs(batch, key):
                 if group != (k, piece):
-                    group, running = (k, piece), []
+                    group, running = (k, piece), batch.column("_state")[at].as_py() or []
                 for i in take_slots(begins, ends, [i for i in range(at, to) if counts[i]], running, limit):
                     admitted[i] = True
             retry = [None if ok is None else 0 if ok else retry_after for ok in admitted]
@@ -436,28 +438,111 @@ def take_slots(begins: list, ends: list, asking: list[int], running: list, limit
     return taken
 
 
-def _with_runs(rows: DataFrame, key: str, start: str, end: str, order: str) -> DataFrame:
-    """Make `_slice` of the hot rows the number of their run.
+#: Rounds of folds in a row, and how often they start again from where the true states are known so far.
+TRIALS, RESTARTS = 6, 4
+
+
+def _fold_slices(asks: DataFrame, key: str, start: str, end: str, order: str, limit: int) -> DataFrame:
+    """Settled `key`, `_slice`, `_state`, `_end`: the end times that run on after a slice folded from `_state`."""
+    out = T.StructType([asks.schema[key], *T.StructType.fromDDL("_slice bigint, _state array<bigint>, _end array<bigint>").fields])
+    schema = to_arrow_schema(out)
 
-    A run begins where an asking row starts at or after the end of every asking row before
-    it. Both the latest end so far and the number of runs so far are running values over slices.
+    def fold(batches):
+        group, first, running, done = None, [], [], []
+        for batch in batches:
+            begins, ends = batch.column(start).to_pylist(), batch.column(end).to_pylist()
+            for k, piece, at, to in _runs(batch, key):
+                if group != (k, piece):
+                    if group is not None:
+                        done.append((*group, first, sorted(running)))
+                    first = batch.column("_state")[at].as_py()
+                    group, running = (k, piece), sorted(first)
+                take_slots(begins, ends, range(at, to), running, limit)
+            if len(done) > FLUSH_ROWS:
+                yield _packed(done, schema)
+                done = []
+        if group is not None:
+            done.append((*group, first, sorted(running)))
+        yield _packed(done, schema)
+
+    return settle(_sorted(asks, key, [start, order]).mapInArrow(fold, out))
+
+
+def _with_states(rows: DataFrame, key: str, start: str, end: str, order: str, limit: int) -> DataFrame:
+    """Add `_state`, the end times that run at the start of the row's slice; `_slice` becomes that of the first slice of a piece.
+
+    Rounds of trials: every slice from no running row, then from what the trials of the slice before it left running at its start. A trial
+    gives one start state to the next slice, so a round folds a slice once at most, and a slice whose start states have all been
+    tried takes no part. Rows that run on across many slices are met by starting again, RESTARTS times at most, from the true state of the
+    first slice without an answer, with what of it still runs at the start of each later one. A piece is one slice, but where the states have not
+    settled then, it is all slices from the first one without an answer to the next one in which the key idles, so that its end state is sure.
     """
-    first, here = Window.unboundedPreceding, Window.currentRow
-    sequence = [F.col(start), F.col(order)]
-    until = F.when(F.col("_counts"), F.coalesce(F.col(end), F.lit(NEVER)))
-    hot = running_sliced(
-        rows.where("_hot"), True, key, order=sequence, local=F.max(until), frame=(first, -1),
-        total=F.max(until), carried=F.max("_total"), combine=F.greatest, out="_until",
+    asks = settle(rows.where("_hot AND _counts").select(key, "_slice", start, end, order))
+    along = Window.partitionBy(key).orderBy("_slice")
+    until = F.coalesce(F.col(end), F.lit(NEVER))
+    after_all = running_sliced(
+        asks.withColumn("_hot", F.lit(True)), True, key, order=[F.col(start), F.col(order)], local=F.max(until),
+        frame=(Window.unboundedPreceding, -1), total=F.max(until), carried=F.max("_total"), combine=F.greatest, out="_until",
     )
-    begins = F.col("_counts") & F.coalesce(F.col(start) >= F.col("_until"), F.lit(True))
-    hot = settle(hot.withColumn("_begins", begins.cast("long")).drop("_until"))
-    hot = running_sliced(
-        hot, True, key, order=sequence, local=F.sum("_begins"), frame=(first, here),
-        total=F.sum("_begins"), carried=F.sum("_total"),
-        combine=lambda local, carry: local + F.coalesce(carry, F.lit(0).cast("long")), out="_run",
+    idles = F.bool_or(F.coalesce(F.col(start) >= F.col("_until"), F.lit(True)))
+    slices = after_all.groupBy(key, "_slice").agg(F.min(start).alias("_first"), idles.alias("_idles"))
+    slices = settle(slices.withColumns({"_next": F.lead("_slice").over(along), "_next_first": F.lead("_first").over(along)}))
+    todo, trials, pieces = slices.select(key, "_slice", F.array().cast("array<bigint>").alias("_state")), None, None
+    for _ in range(RESTARTS):
+        for _ in range(TRIALS):
+            folded = _fold_slices(join_slices(asks, todo, key).where("_state IS NOT NULL"), key, start, end, order, limit)
+            trials = folded if trials is None else trials.unionByName(folded)
+            after = join_slices(folded, slices, key).where("_next IS NOT NULL")
+            left = F.filter("_end", lambda e: e > F.col("_next_first"))
+            todo = settle(_untried(after.select(key, F.col("_next").alias("_slice"), left.alias("_state")), trials, key))
+            if not todo.limit(1).count():
+                break
+        pieces = _true_states(trials, slices, key)
+        unsure = join_slices(pieces.where("_sure = false"), slices.select(key, "_slice", "_first"), key)
+        if not unsure.limit(1).count():
+            break
+        still = F.filter("_state", lambda e: e > F.col("_first"))
+        todo = settle(_untried(unsure.select(key, "_slice", still.alias("_state")), trials, key))
+    hot = join_slices(rows.where("_hot"), pieces.drop("_sure"), key).withColumn("_slice", F.coalesce("_piece", "_slice")).drop("_piece")
+    return rows.where("NOT _hot").withColumn("_state", F.lit(None).cast("array<bigint>")).unionByName(hot)
+
+
+def _untried(starts: DataFrame, trials: DataFrame, key: str) -> DataFrame:
+    known = trials.select(F.col(key).alias("_known_key"), F.col("_slice").alias("_known_slice"), F.col("_state").alias("_known_state"))
+    same = (
+        F.col(key).eqNullSafe(F.col("_known_key")) & (F.col("_slice") == F.col("_known_slice")) & (F.col("_state") == F.col("_known_state"))
     )
-    hot = hot.withColumn("_slice", F.col("_run")).drop("_begins", "_run")
-    return rows.where("NOT _hot").unionByName(hot)
+    return starts.join(known, same, "left_anti")
+
+
+def _true_states(trials: DataFrame, slices: DataFrame, key: str) -> DataFrame:
+    """Settled `key`, `_slice`, `_piece`, `_state`, `_sure`: read off from slice to slice, one small row per slice and trial.
+
+    `_sure` is false where a piece has no trial from its true start state, so that it may hold several slices.
+    """
+    out = T.StructType([slices.schema[key], *T.StructType.fromDDL("_slice bigint, _piece bigint, _state array<bigint>, _sure boolean").fields])
+    schema = to_arrow_schema(out)
+
+    def walk(table: pa.Table) -> pa.Table:
+        ends, seen = {}, {}
+        for r in table.to_pylist():
+            ends[r["_slice"], tuple(r["_state"])] = r["_end"]
+            seen[r["_slice"]] = (r["_first"], r["_idles"], r["_end"])
+        found, state, piece, begin = [], (), None, ()
+        for at in sorted(seen):
+            first, idles, any_end = seen[at]
+            if state is not None:
+                state = tuple(e for e in state if e > first)
+                piece, begin = at, state
+                state = ends.get((at, state))
+                sure = state is not None
+            # Behind a moment without any row, the start state does not matter.
+            state = any_end if state is None and idles else state
+            found.append((table[key][0].as_py(), at, piece, list(begin), sure))
+        return pa.Table.from_batches([_packed(found, schema)])
+
+    tried = join_slices(trials, slices.select(key, "_slice", "_first", "_idles"), key)
+    return settle(tried.groupBy(key).applyInArrow(walk, out))
 
 
 def throttle_label(

@@ -2,9 +2,13 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from auditloom.functions import skew
+from auditloom.operators import admission
 from auditloom.operators.admission import (
     _LeadMap,
     bucket_step,
@@ -162,3 +166,39 @@ def test_both_limits_in_one_fold(spark):
         got = throttle_label(df, "k", "a", "b", "i", 3, 1000, 2, 2, when="ok", hot_rows=hot_rows).collect()
         assert {r.i: (r.rate_allowed, r.rate_retry_after, r.slot_admitted) for r in got} == want
         assert all(r.slot_retry_after == {None: None, True: 0, False: 5}[r.slot_admitted] for r in got)
+
+
+def never_idle(seed, n, shape):
+    """Rows of one key with a row running at any time: mixed lengths, or two phases that never meet."""
+    rng = random.Random(seed)
+    if shape == "phases":
+        return [(7, 10 * i, 10 * i + 15, i) for i in range(n)]
+    if shape == "drift":
+        return [(7, 10 * i, 10 * i + 10 * rng.choice([1, 2, 3]) + 5, i) for i in range(n)]
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.randrange(0, 40)
+        rows.append((7, at, at + (10**7 if rng.random() < 0.001 else rng.randrange(200, 800)), i))
+    return rows
+
+
+@pytest.mark.parametrize("shape, limit", [("mixed", 4), ("phases", 1), ("drift", 2)])
+def test_slots_of_a_key_that_never_idles(spark, shape, limit, monkeypatch):
+    monkeypatch.setattr(admission, "TRIALS", 3)
+    monkeypatch.setattr(admission, "RESTARTS", 2)
+    rows = never_idle(5, 1500, shape)
+    df = spark.createDataFrame(rows, "k long, a long, b long, i long")
+    want = naive_slots(rows, limit)
+    states = admission._with_states(*sliced(df), "k", "a", "b", "i", limit).select("_slice").distinct().count()
+    assert {r.i: r.admitted for r in concurrency_admit(df, "k", "a", "b", "i", limit, hot_rows=150).collect()} == want
+    if shape != "mixed":  # many tasks: the slices of the key stay apart
+        assert states > 10
+        return
+    monkeypatch.setattr(admission, "TRIALS", 1)  # states that have not settled: one piece from there on
+    monkeypatch.setattr(admission, "RESTARTS", 1)
+    assert {r.i: r.admitted for r in concurrency_admit(df, "k", "a", "b", "i", limit, hot_rows=150).collect()} == want
+
+
+def sliced(df):
+    rows, _ = skew.with_slices(df.withColumn("_counts", F.lit(True)), "k", ["a", "i"], skew.hot_keys(df, "k", 150))
+    return [rows]
