@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from auditloom.functions.skew import HOT_ROWS, Hot, hot_keys, join_slices, running_sliced, with_slices
+from auditloom.functions.skew import HOT_ROWS, PIECES_PER_LIMIT, Hot, hot_keys, join_slices, running_sliced, with_slices
 from auditloom.functions.sizing import small_side
 from auditloom.session import settle
 
@@ -438,8 +438,8 @@ def take_slots(begins: list, ends: list, asking: list[int], running: list, limit
     return taken
 
 
-#: Rounds of folds in a row, and how often they start again from where the true states are known so far.
-TRIALS, RESTARTS = 6, 4
+#: Rounds of folds of the slices that are not settled, at most.
+TRIALS = 4
 
 
 def _fold_slices(asks: DataFrame, key: str, start: str, end: str, order: str, limit: int) -> DataFrame:
@@ -471,11 +471,11 @@ def _fold_slices(asks: DataFrame, key: str, start: str, end: str, order: str, li
 def _with_states(rows: DataFrame, key: str, start: str, end: str, order: str, limit: int) -> DataFrame:
     """Add `_state`, the end times that run at the start of the row's slice; `_slice` becomes that of the first slice of a piece.
 
-    Rounds of trials: every slice from no running row, then from what the trials of the slice before it left running at its start. A trial
-    gives one start state to the next slice, so a round folds a slice once at most, and a slice whose start states have all been
-    tried takes no part. Rows that run on across many slices are met by starting again, RESTARTS times at most, from the true state of the
-    first slice without an answer, with what of it still runs at the start of each later one. A piece is one slice, but where the states have not
-    settled then, it is all slices from the first one without an answer to the next one in which the key idles, so that its end state is sure.
+    Rounds of trials: every slice from no running row, then from what a trial of the slice before it left running at its start, or from what still
+    runs there of the last true state that is known, which meets rows that run on across many slices. A round folds a slice once. After each
+    the true states are read off. A piece is one slice, or the slices from one without an answer to the next one in which the key idles, so that its
+    end state is sure. Pieces of PIECES_PER_LIMIT slices, as many rows as a key may have without slices, are left at that; the
+    slices of longer ones take part in the next round, up to TRIALS.
     """
     asks = settle(rows.where("_hot AND _counts").select(key, "_slice", start, end, order))
     along = Window.partitionBy(key).orderBy("_slice")
@@ -487,22 +487,23 @@ def _with_states(rows: DataFrame, key: str, start: str, end: str, order: str, li
     idles = F.bool_or(F.coalesce(F.col(start) >= F.col("_until"), F.lit(True)))
     slices = after_all.groupBy(key, "_slice").agg(F.min(start).alias("_first"), idles.alias("_idles"))
     slices = settle(slices.withColumns({"_next": F.lead("_slice").over(along), "_next_first": F.lead("_first").over(along)}))
-    todo, trials, pieces = slices.select(key, "_slice", F.array().cast("array<bigint>").alias("_state")), None, None
-    for _ in range(RESTARTS):
-        for _ in range(TRIALS):
-            folded = _fold_slices(join_slices(asks, todo, key).where("_state IS NOT NULL"), key, start, end, order, limit)
-            trials = folded if trials is None else trials.unionByName(folded)
-            after = join_slices(folded, slices, key).where("_next IS NOT NULL")
-            left = F.filter("_end", lambda e: e > F.col("_next_first"))
-            todo = settle(_untried(after.select(key, F.col("_next").alias("_slice"), left.alias("_state")), trials, key))
-            if not todo.limit(1).count():
-                break
+    todo, trials = slices.select(key, "_slice", F.array().cast("array<bigint>").alias("_state")), None
+    for _ in range(TRIALS):
+        folded = _fold_slices(join_slices(asks, todo, key).where("_state IS NOT NULL"), key, start, end, order, limit)
+        trials = folded if trials is None else trials.unionByName(folded)
         pieces = _true_states(trials, slices, key)
-        unsure = join_slices(pieces.where("_sure = false"), slices.select(key, "_slice", "_first"), key)
-        if not unsure.limit(1).count():
-            break
+        size = F.count(F.lit(1)).over(Window.partitionBy(key, "_piece"))
+        long = pieces.where("NOT _sure").withColumn("_size", size).where(F.col("_size") > PIECES_PER_LIMIT).drop("_piece", "_size", "_sure")
+        before = join_slices(folded, slices, key).where("_next IS NOT NULL")
+        left = F.filter("_end", lambda e: e > F.col("_next_first"))
+        handed_on = before.select(key, F.col("_next").alias("_slice"), left.alias("_state"), F.lit(0).alias("_from_true"))
         still = F.filter("_state", lambda e: e > F.col("_first"))
-        todo = settle(_untried(unsure.select(key, "_slice", still.alias("_state")), trials, key))
+        known = join_slices(long, slices.select(key, "_slice", "_first"), key).select(key, "_slice", still.alias("_state"), F.lit(1).alias("_from_true"))
+        starts = join_slices(handed_on, long.select(key, "_slice", F.lit(True).alias("_long")), key).where("_long").drop("_long").unionByName(known)
+        pick = F.max(F.struct("_from_true", "_state"))["_state"].alias("_state")
+        todo = settle(_untried(starts, trials, key).groupBy(key, "_slice").agg(pick))
+        if not todo.limit(1).count():
+            break
     hot = join_slices(rows.where("_hot"), pieces.drop("_sure"), key).withColumn("_slice", F.coalesce("_piece", "_slice")).drop("_piece")
     return rows.where("NOT _hot").withColumn("_state", F.lit(None).cast("array<bigint>")).unionByName(hot)
 
