@@ -55,6 +55,63 @@ def _unquote(quoted: Column) -> Column:
     return F.when(F.contains(inner, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(inner)
 
 
+#: What Python's `repr` escapes besides backslash and quote: anything but the blank that has no visible form.
+UNSEEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _quote(text: Column) -> Column:
+    """A text as Python's `repr` writes it."""
+
+    def escaped(sign: Column) -> Column:
+        code = F.lower(F.hex(F.encode(sign, "UTF-32")))
+        short = [F.when(sign == v, F.lit("\\" + k)) for k, v in SHORT_ESCAPES.items()]
+        wide = (
+            F.when(code < "00000100", F.concat(F.lit("\\x"), F.right(code, F.lit(2))))
+            .when(code < "00010000", F.concat(F.lit("\\u"), F.right(code, F.lit(4))))
+            .otherwise(F.concat(F.lit("\\U"), code))
+        )
+        return F.when(sign.rlike(f"^{UNSEEN}\\z"), F.coalesce(*short, wide)).otherwise(sign)
+
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    pieces = F.regexp_extract_all(doubled, F.lit(f"{UNSEEN}|[\\s\\S&&[^\\p{{C}}\\p{{Z}}]| ]+"), F.lit(0))
+    seen = F.when(doubled.rlike(UNSEEN), F.array_join(F.transform(pieces, escaped), "")).otherwise(doubled)
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    return (
+        F.when(single & ~double, F.concat(F.lit('"'), seen, F.lit('"')))
+        .otherwise(F.concat(F.lit("'"), F.replace(seen, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    )
+
+
+def exec_log_write(df: DataFrame, line: str = "line") -> DataFrame:
+    """Add the log line of typed rows, the way back of `exec_log_parse`; works on tables and streams.
+
+    Reads the columns that `exec_log_parse` adds, and `message` for rows of any other kind, empty without it. A row without
+    `log_ts` or `level` is its message alone; a field that is null is written as `None`, as the service would.
+    """
+
+    def said(value: Column) -> Column:
+        return F.coalesce(value.cast("string"), F.lit("None"))
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.when(F.col(name), F.lit("True")).otherwise(F.when(~F.col(name), F.lit("False"))), F.lit("None"))
+
+    other = F.coalesce("message", F.lit("")) if "message" in df.columns else F.lit("")
+    execution = F.concat(
+        F.lit("exec image="), said(F.col("image")), F.lit(" network="), said(F.col("network")), F.lit(" raw="), flag("raw"),
+        F.lit("(granted="), flag("granted"), F.lit(") timeout="), said(F.col("timeout")), F.lit("s files="), said(F.col("n_files")),
+        F.lit(" cmd="), F.coalesce(_quote(F.col("cmd")), F.lit("None")),
+    )
+    message = (
+        F.when(F.col("kind") == "exec", execution)
+        .when(F.col("kind") == "timeout_kill", F.concat(F.lit("timeout after "), said(F.col("timeout")), F.lit("s; killing container "), said(F.col("target"))))
+        .when(F.col("kind") == "partial_cleanup", F.concat(F.lit("workdir "), said(F.col("target")), F.lit(" not fully removed; using root-container cleanup")))
+        .when(F.col("kind") == "leak", F.concat(F.lit("workdir LEAK: could not remove "), said(F.col("target"))))
+        .otherwise(other)
+    )
+    stamp = F.concat(F.date_format("log_ts", STAMP_FORMAT), F.lit(" "), F.col("level"), F.lit(" "))
+    return df.withColumn(line, F.concat(F.coalesce(stamp, F.lit("")), message))
+
+
 def exec_log_parse(df: DataFrame, line: str = "line") -> DataFrame:
     """Split log lines into typed columns; works on tables and streams.
 

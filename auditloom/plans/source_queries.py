@@ -81,6 +81,18 @@ def corpus_file(spark, sf):
 CORPUS_FILE = """SELECT item_id, CAST(strlen(text) + 1 AS BIGINT) AS size, sha256(concat(text, chr(10))) AS sha256 FROM benchmark"""
 
 
+def corpus_file_empty(spark, sf):
+    """The same next to a file of zero bytes."""
+    folder = run_folder(spark, "corpus-file-empty") + "/rows"
+    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(folder)
+    table(spark, sf, "benchmark").where("false").select("text").coalesce(1).write.text(f"{folder}/item_id=999999999")
+    files = file_inventory(read_corpus(spark, folder, "*.txt"), "path", "body")
+    return files.select(F.regexp_extract("path", r"item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "size", "sha256")
+
+
+CORPUS_FILE_EMPTY = CORPUS_FILE + " UNION ALL SELECT 999999999, 0, sha256('')"
+
+
 def template_tree(spark, sf):
     """A template per supplier, in a folder of its own."""
     folder = run_folder(spark, "template-tree") + "/rows"
@@ -113,13 +125,14 @@ SETTINGS_FILE = """SELECT concat('KEY_', c_custkey) AS key, concat(c_name, '=x')
 def partitioned_table(spark, sf):
     folder = run_folder(spark, "partitioned-table") + "/rows"
     write_table(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), folder, ["o_orderstatus"])
-    return spark.read.parquet(folder).where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return spark.read.parquet(folder).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-PARTITIONED_TABLE = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'"
+PARTITIONED_TABLE = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 
 QUERIES = {
     "corpus_file": (corpus_file, CORPUS_FILE),
+    "corpus_file_empty": (corpus_file_empty, CORPUS_FILE_EMPTY),
     "template_tree": (template_tree, TEMPLATE_TREE),
     "settings_file": (settings_file, SETTINGS_FILE),
     "partitioned_table": (partitioned_table, PARTITIONED_TABLE),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditloom.operators.logs import exec_log_parse
+from auditloom.operators.logs import STAMP, exec_log_parse, exec_log_write
 from auditloom.plans.lifecycle import DAY_US
 from auditloom.plans.request_queries import EXEC_LOG_PARSE
 from auditloom.plans.state_queries import BURST, PER_DAY, RATE_LIMIT_LABEL
-from auditloom.plans.views import view_sql
+from auditloom.plans.views import view, view_sql
 from auditloom.session import run_folder
+from auditloom.sources.files import read_log, write_log
 from auditloom.streaming.deadline import deadline_stream
 from auditloom.streaming.rate_limit import rate_limit_stream
 from auditloom.streaming.run import read_stream, run_available
@@ -72,7 +73,21 @@ def exec_log_stream(spark, sf):
     return run_available(parsed, "exec-log")
 
 
+def log_write_stream(spark, sf):
+    """Typed log rows written as lines of text, read back as a stream of text files and parsed again."""
+    fields = ["level", "kind", "image", "network", "raw", "granted", "timeout", "n_files", "cmd", "target"]
+    lines = view(spark, sf, "log_v")
+    parsed = exec_log_parse(lines).withColumn("message", F.regexp_extract("line", STAMP, 3))
+    folder = run_folder(spark, "log-write") + "/rows"
+    write_log(exec_log_write(parsed.drop("line")), folder)
+    again = exec_log_parse(read_log(spark, folder, stream=True)).select(F.unix_millis("log_ts").alias("log_ms"), *fields)
+    return run_available(again, "log-write")
+
+
+LOG_WRITE_STREAM = f"SELECT * EXCLUDE (line_no) FROM ({EXEC_LOG_PARSE})"
+
 QUERIES = {
+    "log_write_stream": (log_write_stream, LOG_WRITE_STREAM),
     "rate_limit_stream": (rate_limit_stream_query, RATE_LIMIT_LABEL),
     "deadline_stream": (deadline_stream_query, DEADLINE_STREAM),
     "exec_log_stream": (exec_log_stream, EXEC_LOG_PARSE),

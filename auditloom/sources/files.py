@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +30,22 @@ def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """Files as rows: path, length, body BINARY. Names are filtered before any body is read.
 
-    Spark's file readers pass over files of zero bytes, so those have no row.
+    Spark's file readers pass over files of zero bytes; those come from the reader's own list of files, less the ones
+    that it has read.
     """
-    return (
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
         .select("path", "length", F.col("content").alias("body"))
     )
+    listed = spark.createDataFrame(pa.table({"path": pa.array(files.inputFiles(), pa.string())}))
+    # The list has URIs, the rows have paths.
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    names = listed.select(F.regexp_replace(decoded, "^([^:/]+):///", "$1:/").alias("path"))
+    empty = names.join(files.select("path"), "path", "left_anti")
+    return files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("body")))
 
 
 def read_templates(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
@@ -82,3 +90,8 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str
     """Parquet, optionally in one folder per value of `by`."""
     writer = df.write.mode(mode)
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def write_log(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The `line` of each row as text; see `exec_log_write`."""
+    df.select("line").write.mode(mode).text(path)

@@ -355,3 +355,26 @@ def test_every_match_holds_the_required_literal():
     for bad in ("4", "4G", "41 [", "zz"):
         with pytest.raises(ValueError):
             patterns.hex_regex(bad)
+
+
+def test_log_lines_written_and_read_again(spark):
+    """Commands quoted as Python does, and the same rows after the way there and back."""
+    commands = ["ls", "it's", 'say "x"', "both ' and \"", "a\\b\n\r\t\x00\x7f", "é€ \xa0​\U0001f600\U000e0001", "", " x ", "'", '"', "\\'", "x\u0085y", "ab" * 2000]
+    rows = [(i, "exec", c, None, True, i % 2 == 0) for i, c in enumerate(commands)] + [(90, "leak", None, "/w/ a", None, None), (91, "timeout_kill", None, "c-1", None, None),
+            (92, "partial_cleanup", None, "/w", None, None)]
+    df = spark.createDataFrame(rows, "i int, kind string, cmd string, target string, raw boolean, granted boolean").withColumns(
+        {"log_ts": F.expr("timestamp_micros(1700000000123000 + i)"), "level": F.lit("INFO"), "image": F.when(F.col("kind") == "exec", "base"),
+         "network": F.when(F.col("kind") == "exec", "none"), "timeout": F.when(F.col("kind").isin("exec", "timeout_kill"), 60), "n_files": F.when(F.col("kind") == "exec", 2)}
+    )
+    lines = logs.exec_log_write(df)
+    for r in lines.where("kind = 'exec'").collect():
+        assert r.line.split(" cmd=", 1)[1] == repr(r.cmd)
+        assert r.line.startswith("2023-11-14 22:13:20,123 INFO exec image=base network=none raw=True(granted=")
+    names = ["i", "kind", "cmd", "target", "raw", "granted", "level", "image", "network", "timeout", "n_files"]
+    again = logs.exec_log_parse(lines.select("i", "line")).select(names).orderBy("i").collect()
+    assert again == df.select(names).orderBy("i").collect()
+    bare = spark.createDataFrame([("other", "free text")], "kind string, message string").selectExpr(
+        "*", "CAST(NULL AS TIMESTAMP) log_ts", "CAST(NULL AS STRING) level", *[f"CAST(NULL AS STRING) {c}" for c in ("image", "network", "cmd", "target")],
+        "CAST(NULL AS BOOLEAN) raw", "CAST(NULL AS BOOLEAN) granted", "CAST(NULL AS INT) timeout", "CAST(NULL AS INT) n_files",
+    )
+    assert logs.exec_log_write(bare).first().line == "free text"

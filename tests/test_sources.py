@@ -40,7 +40,14 @@ def test_corpus(spark):
     corpus = files.read_corpus(spark, folder, "*.bin")
     inventory = file_inventory(corpus, "path", "body")
     assert {os.path.basename(r.path): r.size for r in inventory.collect()} == {"one.bin": 2, "two.bin": 1}
-    counts = glob_counts(files.read_corpus(spark, folder), "path", ["*.bin", "*/a/b/*", "*.gone"])
+    write(folder, "a/empty +%41 \u00e9.bin", b"")
+    write(folder, "a/empty.txt", b"")
+    inventory = file_inventory(files.read_corpus(spark, folder, "*.bin"), "path", "body")
+    assert {os.path.basename(r.path): r.size for r in inventory.collect()} == {"one.bin": 2, "two.bin": 1, "empty +%41 \u00e9.bin": 0}
+    none = tempfile.mkdtemp(prefix="run-")
+    write(none, "only.bin", b"")
+    assert [(r.length, bytes(r.body)) for r in files.read_corpus(spark, none).collect()] == [(0, b"")]
+    counts = glob_counts(files.read_corpus(spark, folder, "*[!y].???").where("length > 0"), "path", ["*.bin", "*/a/b/*", "*.gone"])
     assert {r.glob: r.files for r in counts.collect()} == {"*.bin": 2, "*/a/b/*": 1}
 
 
