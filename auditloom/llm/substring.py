@@ -27,7 +27,7 @@ WINDOW = 20
 CHUNK_BYTES = 6_000_000
 BUCKET_WINDOWS = 1_500_000
 BYTES_PER_WORD = 6
-#: Sorts after all ids, for rows without one.
+#: Id of rows without one, the largest there is; a row may have it of its own.
 NO_ID = 2**63 - 1
 
 SPANS = "array<struct<start: bigint, end: bigint>>"
@@ -234,8 +234,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(`doc_id`, `text_hash`, `spans`) of the documents that lose words; spans are disjoint word ranges in order, the end not included.
 
     A word goes if a window that covers it also starts earlier: in a document with a
-    smaller id or earlier in its own. Windows are judged on the whole input. Rows without an id (`doc_id` null) come after all
-    others and count as one document among themselves, as do rows that share an id: only an earlier start counts between them.
+    smaller id or earlier in its own. Windows are judged on the whole input. Rows without an id have the largest id, NO_ID, and are
+    told so by `doc_id`. Rows that share an id count as one document among themselves: only an earlier start counts between them.
     Null and empty texts and texts shorter than the window lose nothing. Texts are read whole; ids are integers.
     """
     spark = docs.sparkSession
@@ -290,14 +290,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .sortWithinPartitions("shard")
         .mapInArrow(lean(merge), f"doc_id bigint, text_hash bigint, spans {SPANS}")
     )
-    return settle(merged.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
+    return settle(merged)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, spans_col: str) -> DataFrame:
     """`docs` with their spans, null where nothing goes; one shuffle of the texts."""
     text_hash = fresh(docs, "text_hash")
     side = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias(spans_col))
-    same = F.col(id_col).eqNullSafe(F.col("s_id")) & (F.col(text_hash) == F.col("s_hash"))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("s_id")) & (F.col(text_hash) == F.col("s_hash"))
     joined = docs.withColumn(text_hash, F.xxhash64(F.col(text_col))).join(side, same, "left")
     return joined.select(*docs.columns, spans_col)
 

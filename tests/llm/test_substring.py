@@ -98,3 +98,13 @@ def test_empty_table(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
     blank = removal_labels(frame(spark, [(1, None, None, None, None)])).collect()
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in blank] == [(0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_the_largest_id_loses_like_any_other(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    for last in (2**63 - 1, 2**63 - 2, None):
+        rows = frame(spark, [(5, text, "en", "a", 1), (last, text, "en", "a", 1)])
+        got = {r.doc_id: r.n_removed for r in removal_labels(rows).collect()}
+        assert got == {5: 0, last: 40}
+    shared = frame(spark, [(2**63 - 1, text, "en", "a", 1), (None, text, "en", "a", 1)])
+    assert {r.n_removed for r in removal_labels(shared).collect()} == {0}
