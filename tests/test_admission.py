@@ -20,6 +20,12 @@ from auditloom.operators.admission import (
 )
 
 
+@pytest.fixture(autouse=True)
+def few_rounds(monkeypatch):
+    """Answers do not depend on the rounds of trials; their jobs take the time of these tests."""
+    monkeypatch.setattr(admission, "TRIALS", 2)
+
+
 def naive_bucket(rows, per, period, burst):
     token, cap, refill = bucket_units(per, period, burst)
     state, out = {}, {}
@@ -185,7 +191,7 @@ def never_idle(seed, n, shape):
 @pytest.mark.parametrize("shape, limit", [("mixed", 4), ("phases", 1), ("drift", 2)])
 def test_slots_of_a_key_that_never_idles(spark, shape, limit, monkeypatch):
     monkeypatch.setattr(admission, "PIECES_PER_LIMIT", 1)
-    monkeypatch.setattr(admission, "TRIALS", 5)
+    monkeypatch.setattr(admission, "TRIALS", 3)
     rows = never_idle(5, 1500, shape)
     df = spark.createDataFrame(rows, "k long, a long, b long, i long")
     want = naive_slots(rows, limit)
