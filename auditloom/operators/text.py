@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditloom.functions.sizing import small_side
+from auditloom.functions.sizing import BROADCAST_BYTES, BROADCAST_ROWS, is_small, policy_rows, small_table
+from auditloom.session import settle
 
 
 def json_project(
@@ -169,14 +171,30 @@ def expectation_suite(
     of the key named in `expected`). A key that was never observed fails; `runs`
     adds runs without any observation. `value` is the largest observed one.
 
-    The observations meet the expectations in one join on the key, whatever the number of either. What
-    passes, and the largest value per key (a top-1 window, cut down before its shuffle), then
-    gather per run: one row with an entry per checked key and passed check. Without expectations the result is empty.
+    Each expectation is judged by itself, also where names repeat. A grid of all runs and expectations, which is as large as the result,
+    meets two narrow tables in equi joins on (run, number of the expectation): what passes, and the largest value per watched key (a
+    top-1 window, cut down before its shuffle). Nothing is gathered per run, so a run may hold any share of the observations and
+    there may be any number of expectations. A null run is a run of its own. Without expectations the result is empty. The
+    expectations are numbered when the plan is built, a long list in a table written for it.
     """
-    keys = [run] if run else []
-    checks = expectations.select("name", "key", "operator", "expected")
-    watched = checks.select("key").unionByName(checks.where("operator = 'ne_key'").select(F.col("expected").alias("key")))
-    seen = observed.select(*keys, "key", "value").join(small_side(watched.distinct()), "key", "left_semi")
+    group = run or "_run"
+    fields = ["name", "key", "operator", "expected"]
+    short = policy_rows(expectations.select(*fields))
+    if short is not None:
+        schema = T.StructType([*expectations.select(*fields).schema.fields, T.StructField("_check", T.LongType())])
+        checks = small_table(expectations.sparkSession, [(*r, i) for i, r in enumerate(short)], schema)
+    else:
+        checks = settle(expectations.select(*fields, F.monotonically_increasing_id().alias("_check")))
+    # Watched keys are up to twice as many as the expectations.
+    fits = short is not None or is_small(checks, BROADCAST_ROWS // 2, BROADCAST_BYTES // 2)
+    near = F.broadcast if fits else (lambda side: side)
+    pairs = checks.where("operator = 'ne_key'").select("_check", "key", F.col("expected").alias("_other"))
+    has_pairs = policy_rows(pairs, 0) is None if short is None else any(r["operator"] == "ne_key" for r in short)
+    watched = checks.select("key")
+    if has_pairs:
+        watched = watched.unionByName(pairs.select(F.col("_other").alias("key")))
+    named = observed if run else observed.withColumn(group, F.lit(0))
+    seen = named.select(group, "key", "value").join(near(watched.distinct()), "key", "left_semi")
 
     value, expected = F.col("value"), F.col("expected")
     numbers = value.try_cast("double"), expected.try_cast("double")
@@ -190,28 +208,30 @@ def expectation_suite(
         "non_empty": value != "",
     }
     holds = F.coalesce(*[F.when(F.col("operator") == name, test) for name, test in tests.items()], F.lit(False))
-    passed = seen.join(small_side(checks), "key").where(holds).select(*keys, "name")
+    passed = seen.join(near(checks), "key").where(holds).select(group, "_check")
+
+    largest = Window.partitionBy(group, "key").orderBy(F.desc_nulls_last("value"))
+    top = seen.withColumn("_rank", F.row_number().over(largest)).where("_rank = 1").select(group, "key", "value")
+    if has_pairs:
+        mine = top.join(near(pairs), "key").select(group, "_check", "_other", F.col("value").alias("_mine"))
+        others = top.select(F.col(group).alias("_group"), F.col("key").alias("_other"), "value")
+        met = mine.join(others, mine[group].eqNullSafe(others["_group"]) & (mine["_other"] == others["_other"]))
+        passed = passed.unionByName(met.where("_mine != '' AND _mine != value").select(group, "_check"))
+    values = top.join(near(checks.select("_check", "key")), "key").select(F.col(group).alias("_group"), F.col("_check").alias("_at"), "value")
+    passes = passed.distinct().select(F.col(group).alias("_in"), F.col("_check").alias("_passed"))
 
-    largest = Window.partitionBy(*keys, "key").orderBy(F.desc_nulls_last("value"))
-    top = seen.withColumn("_rank", F.row_number().over(largest)).where("_rank = 1").select(*keys, "key", "value")
-    parts = [top, passed]
     if run:
-        parts += [source.select(run) for source in (observed, runs) if source is not None]
-    gathered = (
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        .groupBy(*keys)
-        .agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))).alias("_values"),
-            F.collect_set("name").alias("_passed"),
-        )
+        runs_of = [source.select(run) for source in (observed, runs) if source is not None]
+        all_runs = reduce(DataFrame.unionByName, runs_of).distinct()
+    else:
+        all_runs = small_table(observed.sparkSession, [(0,)], "_run int")
+    grid = all_runs.crossJoin(near(checks.select("_check")))  # the result has a row for each run and check
+    filled = grid.join(values, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_check") == F.col("_at")), "left").join(
+        passes, F.col(group).eqNullSafe(F.col("_in")) & (F.col("_check") == F.col("_passed")), "left"
     )
-    rows = gathered.crossJoin(small_side(checks))  # the result has a row for each run and check
-    mine, other = F.try_element_at("_values", F.col("key")), F.try_element_at("_values", F.col("expected"))
-    passes = F.when(F.col("operator") == "ne_key", (mine != "") & (mine != other)).otherwise(
-        F.array_contains("_passed", F.col("name"))
-    )
-    result = F.when(F.coalesce(passes, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL"))
-    return rows.select(*keys, "name", "key", mine.alias("value"), result.alias("result"))
+    result = F.when(F.col("_passed").isNotNull(), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("result")
+    named_checks = near(checks.select("_check", "name", "key"))
+    return filled.join(named_checks, "_check").select(*([run] if run else []), "name", "key", "value", result)
 
 
 def gate(results: DataFrame, by: str | None = None) -> DataFrame:

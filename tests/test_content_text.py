@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,6 +253,44 @@ def test_expectations_meet_in_a_join(spark):
     assert [r.result for r in alone.collect()] == ["FAIL"]
 
 
+def judge_slowly(checks, observed, runs):
+    for run in runs:
+        values = {}
+        for r, k, v in observed:
+            if r == run and k is not None:
+                values.setdefault(k, []).append(v)
+        largest = {k: max((v for v in vs if v is not None), default=None) for k, vs in values.items()}
+        for name, key, operator, expected in checks:
+            mine, other = largest.get(key), largest.get(expected)
+            seen = [v for v in values.get(key, []) if v is not None]
+            passes = {
+                "eq": expected in seen,
+                "ne": any(v != expected for v in seen),
+                "prefix": any(v.startswith(expected) for v in seen),
+                "empty": "" in seen,
+                "non_empty": any(seen),
+                "ne_key": bool(mine) and other is not None and mine != other,
+            }[operator]
+            yield run, name, key, mine, "PASS" if passes else "FAIL"
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_expectations_as_division(spark, copies):
+    """Null runs, repeated names, keys without an observation, pairs of keys; short and long lists."""
+    kinds = [("eq", "1"), ("ne", "1"), ("prefix", "1"), ("empty", "x"), ("non_empty", "x"), ("ne_key", "b"), ("ne_key", "gone")]
+    checks = [(f"n{i % 5}", k, o, e) for i in range(copies) for k in ("a", "b", "gone") for o, e in kinds]
+    observed = [(1, "a", "1"), (1, "a", "12"), (1, "b", "12"), (None, "a", "2"), (None, "b", ""), (None, "b", "1"), (2, "a", None), (2, None, "1")]
+    observed += [(3, "a", "7")] * 50
+    runs = [1, None, 2, 3, 4]
+    got = text.expectation_suite(
+        spark.createDataFrame(checks, "name string, key string, operator string, expected string"),
+        spark.createDataFrame(observed, "run int, key string, value string"),
+        run="run",
+        runs=spark.createDataFrame([(r,) for r in runs], "run int"),
+    )
+    assert Counter(map(tuple, got.collect())) == Counter(judge_slowly(checks, observed, runs))
+
+
 def scan_slowly(body, value, mask):
     mask = (mask or b"\xff" * len(value))[: len(value)].ljust(len(value), b"\xff")
     at = 0
