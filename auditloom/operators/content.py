@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from auditloom.functions.bytescan import Signatures
 from auditloom.functions.patterns import compiled
-from auditloom.functions.sizing import policy_rows, small_side
+from auditloom.functions.sizing import is_small, policy_rows, small_side
 from auditloom.functions.skew import spread_join
 from auditloom.session import settle
 
@@ -327,20 +328,56 @@ def _candidates(df: DataFrame, row_id: str, col: str, literals: DataFrame) -> Da
     """`(id, _literal)` where the text has the literal's piece; a row per distinct pair.
 
     A text with the literal has its runs, whole or inside longer ones, and so every piece
-    of them. Kinds and lengths that no literal uses are not made.
+    of them. Kinds and lengths that no literal uses are not made. Where the literals are
+    broadcast, the pieces meet them in the stage that makes them; where both sides would be shuffled, pieces become rows only
+    if a bit set of the literals' pieces, held in the plan, lets them by.
     """
     anchors = settle(_anchors(literals))
     used = anchors.select("_kind", "_q").distinct().collect()  # at most one row per kind and length
-    found = [
-        df.select(
-            row_id, F.lit(r["_kind"]).alias("_kind"), F.explode(_pieces(F.col(col), r["_kind"], r["_q"])).alias("_piece")
-        )
-        for r in used
-    ]
+    side = anchors.drop("_q")
+    near = is_small(side)
+    found = []
+    for r in used:
+        pieces = _pieces(F.col(col), r["_kind"], r["_q"])
+        if not near:
+            pieces = F.array_distinct(F.filter(pieces, _piece_test(anchors.where((F.col("_kind") == r["_kind"]) & (F.col("_q") == r["_q"])))))
+        found.append(df.select(row_id, F.lit(r["_kind"]).alias("_kind"), F.explode(pieces).alias("_piece")))
     if not found:
         return df.select(row_id, F.lit("").alias("_literal")).where("false")
     rows = reduce(DataFrame.unionByName, found)
-    return rows.join(small_side(anchors.drop("_q")), ["_kind", "_piece"]).select(row_id, "_literal").distinct()
+    return rows.join(F.broadcast(side) if near else side, ["_kind", "_piece"]).select(row_id, "_literal").distinct()
+
+
+#: Bits per piece of a list, and the most of a bit set: 1 MiB, which goes out with the plan. A longer list lets more pieces by, and loses none.
+BITS_PER_PIECE, MAX_BITS = 16, 1 << 23
+
+
+def _piece_test(anchors: DataFrame):
+    """A test for a piece inside of a row: false for nearly all that are not among the pieces of `anchors`, true for all that are.
+
+    Each piece sets the bit that its hash names. The driver holds the bit set alone, a fixed size whatever the length of the list.
+    """
+    listed = anchors.select("_piece").distinct()
+    wanted = listed.count() * BITS_PER_PIECE
+    bits = min(MAX_BITS, max(1024, 1 << (wanted - 1).bit_length()))
+
+    def place(piece: Column) -> Column:
+        return F.xxhash64(piece).bitwiseAND(F.lit(bits - 1))
+
+    at = place(F.col("_piece"))
+    words = listed.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(xxhash64(_piece) & 63 AS INT))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("held"))
+    table = np.zeros(bits // 64, dtype="int64")
+    arrow = words.toArrow()
+    table[arrow.column("word").to_numpy()] = arrow.column("held").to_numpy()
+    # One literal of the plan, folded from a text: an array column of as many literals would be a tree of them.
+    held = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
+
+    def test(piece: Column) -> Column:
+        word = F.get(held, F.shiftright(place(piece), 6).cast("int"))
+        return F.call_function("bit_get", word, place(piece).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
 
 
 SIGNATURES_AT_ONCE = 100_000

@@ -253,6 +253,24 @@ def test_expectations_meet_in_a_join(spark):
     assert [r.result for r in alone.collect()] == ["FAIL"]
 
 
+def test_pieces_by_a_bit_set(spark, monkeypatch):
+    """Every piece of the list is let by, few others; the long way with it finds what the broadcast finds."""
+    known = [f"{i:08x}" for i in range(5000)]
+    listed = spark.createDataFrame([(k,) for k in known], "_piece string")
+    test = content._piece_test(listed)
+    assert listed.where(test(F.col("_piece"))).count() == 5000
+    others = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("p"))
+    assert others.where(test(F.col("p"))).count() < 10_000
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdé-+ ", k=rng.randint(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=30))) for i in range(20)] + [(20, ""), (21, None)], "i int, t string")
+    rules = spark.createDataFrame([(f"r{i % 50}", w, 1) for i, w in enumerate(words)], "rule string, literal string, needed int")
+    want = Counter(map(tuple, content.pattern_rules(df, "i", "t", rules).collect()))
+    monkeypatch.setattr(content, "is_small", lambda side: False)
+    monkeypatch.setattr(content, "MAX_BITS", 1024)  # a list too long for the bits still loses nothing
+    assert want and Counter(map(tuple, content.pattern_rules(df, "i", "t", rules).collect())) == want
+
+
 def judge_slowly(checks, observed, runs):
     for run in runs:
         values = {}
