@@ -305,3 +305,41 @@ def test_hot_values_are_dealt_by_number(spark):
         got = joined.groupBy("k").agg(F.count("*"), F.max("v"), F.count_distinct("v")).collect()
         assert {r[0]: (r[1], r[2]) for r in got} == want and all(r[3] <= 1 for r in got)
         assert joined.columns == ["k", "m", "v"]
+
+
+def _busy_flows(spark):
+    """Half of the flows in one small block that many ranges hold, one address very often, nulls and no addresses among them."""
+    rows = [(i, 168_000_000 + i % 7 if i % 2 else i * 2_654_435_761 % 2**32) for i in range(600)]
+    rows += [(1000, None), (1001, -1), (1002, 2**32), (1003, 168_000_003), (1003, 168_000_003)]
+    lists = [(n, 167_772_160 + n, 168_000_000 + n * 3) for n in range(90)] + [(100, 5, None), (101, 9, 3), (1, 167_772_160, 184_549_375)]
+    want = sorted((i, n) for i, ip in rows if ip is not None and 0 <= ip < 2**32 for n, lo, hi in lists if hi is not None and lo <= ip <= hi)
+    return spark.createDataFrame(rows, "i long, ip long"), spark.createDataFrame(lists, "n long, lo long, hi long"), want
+
+
+def test_long_range_lists_are_neither_broadcast_nor_gathered(spark, monkeypatch):
+    """Blocks past the broadcast limit, most pairs in a few blocks: dealt to several tasks, no list per address."""
+    flows, ranges, want = _busy_flows(spark)
+    monkeypatch.setattr(policy, "is_small", lambda *a: False)
+    for most in (policy.PAIRS_PER_TASK, 50):
+        monkeypatch.setattr(policy, "PAIRS_PER_TASK", most)
+        met = policy.cidr_match(flows, "ip", ranges)
+        assert met.columns == ["i", "ip", "n", "lo", "hi"]
+        assert sorted((r.i, r.n) for r in met.collect()) == want
+        assert "collect_list" not in met._jdf.queryExecution().optimizedPlan().toString()
+        assert "merge" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_of_one_file_are_cut_by_many_tasks(spark, monkeypatch):
+    """A list in one file is dealt out before its ranges become blocks; flattened past the broadcast limit it says the same."""
+    from auditloom.functions import ranges as module
+
+    flows, ranges, want = _busy_flows(spark)
+    one = ranges.coalesce(1)
+    monkeypatch.setattr(module, "RANGES_PER_TASK", 10)
+    dealt, parts = module.dealt_ranges(one)
+    assert parts == 10 and dealt.rdd.getNumPartitions() == 10 and sorted(dealt.collect(), key=str) == sorted(one.collect(), key=str)
+    first = {i: min(n for j, n in want if j == i) for i, _ in want}
+    for near in (True, False):
+        monkeypatch.setattr(module, "is_small", lambda *a: near)
+        got = policy.cidr_first_match(flows, "ip", one, F.col("n"))
+        assert all(r.n == first.get(r.i) for r in got.collect()) and got.count() == flows.count()
