@@ -101,7 +101,10 @@ def template_tree(spark, sf):
     text = F.concat(
         F.lit("id: t"), key, F.lit("\ninfo:\n  severity: "), severity, F.lit("\n  tags: cve, , nation"), F.col("s_nationkey"), F.lit(" ,x\n")
     )
-    table(spark, sf, "supplier").select(key.alias("key"), text.alias("value")).write.partitionBy("key").text(folder)
+    # A folder is some milliseconds of work, so all tasks make some, and each moves its own to their place.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf, "supplier").select(key.alias("key"), text.alias("value")).repartition(width, "key")
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("key").text(folder)
     return read_templates(spark, folder, "*.txt").select(
         F.regexp_extract("path", r"key=([0-9]+)/", 1).cast("long").alias("key"), "severity", F.array_join("tags", ",").alias("tags")
     )

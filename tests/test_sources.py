@@ -101,3 +101,15 @@ def test_partitions_are_all_read_back_and_pruned(spark):
     pruned = back.where("status <> 'P'")
     assert "PartitionFilters: [isnotnull(status" in pruned._jdf.queryExecution().executedPlan().toString()
     assert len(pruned.inputFiles()) >= 1 and pruned.count() == 20
+
+
+def test_template_folders_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    from auditloom.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "run_folder", lambda spark, name: str(tmp_path / name))
+    (tmp_path / "in").mkdir()
+    spark.range(1, 41).selectExpr("id AS s_suppkey", "id % 3 AS s_nationkey").coalesce(1).write.parquet(str(tmp_path / "in" / "supplier.parquet"))
+    got = {r.key: (r.severity, r.tags) for r in source_queries.template_tree(spark, str(tmp_path / "in")).collect()}
+    assert got == {k: (("critical", "high", "low", None)[k % 4], f"cve,nation{k % 3},x") for k in range(1, 41)}
+    files = list((tmp_path / "template-tree" / "rows").glob("key=*/part-*.txt"))
+    assert len(files) == 40 and len({f.name[:10] for f in files}) > 1
