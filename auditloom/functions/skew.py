@@ -20,6 +20,8 @@ from auditloom.session import settle
 
 HOT_ROWS = 8_000_000
 PIECES_PER_LIMIT = 8
+#: Pieces that a low limit may ask for; more only where they would hold over HOT_ROWS / PIECES_PER_LIMIT rows each.
+MOST_PIECES = 256
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,12 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> Hot:
 
     Reads `key` alone, combined before the shuffle. At most rows / `hot_rows` keys reach
     the driver. A job of several operators over the same rows asks once, on its input, and hands the answer
-    on; a job that knows its keys can state them, or NONE_HOT, and nothing runs.
+    on; a job that knows its keys can state them, or NONE_HOT, and nothing runs. Every piece is a task of several jobs, so a low limit over
+    many rows asks for MOST_PIECES of them and not for one per `hot_rows` / PIECES_PER_LIMIT rows.
     """
     found = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect()
-    return Hot([r["_key"] for r in found], sum(-(-r["n"] * PIECES_PER_LIMIT // hot_rows) for r in found))
+    pieces, least = (sum(-(-r["n"] * PIECES_PER_LIMIT // rows) for r in found) for rows in (hot_rows, HOT_ROWS))
+    return Hot([r["_key"] for r in found], max(min(pieces, MOST_PIECES), least))
 
 
 def with_slices(df: DataFrame, key: str, order: list[str], hot: Hot) -> tuple[DataFrame, bool]:

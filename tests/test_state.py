@@ -132,3 +132,10 @@ def test_toggle_rows_grow_with_the_input_alone(spark, monkeypatch):
     looked = toggle_asof(flows, changes, "ts", "site", "c")
     looked.collect()
     assert "sequence" not in looked._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_low_limit_over_many_rows_asks_for_few_pieces(spark):
+    """One key of 20,000 rows, a limit of 10: a piece per limit would be 16,000 tasks."""
+    df = spark.range(20_000).selectExpr("0L AS k", "id AS a")
+    assert skew.hot_keys(df, "k", 10).pieces == skew.MOST_PIECES
+    assert skew.hot_keys(df, "k", 2_000).pieces == 80
