@@ -22,15 +22,20 @@ ROWS_PER_FILE = 1_000_000
 
 
 def _events(spark, sf):
-    """The events as they would arrive: files in order of time, one per micro-batch."""
+    """The events as they would arrive: files in order of time, one per micro-batch.
+
+    All tasks write the rows to a folder per batch first, so that the one task that makes a batch's file reads its own rows alone.
+    """
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("_us", F.expr(MICROS_EXPR))
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
     parts = 4 + ends.n // ROWS_PER_FILE
     width = (ends.hi - ends.lo) // parts + 1
-    folder = run_folder(spark, "event-files") + "/rows"
+    home = run_folder(spark, "event-files")
+    dealt = rows.where("_us IS NOT NULL").withColumn("_part", ((F.col("_us") - ends.lo) / width).cast("int")).drop("_us")
+    dealt.write.partitionBy("_part").parquet(f"{home}/dealt")
+    folder, staged = f"{home}/rows", spark.read.schema(dealt.schema).parquet(f"{home}/dealt")
     for n in range(parts):
-        piece = rows.where((F.col("_us") - ends.lo).between(n * width, (n + 1) * width - 1))
-        piece.drop("_us").coalesce(1).write.mode("append").parquet(folder)
+        staged.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     return read_stream(spark, folder, max_files=1)
 
 

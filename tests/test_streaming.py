@@ -75,3 +75,19 @@ def test_a_stopped_stream_goes_on_from_its_folder(spark):
         got = run_available(stream, "test-resume", folder=target)
     want = rate_limit_label(spark.read.parquet(source), "k", "at", "i", 10, 60 * SECOND, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_event_files_are_made_from_their_own_rows(spark, tmp_path, monkeypatch):
+    """Each batch's file is read from a folder of its own, holds all its rows and follows the one before."""
+    from auditloom.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 40)
+    monkeypatch.setattr(stream_queries, "run_folder", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(200).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * id % 1009) AS ts")
+    rows.unionByName(spark.sql("SELECT 900L AS event_id, CAST(NULL AS timestamp_ntz) AS ts")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    stream_queries._events(spark, str(tmp_path))
+    home = tmp_path / "event-files"
+    assert len(list((home / "dealt").glob("_part=*"))) == 9
+    files = sorted((home / "rows").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(f)).selectExpr("min(ts)", "max(ts)", "count(*)").first() for f in files]
+    assert len(files) == 9 and sum(s[2] for s in spans) == 200 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
