@@ -435,3 +435,26 @@ def test_log_lines_written_and_read_again(spark):
         "CAST(NULL AS BOOLEAN) raw", "CAST(NULL AS BOOLEAN) granted", "CAST(NULL AS INT) timeout", "CAST(NULL AS INT) n_files",
     )
     assert logs.exec_log_write(bare).first().line == "free text"
+
+
+def test_occurrences_leave_a_worker_in_small_batches(monkeypatch):
+    """Bodies full of one byte: a worker holds a few of the occurrences at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(content, "PLACES_AT_ONCE", 7)
+    arrow = pa.schema([("_id", pa.int64()), ("signature", pa.string()), ("offset", pa.int64())])
+    bodies = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([b"a" * 30, None, b"ba"], pa.binary())], names=["_id", "_body"])
+    out = list(content._found_places([bodies], [("x", b"a", None)], arrow))
+    assert max(b.num_rows for b in out) == 7
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(5, "x", n) for n in range(30)] + [(7, "x", 1)]
+
+
+def test_patterns_run_only_where_their_literal_stands(spark, monkeypatch):
+    """A text with the piece of a literal and not the literal is not searched."""
+    monkeypatch.setattr(content, "RULE_LITERALS_IN_PLAN", 1)
+    rules = spark.createDataFrame([("r", "regex", "abcd[a-z]{2,}s", 1), ("t", "regex", "[A-Z]?bcdxy +z", 1)], "rule string, kind string, pattern string, needed int")
+    items = spark.createDataFrame([(1, "abcdxxs abcdees"), (2, "abc d"), (3, "bcdx y z Abcdxy  z"), (4, None)], "i long, body string")
+    hits = content._pattern_hits(items.selectExpr("CAST(i AS string) AS _key", "body AS _text"), content.compiled_rules(rules).select("kind", "regex", "literal"))
+    assert "contains" in hits._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = content.pattern_rules(items, "i", "body", rules).collect()
+    assert sorted(map(tuple, got)) == [(1, "r", 1, 2), (3, "t", 1, 1)]
