@@ -339,7 +339,7 @@ def test_ranges_of_one_file_are_cut_by_many_tasks(spark, monkeypatch):
     dealt, parts = module.dealt_ranges(one)
     assert parts == 10 and dealt.rdd.getNumPartitions() == 10 and sorted(dealt.collect(), key=str) == sorted(one.collect(), key=str)
     first = {i: min(n for j, n in want if j == i) for i, _ in want}
-    for near in (True, False):
-        monkeypatch.setattr(module, "is_small", lambda *a: near)
+    for side in (module.small_side, lambda blocks: blocks):
+        monkeypatch.setattr(module, "small_side", side)
         got = policy.cidr_first_match(flows, "ip", one, F.col("n"))
         assert all(r.n == first.get(r.i) for r in got.collect()) and got.count() == flows.count()
