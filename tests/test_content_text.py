@@ -458,3 +458,45 @@ def test_patterns_run_only_where_their_literal_stands(spark, monkeypatch):
     assert "contains" in hits._jdf.queryExecution().optimizedPlan().toString().lower()
     got = content.pattern_rules(items, "i", "body", rules).collect()
     assert sorted(map(tuple, got)) == [(1, "r", 1, 2), (3, "t", 1, 1)]
+
+
+def test_a_longer_list_gives_no_more_candidates_by_chance(spark, monkeypatch):
+    """Keys in hex next to a short secret: a text with another key meets none of the list."""
+    secrets = [f"key-{hashlib.md5(str(k).encode()).hexdigest()}" for k in range(3000)] + ["two words"]
+    texts = [f"x {hashlib.md5(str(k).encode()).hexdigest()} words" for k in range(5000, 5400)] + [f"y{secrets[7]}z {secrets[8]}", "has two words"]
+    candidates, met = content._candidates, []
+
+    def counted(*args):
+        found = candidates(*args)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(content, "_candidates", counted)
+    known = spark.createDataFrame([(s,) for s in secrets], "secret string")
+    got = {tuple(r) for r in logs.known_secret_scan(docs(spark, *texts), "i", "t", known).collect()}
+    assert got == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in ((400, secrets[7]), (400, secrets[8]), (401, "two words"))}
+    assert met == [3]
+
+
+def test_every_piece_of_a_literal_is_met_at_any_place(monkeypatch):
+    """Texts cut into segments, empty ones and neighbours whose ends make up a literal together."""
+    import numpy as np
+    import pyarrow as pa
+
+    from auditloom.functions import textpieces
+
+    monkeypatch.setattr(textpieces, "SEGMENT", 7)
+    rng = random.Random(16)
+    literals = [bytes(rng.choice(b"ab\xc3\xa9") for _ in range(n)) for n in (1, 2, 3, 4, 7, 8, 15, 16, 17, 40)]
+    texts = [b"", b"zz" + literals[-1][:20], literals[-1][20:], b"", *(b"q" * rng.randrange(9) + x + b"q" * rng.randrange(9) for x in literals), b""]
+    column = pa.array([b"cut off", *texts], pa.binary()).slice(1)
+    rows, widths, pieces = textpieces.literal_pieces(*textpieces.flat(pa.array(literals, pa.binary())))
+    assert [int((rows == i).sum()) for i in range(len(literals))] == [1, 1, 2, 1, 2, 1, 2, 1, 2, 3]
+    full = np.full(128, 255, np.uint8)
+    met = {(int(r), int(p)) for rs, ps in textpieces.held_pieces(*textpieces.flat(column), list(textpieces.WIDTHS), full) for r, p in zip(rs, ps)}
+    for i, literal in enumerate(literals):
+        mine = {int(p) for p in pieces[rows == i]}
+        width = int(widths[rows == i][0])
+        parts = {literal[min(k, len(literal) - width) :][:width] for k in range(0, len(literal), width)}
+        for n, text in enumerate(texts):
+            assert sum((n, p) in met for p in mine) == sum(part in text for part in parts), (i, n)
