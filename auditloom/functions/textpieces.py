@@ -95,3 +95,30 @@ def places(hashes, n_bits: int, shift: int):
 def _is_set(bits: np.ndarray, hashes: np.ndarray, shift: int) -> np.ndarray:
     at = places(hashes, len(bits) * 8, shift)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+class PieceIndex:
+    """Numbers of literals by the piece that each is found by, held by a task that looks through texts."""
+
+    def __init__(self, pieces: np.ndarray, numbers: np.ndarray, widths: list[int], n_bits: int):
+        order = np.argsort(pieces, kind="stable")
+        self.pieces, self.first = np.unique(pieces[order], return_index=True)
+        self.counts = np.diff(np.append(self.first, len(order)))
+        self.numbers, self.widths = numbers[order], widths
+        self.bits = np.zeros(n_bits // 8, np.uint8)
+        for shift in SHIFTS:
+            at = places(self.pieces, n_bits, shift)
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def held(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`(number of the text, number of the literal)` where the text has the literal's piece; a pair may come twice."""
+        rows, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, piece in held_pieces(*flat(column), self.widths, self.bits):
+            at = np.minimum(np.searchsorted(self.pieces, piece), len(self.pieces) - 1)
+            same = self.pieces[at] == piece
+            row, at = row[same], at[same]
+            n = self.counts[at]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows.append(np.repeat(row, n))
+            numbers.append(self.numbers[np.repeat(self.first[at], n) + nth])
+        return np.concatenate(rows), np.concatenate(numbers)

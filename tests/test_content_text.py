@@ -500,3 +500,26 @@ def test_every_piece_of_a_literal_is_met_at_any_place(monkeypatch):
         parts = {literal[min(k, len(literal) - width) :][:width] for k in range(0, len(literal), width)}
         for n, text in enumerate(texts):
             assert sum((n, p) in met for p in mine) == sum(part in text for part in parts), (i, n)
+
+
+def test_a_list_of_kinds_is_judged_in_place(spark, monkeypatch):
+    """Only the rows are dealt out; null and repeated ids, null texts, rules that always hold, and the same answers by joins."""
+    monkeypatch.setattr(content, "RULE_LITERALS_IN_PLAN", 3)
+    monkeypatch.setattr(content, "PAIRS_AT_ONCE", 5)  # many batches per batch
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(30)]
+    listed = [(f"r{i % 7}", ("text", "regex", "hex")[i % 3], w if i % 3 == 0 else w + "[a-c]*" if i % 3 == 1 else w.encode().hex(" "), i % 4) for i, w in enumerate(words)]
+    listed += [("loose", "regex", "a|é", 1), ("loose", "regex", "b*", 2), ("open", "hex", "?? 6?", 1), ("none", None, None, 0), (None, "text", words[0], 1), ("unset", "text", "a", None)]
+    rules = spark.createDataFrame(listed, "rule string, kind string, pattern string, needed int")
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(40)] + ["", None, "aa"]
+    df = spark.createDataFrame([(i // 2 if i % 5 else None, t) for i, t in enumerate(texts)] * 2, "i int, t string")
+    here = content.pattern_rules(df, "i", "t", rules)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = Counter(map(tuple, here.collect()))
+    monkeypatch.setattr(content, "PATTERNS_IN_TASKS", 0)
+    joined = content.pattern_rules(df, "i", "t", rules)
+    assert got == Counter(map(tuple, joined.collect())) and len(got) > 100
+    assert here.schema.simpleString() == joined.schema.simpleString()
+    monkeypatch.setattr(content, "RULE_LITERALS_IN_PLAN", 256)
+    assert got == Counter(map(tuple, content.pattern_rules(df, "i", "t", rules.where("needed IS NOT NULL AND rule IS NOT NULL").unionByName(rules.where("rule IS NULL").fillna("~", ["rule"]))).replace("~", None, ["rule"]).collect()))
