@@ -523,3 +523,21 @@ def test_a_list_of_kinds_is_judged_in_place(spark, monkeypatch):
     assert here.schema.simpleString() == joined.schema.simpleString()
     monkeypatch.setattr(content, "RULE_LITERALS_IN_PLAN", 256)
     assert got == Counter(map(tuple, content.pattern_rules(df, "i", "t", rules.where("needed IS NOT NULL AND rule IS NOT NULL").unionByName(rules.where("rule IS NULL").fillna("~", ["rule"]))).replace("~", None, ["rule"]).collect()))
+
+
+def test_patterns_counted_by_a_worker_match_as_in_spark(spark):
+    """Random sequences, alternatives and hex patterns over texts with characters of several bytes; the others are left to Spark."""
+    rng = random.Random(22)
+    signs, counts = ["a", "b", "ab", " ", r"\.", "[ab]", "[a-c]", "[A-C ]"], ["", "", "", "", "?", "*", "+", "{2}", "{0,2}", "{1,}", "*?", "+?", "{1,3}?"]
+    tokens = ["61", "62", "6?", "?1", "??", "C3", "A9", "(61 | 62 ??)", "[1]", "[1-2]", "[0-]"]
+    listed = {("regex", "|".join("".join(rng.choice(signs) + rng.choice(counts) for _ in range(rng.randint(1, 5))) for _ in range(rng.choice([1, 1, 1, 2])))) for _ in range(250)}
+    listed |= {("hex", patterns.hex_regex(" ".join(rng.choices(tokens, k=rng.randint(1, 5))))) for _ in range(150)}
+    texts = ["".join(rng.choice("aaabbbcAB. é€\U0001f600") for _ in range(rng.randrange(60))) for _ in range(12)] + [""]
+    known = [(k, r, t, count(t.encode())) for k, r in sorted(listed) if (count := patterns.counter(k, r)) for t in texts]
+    assert len(known) > 250 * len(texts) and sum(n for *_, n in known) > 5000
+    df = spark.createDataFrame(known, "kind string, regex string, _text string, n int").withColumn("_bytes", content._bytes(F.col("_text")))
+    view = F.when(F.col("kind") == "hex", F.col("_bytes")).otherwise(F.col("_text"))
+    assert df.where(content._count(F.col("kind"), view, F.col("regex")) != F.col("n")).collect() == []
+    for other in ("a.b", "[^a]b", r"\da", "é?", "(a)b", "(?i)ab", "a++", "^a", "a*", r"\x61", "a{,2}b", "[a&&b]"):
+        assert patterns.counter("regex", other) is None
+    assert patterns.counter("hex", patterns.hex_regex("[0-2]")) is None
