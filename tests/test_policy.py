@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from auditloom.functions import net
 from auditloom.functions import ranges as address_ranges
 from auditloom.functions import sizing, skew
 from auditloom.functions.net import ip_to_long
@@ -343,3 +344,26 @@ def test_ranges_of_one_file_are_cut_by_many_tasks(spark, monkeypatch):
         monkeypatch.setattr(module, "small_side", side)
         got = policy.cidr_first_match(flows, "ip", one, F.col("n"))
         assert all(r.n == first.get(r.i) for r in got.collect()) and got.count() == flows.count()
+
+
+def test_ranges_of_all_sizes_meet_in_few_cells(spark, monkeypatch):
+    """Four probes per address at most past the broadcast limit, 65 cells per range, grids of tasks for busy cells; ends out of the space, repeated rows."""
+    rng = random.Random(31)
+    starts = [rng.choice([rng.randrange(2**32), 168_000_000 + rng.randrange(4000)]) for _ in range(160)]
+    lists = [(n, a, a + rng.randrange(2 ** (n % 34))) for n, a in enumerate(starts)]
+    lists += [(200, -5, 3), (201, 2**32 - 2, 2**40), (202, 0, 2**32 - 1), (203, None, 5), (204, 9, 8), (205, -9, -1), (206, 2**32, 2**33), *[(207, 168_000_000, 168_000_000)] * 40]
+    ips = [rng.choice([rng.randrange(2**32), 168_000_000 + rng.randrange(4000), 168_000_000, 0, 2**32 - 1]) for _ in range(300)] + [None, -1, 2**32]
+    held = {(n, lo, hi) for n, lo, hi in lists if None not in (lo, hi)}
+    want = sorted((i, n) for i, ip in enumerate(ips) if ip is not None and 0 <= ip < 2**32 for n, lo, hi in lists if (n, lo, hi) in held and lo <= ip <= hi)
+    flows = spark.createDataFrame(list(enumerate(ips)), "i int, ip long")
+    ranges = spark.createDataFrame(lists, "n int, lo long, hi long").repartition(3)
+    cells = net.covering_cells(ranges).groupBy("n", "lo", "hi").count()
+    assert cells.where("n < 207 AND count > 65").count() == 0 and cells.count() == len([1 for n, lo, hi in held if n not in (204, 205, 206)])
+    monkeypatch.setattr(policy, "is_small", lambda *a: False)
+    probes, asked = policy._probes, []
+    monkeypatch.setattr(policy, "_probes", lambda df, ip_col, bits: asked.append(len(bits)) or probes(df, ip_col, bits))
+    for most in (policy.PAIRS_PER_TASK, 700, 20):
+        monkeypatch.setattr(policy, "PAIRS_PER_TASK", most)
+        met = policy.cidr_match(flows, "ip", ranges)
+        assert met.columns == ["i", "ip", "n", "lo", "hi"] and sorted((r.i, r.n) for r in met.collect()) == want
+    assert asked and max(asked) <= 4
